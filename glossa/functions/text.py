@@ -71,7 +71,7 @@ def split_boundaries(c: Text) -> Column:
     text = _col(c)
 
     def several(pattern: str) -> Column:
-        parts = F.filter(F.split(text, pattern), lambda p: p.rlike(NON_SPACE))
+        parts = F.filter(F.split(text, pattern), lambda p: F.ltrim(p, F.lit(SPACE_CHARS)) != "")
         return F.get(F.filter(F.array(parts), lambda ps: F.size(ps) > 1), F.lit(0))
 
     def halves(words: Column) -> Column:

@@ -62,11 +62,11 @@ PROMPT_PRESETS = {
 # Whitespace as Python's str.strip, str.split and re's \s see it. Java's \s is
 # ASCII-only, and its Unicode form leaves out U+001C..U+001F.
 SPACE_CHARS = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
-    "           "
-    "    　"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
-SPACE_SET = r"\t-\r\x1c-\x20\x85\xa0  -     　"
+SPACE_SET = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = f"[{SPACE_SET}]"
 NON_SPACE = f"[^{SPACE_SET}]"
 
