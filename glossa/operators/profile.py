@@ -117,6 +117,26 @@ def json_key_table(
     )
 
 
+def _key_counts(cells: DataFrame) -> DataFrame:
+    """Distinct (column, key) and, under a null key, the rows of each column."""
+    row = F.array(
+        F.struct(
+            F.lit(None).cast("string").alias("key"),
+            F.lit(1).alias("row"),
+            F.col("keys").isNotNull().cast("int").alias("json"),
+        )
+    )
+    each = F.transform(
+        F.coalesce("keys", F.array().cast("array<string>")),
+        lambda k: F.struct(k.alias("key"), F.lit(0).alias("row"), F.lit(0).alias("json")),
+    )
+    return (
+        cells.select("column", F.explode_outer(F.concat(row, each)).alias("e"))
+        .groupBy("column", F.col("e.key").alias("key"))
+        .agg(F.sum("e.row").alias("total_rows"), F.sum("e.json").alias("json_rows"))
+    )
+
+
 def classify_keys(
     keys: DataFrame,
     translate_keys: tuple[str, ...] = TRANSLATE_KEYS,
@@ -146,7 +166,8 @@ def column_report(
     A long key list is spread over several lines, so that no task ever has to
     hold all keys of a column.
     """
-    profile = json_profile(df, columns, row_id, sample_rows)
+    counted = _key_counts(_json_cells(df, columns, row_id, sample_rows))
+    profile = counted.where(F.col("key").isNull())
     share = F.format_string("%s: JSON detected (%d/%d rows)", "column", "json_rows", "total_rows")
     plain = F.concat("column", F.lit(": plain text"))
     heads = profile.select(
@@ -155,10 +176,10 @@ def column_report(
         F.lit(0).cast("long").alias("part"),
         F.when(F.col("json_rows") > 0, share).otherwise(plain).alias("line"),
     )
-    kinds = classify_keys(
-        json_key_table(df, columns, row_id, sample_rows), translate_keys, skip_keys
-    )
-    sizes = kinds.groupBy("column", "kind").agg(F.count(F.lit(1)).alias("n"))
+    found = counted.where(F.col("key").isNotNull()).select("column", "key")
+    kinds = classify_keys(found, translate_keys, skip_keys)
+    # At most three rows per column.
+    sizes = F.broadcast(kinds.groupBy("column", "kind").agg(F.count(F.lit(1)).alias("n")))
     lines = F.ceil(F.col("n") / KEYS_PER_LINE)
     parts = kinds.join(sizes, ["column", "kind"]).withColumn(
         "part", F.pmod(F.xxhash64("key"), lines)

@@ -15,6 +15,15 @@ BLOCK_ROWS = 1 << 20
 # So many files are summed in one window, and their offsets sent to all
 # executors: some 20 MB. More files take the ways that grow with the cluster.
 SMALL_FILE_COUNT = 100_000
+HEAD_FILES = 1000
+
+
+def _rows_per_file(df: DataFrame) -> DataFrame:
+    return (
+        df.select(F.col("_metadata.file_path").alias("file"))
+        .groupBy("file")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
 
 
 def _offsets_by_window(files: DataFrame) -> DataFrame:
@@ -53,11 +62,7 @@ def assign_row_id(
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.row_index").alias("_index"),
     )
-    files = (
-        df.select(F.col("_metadata.file_path").alias("file"))
-        .groupBy("file")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    files = _rows_per_file(df)
     if len(df.inputFiles()) <= small_file_count:
         bases = F.broadcast(_offsets_by_window(files).select(F.col("file").alias("_file"), "base"))
         joined = placed.join(bases, "_file")
@@ -79,6 +84,20 @@ def first_n(df: DataFrame, n: int | None, row_id: str = ROW_ID) -> DataFrame:
     return df.where(F.col(row_id) < n) if n and n > 0 else df
 
 
+def scan_head(df: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows of a Parquet table without positions, reading few files.
+
+    Files are skipped as long as a thousand of them hold the rows; beyond that the
+    rows are chosen by position alone.
+    """
+    if len(df.inputFiles()) <= SMALL_FILE_COUNT:
+        needed = _offsets_by_window(_rows_per_file(df)).where(F.col("base") < n)
+        names = [r["file"] for r in needed.select("file").take(HEAD_FILES + 1)]
+        if len(names) <= HEAD_FILES:
+            df = df.where(F.col("_metadata.file_path").isin(names))
+    return first_n(assign_row_id(df), n).drop(ROW_ID)
+
+
 def rows_from(df: DataFrame, start: int, row_id: str = ROW_ID) -> DataFrame:
     """Rows from position ``start`` on."""
     return df.where(F.col(row_id) >= start)

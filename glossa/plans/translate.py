@@ -10,8 +10,7 @@ chunks whose results were committed.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
@@ -50,6 +49,10 @@ class Engine:
     chunks_per_task: int = CHUNKS_PER_TASK
     hot_min_rows: int = HOT_MIN_ROWS
 
+    def fresh(self) -> Engine:
+        """The same engine with a work folder of its own."""
+        return replace(self, work=WorkFolder(self.work.spark))
+
 
 def make_engine(
     spark, backend: Backend, params: JobParams | None = None, memory_path: str | None = None, **more
@@ -171,6 +174,3 @@ def require_backend(spark, engine: Engine) -> None:
     reply = canary_check(spark, engine.backend, engine.params).first()
     if reply is None or reply["status"] != "ok":
         raise FatalBackendError("the backend gave no translation; the job was not started")
-
-
-Progress = Callable[[int, int, str], None]

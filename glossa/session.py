@@ -68,6 +68,20 @@ class FileSystem:
         if not self._fs.rename(self._path(old), self._path(new)):
             raise OSError(f"cannot rename {old} to {new}")
 
+    def replace(self, path: str, new: str) -> None:
+        """Put the folder ``new`` in the place of ``path``; see ``recover``."""
+        self.rename(path, f"{path}.old")
+        self.rename(new, path)
+        self.delete(f"{path}.old")
+
+    def recover(self, path: str) -> None:
+        """Undo a ``replace`` that stopped half-way, or finish cleaning up after it."""
+        if self.exists(f"{path}.old"):
+            if self.exists(path):
+                self.delete(f"{path}.old")
+            else:
+                self.rename(f"{path}.old", path)
+
 
 class WorkFolder:
     """Tables one job writes to cut lineage and to read again.

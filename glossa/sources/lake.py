@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from glossa.functions.text import safe_name_of
-from glossa.operators.rows import ROW_ID, assign_row_id, first_n
+from glossa.operators.rows import ROW_ID, first_n, scan_head
 from glossa.session import FileSystem
 
 DEFAULT_SPLIT = "train"
@@ -36,7 +36,7 @@ def load_split(
         return df
     if ROW_ID in df.columns:
         return first_n(df, limit)
-    return first_n(assign_row_id(df), limit).drop(ROW_ID)
+    return scan_head(df, limit)
 
 
 def split_names(spark: SparkSession, root: str, dataset: str) -> list[str]:

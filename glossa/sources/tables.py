@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
 import warnings
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from glossa.functions.text import safe_name_of
@@ -78,14 +78,12 @@ def reslice_cached(
     cannot be overwritten while it is read.
     """
     path = table_path(root, name)
+    fs = FileSystem(spark, path)
+    fs.recover(path)
     saved = read_table(spark, path)
     if n and n > 0 and not saved.where(F.col(row_id) >= n).isEmpty():
-        fs = FileSystem(spark, path)
-        aside = f"{path.removesuffix('.parquet')}.{uuid.uuid4().hex}"
-        first_n(saved, n, row_id).write.parquet(f"{aside}.new")
-        fs.rename(path, f"{aside}.old")
-        fs.rename(f"{aside}.new", path)
-        fs.delete(f"{aside}.old")
+        first_n(saved, n, row_id).write.mode("overwrite").parquet(f"{path}.new")
+        fs.replace(path, f"{path}.new")
         spark.catalog.refreshByPath(path)
         saved = read_table(spark, path)
     return saved
@@ -106,8 +104,8 @@ def catalog(spark: SparkSession, root: str) -> DataFrame:
         try:
             columns = spark.read.parquet(path).columns
             found.append((folder.removesuffix(".parquet"), path, columns))
-        except AnalysisException as e:
-            warnings.warn(f"could not read {path}: {e.getCondition()}", stacklevel=2)
+        except (PySparkException, Py4JJavaError) as e:
+            warnings.warn(f"could not read {path}: {type(e).__name__}", stacklevel=2)
     schema = "name string, path string, columns array<string>"
     tables = spark.createDataFrame(found, schema)
     if not found:
