@@ -120,14 +120,17 @@ def translate_dataset(
         require_backend(spark, engine)
     path = output_path(root, job)
     done = stored_output(spark, path, df)
-    if not FileSystem(spark, path).has_data(path):
-        todo = df
-    else:
+    fs = FileSystem(spark, path)
+    if fs.has_data(path):
         if start_row is not None:
             _keep_only(spark, path, done.where(F.col(row_id) < start_row))
+            done = stored_output(spark, path, df)
         if retry_failed:
             _keep_only(spark, path, done.where(F.col(FAILED) == 0))
+            done = stored_output(spark, path, df)
         todo = remaining(df, done, row_id)
+    else:
+        todo = df
     if start_row:
         todo = rows_from(todo, start_row, row_id)
     for label, batch, finished, total in _batches(todo, df, row_id, batch_rows, max_batches):
@@ -136,6 +139,8 @@ def translate_dataset(
         count = append_batch(batch, columns, engine, path, row_id)
         if on_progress:
             on_progress(finished + count["rows"], total, f"{label} done")
+    if not fs.has_data(path):
+        stored_output(spark, path, df).write.mode("append").parquet(path)
     return path
 
 

@@ -23,10 +23,12 @@ def publish(
     source_dataset: str,
     language: str = "tr",
     row_id: str = "row_id",
+    approx: bool = False,
 ) -> tuple[bool, str]:
     """Write a table and its card below ``target``: (True, target) or (False, why).
 
     ``target`` is any folder Spark can write to; the table goes to ``data``.
+    ``approx`` counts distinct values in the card without a shuffle.
     """
     if not target.strip():
         return False, "no target given"
@@ -37,5 +39,6 @@ def publish(
     data = f"{target.rstrip('/')}/data"
     df.write.mode("overwrite").parquet(data)
     stored = spark.read.schema(df.schema).parquet(data)
-    publish_card(spark, dataset_card(stored, target, source_dataset, language, row_id), target)
+    card = dataset_card(stored, target, source_dataset, language, row_id, approx)
+    publish_card(spark, card, target)
     return True, target

@@ -24,16 +24,21 @@ CSV_OPTIONS = {
 
 
 def read_table(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Parquet for a path that ends in .parquet, UTF-8 CSV for any other.
 
     Without a schema all CSV columns are text: guessing types would read the
-    whole file once more, and could change what a cell says.
+    whole file once more, and could change what a cell says. A CSV file is read
+    by one task as long as its cells may hold line breaks; if they hold none,
+    ``multi_line=False`` lets Spark split it.
     """
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
-    reader = spark.read.options(**CSV_OPTIONS)
+    reader = spark.read.options(**{**CSV_OPTIONS, "multiLine": multi_line})
     return (reader.schema(schema) if schema else reader).csv(path)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from glossa.operators.rows import ROW_ID
@@ -32,7 +32,13 @@ def translate_stream(
 
     def commit(batch: DataFrame, _: int) -> None:
         session = batch.sparkSession
-        done = stored_output(session, path, batch)
+        ends = batch.agg(F.min(row_id).alias("low"), F.max(row_id).alias("high")).first()
+        if ends["low"] is None:
+            return
+        # Only output files that can hold rows of this batch are looked into.
+        done = stored_output(session, path, batch).where(
+            F.col(row_id).between(ends["low"], ends["high"])
+        )
         append_batch(remaining(batch, done, row_id), list(job.columns), engine, path, row_id)
 
     return (
