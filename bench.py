@@ -9,7 +9,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from glossa.session import local_session  # noqa: E402
+from glossa.session import local_session, ship_by_value  # noqa: E402
 from registry.queries import QUERIES  # noqa: E402
 
 HEADLINE = (
@@ -23,6 +23,7 @@ HEADLINE = (
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+    ship_by_value()
     spark = local_session(int(os.environ.get("BENCH_CPUS", "8")), "bench")
     spark.sparkContext.setLogLevel("ERROR")
     wanted = sys.argv[1:] or HEADLINE

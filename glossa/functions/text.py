@@ -97,44 +97,43 @@ def pack_chunks(parts: Column, max_tokens: int) -> Column:
     budget = F.lit(char_budget(max_tokens))
     spaces = F.lit(SPACE_CHARS)
 
-    def opening(p: Column, i: Column) -> Column:
+    def step(acc: Column, p: Column) -> Column:
+        # Few parts end in whitespace, and a look at the last sign is cheap.
+        ragged = F.instr(spaces, F.right(p, F.lit(1))) > 0
+        more = F.when(ragged, F.length(F.rtrim(p, spaces))).otherwise(F.length(p)) + 1
+        joined = acc["size"] + more
+        fits = (acc["at"] > 0) & (joined <= budget)
         # An over-long part never takes a neighbour in, so its full length counts.
-        full = F.length(p)
-        held = F.when(full > budget, full).otherwise(F.length(F.ltrim(p, spaces)))
-        return F.struct(
-            i.alias("at"), held.alias("first"), (F.length(F.rtrim(p, spaces)) + 1).alias("more")
-        )
-
-    def step(acc: Column, m: Column) -> Column:
-        joined = acc["size"] + m["more"]
-        fits = (m["at"] > 0) & (joined <= budget)
+        held = F.when(F.length(p) > budget, F.length(p)).otherwise(F.length(F.ltrim(p, spaces)))
         return F.struct(
             F.when(fits, acc["starts"])
-            .otherwise(F.array_append(acc["starts"], m["at"]))
+            .otherwise(F.array_append(acc["starts"], acc["at"]))
             .alias("starts"),
-            F.when(fits, joined).otherwise(m["first"]).alias("size"),
+            F.when(fits, joined).otherwise(held).alias("size"),
+            (acc["at"] + 1).alias("at"),
+            (acc["ragged"] | ragged).alias("ragged"),
         )
 
-    def chunk(ps: Column, start: Column, count: Column) -> Column:
-        several = F.array_join(
-            F.transform(
-                F.slice(ps, start + 1, count),
-                lambda p, k: F.when(k == 0, F.ltrim(p, spaces)).otherwise(F.rtrim(p, spaces)),
-            ),
-            " ",
-        )
-        return F.when(count == 1, F.get(ps, start)).otherwise(several)
+    def chunk(ps: Column, start: Column, count: Column, ragged: Column) -> Column:
+        mine = F.slice(ps, start + 1, count)
+        tidy = F.transform(mine, lambda p, k: F.when(k == 0, p).otherwise(F.rtrim(p, spaces)))
+        joined = F.array_join(F.when(ragged, tidy).otherwise(mine), " ")
+        return F.when(count == 1, F.get(ps, start)).otherwise(F.ltrim(joined, spaces))
 
     def cut(ps: Column) -> Column:
         empty = F.struct(
-            F.array().cast("array<int>").alias("starts"), F.lit(0).alias("size")
+            F.array().cast("array<int>").alias("starts"),
+            F.lit(0).alias("size"),
+            F.lit(0).alias("at"),
+            F.lit(False).alias("ragged"),
         )
-        starts = F.aggregate(F.transform(ps, opening), empty, step, lambda acc: acc["starts"])
         return let(
-            starts,
-            lambda ss: F.transform(
-                ss,
-                lambda s, k: chunk(ps, s, F.coalesce(F.get(ss, k + 1), F.size(ps)) - s),
+            F.aggregate(ps, empty, step),
+            lambda acc: F.transform(
+                acc["starts"],
+                lambda s, k: chunk(
+                    ps, s, F.coalesce(F.get(acc["starts"], k + 1), F.size(ps)) - s, acc["ragged"]
+                ),
             ),
         )
 

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship_by_value() -> None:
+    """Send this package's functions along with the tasks.
+
+    For use where the package is on the driver only. Where it is installed on all
+    executors, as for backends with a module of their own, this is not needed.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules["glossa"])
+
+
 def local_session(cpus: int = 8, app: str = "glossa", memory: str = "12g") -> SparkSession:
     """A session for tests and benchmarks; a cluster brings its own."""
     return (
