@@ -1,4 +1,7 @@
-"""Saved tables: Parquet is the store, CSV an export that reads back the same."""
+"""Saved tables: Parquet is the store, CSV an export.
+
+The CSV reads back the same, but for empty cells, which it cannot tell from null.
+"""
 
 from __future__ import annotations
 

@@ -23,7 +23,7 @@ QUERIES: dict[str, Query] = {}
 CHUNK_TOKENS = 512
 SMALL_TOKENS = 128
 FIRST_ROWS = 100
-START_ROW = 500
+START_ROW = 150
 SOFT_MARK = "ñ"
 EMPTY_MARK = "ß"
 FLAKY_MARK = "ü"
