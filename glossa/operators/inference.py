@@ -36,10 +36,15 @@ MEMORY_SCHEMA = T.StructType(
 # there can be no more than a thousand of those.
 HOT_KEYS = 1000
 HOT_MIN_ROWS = 100_000
-SKETCH_ITEMS = 20_000
 
-# One inference task repeats at most so many calls when its executor is lost.
+# One inference task repeats at most so many calls when its executor is lost, as
+# long as the number of tasks stays one the driver can schedule.
 CHUNKS_PER_TASK = 2000
+MAX_TASKS = 50_000
+
+# Results are committed after so many calls at the latest.
+COMMIT_CHUNKS = 5_000_000
+CHUNKS_PER_FILE = 10_000
 
 
 # ------------------------------------------------------------------- one chunk
@@ -124,14 +129,18 @@ def canary_check(
 
 
 def chunk_key(chunk: Column | str, params: JobParams) -> Column:
-    """Equal for chunks whose translation is the same."""
+    """Equal for chunks whose translation is the same: 128 bits of a SHA-256."""
     text = F.col(chunk) if isinstance(chunk, str) else chunk
-    return F.sha2(F.concat_ws("\x1f", F.lit(params.scope), text), 256)
+    return F.substring(F.sha2(F.concat_ws("\x1f", F.lit(params.scope), text), 256), 1, 32)
 
 
 def dedupe_chunks(chunks: DataFrame) -> DataFrame:
-    """Distinct (key, chunk). Repeats are dropped before the shuffle already."""
-    return chunks.select("key", "chunk").distinct()
+    """Distinct (key, chunk). Repeats are dropped before the shuffle already.
+
+    Grouping by the key alone leaves the rows where the join with the memory
+    wants them, so the texts are shuffled once.
+    """
+    return chunks.groupBy("key").agg(F.any_value("chunk").alias("chunk"))
 
 
 class TranslationMemory:
@@ -184,18 +193,18 @@ class TranslationMemory:
 # ------------------------------------------------------------------- hot chunks
 
 
-def key_sketch(key: str = "key") -> list[Column]:
-    """Aggregates that tell which keys are frequent; cheap enough to ride along."""
-    return [
-        F.count(F.lit(1)).alias("rows"),
-        F.expr(f"approx_top_k(`{key}`, {HOT_KEYS}, {SKETCH_ITEMS})").alias("top"),
-    ]
-
+def hot_salts(
+    chunks: DataFrame, total: int, min_rows: int = HOT_MIN_ROWS
+) -> list[tuple[str, int]]:
+    """(key, number of salts) for keys with more rows than one task should get.
 
-def hot_salts(sketch: dict, min_rows: int = HOT_MIN_ROWS) -> list[tuple[str, int]]:
-    """(key, number of salts) for keys with more rows than one task should get."""
-    share = max(sketch["rows"] // HOT_KEYS, min_rows, 1)
-    return [(t["item"], -(-t["count"] // share)) for t in sketch["top"] if t["count"] > share]
+    Reads the key column only. Fewer than ``HOT_KEYS`` keys can have that many.
+    """
+    share = max(total // HOT_KEYS, min_rows, 1)
+    if total <= share:
+        return []
+    counts = chunks.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > share)
+    return [(r["key"], -(-r["n"] // share)) for r in counts.collect()]
 
 
 def attach_translations(
@@ -203,7 +212,7 @@ def attach_translations(
 ) -> DataFrame:
     """Left join on the key; rows of hot keys are spread over salts.
 
-    ``hot`` is a hint only: the result is the same with any list.
+    ``hot`` only decides where rows go: the result is the same with any list.
     """
     if not hot:
         return addresses.join(known, "key", "left")

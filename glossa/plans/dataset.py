@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from glossa.functions.text import safe_name_of
 from glossa.operators.cells import chosen_columns
@@ -18,6 +18,10 @@ from glossa.settings import JobParams
 
 Progress = Callable[[int, int, str], None]
 
+# Rows of one commit. The memory is looked through once per batch, so batches are
+# large; results of the backend are committed more often than that.
+BATCH_ROWS = 100_000_000
+
 
 @dataclass(frozen=True)
 class Job:
@@ -99,7 +103,7 @@ def translate_dataset(
     root: str,
     row_id: str = ROW_ID,
     start_row: int | None = None,
-    batch_rows: int | None = None,
+    batch_rows: int | None = BATCH_ROWS,
     max_batches: int | None = None,
     on_progress: Progress | None = None,
     retry_failed: bool = False,
@@ -107,10 +111,10 @@ def translate_dataset(
 ) -> str:
     """Translate all rows that have no output yet; gives back the output folder.
 
-    ``batch_rows`` positions make a batch, which is committed as a whole; without
-    it there is one batch. ``max_batches`` stops after so many. ``start_row``
-    replaces the output from that row on, ``retry_failed`` that of rows in which
-    a chunk failed.
+    ``batch_rows`` positions make a batch, which is committed as a whole; with
+    None, or positions that are no numbers, there is one batch. ``max_batches``
+    stops after so many. ``start_row`` replaces the output from that row on,
+    ``retry_failed`` that of rows in which a chunk failed.
     """
     spark = df.sparkSession
     columns = chosen_columns(df, list(job.columns))
@@ -119,47 +123,59 @@ def translate_dataset(
     if check_backend:
         require_backend(spark, engine)
     path = output_path(root, job)
-    done = stored_output(spark, path, df)
     fs = FileSystem(spark, path)
-    if fs.has_data(path):
-        if start_row is not None:
-            _keep_only(spark, path, done.where(F.col(row_id) < start_row))
-            done = stored_output(spark, path, df)
-        if retry_failed:
-            _keep_only(spark, path, done.where(F.col(FAILED) == 0))
-            done = stored_output(spark, path, df)
-        todo = remaining(df, done, row_id)
-    else:
-        todo = df
-    if start_row:
-        todo = rows_from(todo, start_row, row_id)
-    for label, batch, finished, total in _batches(todo, df, row_id, batch_rows, max_batches):
+    fs.recover(path)
+    if fs.has_data(path) and (start_row is not None or retry_failed):
+        done = stored_output(spark, path, df)
+        kept = F.lit(True) if start_row is None else F.col(row_id) < start_row
+        _keep_only(spark, path, done.where(kept & (F.col(FAILED) == 0) if retry_failed else kept))
+    wanted = rows_from(df, start_row, row_id) if start_row else df
+    done = stored_output(spark, path, df)
+    batches, finished, total = _batches(wanted, done, row_id, batch_rows)
+    for label, todo in batches[:max_batches]:
         if on_progress:
             on_progress(finished, total, label)
-        count = append_batch(batch, columns, engine, path, row_id)
+        finished += append_batch(todo, columns, engine, path, row_id)["rows"]
         if on_progress:
-            on_progress(finished + count["rows"], total, f"{label} done")
+            on_progress(finished, total, f"{label} done")
     if not fs.has_data(path):
-        stored_output(spark, path, df).write.mode("append").parquet(path)
+        done.write.mode("append").parquet(path)
     return path
 
 
 def _batches(
-    todo: DataFrame, df: DataFrame, row_id: str, batch_rows: int | None, max_batches: int | None
-):
-    """(label, rows, rows finished before, total rows) per batch with work in it."""
-    number = F.floor(F.col(row_id) / F.lit(batch_rows)) if batch_rows else F.lit(0)
-    # One small row per commit the driver is going to make.
-    sizes = todo.groupBy(number.alias("batch")).count().orderBy("batch").collect()
-    total = df.count()
-    finished = total - sum(s["count"] for s in sizes)
-    for s in sizes[:max_batches]:
-        rows = todo
-        if batch_rows:
-            low = s["batch"] * batch_rows
-            rows = todo.where((F.col(row_id) >= low) & (F.col(row_id) < low + batch_rows))
-        yield f"batch {s['batch']}", rows, finished, total
-        finished += s["count"]
+    df: DataFrame, done: DataFrame, row_id: str, batch_rows: int | None
+) -> tuple[list[tuple[str, DataFrame]], int, int]:
+    """Batches with rows to translate, rows that are done, and all rows.
+
+    Batches are compared by the number and a checksum of their row ids, so ids are
+    only joined in batches of which a part is done.
+    """
+    numbered = isinstance(df.schema[row_id].dataType, T.IntegralType)
+    number = F.floor(F.col(row_id) / F.lit(batch_rows)) if batch_rows and numbered else F.lit(0)
+
+    def sums(rows: DataFrame, size: str, check: str) -> DataFrame:
+        return rows.groupBy(number.cast("long").alias("batch")).agg(
+            F.count(F.lit(1)).alias(size), F.bit_xor(F.xxhash64(row_id)).alias(check)
+        )
+
+    # One small row per commit the driver may make.
+    found = sums(df, "n", "check").join(sums(done, "done", "done_check"), "batch", "left")
+    batches, finished = [], 0
+    rows = found.orderBy("batch").collect()
+    for r in rows:
+        low = r["batch"] * (batch_rows or 0)
+        mine = F.lit(True)
+        if batch_rows and numbered:
+            mine = (F.col(row_id) >= low) & (F.col(row_id) < low + batch_rows)
+        todo = df.where(mine)
+        finished += r["done"] or 0
+        if (r["n"], r["check"]) == (r["done"], r["done_check"]):
+            continue
+        if r["done"]:
+            todo = remaining(todo, done.where(mine), row_id)
+        batches.append((f"batch {r['batch']}", todo))
+    return batches, finished, sum(r["n"] for r in rows)
 
 
 def job_state(df: DataFrame, job: Job, root: str, row_id: str = ROW_ID) -> DataFrame:

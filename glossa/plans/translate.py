@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from glossa.backends import Backend, FatalBackendError
 from glossa.functions.jsoncell import json_rebuild
@@ -20,14 +20,16 @@ from glossa.functions.text import is_translatable
 from glossa.operators.cells import as_text, chosen_columns, unpivot_cells
 from glossa.operators.chunks import chunk_table
 from glossa.operators.inference import (
+    CHUNKS_PER_FILE,
     CHUNKS_PER_TASK,
+    COMMIT_CHUNKS,
     HOT_MIN_ROWS,
+    MAX_TASKS,
     TranslationMemory,
     attach_translations,
     canary_check,
     chunk_key,
     hot_salts,
-    key_sketch,
     translate_chunks,
 )
 from glossa.operators.leaves import leaf_table
@@ -35,6 +37,7 @@ from glossa.session import WorkFolder
 from glossa.settings import JobParams
 
 FAILED = "failed_chunks"
+ROW = "_row"
 
 
 @dataclass(frozen=True)
@@ -47,6 +50,7 @@ class Engine:
     work: WorkFolder
     in_flight: int = 1
     chunks_per_task: int = CHUNKS_PER_TASK
+    commit_chunks: int = COMMIT_CHUNKS
     hot_min_rows: int = HOT_MIN_ROWS
 
     def fresh(self) -> Engine:
@@ -74,39 +78,63 @@ def translated_pieces(leaves: DataFrame, engine: Engine) -> DataFrame:
         .drop("est_tokens", "path")
         .withColumn("key", chunk_key("chunk", params))
     )
-    seen = Observation()
-    stored = engine.work.write(chunks.observe(seen, *key_sketch()), "chunks")
-    sketch = seen.get
-    todo = engine.memory.missing(stored, params)
-    tasks = max(1, -(-sketch["rows"] // engine.chunks_per_task))
-    spread = todo.repartition(max(tasks, todo.sparkSession.sparkContext.defaultParallelism), "key")
-    results = translate_chunks(spread, engine.backend, params, in_flight=engine.in_flight)
-    engine.memory.append(results, params)
-    hot = hot_salts(sketch, engine.hot_min_rows)
+    stored = engine.work.write(chunks, "chunks")
+    total = stored.count()
+    _translate_missing(stored, total, engine)
+    hot = hot_salts(stored, total, engine.hot_min_rows)
     return attach_translations(stored.drop("chunk"), engine.memory.known(params), hot).drop("key")
 
 
+def _translate_missing(chunks: DataFrame, total: int, engine: Engine) -> None:
+    """Fill the memory, with a commit after every ``commit_chunks`` chunks."""
+    todo = engine.memory.missing(chunks, engine.params)
+    slices = -(-total // engine.commit_chunks)
+    parts = [todo]
+    if slices > 1:
+        files = -(-engine.commit_chunks // CHUNKS_PER_FILE)
+        file = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(files))
+        sliced = todo.withColumn("slice", F.pmod(F.xxhash64("key"), F.lit(slices)))
+        spread = sliced.repartition(min(slices * files, MAX_TASKS), "slice", file)
+        parts = engine.work.write_slices(spread, "todo", "slice")
+    cores = chunks.sparkSession.sparkContext.defaultParallelism
+    for part in parts:
+        tasks = -(-min(total, engine.commit_chunks) // engine.chunks_per_task)
+        spread = part.repartition(min(max(tasks, cores), MAX_TASKS), "key")
+        results = translate_chunks(
+            spread, engine.backend, engine.params, in_flight=engine.in_flight
+        )
+        engine.memory.append(results, engine.params)
+
+
+def _cells(df: DataFrame, columns: list[str], row_id: str) -> DataFrame:
+    """Cells whose position is called ``_row``, so it cannot clash with later names."""
+    return unpivot_cells(df, row_id, columns).withColumnRenamed(row_id, ROW)
+
+
 def translate_rows(
     df: DataFrame, columns: list[str], engine: Engine, row_id: str = "row_id"
 ) -> DataFrame:
     """``df`` with ``columns`` translated, plus the number of failed chunks per row.
 
-    ``row_id`` is unique. Cells without text pass through; a leaf of which any
-    chunk failed keeps its original text.
+    ``row_id`` is unique. ``df`` is read twice, so it should be a stored table.
+    Cells without text pass through; a leaf of which any chunk failed keeps its
+    original text.
     """
     names = chosen_columns(df, columns)
+    if FAILED in df.columns:
+        raise ValueError(f"the table already has a column {FAILED}")
     params = engine.params
-    cells = unpivot_cells(df, row_id, names)
+    cells = _cells(df, names, row_id)
     leaves = leaf_table(cells, params.json_mode, params.translate_keys, params.skip_keys)
     pieces = translated_pieces(leaves, engine)
     # One shuffle brings all pieces of a row together, so the group is a row.
-    per_row = pieces.groupBy(row_id).agg(
+    per_row = pieces.groupBy(ROW).agg(
         F.array_sort(
             F.collect_list(F.struct("column", "leaf_ord", "chunk_idx", "tgt"))
         ).alias("_pieces"),
         F.count_if(F.col("tgt").isNull()).alias(FAILED),
     )
-    joined = df.join(per_row, row_id, "left").withColumns(
+    joined = df.join(per_row, df[row_id] == per_row[ROW], "left").withColumns(
         {f"_pieces_{i}": _pieces_of(c) for i, c in enumerate(names)}
     )
     new = {c: _assembled(df, c, F.col(f"_pieces_{i}"), params) for i, c in enumerate(names)}
@@ -133,21 +161,23 @@ def _assembled(df: DataFrame, column: str, pieces: Column, params: JobParams) ->
     return F.when(is_translatable(cell), plain).otherwise(cell)
 
 
+def _whole(pieces: DataFrame, keys: list[str], into: str) -> DataFrame:
+    """Pieces of a text put together; null if one is missing."""
+    ordered = F.array_sort(F.collect_list(F.struct("chunk_idx", "tgt")))
+    done = F.forall("_pieces", lambda p: p["tgt"].isNotNull())
+    text = F.when(done, F.array_join(F.transform("_pieces", lambda p: p["tgt"]), " "))
+    return pieces.groupBy(*keys).agg(ordered.alias("_pieces")).select(*keys, text.alias(into))
+
+
 def translate_plain(
     df: DataFrame, column: str, engine: Engine, row_id: str = "row_id"
 ) -> DataFrame:
     """(row_id, source, translation) of a text column without looking for JSON."""
-    cells = unpivot_cells(df, row_id, [column])
-    leaves = leaf_table(cells, "off")
-    pieces = translated_pieces(leaves, engine)
-    texts = pieces.groupBy(row_id).agg(
-        F.array_sort(F.collect_list(F.struct("chunk_idx", "tgt"))).alias("_pieces")
-    )
-    done = F.forall("_pieces", lambda p: p["tgt"].isNotNull())
-    whole = F.when(done, F.array_join(F.transform("_pieces", lambda p: p["tgt"]), " "))
+    leaves = leaf_table(_cells(df, [column], row_id), "off")
+    texts = _whole(translated_pieces(leaves, engine), [ROW], "_text")
     source = as_text(df, column)
-    return df.join(texts, row_id, "left").select(
-        row_id, source.alias("source"), F.coalesce(whole, source).alias("translation")
+    return df.join(texts, df[row_id] == texts[ROW], "left").select(
+        row_id, source.alias("source"), F.coalesce("_text", source).alias("translation")
     )
 
 
@@ -156,17 +186,12 @@ def translation_pairs(
 ) -> DataFrame:
     """Every translated leaf beside its source: what a reviewer reads."""
     params = engine.params
-    cells = unpivot_cells(df, row_id, columns)
+    cells = _cells(df, columns, row_id)
     leaves = leaf_table(cells, params.json_mode, params.translate_keys, params.skip_keys)
-    at = [row_id, "column", "leaf_ord"]
-    found = (
-        translated_pieces(leaves, engine)
-        .groupBy(*at)
-        .agg(F.array_sort(F.collect_list(F.struct("chunk_idx", "tgt"))).alias("_pieces"))
-        .where(F.forall("_pieces", lambda p: p["tgt"].isNotNull()))
-        .select(*at, F.array_join(F.transform("_pieces", lambda p: p["tgt"]), " ").alias("target"))
-    )
-    return leaves.withColumnRenamed("text", "source").join(found, at)
+    at = [ROW, "column", "leaf_ord"]
+    found = _whole(translated_pieces(leaves, engine), at, "target").where("target is not null")
+    pairs = leaves.withColumnRenamed("text", "source").join(found, at)
+    return pairs.withColumnRenamed(ROW, row_id)
 
 
 def require_backend(spark, engine: Engine) -> None:

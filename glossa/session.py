@@ -108,6 +108,14 @@ class WorkFolder:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def write_slices(self, df: DataFrame, name: str, by: str) -> list[DataFrame]:
+        """Write ``df`` in one folder per value of ``by`` and give back each of them."""
+        path = self.path(name)
+        df.write.mode("overwrite").partitionBy(by).parquet(path)
+        schema = df.drop(by).schema
+        folders = FileSystem(self.spark, path).folders(path)
+        return [self.spark.read.schema(schema).parquet(f"{path}/{f}") for f in folders]
+
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and give back the stored table."""
         df.write.mode("overwrite").parquet(self.path(name))

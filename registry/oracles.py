@@ -272,7 +272,7 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'documents', 'doc_id,text,lang,source,n_chars', count(*) FROM documents""",
     "reslice": f"""SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_id, *
         FROM documents QUALIFY row_id < {FIRST_ROWS}""",
-    "publish_table": "SELECT *, true AS ok FROM documents",
+    "publish": "SELECT *, true AS ok FROM documents",
     "text_columns": """SELECT l_returnflag, l_linestatus, count(*) AS n
         FROM lineitem GROUP BY ALL""",
     "cell_text": f"""SELECT doc_id, coalesce(cell, '') AS cell, CAST(doc_id AS VARCHAR) AS id_text

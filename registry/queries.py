@@ -32,7 +32,7 @@ SMALL_PARAMS = JobParams(max_tokens=CHUNK_TOKENS)
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    QUERIES[fn.__name__.rstrip("_")] = fn
     return fn
 
 
@@ -189,7 +189,7 @@ def reslice(spark, sf_dir):
 
 
 @query
-def publish_table(spark, sf_dir):
+def publish_(spark, sf_dir):
     work = WorkFolder(spark)
     ok, target = publish.publish(
         spark, documents(spark, sf_dir), work.path("shared"), "web/docs", row_id="doc_id"

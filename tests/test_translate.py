@@ -256,9 +256,9 @@ def hot_table(spark):
 def test_hot_keys_are_found_and_spread(spark, folder):
     df = hot_table(spark)
     keyed = df.withColumn("key", inference.chunk_key("cell", QUICK))
-    sketch = keyed.agg(*inference.key_sketch()).first().asDict()
-    hot = inference.hot_salts(sketch, min_rows=50)
+    hot = inference.hot_salts(keyed, 2000, min_rows=50)
     assert [n for _, n in hot] == [-(-667 // 50)]
+    assert inference.hot_salts(keyed, 2000) == []
     known = keyed.select("key", F.upper("cell").alias("tgt")).distinct()
     plain = inference.attach_translations(keyed.select("row_id", "key"), known, [])
     salted = inference.attach_translations(keyed.select("row_id", "key"), known, hot)
@@ -275,9 +275,26 @@ def test_hot_keys_give_the_same_result(spark, folder):
     assert "salt" in b._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_sketch_without_rows(spark):
-    none = spark.createDataFrame([], "key string").agg(*inference.key_sketch()).first()
-    assert inference.hot_salts(none.asDict()) == []
+def test_results_are_committed_in_slices(spark, folder, counting):
+    e = engine(spark, folder, counting, commit_chunks=300)
+    out = tr.translate_rows(hot_table(spark), ["cell"], e)
+    assert by_id(out) == {r.row_id: f"[tr] {r.cell}" for r in hot_table(spark).collect()}
+    assert counting.calls.value == 1334
+    bad = engine(spark, f"{folder}/b", FaultyBackend(fatal="t1999"), commit_chunks=300)
+    with pytest.raises(Exception, match="Failed to load model"):
+        tr.translate_rows(hot_table(spark), ["cell"], bad)
+    kept = bad.memory.rows().count()
+    again = engine(spark, f"{folder}/b", counting, commit_chunks=300)
+    assert by_id(tr.translate_rows(hot_table(spark), ["cell"], again)) == by_id(out)
+    assert 0 < kept == 2 * 1334 - counting.calls.value
+
+
+def test_column_names_may_be_any(spark, folder):
+    df = spark.sql("select 'r1' as key, 'a' as text, 'b' as column, 'c' as cell, 'd' as chunk")
+    out = tr.translate_rows(df, ["text", "column", "chunk"], engine(spark, folder), "key").first()
+    assert tuple(out) == ("r1", "[tr] a", "[tr] b", "c", "[tr] d", 0)
+    with pytest.raises(ValueError, match="already has"):
+        tr.translate_rows(df.withColumn(tr.FAILED, F.lit(1)), ["text"], engine(spark, folder), "key")
 
 
 # ------------------------------------------------------------ datasets, resume
@@ -324,6 +341,26 @@ def test_stop_and_go_on(spark, folder, counting):
     assert spark.read.parquet(ds.output_path(folder, job())).count() == 20
 
 
+def test_positions_may_be_text(spark, folder):
+    df = many(spark, 5).withColumn("row_id", F.concat(F.lit("r"), "row_id"))
+    e = engine(spark, folder)
+    ds.translate_dataset(df.where("row_id < 'r2'"), job(), e, folder)
+    ds.translate_dataset(df, job(), e, folder, batch_rows=2)
+    assert stored(spark, folder) == {f"r{i}": f"[tr] row {i}" for i in range(5)}
+
+
+def test_finished_batches_are_not_read_again(spark, folder):
+    e = engine(spark, folder)
+    df = many(spark)
+    ds.translate_dataset(df.where("row_id < 7"), job(), e, folder)
+    done = ds.stored_output(spark, ds.output_path(folder, job()), df)
+    batches, finished, total = ds._batches(df, done, "row_id", 5)
+    assert [label for label, _ in batches] == ["batch 1", "batch 2", "batch 3"]
+    assert (finished, total) == (7, 20)
+    plans = [t._jdf.queryExecution().optimizedPlan().toString() for _, t in batches]
+    assert ["LeftAnti" in p for p in plans] == [True, False, False]
+
+
 def test_holes_are_filled(spark, folder):
     e = engine(spark, folder)
     ds.append_batch(many(spark, 5).where("row_id in (0, 1, 3)"), ["cell"], e, ds.output_path(folder, job()))
