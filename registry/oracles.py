@@ -237,6 +237,44 @@ def prompt_sql(preset: str) -> str:
     return sql
 
 
+ORDER_COLUMNS = [
+    ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_totalprice", "double"),
+    ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string"),
+]
+
+
+def card_sql(name: str, source: str, order: str, columns: list[tuple[str, str]]) -> str:
+    """The card, line by line: fixed text around one row per column and three samples."""
+    head = [
+        "---", "language: tr", "license: mit", "---", "", f"# Dataset Card for {name}", "",
+        "## Dataset Description", "", f"This dataset is the **tr** translation of {source}.",
+        "It was translated by a language model.", "", "## Dataset Structure", "",
+        "### Data Fields", "",
+    ]
+    tail = [
+        "", "## Usage", "", "```python", f'df = spark.read.parquet("{name}")', "```", "",
+        "## Source", "", f"Original dataset: {source}", "",
+    ]
+    titles = ["| Column | Type | Non-Null | Unique |", "| --- | --- | --- | --- |"]
+    names_line = "| " + " | ".join(c for c, _ in columns) + " |"
+    rule = "| " + " | ".join("---" for _ in columns) + " |"
+    row = " || ' | ' || ".join(f"CAST({c} AS VARCHAR)" for c, _ in columns)
+
+    def listed(lines: list[str]) -> str:
+        return "[" + ", ".join(text(x) for x in lines) + "]"
+
+    return f"""
+        WITH stats AS ({stats_sql(f'SELECT * FROM {source}', columns)}),
+        lines AS (SELECT list_concat({listed([*head, *titles])},
+            (SELECT list('| ' || "column" || ' | ' || type || ' | ' || non_null || ' | '
+                || distinct_values || ' |' ORDER BY position) FROM stats),
+            {listed(["", "### Data Sample", "", names_line, rule])},
+            (SELECT list('| ' || {row} || ' |' ORDER BY {order}) FROM {source} WHERE {order} < 3),
+            {listed(tail)}) AS ls)
+        SELECT CAST(generate_subscripts(ls, 1) - 1 AS INTEGER) AS line_no, unnest(ls) AS line
+        FROM lines"""
+
+
 KEY_KINDS = f"""
     SELECT * FROM (VALUES ('note', 'id', 'skip'), ('note', 'text', 'translate'),
         ('note', 'metadata', 'skip'), ('note', 'raw', 'untouched'), ('note', 'notes', 'untouched'),
@@ -290,11 +328,7 @@ ORACLES: dict[str, str] = {
     "row_count": "SELECT count(*) AS row_count FROM lineitem",
     "column_stats": stats_sql(
         "SELECT * FROM orders",
-        [
-            ("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"),
-            ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"),
-            ("o_orderpriority", "string"),
-        ],
+        [("o_orderkey", "bigint"), *ORDER_COLUMNS],
     ),
     "column_stats_text": stats_sql(
         GAPPY, [("doc_id", "bigint"), ("lang", "string"), ("cell", "string")]
@@ -316,6 +350,7 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'note', CASE kind WHEN 'translate' THEN 1 WHEN 'skip' THEN 2 ELSE 3 END, 0,
             upper(kind[1]) || kind[2:] || ': ' || string_agg(key, ', ' ORDER BY key)
         FROM kinds GROUP BY kind""",
+    "dataset_card": card_sql("orders-tr", "orders", "o_orderkey", ORDER_COLUMNS),
     "job_state": ORDER_JOBS,
     "job_state_documents": DOC_JOBS,
     "has_pending": f"""SELECT source, completed_rows > 0 AND completed_rows < total_rows AS has_pending
