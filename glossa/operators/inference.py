@@ -175,10 +175,10 @@ class TranslationMemory:
             *RESULT_TYPES,
             F.lit(params.prompt_hash).alias("prompt_hash"),
             F.lit(params.model).alias("model"),
-            F.lit(params.source_lang).alias("source_lang"),
-            F.lit(params.target_lang).alias("target_lang"),
         )
-        stored.write.mode("append").partitionBy("source_lang", "target_lang").parquet(self.path)
+        # All rows are of one partition; naming its folder saves a sort.
+        folder = f"source_lang={params.source_lang}/target_lang={params.target_lang}"
+        stored.write.mode("append").parquet(f"{self.path}/{folder}")
 
     def _good(self, params: JobParams) -> DataFrame:
         return self.rows().where(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from glossa.functions.jsoncell import json_keys
 from glossa.operators.cells import as_text, text_columns
+from glossa.session import WorkFolder
 from glossa.settings import SKIP_KEYS, TRANSLATE_KEYS
 
 # Longer values are compared by their SHA-256, so that texts need not be shuffled.
@@ -160,13 +161,17 @@ def column_report(
     sample_rows: int | None = None,
     translate_keys: tuple[str, ...] = TRANSLATE_KEYS,
     skip_keys: tuple[str, ...] = SKIP_KEYS,
+    work: WorkFolder | None = None,
 ) -> DataFrame:
     """Lines (column, section, part, line) that tell a reader what is in each column.
 
     A long key list is spread over several lines, so that no task ever has to
-    hold all keys of a column.
+    hold all keys of a column. The distinct keys are stored, as they are used three
+    times and the cells should be parsed once.
     """
-    counted = _key_counts(_json_cells(df, columns, row_id, sample_rows))
+    counted = (work or WorkFolder(df.sparkSession)).write(
+        _key_counts(_json_cells(df, columns, row_id, sample_rows)), "keys"
+    )
     profile = counted.where(F.col("key").isNull())
     share = F.format_string("%s: JSON detected (%d/%d rows)", "column", "json_rows", "total_rows")
     plain = F.concat("column", F.lit(": plain text"))

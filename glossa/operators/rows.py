@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from glossa.session import WorkFolder
+from glossa.session import FileSystem, WorkFolder
 
 ROW_ID = "row_id"
 
@@ -17,6 +17,9 @@ BLOCK_ROWS = 1 << 20
 SMALL_FILE_COUNT = 100_000
 HEAD_FILES = 1000
 
+# Tables up to this size are worth a shuffle to get all cores to work.
+SMALL_TABLE_BYTES = 1 << 30
+
 
 def _rows_per_file(df: DataFrame) -> DataFrame:
     return (
@@ -108,6 +111,22 @@ def preview(df: DataFrame, n: int = 10, row_id: str = ROW_ID) -> DataFrame:
     return first_n(df, n, row_id).orderBy(row_id).drop(row_id)
 
 
+def spread_small(df: DataFrame, row_id: str = ROW_ID) -> DataFrame:
+    """Spread a small table of few files over all cores.
+
+    A file may be one row group, and then one task, whatever its texts cost. Tables
+    of some size have enough row groups and are left as they are.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= cores:
+        return df
+    fs = FileSystem(spark, files[0])
+    small = sum(fs.size(f) for f in files) <= SMALL_TABLE_BYTES
+    return df.repartition(cores, row_id) if small else df
+
+
 def empty_like(df: DataFrame) -> DataFrame:
     """No rows, same columns."""
     return df.limit(0)

@@ -33,6 +33,7 @@ from glossa.operators.inference import (
     translate_chunks,
 )
 from glossa.operators.leaves import leaf_table
+from glossa.operators.rows import spread_small
 from glossa.session import WorkFolder
 from glossa.settings import JobParams
 
@@ -123,6 +124,7 @@ def translate_rows(
     names = chosen_columns(df, columns)
     if FAILED in df.columns:
         raise ValueError(f"the table already has a column {FAILED}")
+    df = spread_small(df, row_id)
     params = engine.params
     cells = _cells(df, names, row_id)
     leaves = leaf_table(cells, params.json_mode, params.translate_keys, params.skip_keys)
@@ -173,6 +175,7 @@ def translate_plain(
     df: DataFrame, column: str, engine: Engine, row_id: str = "row_id"
 ) -> DataFrame:
     """(row_id, source, translation) of a text column without looking for JSON."""
+    df = spread_small(df, row_id)
     leaves = leaf_table(_cells(df, [column], row_id), "off")
     texts = _whole(translated_pieces(leaves, engine), [ROW], "_text")
     source = as_text(df, column)
@@ -186,7 +189,7 @@ def translation_pairs(
 ) -> DataFrame:
     """Every translated leaf beside its source: what a reviewer reads."""
     params = engine.params
-    cells = _cells(df, columns, row_id)
+    cells = _cells(spread_small(df, row_id), columns, row_id)
     leaves = leaf_table(cells, params.json_mode, params.translate_keys, params.skip_keys)
     at = [ROW, "column", "leaf_ord"]
     found = _whole(translated_pieces(leaves, engine), at, "target").where("target is not null")

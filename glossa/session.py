@@ -41,9 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    fallback = tempfile.mkdtemp(prefix="glossa-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="glossa-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 class FileSystem:
@@ -65,6 +64,9 @@ class FileSystem:
         names = (s.getPath().getName() for s in self._fs.listStatus(self._path(path)))
         return any(not n.startswith(("_", ".")) for n in names)
 
+    def size(self, path: str) -> int:
+        return self._fs.getFileStatus(self._path(path)).getLen()
+
     def folders(self, path: str) -> list[str]:
         if not self.exists(path):
             return []

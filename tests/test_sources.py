@@ -97,6 +97,14 @@ def test_head_reads_only_the_files_it_needs(spark, folder):
     assert "file_path" in head._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_small_tables_of_few_files_are_spread(spark, folder, monkeypatch):
+    df = files_of_rows(spark, folder, [40])
+    assert rw.spread_small(df, "n").rdd.getNumPartitions() == 4
+    assert rw.spread_small(spark.range(5), "id").rdd.getNumPartitions() == 4
+    monkeypatch.setattr(rw, "SMALL_TABLE_BYTES", 10)
+    assert rw.spread_small(df, "n") is df
+
+
 @pytest.mark.parametrize("limit", [None, 0, 3, 100])
 def test_splits(spark, folder, limit):
     df = spark.range(20).select("id", F.when(F.col("id") < 8, "test").otherwise("train").alias("s"))
