@@ -51,6 +51,7 @@ class FileSystem:
     def __init__(self, spark: SparkSession, path: str):
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
+        self._uri = jvm.java.net.URI
         conf = spark.sparkContext._jsc.hadoopConfiguration()
         self._fs = self._path(path).getFileSystem(conf)
 
@@ -64,8 +65,13 @@ class FileSystem:
         names = (s.getPath().getName() for s in self._fs.listStatus(self._path(path)))
         return any(not n.startswith(("_", ".")) for n in names)
 
-    def size(self, path: str) -> int:
-        return self._fs.getFileStatus(self._path(path)).getLen()
+    def size(self, uri: str) -> int:
+        """Bytes of a file, named as Spark names its input files."""
+        return self._fs.getFileStatus(self._path(self._uri(uri))).getLen()
+
+    def encoded(self, path: str) -> str:
+        """The path as it stands in the URIs of its files."""
+        return self._path(path).toUri().getRawPath()
 
     def folders(self, path: str) -> list[str]:
         if not self.exists(path):

@@ -111,26 +111,28 @@ def catalog(spark: SparkSession, root: str) -> DataFrame:
             continue
         try:
             columns = spark.read.parquet(path).columns
-            found.append((folder.removesuffix(".parquet"), path, columns))
+            found.append((folder.removesuffix(".parquet"), path, columns, fs.encoded(path)))
         except (PySparkException, Py4JJavaError) as e:
             warnings.warn(f"could not read {path}: {type(e).__name__}", stacklevel=2)
-    schema = "name string, path string, columns array<string>"
+    schema = "name string, path string, columns array<string>, folder string"
     tables = spark.createDataFrame(found, schema)
     if not found:
-        return tables.withColumn("row_count", F.lit(0).cast("long"))
+        return tables.drop("folder").withColumn("row_count", F.lit(0).cast("long"))
     counts = (
         spark.read.schema(T.StructType([]))
         .option("ignoreCorruptFiles", True)
-        .parquet(*(path for _, path, _ in found))
+        .parquet(*(path for _, path, _, _ in found))
         .select(
-            F.regexp_extract("_metadata.file_path", r"/([^/]+)\.parquet/[^/]+$", 1).alias("name")
+            F.regexp_extract("_metadata.file_path", r"^(?:[^:/]+:(?://[^/]*)?)?(/.*)/[^/]+$", 1)
+            .alias("folder")
         )
-        .groupBy("name")
+        .groupBy("folder")
         .agg(F.count(F.lit(1)).alias("row_count"))
     )
     return (
         F.broadcast(tables)
-        .join(counts, "name", "left")
+        .join(counts, "folder", "left")
+        .drop("folder")
         .withColumn("row_count", F.coalesce("row_count", F.lit(0).cast("long")))
         .orderBy("name")
     )

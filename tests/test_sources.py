@@ -98,7 +98,7 @@ def test_head_reads_only_the_files_it_needs(spark, folder):
 
 
 def test_small_tables_of_few_files_are_spread(spark, folder, monkeypatch):
-    df = files_of_rows(spark, folder, [40])
+    df = files_of_rows(spark, f"{folder}/with space", [40])
     assert rw.spread_small(df, "n").rdd.getNumPartitions() == 4
     assert rw.spread_small(spark.range(5), "id").rdd.getNumPartitions() == 4
     monkeypatch.setattr(rw, "SMALL_TABLE_BYTES", 10)
@@ -143,6 +143,7 @@ def test_catalog(spark, folder):
     tables.write_table(odd(spark), folder, "b/odd")
     tables.write_table(spark.range(7), folder, "a", csv=False)
     tables.write_table(spark.range(0), folder, "empty", csv=False)
+    tables.write_table(spark.range(3), folder, "with space", csv=False)
     os.makedirs(f"{folder}/broken.parquet")
     with open(f"{folder}/broken.parquet/x.parquet", "w") as f:
         f.write("no parquet")
@@ -152,6 +153,7 @@ def test_catalog(spark, folder):
         ("a", ["id"], 7),
         ("b_odd", ["row_id", "cell"], len(ODD_CELLS)),
         ("empty", ["id"], 0),
+        ("with space", ["id"], 3),
     ]
     assert tables.catalog(spark, f"{folder}/nothing").count() == 0
 
