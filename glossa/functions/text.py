@@ -8,7 +8,6 @@ from pyspark.sql import Column, functions as F
 
 from glossa.settings import (
     BOUNDARIES,
-    NON_SPACE,
     SPACE,
     SPACE_CHARS,
     TRANSLATE_KEYS,
@@ -36,18 +35,48 @@ def cell_text(c: Text) -> Column:
     return F.coalesce(_col(c).cast("string"), F.lit(""))
 
 
+def double_text(c: Text) -> Column:
+    """A double in the form Python writes it; Java goes over to exponents elsewhere."""
+    x = _col(c)
+    java = x.cast("string")
+    plain = F.rtrim(x.cast("decimal(38,21)").cast("string"), F.lit("0"))
+    exponent = F.regexp_extract(java, r"E(-?\d+)$", 1)
+    sign = F.when(exponent.startswith("-"), "-").otherwise("+")
+    digits = F.ltrim(exponent, F.lit("-"))
+    size = F.abs(x)
+    return (
+        F.when(F.isnan(x), F.lit(None).cast("string"))
+        .when(size == float("inf"), F.when(x > 0, "inf").otherwise("-inf"))
+        .when(
+            ((size >= 1e7) & (size < 1e16)) | ((size >= 1e-4) & (size < 1e-3)),
+            F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain),
+        )
+        .when(
+            java.contains("E"),
+            F.concat(
+                F.regexp_replace(F.regexp_extract(java, "^(.*)E", 1), r"\.0$", ""),
+                F.lit("e"),
+                sign,
+                F.when(F.length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits),
+            ),
+        )
+        .otherwise(java)
+    )
+
+
 def strip(c: Text) -> Column:
     return F.btrim(_col(c), F.lit(SPACE_CHARS))
 
 
 def is_translatable(c: Text) -> Column:
     """True for text that holds anything but whitespace."""
-    return F.coalesce(_col(c).rlike(NON_SPACE), F.lit(False))
+    return F.coalesce(F.ltrim(_col(c), F.lit(SPACE_CHARS)) != "", F.lit(False))
 
 
 def looks_json(c: Text) -> Column:
     """A cheap test every JSON object or array passes: its first sign is [ or {."""
-    return F.coalesce(_col(c).rlike(rf"^{SPACE}*[\[{{]"), F.lit(False))
+    first = F.substring(F.ltrim(_col(c), F.lit(SPACE_CHARS)), 1, 1)
+    return F.coalesce(first.isin("[", "{"), F.lit(False))
 
 
 # -------------------------------------------------------------------- tokens

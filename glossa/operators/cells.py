@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from glossa.functions.jsoncell import is_json_cell
-from glossa.functions.text import is_translatable
+from glossa.functions.text import double_text, is_translatable
 
 COMPLEX = (T.ArrayType, T.MapType, T.StructType)
 
@@ -35,10 +35,18 @@ def columns_summary(columns: list[str]) -> str:
 
 
 def as_text(df: DataFrame, column: str) -> Column:
-    """A cell as text; null stays null, nested values become JSON."""
+    """A cell as text; null stays null, nested values become JSON.
+
+    Numbers and truth values look as in Python. NaN is null.
+    """
     c = F.col(f"`{column}`")
-    if isinstance(df.schema[column].dataType, COMPLEX):
+    kind = df.schema[column].dataType
+    if isinstance(kind, COMPLEX):
         return F.to_json(c, {"ignoreNullFields": "false"})
+    if isinstance(kind, T.DoubleType):
+        return double_text(c)
+    if isinstance(kind, T.BooleanType):
+        return F.initcap(c.cast("string"))
     return c.cast("string")
 
 

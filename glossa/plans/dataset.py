@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
@@ -13,7 +14,7 @@ from glossa.operators.cells import chosen_columns
 from glossa.operators.rows import ROW_ID, rows_from
 from glossa.plans.jobs import job_states, remaining
 from glossa.plans.translate import FAILED, Engine, require_backend, translate_rows
-from glossa.session import FileSystem
+from glossa.session import FileSystem, folder_value
 from glossa.settings import JobParams
 
 Progress = Callable[[int, int, str], None]
@@ -50,8 +51,9 @@ class Job:
 
 def output_path(root: str, job: Job) -> str:
     """The folder of the job's output, laid out for partition discovery."""
+    dataset, split = (folder_value(safe_name_of(n)) for n in (job.dataset, job.split))
     return (
-        f"{root.rstrip('/')}/dataset={safe_name_of(job.dataset)}/split={safe_name_of(job.split)}"
+        f"{root.rstrip('/')}/dataset={dataset}/split={split}"
         f"/target_lang={job.params.target_lang}/job={job.key}"
     )
 
@@ -182,11 +184,22 @@ def job_state(df: DataFrame, job: Job, root: str, row_id: str = ROW_ID) -> DataF
     """The state record of one job."""
     path = output_path(root, job)
     output = stored_output(df.sparkSession, path, df)
-    stamp = F.col("_metadata.file_modification_time")
-    has_files = FileSystem(df.sparkSession, path).has_data(path)
-    named = [F.lit(job.dataset).alias("dataset_id"), F.lit(job.split).alias("split")]
-    done = output.select(
-        row_id, *named, (stamp if has_files else F.lit(None).cast("timestamp")).alias("saved_at")
-    )
-    by = ["dataset_id", "split"]
-    return job_states(df.select(row_id, *named), done, by, row_id, F.col("saved_at"))
+    stamp = F.lit(None).cast("timestamp")
+    if FileSystem(df.sparkSession, path).has_data(path):
+        stamp = F.col("_metadata.file_modification_time")
+    named = {
+        "dataset_id": F.lit(job.dataset),
+        "split": F.lit(job.split),
+        "target_lang": F.lit(job.params.target_lang),
+        "job": F.lit(job.key),
+    }
+    done = output.select(row_id, stamp.alias("saved_at")).withColumns(named)
+    inputs = df.select(row_id).withColumns(named)
+    states = job_states(inputs, done, list(named), row_id, F.col("saved_at"))
+    return states.withColumn("columns", F.array(*(F.lit(c) for c in job.columns)))
+
+
+def all_states(jobs: list[tuple[Job, DataFrame]], root: str, row_id: str = ROW_ID) -> DataFrame:
+    """The state records of several jobs, each given with its input."""
+    states = [job_state(df, job, root, row_id) for job, df in jobs]
+    return reduce(DataFrame.unionByName, states)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import uuid
@@ -45,6 +46,11 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def folder_value(value: str) -> str:
+    """A value as Spark writes it into the name of a partition folder."""
+    return re.sub(r"[\x00-\x1f\x7f\"#%'*/:=?\\{\[\]^]", lambda m: f"%{ord(m[0]):02X}", value)
+
+
 class FileSystem:
     """The few Hadoop file system calls that Spark's readers and writers lack."""
 

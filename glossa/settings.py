@@ -68,7 +68,6 @@ SPACE_CHARS = (
 )
 SPACE_SET = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = f"[{SPACE_SET}]"
-NON_SPACE = f"[^{SPACE_SET}]"
 
 # Text is cut at the first of these that gives more than one part.
 BOUNDARIES = (

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from glossa.functions.text import safe_name_of
 from glossa.operators.rows import ROW_ID, first_n, scan_head
-from glossa.session import FileSystem
+from glossa.session import FileSystem, folder_value
 
 DEFAULT_SPLIT = "train"
 
 
 def dataset_path(root: str, dataset: str) -> str:
-    return f"{root.rstrip('/')}/dataset={safe_name_of(dataset)}"
+    return f"{root.rstrip('/')}/dataset={folder_value(safe_name_of(dataset))}"
 
 
 def write_splits(df: DataFrame, root: str, dataset: str, split: Column | str) -> str:
@@ -31,7 +33,7 @@ def load_split(
     Only the folder of that split is read.
     """
     name = split or default_split(spark, root, dataset)
-    df = spark.read.parquet(f"{dataset_path(root, dataset)}/split={name}")
+    df = spark.read.parquet(f"{dataset_path(root, dataset)}/split={folder_value(name)}")
     if not limit or limit <= 0:
         return df
     if ROW_ID in df.columns:
@@ -43,7 +45,7 @@ def split_names(spark: SparkSession, root: str, dataset: str) -> list[str]:
     """Names of the split folders; no data is read."""
     path = dataset_path(root, dataset)
     folders = FileSystem(spark, path).folders(path)
-    found = [f.removeprefix("split=") for f in folders if f.startswith("split=")]
+    found = sorted(unquote(f.removeprefix("split=")) for f in folders if f.startswith("split="))
     return found or [DEFAULT_SPLIT]
 
 

@@ -422,7 +422,8 @@ ORACLES: dict[str, str] = {
     "unpivot_cells": """
         SELECT o_orderkey, 'o_orderstatus' AS "column", o_orderstatus AS cell FROM orders
         UNION ALL SELECT o_orderkey, 'o_orderpriority', o_orderpriority FROM orders
-        UNION ALL SELECT o_orderkey, 'o_custkey', CAST(o_custkey AS VARCHAR) FROM orders""",
+        UNION ALL SELECT o_orderkey, 'o_custkey', CAST(o_custkey AS VARCHAR) FROM orders
+        UNION ALL SELECT o_orderkey, 'o_totalprice', CAST(o_totalprice AS VARCHAR) FROM orders""",
     "dedupe_chunks": f"""WITH RECURSIVE {chunk_ctes(DOC_TEXT, CHUNK_TOKENS)}
         SELECT DISTINCT chunk FROM chunk""",
     "translate_chunks": f"""WITH RECURSIVE

@@ -518,7 +518,9 @@ def leaf_table(spark, sf_dir):
 @query
 def unpivot_cells(spark, sf_dir):
     return cells.unpivot_cells(
-        table(spark, sf_dir, "orders"), "o_orderkey", ["o_orderstatus", "o_orderpriority", "o_custkey"]
+        table(spark, sf_dir, "orders"),
+        "o_orderkey",
+        ["o_orderstatus", "o_orderpriority", "o_custkey", "o_totalprice"],
     )
 
 

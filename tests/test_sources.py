@@ -116,6 +116,15 @@ def test_splits(spark, folder, limit):
     assert lake.load_split(spark, folder, "org/d").count() == 12
 
 
+def test_split_names_may_hold_any_signs(spark, folder):
+    names = ["a:b/c", "ü %41", "x=[1]", "q'\\#?"]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "id int, s string")
+    lake.write_splits(df, folder, "a:b/c", "s")
+    assert lake.split_names(spark, folder, "a:b/c") == sorted(names)
+    for i, n in enumerate(names):
+        assert [r.id for r in lake.load_split(spark, folder, "a:b/c", n).collect()] == [i]
+
+
 def test_missing_dataset_has_the_default_split(spark, folder):
     assert lake.split_names(spark, folder, "none") == ["train"]
     lake.write_splits(spark.range(1).withColumn("s", F.lit("b")), folder, "one", "s")

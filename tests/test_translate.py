@@ -25,6 +25,7 @@ from glossa.backends import (
 )
 from glossa.operators import inference
 from glossa.plans import dataset as ds
+from glossa.plans import jobs
 from glossa.plans import translate as tr
 from glossa.session import WorkFolder
 from glossa.settings import JobParams
@@ -410,6 +411,30 @@ def test_restart_and_other_jobs(spark, folder):
     assert len(stored(spark, folder, other)) == 3
 
 
+def test_states_of_several_jobs(spark, folder):
+    other = ds.Job("org/d", "test", ("cell",), QUICK)
+    third = ds.Job("org/e", "test", ("cell", "x"), QUICK)
+    e = engine(spark, folder)
+    ds.translate_dataset(many(spark, 9), job(), e, folder, batch_rows=5, max_batches=1)
+    ds.translate_dataset(many(spark, 4), other, e, folder)
+    given = [(job(), many(spark, 9)), (other, many(spark, 4)), (third, many(spark, 2))]
+    states = ds.all_states(given, folder)
+    got = {(r.dataset_id, r.split): r for r in states.collect()}
+    assert {k: (r.completed_rows, r.total_rows) for k, r in got.items()} == {
+        ("org/d", "train"): (5, 9), ("org/d", "test"): (4, 4), ("org/e", "test"): (0, 2),
+    }
+    assert got["org/e", "test"].columns == ["cell", "x"]
+    by = ["dataset_id", "split"]
+    assert jobs.pending_jobs(states).count() == 2
+    assert jobs.latest_pending(states, by).first().split == "train"
+
+
+def test_a_batch_without_rows(spark, folder):
+    none = spark.createDataFrame([], many(spark, 0).schema)
+    counted = ds.append_batch(none, ["cell"], engine(spark, folder), f"{folder}/out")
+    assert (counted["rows"] or 0) == 0
+
+
 def test_an_empty_dataset_has_an_empty_output(spark, folder):
     ds.translate_dataset(many(spark, 0), job(), engine(spark, folder), folder)
     out = ds.read_output(spark, folder, job())
