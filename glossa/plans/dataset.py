@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from glossa.functions.text import safe_name_of
-from glossa.operators.cells import chosen_columns
+from glossa.operators.cells import chosen_columns, replace_columns
 from glossa.operators.rows import ROW_ID, rows_from
 from glossa.plans.jobs import job_states, remaining
 from glossa.plans.translate import FAILED, Engine, require_backend, translate_rows
@@ -71,9 +71,12 @@ def restart(spark: SparkSession, root: str, job: Job) -> None:
     fs.delete(path)
 
 
-def stored_output(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """Rows committed so far; none before the first batch."""
-    empty = like.limit(0).withColumn(FAILED, F.lit(0).cast("long"))
+def stored_output(
+    spark: SparkSession, path: str, like: DataFrame, columns: tuple[str, ...]
+) -> DataFrame:
+    """Rows committed so far; none before the first batch. Translated columns are text."""
+    texts = {c: F.col(f"`{c}`").cast("string") for c in columns}
+    empty = replace_columns(like.limit(0), texts).withColumn(FAILED, F.lit(0).cast("long"))
     fs = FileSystem(spark, path)
     fs.recover(path)
     return spark.read.schema(empty.schema).parquet(path) if fs.has_data(path) else empty
@@ -128,11 +131,11 @@ def translate_dataset(
     fs = FileSystem(spark, path)
     fs.recover(path)
     if fs.has_data(path) and (start_row is not None or retry_failed):
-        done = stored_output(spark, path, df)
+        done = stored_output(spark, path, df, job.columns)
         kept = F.lit(True) if start_row is None else F.col(row_id) < start_row
         _keep_only(spark, path, done.where(kept & (F.col(FAILED) == 0) if retry_failed else kept))
     wanted = rows_from(df, start_row, row_id) if start_row else df
-    done = stored_output(spark, path, df)
+    done = stored_output(spark, path, df, job.columns)
     batches, finished, total = _batches(wanted, done, row_id, batch_rows)
     for label, todo in batches[:max_batches]:
         if on_progress:
@@ -183,7 +186,7 @@ def _batches(
 def job_state(df: DataFrame, job: Job, root: str, row_id: str = ROW_ID) -> DataFrame:
     """The state record of one job."""
     path = output_path(root, job)
-    output = stored_output(df.sparkSession, path, df)
+    output = stored_output(df.sparkSession, path, df, job.columns)
     stamp = F.lit(None).cast("timestamp")
     if FileSystem(df.sparkSession, path).has_data(path):
         stamp = F.col("_metadata.file_modification_time")

@@ -36,7 +36,7 @@ def translate_stream(
         if ends["low"] is None:
             return
         # Only output files that can hold rows of this batch are looked into.
-        done = stored_output(session, path, batch).where(
+        done = stored_output(session, path, batch, job.columns).where(
             F.col(row_id).between(ends["low"], ends["high"])
         )
         append_batch(remaining(batch, done, row_id), list(job.columns), engine, path, row_id)

@@ -354,7 +354,7 @@ def test_finished_batches_are_not_read_again(spark, folder):
     e = engine(spark, folder)
     df = many(spark)
     ds.translate_dataset(df.where("row_id < 7"), job(), e, folder)
-    done = ds.stored_output(spark, ds.output_path(folder, job()), df)
+    done = ds.stored_output(spark, ds.output_path(folder, job()), df, job().columns)
     batches, finished, total = ds._batches(df, done, "row_id", 5)
     assert [label for label, _ in batches] == ["batch 1", "batch 2", "batch 3"]
     assert (finished, total) == (7, 20)
@@ -391,6 +391,19 @@ def test_failed_rows_are_tried_again_if_asked(spark, folder):
     assert stored(spark, folder)[3] == "[tr] row 3" and len(stored(spark, folder)) == 5
 
 
+def test_numbers_and_nested_values_become_text(spark, folder):
+    one = ds.Job("org/d", "train", ("n", "m"), QUICK)
+    df = spark.range(6).selectExpr(
+        "id as row_id", "id * 10 as n", "array(named_struct('role', 'u', 'content', 'c')) as m"
+    )
+    ds.translate_dataset(df, one, engine(spark, folder, FaultyBackend(soft="30")), folder)
+    ds.translate_dataset(df, one, engine(spark, folder), folder, start_row=5)
+    ds.translate_dataset(df, one, engine(spark, folder), folder, retry_failed=True)
+    out = spark.read.parquet(ds.output_path(folder, one))
+    assert by_id(out, "n") == {i: f"[tr] {i * 10}" for i in range(6)}
+    assert json.loads(out.first().m) == [{"role": "u", "content": "[tr] c"}]
+
+
 def test_committed_batches_survive_a_fatal_error(spark, folder):
     e = engine(spark, folder, FaultyBackend(fatal="row 12"))
     with pytest.raises(Exception, match="Failed to load model"):
