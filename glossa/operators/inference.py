@@ -46,6 +46,10 @@ MAX_TASKS = 50_000
 COMMIT_CHUNKS = 5_000_000
 CHUNKS_PER_FILE = 10_000
 
+# Up to so many keys (some 20 MB) are sent to all executors, to pick their rows out
+# of the memory without shuffling it.
+BROADCAST_KEYS = 200_000
+
 
 # ------------------------------------------------------------------- one chunk
 
@@ -155,18 +159,21 @@ class TranslationMemory:
             return self.spark.createDataFrame([], MEMORY_SCHEMA)
         return self.spark.read.schema(MEMORY_SCHEMA).parquet(self.path)
 
-    def known(self, params: JobParams) -> DataFrame:
+    def known(self, params: JobParams, among: DataFrame | None = None) -> DataFrame:
         """(key, tgt) of this scope's successes; two runs may have stored a key twice.
 
         Keys repeat rarely, so they are brought together first: the later sort and
-        join then use that one shuffle.
+        join then use that one shuffle. ``among`` is a short list of keys to look up.
         """
-        pairs = self._good(params).select("key", "tgt")
+        pairs = self._good(params, among).select("key", "tgt")
         return pairs.repartition("key").dropDuplicates(["key"])
 
-    def missing(self, chunks: DataFrame, params: JobParams) -> DataFrame:
+    def missing(
+        self, chunks: DataFrame, params: JobParams, among: DataFrame | None = None
+    ) -> DataFrame:
         """Distinct chunks without a stored success."""
-        return dedupe_chunks(chunks).join(self._good(params).select("key"), "key", "left_anti")
+        found = self._good(params, among).select("key")
+        return dedupe_chunks(chunks).join(found, "key", "left_anti")
 
     def append(self, results: DataFrame, params: JobParams) -> None:
         stored = results.select(
@@ -180,14 +187,15 @@ class TranslationMemory:
         folder = f"source_lang={params.source_lang}/target_lang={params.target_lang}"
         stored.write.mode("append").parquet(f"{self.path}/{folder}")
 
-    def _good(self, params: JobParams) -> DataFrame:
-        return self.rows().where(
+    def _good(self, params: JobParams, among: DataFrame | None) -> DataFrame:
+        good = self.rows().where(
             (F.col("source_lang") == params.source_lang)
             & (F.col("target_lang") == params.target_lang)
             & (F.col("prompt_hash") == params.prompt_hash)
             & (F.col("model") == params.model)
             & (F.col("status") == "ok")
         )
+        return good if among is None else good.join(F.broadcast(among), "key", "left_semi")
 
 
 # ------------------------------------------------------------------- hot chunks

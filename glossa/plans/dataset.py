@@ -19,10 +19,6 @@ from glossa.settings import JobParams
 
 Progress = Callable[[int, int, str], None]
 
-# Rows of one commit. The memory is looked through once per batch, so batches are
-# large; results of the backend are committed more often than that.
-BATCH_ROWS = 100_000_000
-
 
 @dataclass(frozen=True)
 class Job:
@@ -108,7 +104,7 @@ def translate_dataset(
     root: str,
     row_id: str = ROW_ID,
     start_row: int | None = None,
-    batch_rows: int | None = BATCH_ROWS,
+    batch_rows: int | None = None,
     max_batches: int | None = None,
     on_progress: Progress | None = None,
     retry_failed: bool = False,
@@ -116,10 +112,13 @@ def translate_dataset(
 ) -> str:
     """Translate all rows that have no output yet; gives back the output folder.
 
-    ``batch_rows`` positions make a batch, which is committed as a whole; with
-    None, or positions that are no numbers, there is one batch. ``max_batches``
-    stops after so many. ``start_row`` replaces the output from that row on,
-    ``retry_failed`` that of rows in which a chunk failed.
+    ``batch_rows`` positions make a batch, whose output is committed as a whole;
+    with None, or positions that are no numbers, there is one batch. Either way
+    the engine commits what the backend gave it much more often, so a batch that is
+    run again makes few calls again. The memory is looked through once per batch:
+    make batches large. ``max_batches`` stops after so many. ``start_row`` replaces
+    the output from that row on, ``retry_failed`` that of rows in which a chunk
+    failed.
     """
     spark = df.sparkSession
     columns = chosen_columns(df, list(job.columns))

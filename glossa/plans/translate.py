@@ -20,6 +20,7 @@ from glossa.functions.text import is_translatable
 from glossa.operators.cells import as_text, chosen_columns, unpivot_cells
 from glossa.operators.chunks import chunk_table
 from glossa.operators.inference import (
+    BROADCAST_KEYS,
     CHUNKS_PER_FILE,
     CHUNKS_PER_TASK,
     COMMIT_CHUNKS,
@@ -52,6 +53,7 @@ class Engine:
     in_flight: int = 1
     chunks_per_task: int = CHUNKS_PER_TASK
     commit_chunks: int = COMMIT_CHUNKS
+    broadcast_keys: int = BROADCAST_KEYS
     hot_min_rows: int = HOT_MIN_ROWS
 
     def fresh(self) -> Engine:
@@ -81,14 +83,19 @@ def translated_pieces(leaves: DataFrame, engine: Engine) -> DataFrame:
     )
     stored = engine.work.write(chunks, "chunks")
     total = stored.count()
-    _translate_missing(stored, total, engine)
+    few = total <= engine.broadcast_keys
+    among = stored.select("key").distinct() if few else None
+    _translate_missing(stored, total, among, engine)
     hot = hot_salts(stored, total, engine.hot_min_rows)
-    return attach_translations(stored.drop("chunk"), engine.memory.known(params), hot).drop("key")
+    known = engine.memory.known(params, among)
+    return attach_translations(stored.drop("chunk"), known, hot).drop("key")
 
 
-def _translate_missing(chunks: DataFrame, total: int, engine: Engine) -> None:
+def _translate_missing(
+    chunks: DataFrame, total: int, among: DataFrame | None, engine: Engine
+) -> None:
     """Fill the memory, with a commit after every ``commit_chunks`` chunks."""
-    todo = engine.memory.missing(chunks, engine.params)
+    todo = engine.memory.missing(chunks, engine.params, among)
     slices = -(-total // engine.commit_chunks)
     parts = [todo]
     if slices > 1:

@@ -267,6 +267,19 @@ def test_hot_keys_are_found_and_spread(spark, folder):
     assert salted.count() == 2000
 
 
+@pytest.mark.parametrize("keys", [0, 10**6])
+def test_memory_lookup_with_few_or_many_keys(spark, folder, keys, counting):
+    e = engine(spark, folder, counting, broadcast_keys=keys)
+    tr.translate_rows(cells(spark), ["cell"], e).collect()
+    calls = counting.calls.value
+    assert calls == e.memory.rows().count()
+    more = cells(spark).unionByName(cells(spark).withColumn("row_id", F.col("row_id") + 100))
+    again = e.fresh()
+    out = by_id(tr.translate_rows(again.work.write(more, "in"), ["cell"], again))
+    assert counting.calls.value == calls
+    assert all(out[i] == out[i + 100] for i in range(7)) and out[4] == stub_of(LONG)
+
+
 def test_hot_keys_give_the_same_result(spark, folder):
     a = tr.translate_rows(hot_table(spark), ["cell"], engine(spark, f"{folder}/a"))
     b = tr.translate_rows(
