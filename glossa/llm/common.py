@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
+from types import ModuleType
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
@@ -52,3 +55,12 @@ def ranked(df: DataFrame, order: Sequence[str], folder: WorkFolder, name: str) -
         .withColumn("rank", F.col("_off") + local)
         .drop("_part", "_id", "_off")
     )
+
+
+def worker_state() -> dict[str, Any]:
+    """What a Python worker keeps between tasks.
+
+    Functions are shipped by value, so globals of their modules last for one task only.
+    """
+    name = "_glossa_worker"
+    return sys.modules.setdefault(name, ModuleType(name)).__dict__

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glossa.llm import mixing
-from glossa.llm.common import table
+from glossa.llm import mixing, packing, token_files
+from glossa.llm.common import table, work
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,3 +72,26 @@ SELECT doc_id, size, source_size, target,
                      THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM ends
 """
+
+
+@query
+def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as sequences of at most 1024 tokens."""
+    cut = packing.pieces(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        end_id=2, capacity=1024,
+    )
+    cut = work(spark).write(packing.with_crc(cut).drop("ids"), "pieces")
+    packed = packing.pack(cut, 1024, ("doc_id", "piece", "start", "ids_crc32"))
+    return packed.withColumn("length", F.col("length").cast("long"))
+
+
+@query
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as token files and read back."""
+    folder = token_files.write_store(
+        table(spark, sf_dir, "documents"), work(spark).path("tokens"),
+        public_tokenizers.path("word_bpe_49k.json"), end_id=1, id_bytes=2,
+    )
+    read = packing.with_crc(token_files.read_store(spark, folder))
+    return read.select("doc_id", "start", "n_tokens", "ids_crc32")
