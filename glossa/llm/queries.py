@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glossa.llm import mixing, packing, token_files
+from glossa.llm import mixing, packing, simhash, token_files
 from glossa.llm.common import table, work
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,3 +95,9 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     read = packing.with_crc(token_files.read_store(spark, folder))
     return read.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the groups they form within three bits."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
