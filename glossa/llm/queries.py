@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glossa.llm import mixing, packing, simhash, token_files
+from glossa.llm import mixing, packing, simhash, substrings, token_files
 from glossa.llm.common import table, work
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,3 +101,11 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the groups they form within three bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
+
+
+@query
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of all documents without passages of 13 words of smaller ids."""
+    parsed = substrings.parse(table(spark, sf_dir, "documents"), window=13)
+    digest = F.sha2("kept", 256).alias("kept_sha256")
+    return parsed.select("doc_id", "n_words", "n_removed", digest)
