@@ -20,13 +20,17 @@ def components(links: DataFrame, folder: WorkFolder, name: str = "components") -
     def smallest(rows: DataFrame) -> DataFrame:
         return rows.groupBy("u").agg(F.min("v").alias("m"))
 
+    def state() -> tuple:
+        mixed = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+        return tuple(kept.agg(F.count("*"), mixed).first())
+
     step = 0
     kept = links.select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     ).filter("u != v").distinct()
     kept = folder.write(kept, f"{name}-{step}")
-    seen = None
-    while True:
+    seen, now = None, state()
+    while now[0] and now != seen:
         both = kept.union(kept.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = smallest(both).withColumn("m", F.least("u", "m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -36,12 +40,7 @@ def components(links: DataFrame, folder: WorkFolder, name: str = "components") -
         stars = low.select("u", F.col("m").alias("v"))
         step += 1
         kept = folder.write(small.union(stars).distinct(), f"{name}-{step}")
-        state = kept.agg(
-            F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-        ).first()
-        if state == seen:
-            break
-        seen = state
+        seen, now = now, state()
     roots = kept.select(F.col("u").alias("node"), F.col("v").alias("root"))
     tops = kept.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return roots.union(tops)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from glossa.llm import mixing, packing, simhash, substrings, token_files
+from glossa.llm import mixing, packing, secret_scan, simhash, substrings, token_files
 from glossa.llm.common import table, work
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,3 +109,20 @@ def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = substrings.parse(table(spark, sf_dir, "documents"), window=13)
     digest = F.sha2("kept", 256).alias("kept_sha256")
     return parsed.select("doc_id", "n_words", "n_removed", digest)
+
+
+@query
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in all documents."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    random = secret_scan.KINDS.index("random")
+    base = F.filter("secrets", lambda s: s["kind"] != random)
+
+    def count(number: int) -> Column:
+        return F.size(F.filter("secrets", lambda s: s["kind"] == number)).cast("long")
+
+    counts = [count(i).alias(f"n_{kind}") for i, kind in enumerate(secret_scan.KINDS[:random])]
+    return found.select(
+        "doc_id", *counts, F.sha2(secret_scan.listed(base), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("secrets")).alias("spans"),
+    )

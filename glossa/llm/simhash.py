@@ -28,7 +28,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from glossa.llm.common import work
 from glossa.llm.components import components
@@ -125,13 +125,12 @@ def variants(distinct: DataFrame) -> DataFrame:
         mark = (number + 1) << low
         flips = [0, *(1 << b for b in range(64) if not low <= b < high)]
         masks.append((signed(full & ~hidden), [signed(mark ^ f) for f in flips]))
-    each = [
-        F.transform(
-            F.array(*[F.lit(f) for f in flips]),
-            lambda f, keep=keep: F.col("_fp").bitwiseAND(F.lit(keep)).bitwiseXOR(f),
-        )
-        for keep, flips in masks
-    ]
+
+    def ball(keep: int, flips: list[int]) -> Column:
+        centre = F.col("_fp").bitwiseAND(F.lit(keep))
+        return F.transform(F.array(*[F.lit(f) for f in flips]), lambda f: centre.bitwiseXOR(f))
+
+    each = [ball(keep, flips) for keep, flips in masks]
     return distinct.select(F.explode(F.concat(*each)).alias("variant"), "_fp")
 
 
