@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from glossa.llm.common import work
-from glossa.llm.tokenize import with_ids
+from glossa.llm.tokenize import encoded
 
 #: Pieces of one length whose ranks one task counts.
 SLICE_PIECES = 20_000
@@ -106,9 +106,9 @@ def pieces(
     schema = schema.add("ids", "binary")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, found in encoded(batches, tokenizer, end_id, "text"):
             rows: list[list] = [[], [], [], [], []]
-            for row, raw in enumerate(batch.column("ids").to_pylist()):
+            for row, raw in enumerate(found):
                 size = len(raw) // 4
                 bounds = [0, *range(size % capacity or capacity, size + 1, capacity)]
                 for piece, (a, b) in enumerate(zip(bounds, bounds[1:])):
@@ -120,7 +120,7 @@ def pieces(
             yield pa.RecordBatch.from_arrays(made, names=schema.names)
 
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return with_ids(narrow, tokenizer, end_id, text="text").mapInArrow(cut, schema)
+    return narrow.mapInArrow(cut, schema)
 
 
 def with_crc(df: DataFrame, ids: str = "ids") -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from glossa.llm.tokenize import with_ids
+from glossa.llm.tokenize import encoded, with_ids
 
 MAGIC = b"TOKZ0001"
 _FOOTER = "<QQI8s"
@@ -121,12 +121,12 @@ def write_store(
         sizes: list[int] = []
         out = None
         at = _HEAD
-        for batch in batches:
+        for batch, found in encoded(batches, tokenizer, end_id, "text"):
             if out is None:
                 out = fs.open_output_stream(aside)
                 out.write(MAGIC + digest)
             owners.append(batch.column("doc_id"))
-            for raw in batch.column("ids").to_pylist():
+            for raw in found:
                 frame = packer.compress(_narrow(raw, id_bytes))
                 out.write(frame)
                 at += len(frame)
@@ -158,7 +158,7 @@ def write_store(
     order = ["doc_id", "_mixed"]
     placed = narrow.withColumn("_mixed", F.xxhash64("text"))
     placed = placed.repartitionByRange(*order).sortWithinPartitions(*order).drop("_mixed")
-    shards = with_ids(placed, tokenizer, end_id, text="text").mapInArrow(write, schema)
+    shards = placed.mapInArrow(write, schema)
     shards.write.mode("overwrite").parquet(f"{folder}/manifest")
     return folder
 

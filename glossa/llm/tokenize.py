@@ -1,29 +1,36 @@
 """Token ids of whole texts with a public tokenizer, a word at a time.
 
-A tokenizer never joins a word with the blanks behind it, so a text is cut in front of
-every run of ASCII blanks and each piece is encoded apart. Pieces repeat, so a worker
-remembers the ids of the last ones, up to a bound. Texts with other blanks or separators,
-on which tokenizers may disagree, are encoded as a whole.
+The tokenizers never join a word with the blanks behind it, nor letters with marks, so a
+text is cut in front of every run of ASCII blanks, and between a word of plain letters and
+the marks that end it; each piece is encoded apart. Pieces repeat, so a worker remembers
+the ids of those it saw last, up to a bound. Texts with other blanks or separators, on
+which tokenizers may disagree, are encoded as a whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from glossa.llm.common import worker_state
 
-#: Pieces a worker remembers; with their ids about 120 MB.
-MEMORY = 500_000
+#: Pieces a worker remembers in each of two generations; with their ids about 60 MB each.
+MEMORY = 300_000
 
-#: Characters encoded at once.
-BATCH_CHARS = 4_000_000
+#: Bytes of text encoded at once.
+BATCH_BYTES = 2_000_000
 
-_PIECE = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?$%&#*|"
+_PIECE = re.compile(
+    rf"[ \t-\r]*[{_LETTERS}]+(?=[{_MARKS}]*(?:[ \t-\r]|\Z))|[{_MARKS}]+(?=[ \t-\r]|\Z)"
+    r"|[ \t-\r]*[^ \t-\r]+|[ \t-\r]+"
+)
 _ODD = re.compile(
     r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028-\u202f\u205f\u2060\u3000\ufeff]"
 )
@@ -39,19 +46,25 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [b"".join([i.to_bytes(4, "little") for i in e.ids]) for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _learn(self, pieces: set[str]) -> None:
+        absent = pieces - self.known.keys()
+        if len(self.known) + len(absent) > MEMORY:
+            self.known, self.before = {}, self.known
+            absent = pieces
+        old = absent & self.before.keys()
+        self.known.update((p, self.before[p]) for p in old)
+        new = list(absent - old)
+        self.known.update(zip(new, self._encode(new)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [None if _ODD.search(t) else _PIECE.findall(t) for t in texts]
-        missing = {p for pieces in cut if pieces for p in pieces if p not in self.known}
-        if len(self.known) + len(missing) > MEMORY:
-            self.known = {}
-            missing = {p for pieces in cut if pieces for p in pieces}
-        new = list(missing)
-        self.known.update(zip(new, self._encode(new)))
+        self._learn({p for pieces in cut if pieces for p in pieces})
         known = self.known
         return [
             self._encode([t])[0] if pieces is None else b"".join([known[p] for p in pieces])
@@ -67,16 +80,30 @@ def encoder(path: str) -> Encoder:
     return kept[path]
 
 
-def slices(texts: list[str], most: int = BATCH_CHARS) -> Iterator[slice]:
-    """Runs of texts with at most that many characters, or a single longer text."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t) > most:
+def slices(texts: pa.Array, most: int = BATCH_BYTES) -> Iterator[slice]:
+    """Runs of texts with at most that many bytes, or a single longer text."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    start = held = 0
+    for i, size in enumerate(sizes):
+        if i > start and held + size > most:
             yield slice(start, i)
-            start, size = i, 0
-        size += len(t)
-    if texts:
-        yield slice(start, len(texts))
+            start, held = i, 0
+        held += size
+    if sizes:
+        yield slice(start, len(sizes))
+
+
+def encoded(
+    batches: Iterator[pa.RecordBatch], path: str, end_id: int, text: str
+) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Small batches, each with the ids of its texts and the end id; null counts as empty."""
+    coder = encoder(path)
+    ending = end_id.to_bytes(4, "little")
+    for batch in batches:
+        for part in slices(batch.column(text)):
+            some = batch[part]
+            texts = [t or "" for t in some.column(text).to_pylist()]
+            yield some, [x + ending for x in coder.encode(texts)]
 
 
 def with_ids(df: DataFrame, path: str, end_id: int, *, text: str, ids: str = "ids") -> DataFrame:
@@ -86,17 +113,10 @@ def with_ids(df: DataFrame, path: str, end_id: int, *, text: str, ids: str = "id
     """
     names = [c for c in df.columns if c not in (text, ids)]
     schema = df.select(*names).schema.add(ids, "binary")
-    ending = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(text).to_pylist()]
-            for part in slices(texts):
-                found = [x + ending for x in coder.encode(texts[part])]
-                rest = [batch.column(n)[part] for n in names]
-                yield pa.RecordBatch.from_arrays(
-                    [*rest, pa.array(found, pa.binary())], names=[*names, ids]
-                )
+        for some, found in encoded(batches, path, end_id, text):
+            columns = [*(some.column(n) for n in names), pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, ids])
 
     return df.select(*names, text).mapInArrow(run, schema)
