@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from glossa.llm import mixing, packing, secret_scan, simhash, substrings, token_files
+from glossa.llm import language_mix, mixing, packing, secret_scan, simhash, substrings, token_files
 from glossa.llm.common import table, work
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,3 +126,18 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *counts, F.sha2(secret_scan.listed(base), 256).alias("base_sha256"),
         secret_scan.listed(F.col("secrets")).alias("spans"),
     )
+
+
+def hash_class(classes: int) -> Column:
+    """crc32 of doc_id as text, by remainders; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % classes
+
+
+@query
+def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from four fifths of the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_mix.learn(docs.filter(hash_class(5) != 0))
+    held = docs.select("doc_id", "text", (hash_class(5) == 0).alias("held_out"))
+    made = language_mix.predict(held, model)
+    return made.select("doc_id", "held_out", "lang_pred", "score")
