@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from glossa.llm import language_mix, mixing, packing, secret_scan, simhash, substrings, token_files
+from glossa.llm import language_mix, mixing, packing, quality_rules, secret_scan, simhash, substrings, token_files
 from glossa.llm.common import table, work
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,3 +141,16 @@ def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = docs.select("doc_id", "text", (hash_class(5) == 0).alias("held_out"))
     made = language_mix.predict(held, model)
     return made.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of all documents by weighted rules, learned from three quarters."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(hash_class(4) != 2)
+    rules = quality_rules.fit(docs, labels.withColumnRenamed("quality", "label"))
+    made = quality_rules.score(docs, rules)
+    return made.select(
+        "doc_id", (hash_class(4) == 2).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
