@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from glossa.llm import language_mix, mixing, packing, quality_rules, secret_scan, simhash, substrings, token_files
+from glossa.llm import (
+    language_mix, learned_index, mixing, packing, quality_rules, secret_scan, simhash, substrings,
+    token_files, voronoi,
+)
 from glossa.llm.common import table, work
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,3 +157,38 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (hash_class(4) == 2).alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"),
     )
+
+
+@query
+def op7_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products of every twentieth embedding, in 64ths rounded down."""
+    found = voronoi.top_k(
+        table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20,
+        component=lambda x: F.floor(64 * x).cast("double"),
+    )
+    return found.withColumn("score", F.col("score").cast("long"))
+
+
+ORACLES["op7_voronoi_top_k"] = """
+WITH rows AS (
+    SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS v FROM embeddings
+    WHERE len(embedding) > 0
+        AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)
+), ranked AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score,
+        row_number() OVER (
+            PARTITION BY q.vec_id ORDER BY list_dot_product(q.v, c.v) DESC, c.vec_id
+        )::INTEGER AS rank
+    FROM rows q JOIN rows c ON q.vec_id <> c.vec_id
+    WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+@query
+def op8_learned_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest found of every fiftieth embedding, by cosine."""
+    return learned_index.search(
+        table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5
+    )
