@@ -64,9 +64,12 @@ ADDED = ("fingerprint", "component_id")
 
 
 def fingerprints(
-    texts: list[str | None], size: int, seeds: tuple[int, ...] = (SEED,)
+    texts: list[str | None], size: int, seeds: tuple[int, ...] = (SEED,), repeats: bool = True
 ) -> tuple["np.ndarray", "np.ndarray"]:  # noqa: F821
-    """For each text 64 bits by each seed, unsigned, and the number of its shingles."""
+    """For each text 64 bits by each seed, unsigned, and the number of its shingles.
+
+    Without ``repeats`` each different shingle votes once.
+    """
     import numpy as np
     import xxhash
 
@@ -101,6 +104,8 @@ def fingerprints(
         else:
             starts = [0, *(e + 1 for e in ends)]
             parts = [joined[a:b] for a, b in zip(starts, ends[size - 1 :])]
+        if not repeats:
+            parts = list(dict.fromkeys(parts))
         hashes += [digest(part, seed) for part in parts for seed in seeds]
         lengths.append(len(parts))
         if len(hashes) > VOTES:
@@ -112,7 +117,7 @@ def fingerprints(
 
 
 def with_fingerprint(
-    docs: DataFrame, text: str, size: int, seeds: tuple[int, ...] = (SEED,)
+    docs: DataFrame, text: str, size: int, seeds: tuple[int, ...] = (SEED,), repeats: bool = True
 ) -> DataFrame:
     """``docs`` with the text replaced by signed longs ``_fp``, ``_fp1``, ... for the seeds,
     and by the number of shingles, ``_n``."""
@@ -126,7 +131,7 @@ def with_fingerprint(
         import numpy as np
 
         for batch in batches:
-            bits, n = fingerprints(batch.column(text).to_pylist(), size, seeds)
+            bits, n = fingerprints(batch.column(text).to_pylist(), size, seeds, repeats)
             columns = [batch.column(c) for c in names]
             words = [pa.array(np.ascontiguousarray(w).view(np.int64)) for w in bits.T]
             yield pa.RecordBatch.from_arrays(
@@ -316,14 +321,15 @@ def similar_documents(
 ) -> DataFrame:
     """As ``near_duplicates``, by similarity of the shingles (Jaccard) as 128 bits show it.
 
-    The bits of a pair differ by the angle between the shingle counts; 1.5 deviations are
+    Each different shingle of a text votes once. The bits of a pair differ by the angle
+    between the two sets of shingles; 1.5 deviations are
     allowed on top of what is expected at the given similarity.
     """
     folder = work(docs.sparkSession)
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     radius = math.floor(128 * share + 1.5 * math.sqrt(128 * share * (1 - share)))
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kept = with_fingerprint(narrow, "text", shingle, (SEED, SEED + 1))
+    kept = with_fingerprint(narrow, "text", shingle, (SEED, SEED + 1), repeats=False)
     kept = folder.write(kept, "fingerprints")
     distinct = kept.groupBy("_fp").agg(
         F.min("doc_id").alias("_first"), F.min("_fp1").alias("_fp1"), F.max("_n").alias("_n")

@@ -2,7 +2,8 @@
 
 The tokenizers never join a word with the blanks behind it, nor letters with marks, so a
 text is cut in front of every run of ASCII blanks, and between a word of plain letters and
-the marks that end it; each piece is encoded apart. Pieces repeat, so a worker remembers
+the marks that end it; each piece is encoded apart. Blanks are left out if the tokenizer
+drops them. Pieces repeat, so a worker remembers
 the ids of those it saw last, up to a bound. Texts with other blanks or separators, on
 which tokenizers may disagree, are encoded as a whole.
 """
@@ -26,11 +27,13 @@ MEMORY = 300_000
 #: Bytes of text encoded at once.
 BATCH_BYTES = 2_000_000
 
+_BLANKS = " \t\n\r\x0b\x0c"
 _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?$%&#*|"
-_PIECE = re.compile(
-    rf"[ \t-\r]*[{_LETTERS}]+(?=[{_MARKS}]*(?:[ \t-\r]|\Z))|[{_MARKS}]+(?=[ \t-\r]|\Z)"
-    r"|[ \t-\r]*[^ \t-\r]+|[ \t-\r]+"
-)
+_WORD = rf"[{_LETTERS}]+(?=[{_MARKS}]*(?:[ \t-\r]|\Z))"
+_TAIL = rf"[{_MARKS}]+(?=[ \t-\r]|\Z)"
+#: Pieces with the blanks in front of them, and pieces without any blanks.
+_PIECE = re.compile(rf"[ \t-\r]*{_WORD}|{_TAIL}|[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
+_BARE = re.compile(rf"{_WORD}|{_TAIL}|[^ \t-\r]+")
 _ODD = re.compile(
     r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028-\u202f\u205f\u2060\u3000\ufeff]"
 )
@@ -47,6 +50,8 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        bare, *blank = self._encode(["a", *(b + "a" for b in _BLANKS), *("a" + b for b in _BLANKS)])
+        self.cut = (_BARE if all(b == bare for b in blank) else _PIECE).findall
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -63,7 +68,7 @@ class Encoder:
         self.known.update(zip(new, self._encode(new)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if _ODD.search(t) else _PIECE.findall(t) for t in texts]
+        cut = [None if _ODD.search(t) else self.cut(t) for t in texts]
         self._learn({p for pieces in cut if pieces for p in pieces})
         known = self.known
         return [
