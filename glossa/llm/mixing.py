@@ -148,29 +148,29 @@ def mix(
         "targets",
     )
     plan = sizes.join(_last_taken(keys, sizes), ["_source", "_none"], "left").select(
-        F.col("_source").alias("_s"), F.col("_none").alias("_n"),
-        F.col("size").alias("_source_size"), F.col("target").alias("_target"),
-        F.floor("epochs").alias("_whole"), F.col("last").alias("_last"),
+        F.col("_source").alias("__mix_s"), F.col("_none").alias("__mix_n"),
+        F.col("size").alias("__mix_source_size"), F.col("target").alias("__mix_target"),
+        F.floor("epochs").alias("__mix_whole"), F.col("last").alias("__mix_last"),
     )
     plan = folder.write(plan, "plan")
     rest = docs.drop(*ADDED)
-    sized = rest.withColumn("_size", measure.cast("long"))
+    sized = rest.withColumn("__mix_size", measure.cast("long"))
     key = F.struct(
         digest(F.col(doc_id), seed).alias("digest"), F.col(doc_id).alias("id"),
-        F.col("_size").alias("size"),
+        F.col("__mix_size").alias("size"),
     )
-    at = (F.coalesce(F.col(source).cast("string"), F.lit("")) == F.col("_s")) & (
-        F.col(source).isNull() == F.col("_n")
+    at = (F.coalesce(F.col(source).cast("string"), F.lit("")) == F.col("__mix_s")) & (
+        F.col(source).isNull() == F.col("__mix_n")
     )
-    more = F.when((F.col("_size") > 0) & (key <= F.col("_last")), 1).otherwise(0)
+    more = F.when((F.col("__mix_size") > 0) & (key <= F.col("__mix_last")), 1).otherwise(0)
     return (
         sized.join(plan, at)
-        .withColumn("repeats", (F.col("_whole") + F.coalesce(more, F.lit(0))).cast("long"))
+        .withColumn("repeats", (F.col("__mix_whole") + F.coalesce(more, F.lit(0))).cast("long"))
         .select(
             *[F.col(c) for c in rest.columns],
-            F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
-            F.col("_target").alias("target"), "repeats",
-            (F.col("repeats") * F.col("_size")).alias("taken"),
+            F.col("__mix_size").alias("size"), F.col("__mix_source_size").alias("source_size"),
+            F.col("__mix_target").alias("target"), "repeats",
+            (F.col("repeats") * F.col("__mix_size")).alias("taken"),
         )
     )
 
@@ -179,4 +179,4 @@ def repeated(mixed: DataFrame) -> DataFrame:
     """The rows of the mix, each as often as it is taken, without the added columns."""
     columns = [c for c in mixed.columns if c not in ADDED]
     times = F.sequence(F.lit(1), F.col("repeats"))
-    return mixed.filter("repeats > 0").withColumn("_copy", F.explode(times)).select(*columns)
+    return mixed.filter("repeats > 0").withColumn("__mix_copy", F.explode(times)).select(*columns)

@@ -81,10 +81,10 @@ def statistics(text: Column) -> dict[str, Column]:
 
 
 def with_statistics(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with a struct ``_stats`` of the statistics."""
-    body = docs.withColumn("_body", F.coalesce(F.col(text), F.lit("")))
-    made = F.struct(*[c.alias(n) for n, c in statistics(F.col("_body")).items()])
-    return body.withColumn("_stats", made).drop("_body")
+    """``docs`` with a struct ``__stats`` of the statistics."""
+    body = docs.withColumn("__body", F.coalesce(F.col(text), F.lit("")))
+    made = F.struct(*[c.alias(n) for n, c in statistics(F.col("__body")).items()])
+    return body.withColumn("__stats", made).drop("__body")
 
 
 def _grow(x, gradient, weight, cuts, rows, path, depth, found):
@@ -217,14 +217,14 @@ def fit(
     named = named.dropna().orderBy(F.xxhash64("_doc"), "_doc", "_label").limit(sample_rows)
     body = docs.select(F.col(doc_id).alias("_key"), F.col(text).alias("_text"))
     both = body.join(F.broadcast(named), F.col("_key") == F.col("_doc"))
-    rows = with_statistics(both, "_text").select("_doc", "_label", "_stats.*").collect()
+    rows = with_statistics(both, "_text").select("_doc", "_label", "__stats.*").collect()
     # A document that is there more than once may bring more rows; the order is fixed.
     rows = sorted(tuple(r) for r in rows)[: 2 * sample_rows]
     names = list(statistics(F.lit("")))
     return fit_rules(names, [list(r[2:]) for r in rows], [r[1] for r in rows])
 
 
-def compiled(rules: Rules, stats: str = "_stats") -> Column:
+def compiled(rules: Rules, stats: str = "__stats") -> Column:
     """The score from 0 to 1 as an expression over the struct of statistics."""
 
     def holds(bound: Bound) -> Column:
@@ -241,4 +241,4 @@ def compiled(rules: Rules, stats: str = "_stats") -> Column:
 def score(docs: DataFrame, rules: Rules, *, text: str = "text") -> DataFrame:
     """``docs`` with ``score``, the probability of label 1."""
     held = with_statistics(docs.drop("score"), text)
-    return held.withColumn("score", compiled(rules)).drop("_stats")
+    return held.withColumn("score", compiled(rules)).drop("__stats")

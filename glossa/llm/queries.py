@@ -162,9 +162,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 largest inner products of every twentieth embedding, in 64ths rounded down."""
+
+    def floored(x: Column) -> Column:
+        """Doubles from 2^53 on are whole numbers, and may be too large for a long."""
+        return F.when(F.abs(64 * x) < 2**53, F.floor(64 * x).cast("double")).otherwise(64 * x)
+
     found = voronoi.top_k(
-        table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20,
-        component=lambda x: F.floor(64 * x).cast("double"),
+        table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, component=floored
     )
     return found.withColumn("score", F.col("score").cast("long"))
 

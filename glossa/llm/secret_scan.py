@@ -183,49 +183,49 @@ def _length_class(size: Column) -> Column:
 
 
 def scanned(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with ``_base``, the spans of the patterns, and ``_tokens``, the candidates."""
+    """``docs`` with ``__scan_base``, the spans of the patterns, and ``__scan_tokens``, the candidates."""
     body = F.coalesce(F.col(text), F.lit(""))
     found = docs.withColumns(
         {
-            "_a": F.regexp_extract_all(body, F.lit(ASSIGN), F.lit(0)),
-            "_k": F.regexp_extract_all(body, F.lit(ACCESS), F.lit(0)),
-            "_h": F.regexp_extract_all(body, F.lit(HEX), F.lit(0)),
-            "_c": F.regexp_extract_all(body, F.lit(CANDIDATE), F.lit(0)),
+            "__scan_a": F.regexp_extract_all(body, F.lit(ASSIGN), F.lit(0)),
+            "__scan_k": F.regexp_extract_all(body, F.lit(ACCESS), F.lit(0)),
+            "__scan_h": F.regexp_extract_all(body, F.lit(HEX), F.lit(0)),
+            "__scan_c": F.regexp_extract_all(body, F.lit(CANDIDATE), F.lit(0)),
         }
     )
     value = F.regexp_extract_all(body, F.lit(ASSIGN), F.lit(2))
     base = F.concat(
         _spans(
-            places(body, ASSIGN, F.col("_a")),
+            places(body, ASSIGN, F.col("__scan_a")),
             F.when(
-                F.size("_a") > 0, F.transform(value, lambda v: F.length(v) >= ASSIGN_VALUE)
+                F.size("__scan_a") > 0, F.transform(value, lambda v: F.length(v) >= ASSIGN_VALUE)
             ).otherwise(F.array().cast("array<boolean>")),
             "assign",
         ),
         _spans(
-            places(body, ACCESS, F.col("_k")),
-            F.transform("_k", lambda v: F.length(v) >= ACCESS_LENGTH), "access",
+            places(body, ACCESS, F.col("__scan_k")),
+            F.transform("__scan_k", lambda v: F.length(v) >= ACCESS_LENGTH), "access",
         ),
-        _spans(places(body, HEX, F.col("_h")), F.transform("_h", lambda v: F.lit(True)), "hex"),
+        _spans(places(body, HEX, F.col("__scan_h")), F.transform("__scan_h", lambda v: F.lit(True)), "hex"),
     )
-    mixed = F.transform("_c", lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]"))
+    mixed = F.transform("__scan_c", lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]"))
     tokens = F.zip_with(
-        _spans(places(body, CANDIDATE, F.col("_c")), F.transform("_c", lambda v: F.lit(True)), "random"),
-        F.zip_with("_c", mixed, lambda v, m: F.when(m, battery(v))),
+        _spans(places(body, CANDIDATE, F.col("__scan_c")), F.transform("__scan_c", lambda v: F.lit(True)), "random"),
+        F.zip_with("__scan_c", mixed, lambda v, m: F.when(m, battery(v))),
         lambda s, b: F.struct(s.alias("span"), b.alias("test")),
     )
-    found = found.withColumns({"_base": F.array_sort(base), "_tokens": tokens})
+    found = found.withColumns({"__scan_base": F.array_sort(base), "__scan_tokens": tokens})
     return found.withColumn(
-        "_tokens",
+        "__scan_tokens",
         F.filter(
-            "_tokens",
+            "__scan_tokens",
             lambda t: t["test"].isNotNull()
             & ~F.exists(
-                "_base",
+                "__scan_base",
                 lambda b: (b["start"] < t["span"]["end"]) & (t["span"]["start"] < b["end"]),
             ),
         ),
-    ).drop("_a", "_k", "_h", "_c")
+    ).drop("__scan_a", "__scan_k", "__scan_h", "__scan_c")
 
 
 def thresholds(docs: DataFrame, text: str) -> list[float | None]:
@@ -234,7 +234,7 @@ def thresholds(docs: DataFrame, text: str) -> list[float | None]:
     Candidates the battery rejects count as tests, but cannot be accepted.
     """
     each = scanned(docs.select(F.col(text).alias("text")), "text")
-    tests = each.select(F.explode("_tokens.test").alias("t"))
+    tests = each.select(F.explode("__scan_tokens.test").alias("t"))
     last = BINS_PER_UNIT * TOP_SCORE
     score = F.floor(F.col("t.score") * BINS_PER_UNIT)
     score = F.when(F.col("t.p") >= REJECT, F.least(F.greatest(score, F.lit(0)), F.lit(last)))
@@ -266,9 +266,9 @@ def scan(docs: DataFrame, *, text: str = "text") -> DataFrame:
         enough = F.element_at(bound, _length_class(t["test"]["size"]) + 1)
         return (t["test"]["p"] >= REJECT) & (t["test"]["score"] >= enough)
 
-    more = F.transform(F.filter("_tokens", accepted), lambda t: t["span"])
-    spans = F.array_sort(F.concat("_base", more))
-    return held.withColumn("secrets", spans).drop("_base", "_tokens")
+    more = F.transform(F.filter("__scan_tokens", accepted), lambda t: t["span"])
+    spans = F.array_sort(F.concat("__scan_base", more))
+    return held.withColumn("secrets", spans).drop("__scan_base", "__scan_tokens")
 
 
 def listed(spans: Column) -> Column:

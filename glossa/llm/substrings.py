@@ -42,14 +42,17 @@ from glossa.llm.common import work
 #: Bytes of text in a block; a longer document is a block of its own.
 BLOCK_BYTES = 4_000_000
 
-#: Words of the corpus for each group in which indexes are merged, and for each bucket.
-GROUP_WORDS = 500_000
-BUCKET_WORDS = 4_000_000
+#: Bytes of text for each group in which indexes are merged, and for each bucket.
+GROUP_BYTES = 3_000_000
+BUCKET_BYTES = 24_000_000
 
 ANCHOR_WORDS = 5
 NO_DOC = (1 << 63) - 1
 
-BLOCK = "block long, words long, owners binary, nulls binary, sizes binary, texts binary"
+#: What is known of a window: its hashes, a document and the place there.
+ENTRY = {"key": "<u8", "chk": "<u4", "doc": "<i8", "at": "<u4"}
+
+BLOCK = "block long, owners binary, nulls binary, sizes binary, texts binary"
 
 
 def _pack(owners: list[int | None], texts: list[bytes]) -> list[bytes]:
@@ -134,27 +137,25 @@ def _blocks(docs: DataFrame) -> DataFrame:
         number = TaskContext.get().partitionId() << 33
         owners: list[int | None] = []
         texts: list[bytes] = []
-        words = size = 0
+        size = 0
 
         def made() -> pa.RecordBatch:
-            values = [number, words, *_pack(owners, texts)]
-            kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+            values = [number, *_pack(owners, texts)]
+            kinds = [pa.int64(), *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays(
                 [pa.array([v], k) for v, k in zip(values, kinds)],
-                names=["block", "words", "owners", "nulls", "sizes", "texts"],
+                names=["block", "owners", "nulls", "sizes", "texts"],
             )
 
         for batch in batches:
             for owner, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text"))):
-                found = (text or "").encode("utf-8", "surrogatepass").split()
-                joined = b" ".join(found)
+                joined = b" ".join((text or "").encode("utf-8", "surrogatepass").split())
                 if texts and size + len(joined) > BLOCK_BYTES:
                     yield made()
                     number += 1
-                    owners, texts, words, size = [], [], 0, 0
+                    owners, texts, size = [], [], 0
                 owners.append(owner)
                 texts.append(joined)
-                words += len(found)
                 size += len(joined)
         if texts:
             yield made()
@@ -241,15 +242,15 @@ def parse(
     narrow = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")
     )
-    cut = folder.write(_blocks(narrow), "cut").select("block", "words")
-    words = cut.agg(F.sum("words")).first()[0] or 0
-    groups = max(1, -(-words // GROUP_WORDS))
-    buckets = max(1, -(-words // BUCKET_WORDS))
+    size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(1, -(-size // GROUP_BYTES))
+    # Joins shuffle a table with fewer buckets than shuffles have partitions.
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(least, -(-size // BUCKET_BYTES))
     name = f"glossa_blocks_{uuid.uuid4().hex}"
-    stored = spark.read.parquet(folder.path("cut"))
     (
-        stored.repartition(buckets, "block").write.bucketBy(buckets, "block").sortBy("block")
-        .option("path", folder.path("blocks")).saveAsTable(name)
+        _blocks(narrow).repartition(buckets, "block").write.bucketBy(buckets, "block")
+        .sortBy("block").option("path", folder.path("blocks")).saveAsTable(name)
     )
     blocks = spark.table(name)
     parts = ["block", "owners", "nulls", "sizes", "texts"]
@@ -295,19 +296,22 @@ def parse(
         at = (made.place - made.starts[made.row])[wanted]
         order = np.lexsort((at, doc, check, key))
         key, check, doc, at = (a[order] for a in (key, check, doc, at))
-        first = np.r_[True, (key[1:] != key[:-1]) | (check[1:] != check[:-1])]
+        # In the order of the text again, in which documents and places pack well.
+        first = np.r_[True, (key[1:] != key[:-1]) | (check[1:] != check[:-1])][: len(key)]
+        back = np.argsort(order[first])
         if len(key):
-            yield _dealt(block, groups, *(a[first] for a in (key, check, doc, at)))
+            found = (key, check, doc, at.astype(np.uint32))
+            yield _dealt(block, groups, *(a[first][back] for a in found))
 
     def references(table: pa.Table) -> pa.Table:
         import numpy as np
 
-        kinds = {"key": "<u8", "chk": "<u4", "doc": "<i8", "at": "<i8"}
-        (key, check, doc, at), owner = _gathered(table, kinds)
+        (key, check, doc, at), owner = _gathered(table, ENTRY)
         order = np.lexsort((at, doc, check, key))
-        key, check, doc, at, owner = (a[order] for a in (key, check, doc, at, owner))
-        first = np.r_[True, (key[1:] != key[:-1]) | (check[1:] != check[:-1])]
-        lead = np.flatnonzero(first)[np.cumsum(first) - 1]
+        a, b = key[order], check[order]
+        first = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+        lead = np.empty(len(key), np.int64)
+        lead[order] = order[np.flatnonzero(first)[np.cumsum(first) - 1]]
         made = _answers(owner, doc[lead] < doc, key, check, doc[lead], at[lead])
         kinds = [pa.int64(), *[pa.binary()] * 4]
         names = ["block", "key", "chk", "doc", "at"]
@@ -328,13 +332,12 @@ def parse(
         made = Block(owners, nulls, sizes, texts, window)
         key, check = made.keys()
         at = made.place - made.starts[made.row]
-        kinds = {"key": "<u8", "chk": "<u4", "doc": "<i8", "at": "<i8"}
-        else_ = [
+        told = [
             np.frombuffer(b"".join([f[c] for f in found or ()]), kind)
-            for c, kind in kinds.items()
+            for c, kind in ENTRY.items()
         ]
         n = len(key)
-        both = [np.concatenate(x) for x in zip((key, check, made.doc, at), else_)]
+        both = [np.concatenate(x) for x in zip((key, check, made.doc, at), told)]
         order = np.lexsort((both[3], both[2], both[1], both[0]))
         key, check, doc, place = (a[order] for a in both)
         first = np.r_[True, (key[1:] != key[:-1]) | (check[1:] != check[:-1])][: len(key)]

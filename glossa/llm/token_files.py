@@ -243,7 +243,8 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_document(spark: SparkSession, folder: str, doc_id: Any) -> list[bytes]:
     """The ids of the documents with that id, reading their frames only."""
-    same = (F.col("first") <= F.lit(doc_id)) & (F.col("last") >= F.lit(doc_id))
+    begun = F.col("first").isNull() | (F.col("first") <= F.lit(doc_id))
+    same = begun & (F.col("last") >= F.lit(doc_id))
     found = []
     for r in manifest(spark, folder).filter(same).orderBy("shard").select("file").toLocalIterator():
         shard = Shard(folder, r["file"])

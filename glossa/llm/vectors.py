@@ -26,12 +26,12 @@ def usable(df: DataFrame, vec_id: str, vector: str, of: Callable[[Column], Colum
     ``of`` maps a component as a double. Of rows equal in vec_id the one whose vector
     comes first counts; a null vec_id takes no part.
     """
-    value = F.transform(F.col(vector), lambda x: of(x.cast("double")))
     good = F.forall(
         F.col("v"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     )
-    rows = df.select(F.col(vec_id).alias("vec_id"), value.alias("v"))
+    rows = df.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("v"))
     rows = rows.filter(F.col("vec_id").isNotNull() & (F.size("v") > 0) & good)
+    rows = rows.withColumn("v", F.transform("v", lambda x: of(x.cast("double"))))
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
