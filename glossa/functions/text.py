@@ -172,24 +172,36 @@ def pack_chunks(parts: Column, max_tokens: int) -> Column:
 # ------------------------------------------------------- prompts, keys, names
 
 
+def prompt_parts(
+    source_lang: str, target_lang: str, system_prompt: str, template: str
+) -> list[tuple[str, list[str]]]:
+    """(role, pieces) of each message; the text goes between the pieces.
+
+    The languages go in before the text does, so braces in the text are safe.
+    """
+    asked = template.replace("{src}", source_lang).replace("{tgt}", target_lang)
+    parts = [("user", asked.split("{text}"))]
+    if system_prompt:
+        told = system_prompt.replace("{source}", source_lang).replace("{target}", target_lang)
+        parts.insert(0, ("system", [told]))
+    return parts
+
+
 def render_prompt(
     c: Text, source_lang: str, target_lang: str, system_prompt: str, template: str
 ) -> Column:
     """The chat messages for one text, as an array of (role, content)."""
 
-    def message(role: str, content: Column) -> Column:
-        return F.struct(F.lit(role).alias("role"), content.alias("content"))
+    def content(pieces: list[str]) -> Column:
+        if len(pieces) == 1:
+            return F.lit(pieces[0])
+        between = [x for piece in pieces[1:] for x in (_col(c), F.lit(piece))]
+        return F.concat(F.lit(pieces[0]), *between)
 
-    # The languages go in before the text does, so braces in the text are safe.
-    around = template.replace("{src}", source_lang).replace("{tgt}", target_lang).split("{text}")
-    pieces: list[Column] = [F.lit(around[0])]
-    for rest in around[1:]:
-        pieces += [_col(c), F.lit(rest)]
-    messages = [message("user", F.concat(*pieces))]
-    if system_prompt:
-        told = system_prompt.replace("{source}", source_lang).replace("{target}", target_lang)
-        messages.insert(0, message("system", F.lit(told)))
-    return F.array(*messages)
+    parts = prompt_parts(source_lang, target_lang, system_prompt, template)
+    return F.array(
+        *(F.struct(F.lit(role).alias("role"), content(p).alias("content")) for role, p in parts)
+    )
 
 
 def parse_key_list(c: Text, default: tuple[str, ...] = TRANSLATE_KEYS) -> Column:

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from glossa.backends import Backend, BackendError, Request
+from glossa.functions.text import prompt_parts
 from glossa.settings import JobParams
 from glossa.session import FileSystem
 
@@ -55,17 +56,10 @@ BROADCAST_KEYS = 200_000
 
 
 def _messages(text: str, params: JobParams) -> list[dict]:
-    asked = text.join(
-        params.message_template.replace("{src}", params.source_lang)
-        .replace("{tgt}", params.target_lang)
-        .split("{text}")
+    parts = prompt_parts(
+        params.source_lang, params.target_lang, params.system_prompt, params.message_template
     )
-    messages = [{"role": "user", "content": asked}]
-    if params.system_prompt:
-        told = params.system_prompt.replace("{source}", params.source_lang)
-        told = told.replace("{target}", params.target_lang)
-        messages.insert(0, {"role": "system", "content": told})
-    return messages
+    return [{"role": role, "content": text.join(pieces)} for role, pieces in parts]
 
 
 def _attempt(backend: Backend, text: str | None, params: JobParams) -> tuple:

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from glossa.functions.jsoncell import json_keys
 from glossa.operators.cells import as_text, text_columns
+from glossa.operators.rows import rank_rows
 from glossa.session import WorkFolder
 from glossa.settings import SKIP_KEYS, TRANSLATE_KEYS
 
 # Longer values are compared by their SHA-256, so that texts need not be shuffled.
 SHORT_VALUE = 64
 
-# A line of the column report lists about so many keys, at most.
+# A line of the column report lists so many keys, at most.
 KEYS_PER_LINE = 200
 
 
@@ -33,7 +34,9 @@ def _value(df: DataFrame, field: T.StructField) -> Column:
     if isinstance(field.dataType, T.BinaryType):
         return F.sha2(c, 256)
     text = as_text(df, field.name)
-    return F.when(F.length(text) <= SHORT_VALUE, text).otherwise(F.sha2(text, 256))
+    # The mark keeps a text apart from a cell that holds its digest.
+    short = F.concat(F.lit("="), text)
+    return F.when(F.length(text) <= SHORT_VALUE, short).otherwise(F.concat(F.lit("#"), F.sha2(text, 256)))
 
 
 def column_stats(df: DataFrame, approx: bool = False) -> DataFrame:
@@ -79,13 +82,12 @@ def column_stats(df: DataFrame, approx: bool = False) -> DataFrame:
     )
 
 
-def _json_cells(df: DataFrame, columns: list[str] | None, row_id: str, sample: int | None):
+def _json_cells(df: DataFrame, columns: list[str] | None):
     """(column, keys) per text cell; keys is null unless the cell is JSON."""
     names = text_columns(df) if columns is None else columns
     if not names:
         raise ValueError("no text columns")
-    rows = df.where(F.col(row_id) < sample) if sample else df
-    texts = rows.select(*(as_text(df, c).alias(c) for c in names))
+    texts = df.select(*(as_text(df, c).alias(c) for c in names))
     cells = texts.unpivot([], [f"`{c}`" for c in names], "column", "cell")
     return cells.select("column", json_keys("cell").alias("keys"))
 
@@ -93,11 +95,9 @@ def _json_cells(df: DataFrame, columns: list[str] | None, row_id: str, sample: i
 def json_profile(
     df: DataFrame,
     columns: list[str] | None = None,
-    row_id: str = "row_id",
-    sample_rows: int | None = None,
 ) -> DataFrame:
     """Per text column: rows, and how many of them hold a JSON object or array."""
-    return _json_cells(df, columns, row_id, sample_rows).groupBy("column").agg(
+    return _json_cells(df, columns).groupBy("column").agg(
         F.count(F.lit(1)).alias("total_rows"),
         F.count("keys").alias("json_rows"),
     )
@@ -106,11 +106,9 @@ def json_profile(
 def json_key_table(
     df: DataFrame,
     columns: list[str] | None = None,
-    row_id: str = "row_id",
-    sample_rows: int | None = None,
 ) -> DataFrame:
     """Distinct (column, key) over the top-level keys of all JSON cells."""
-    found = _json_cells(df, columns, row_id, sample_rows)
+    found = _json_cells(df, columns)
     return (
         found.select("column", F.explode_outer("keys").alias("key"))
         .where(F.col("key").isNotNull())
@@ -157,20 +155,19 @@ def classify_keys(
 def column_report(
     df: DataFrame,
     columns: list[str] | None = None,
-    row_id: str = "row_id",
-    sample_rows: int | None = None,
     translate_keys: tuple[str, ...] = TRANSLATE_KEYS,
     skip_keys: tuple[str, ...] = SKIP_KEYS,
     work: WorkFolder | None = None,
 ) -> DataFrame:
     """Lines (column, section, part, line) that tell a reader what is in each column.
 
-    A long key list is spread over several lines, so that no task ever has to
-    hold all keys of a column. The distinct keys are stored, as they are used three
-    times and the cells should be parsed once.
+    A long key list is spread over several lines in the order of the keys, so that no
+    task ever has to hold all keys of a column. The distinct keys are stored, as they
+    are used more than once and the cells should be parsed once.
     """
-    counted = (work or WorkFolder(df.sparkSession)).write(
-        _key_counts(_json_cells(df, columns, row_id, sample_rows)), "keys"
+    work = work or WorkFolder(df.sparkSession)
+    counted = work.write(
+        _key_counts(_json_cells(df, columns)), "keys"
     )
     profile = counted.where(F.col("key").isNull())
     share = F.format_string("%s: JSON detected (%d/%d rows)", "column", "json_rows", "total_rows")
@@ -183,12 +180,12 @@ def column_report(
     )
     found = counted.where(F.col("key").isNotNull()).select("column", "key")
     kinds = classify_keys(found, translate_keys, skip_keys)
+    order = ["column", "kind", "key"]
+    ranked = rank_rows(kinds.select(*order), order, work, "kinds")
     # At most three rows per column.
-    sizes = F.broadcast(kinds.groupBy("column", "kind").agg(F.count(F.lit(1)).alias("n")))
-    lines = F.ceil(F.col("n") / KEYS_PER_LINE)
-    parts = kinds.join(sizes, ["column", "kind"]).withColumn(
-        "part", F.pmod(F.xxhash64("key"), lines)
-    )
+    first = F.broadcast(ranked.groupBy("column", "kind").agg(F.min("rank").alias("first")))
+    part = F.expr(f"(rank - first) div {KEYS_PER_LINE}")
+    parts = ranked.join(first, ["column", "kind"]).withColumn("part", part)
     title = F.concat(F.upper(F.substring("kind", 1, 1)), F.expr("substring(kind, 2)"))
     listed = F.array_join(F.array_sort(F.collect_list("key")), ", ")
     key_lines = parts.groupBy("column", "kind", "part").agg(listed.alias("keys")).select(
@@ -230,7 +227,7 @@ def dataset_card(
     shown = df.drop(row_id) if row_id in df.columns else df
     stats = column_stats(shown, approx).orderBy("position").collect()
     samples = (
-        df.where(F.col(row_id) < 3).orderBy(row_id).select(*shown.columns).collect()
+        df.orderBy(row_id).limit(3).select(*shown.columns).collect()
         if row_id in df.columns
         else df.take(3)
     )

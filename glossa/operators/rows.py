@@ -82,6 +82,25 @@ def assign_row_id(
     return joined.select((F.col("base") + F.col("_index")).alias(ROW_ID), *df.columns)
 
 
+def rank_rows(df: DataFrame, order: list[str], work: WorkFolder, name: str) -> DataFrame:
+    """Add ``rank``, from 0 in the given order: ranges are sorted, then numbered apart."""
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    stored = work.write(ranges.withColumn("_id", F.monotonically_increasing_id()), name)
+    part = F.shiftrightunsigned("_id", 33)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        stored.groupBy(part.alias("_part"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    )
+    inside = F.col("_id") - F.shiftleft("_part", 33)
+    return (
+        stored.withColumn("_part", part)
+        .join(F.broadcast(starts), "_part")
+        .select(*df.columns, (F.col("_start") + inside).alias("rank"))
+    )
+
+
 def first_n(df: DataFrame, n: int | None, row_id: str = ROW_ID) -> DataFrame:
     """The first ``n`` rows in source order; None, 0 or less means all."""
     return df.where(F.col(row_id) < n) if n and n > 0 else df

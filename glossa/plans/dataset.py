@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
@@ -13,7 +13,7 @@ from glossa.functions.text import safe_name_of
 from glossa.operators.cells import chosen_columns, replace_columns
 from glossa.operators.rows import ROW_ID, rows_from
 from glossa.plans.jobs import job_states, remaining
-from glossa.plans.translate import FAILED, Engine, require_backend, translate_rows
+from glossa.plans.translate import FAILED, Engine, Stopped, require_backend, translate_rows
 from glossa.session import FileSystem, folder_value
 from glossa.settings import JobParams
 
@@ -91,9 +91,11 @@ def append_batch(
     run = engine.fresh()
     seen = Observation()
     counts = [F.count(F.lit(1)).alias("rows"), F.sum(FAILED).alias(FAILED)]
-    rows = translate_rows(todo, columns, run, row_id)
-    rows.observe(seen, *counts).write.mode("append").parquet(path)
-    run.work.drop()
+    try:
+        rows = translate_rows(todo, columns, run, row_id)
+        rows.observe(seen, *counts).write.mode("append").parquet(path)
+    finally:
+        run.work.drop()
     return seen.get
 
 
@@ -109,16 +111,19 @@ def translate_dataset(
     on_progress: Progress | None = None,
     retry_failed: bool = False,
     check_backend: bool = True,
+    should_stop: Callable[[], bool] | None = None,
 ) -> str:
     """Translate all rows that have no output yet; gives back the output folder.
 
-    ``batch_rows`` positions make a batch, whose output is committed as a whole;
-    with None, or positions that are no numbers, there is one batch. Either way
-    the engine commits what the backend gave it much more often, so a batch that is
-    run again makes few calls again. The memory is looked through once per batch:
-    make batches large. ``max_batches`` stops after so many. ``start_row`` replaces
-    the output from that row on, ``retry_failed`` that of rows in which a chunk
-    failed.
+    ``batch_rows`` rows make a batch, whose output is committed as a whole; with None
+    there is one batch. Either way the engine commits what the backend gave it much
+    more often, so a batch that is run again makes few calls again. The memory is
+    looked through once per batch: make batches large. ``max_batches`` stops after so
+    many, ``should_stop`` is asked before each batch and each commit within.
+
+    ``start_row`` replaces the output from that row on, ``retry_failed`` that of rows in
+    which a chunk failed. The rows are translated aside, and the output changes when all
+    of them are there; a run that stops before goes on when it is called again.
     """
     spark = df.sparkSession
     columns = chosen_columns(df, list(job.columns))
@@ -129,21 +134,44 @@ def translate_dataset(
     path = output_path(root, job)
     fs = FileSystem(spark, path)
     fs.recover(path)
-    if fs.has_data(path) and (start_row is not None or retry_failed):
-        done = stored_output(spark, path, df, job.columns)
-        kept = F.lit(True) if start_row is None else F.col(row_id) < start_row
-        _keep_only(spark, path, done.where(kept & (F.col(FAILED) == 0) if retry_failed else kept))
-    wanted = rows_from(df, start_row, row_id) if start_row else df
-    done = stored_output(spark, path, df, job.columns)
+    again = fs.has_data(path) and (start_row is not None or retry_failed)
+    wanted, target = rows_from(df, start_row, row_id) if start_row else df, path
+    if again:
+        before = stored_output(spark, path, df, job.columns)
+        old = F.lit(False) if start_row is None else F.col(row_id) >= start_row
+        kept = before.where(~(old | (F.col(FAILED) > 0)) if retry_failed else ~old)
+        # Rows that are not kept, and rows that had no output yet.
+        wanted = remaining(wanted, kept, row_id)
+        if start_row and retry_failed:
+            failed = before.where((F.col(row_id) < start_row) & (F.col(FAILED) > 0))
+            earlier = df.where(F.col(row_id) < start_row)
+            wanted = wanted.unionByName(earlier.join(failed.select(row_id), row_id, "left_semi"))
+        target = f"{path}.redo-{'' if start_row is None else start_row}-{int(retry_failed)}"
+    done = stored_output(spark, target, df, job.columns)
     batches, finished, total = _batches(wanted, done, row_id, batch_rows)
+
+    def told(commit: int, commits: int) -> None:
+        if on_progress:
+            on_progress(finished, total, f"{label}, commit {commit} of {commits}")
+
+    run = replace(engine, should_stop=should_stop or engine.should_stop, on_commit=told)
     for label, todo in batches[:max_batches]:
+        if run.should_stop and run.should_stop():
+            return path
         if on_progress:
             on_progress(finished, total, label)
-        finished += append_batch(todo, columns, engine, path, row_id)["rows"]
+        try:
+            finished += append_batch(todo, columns, run, target, row_id)["rows"]
+        except Stopped:
+            return path
         if on_progress:
             on_progress(finished, total, f"{label} done")
-    if not fs.has_data(path):
-        done.write.mode("append").parquet(path)
+    if not fs.has_data(target):
+        done.write.mode("append").parquet(target)
+    if again and (max_batches is None or len(batches) <= max_batches):
+        made = stored_output(spark, target, df, job.columns)
+        _keep_only(spark, path, kept.unionByName(made))
+        fs.delete(target)
     return path
 
 
@@ -152,14 +180,26 @@ def _batches(
 ) -> tuple[list[tuple[str, DataFrame]], int, int]:
     """Batches with rows to translate, rows that are done, and all rows.
 
-    Batches are compared by the number and a checksum of their row ids, so ids are
-    only joined in batches of which a part is done.
+    Positions without gaps are cut in ranges, which the statistics of a stored table
+    answer; other ids are dealt out by a hash, so that there are as many batches as
+    the number of rows asks for, whatever the ids are. Batches are compared by the
+    number and a checksum of their row ids, so ids are only joined in batches of which
+    a part is done.
     """
-    numbered = isinstance(df.schema[row_id].dataType, T.IntegralType)
-    number = F.floor(F.col(row_id) / F.lit(batch_rows)) if batch_rows and numbered else F.lit(0)
+    number = F.lit(0).cast("long")
+    low, dense = 0, False
+    if batch_rows:
+        many = df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+        if isinstance(df.schema[row_id].dataType, T.IntegralType) and many:
+            ends = df.agg(F.min(row_id).alias("low"), F.max(row_id).alias("high")).first()
+            low, dense = ends["low"], ends["high"] - ends["low"] + 1 == many
+        if dense:
+            number = F.expr(f"(`{row_id}` - {low}L) div {batch_rows}L")
+        else:
+            number = F.pmod(F.xxhash64(row_id), F.lit(max(1, -(-many // batch_rows))).cast("long"))
 
     def sums(rows: DataFrame, size: str, check: str) -> DataFrame:
-        return rows.groupBy(number.cast("long").alias("batch")).agg(
+        return rows.groupBy(number.alias("batch")).agg(
             F.count(F.lit(1)).alias(size), F.bit_xor(F.xxhash64(row_id)).alias(check)
         )
 
@@ -168,10 +208,10 @@ def _batches(
     batches, finished = [], 0
     rows = found.orderBy("batch").collect()
     for r in rows:
-        low = r["batch"] * (batch_rows or 0)
-        mine = F.lit(True)
-        if batch_rows and numbered:
-            mine = (F.col(row_id) >= low) & (F.col(row_id) < low + batch_rows)
+        mine = number == r["batch"] if batch_rows else F.lit(True)
+        if dense:
+            start = low + r["batch"] * batch_rows
+            mine = (F.col(row_id) >= start) & (F.col(row_id) < start + batch_rows)
         todo = df.where(mine)
         finished += r["done"] or 0
         if (r["n"], r["check"]) == (r["done"], r["done_check"]):

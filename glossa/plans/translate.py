@@ -10,6 +10,8 @@ chunks whose results were committed.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -55,10 +57,33 @@ class Engine:
     commit_chunks: int = COMMIT_CHUNKS
     broadcast_keys: int = BROADCAST_KEYS
     hot_min_rows: int = HOT_MIN_ROWS
+    # At most so many requests are open at a time, over all tasks; None sets no bound.
+    max_requests: int | None = None
+    # Asked before every commit of results; True stops the translation there.
+    should_stop: Callable[[], bool] | None = None
+    # Told after every commit: commits done, and all commits of the rows in hand.
+    on_commit: Callable[[int, int], None] | None = None
 
     def fresh(self) -> Engine:
-        """The same engine with a work folder of its own."""
-        return replace(self, work=WorkFolder(self.work.spark))
+        """The same engine with a work folder of its own, below this one's."""
+        return replace(self, work=WorkFolder(self.work.spark, self.work.root))
+
+    def tasks(self, chunks: int) -> int:
+        """Inference tasks for so many chunks; their requests stay within the bound."""
+        cores = self.work.spark.sparkContext.defaultParallelism
+        wanted = min(max(-(-chunks // self.chunks_per_task), cores), MAX_TASKS)
+        if self.max_requests is None:
+            return wanted
+        return min(wanted, max(1, self.max_requests // self.calls))
+
+    @property
+    def calls(self) -> int:
+        """Requests of one task at a time."""
+        return min(self.in_flight, self.max_requests or self.in_flight)
+
+
+class Stopped(RuntimeError):
+    """The translation was asked to stop; what was committed stays."""
 
 
 def make_engine(
@@ -81,7 +106,8 @@ def translated_pieces(leaves: DataFrame, engine: Engine) -> DataFrame:
         .drop("est_tokens", "path")
         .withColumn("key", chunk_key("chunk", params))
     )
-    stored = engine.work.write(chunks, "chunks")
+    # Results of one engine may be read in any order, so each call has its own table.
+    stored = engine.work.write(chunks, f"chunks-{uuid.uuid4().hex}")
     total = stored.count()
     few = total <= engine.broadcast_keys
     among = stored.select("key").distinct() if few else None
@@ -103,15 +129,15 @@ def _translate_missing(
         file = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(files))
         sliced = todo.withColumn("slice", F.pmod(F.xxhash64("key"), F.lit(slices)))
         spread = sliced.repartition(min(slices * files, MAX_TASKS), "slice", file)
-        parts = engine.work.write_slices(spread, "todo", "slice")
-    cores = chunks.sparkSession.sparkContext.defaultParallelism
-    for part in parts:
-        tasks = -(-min(total, engine.commit_chunks) // engine.chunks_per_task)
-        spread = part.repartition(min(max(tasks, cores), MAX_TASKS), "key")
-        results = translate_chunks(
-            spread, engine.backend, engine.params, in_flight=engine.in_flight
-        )
+        parts = engine.work.write_slices(spread, f"todo-{uuid.uuid4().hex}", "slice")
+    for i, part in enumerate(parts):
+        if engine.should_stop and engine.should_stop():
+            raise Stopped(f"stopped after {i} of {len(parts)} commits")
+        spread = part.repartition(engine.tasks(min(total, engine.commit_chunks)), "key")
+        results = translate_chunks(spread, engine.backend, engine.params, in_flight=engine.calls)
         engine.memory.append(results, engine.params)
+        if engine.on_commit:
+            engine.on_commit(i + 1, len(parts))
 
 
 def _cells(df: DataFrame, columns: list[str], row_id: str) -> DataFrame:

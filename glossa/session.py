@@ -86,6 +86,10 @@ class FileSystem:
         names = (s.getPath().getName() for s in found)
         return sorted(n for n in names if not n.startswith(("_", ".")))
 
+    def files(self, path: str) -> list[str]:
+        found = (s for s in self._fs.listStatus(self._path(path)) if s.isFile())
+        return sorted(s.getPath().getName() for s in found)
+
     def delete(self, path: str) -> bool:
         return self._fs.delete(self._path(path), True)
 

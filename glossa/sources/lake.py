@@ -7,7 +7,7 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from glossa.functions.text import safe_name_of
-from glossa.operators.rows import ROW_ID, first_n, scan_head
+from glossa.operators.rows import ROW_ID, scan_head
 from glossa.session import FileSystem, folder_value
 
 DEFAULT_SPLIT = "train"
@@ -37,7 +37,8 @@ def load_split(
     if not limit or limit <= 0:
         return df
     if ROW_ID in df.columns:
-        return first_n(df, limit)
+        # Positions may be those of the table the split was cut from.
+        return df.orderBy(ROW_ID).limit(limit)
     return scan_head(df, limit)
 
 

@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import uuid
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from glossa.operators.profile import dataset_card
+from glossa.session import FileSystem
 
 
 def publish_card(spark: SparkSession, text: str, target: str) -> str:
-    """Put the card beside the data, as one text file in a folder README.md."""
+    """Put the card beside the data, as the file README.md."""
     path = f"{target.rstrip('/')}/README.md"
+    aside = f"{target.rstrip('/')}/.README-{uuid.uuid4().hex}"
     card = spark.createDataFrame([(text,)], "value string").coalesce(1)
-    card.write.mode("overwrite").option("lineSep", "\n").text(path)
+    card.write.option("lineSep", "\n").text(aside)
+    fs = FileSystem(spark, target)
+    try:
+        (part,) = [n for n in fs.files(aside) if n.startswith("part-")]
+        fs.delete(path)
+        fs.rename(f"{aside}/{part}", path)
+    finally:
+        fs.delete(aside)
     return path
 
 
@@ -37,8 +49,11 @@ def publish(
     except AnalysisException as e:
         return False, f"table not found: {table} ({e.getCondition()})"
     data = f"{target.rstrip('/')}/data"
-    df.write.mode("overwrite").parquet(data)
-    stored = spark.read.schema(df.schema).parquet(data)
-    card = dataset_card(stored, target, source_dataset, language, row_id, approx)
-    publish_card(spark, card, target)
+    try:
+        df.write.mode("overwrite").parquet(data)
+        stored = spark.read.schema(df.schema).parquet(data)
+        card = dataset_card(stored, target, source_dataset, language, row_id, approx)
+        publish_card(spark, card, target)
+    except (PySparkException, Py4JJavaError, OSError) as e:
+        return False, f"could not publish: {type(e).__name__}: {str(e)[:500]}"
     return True, target

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from glossa.functions.text import safe_name_of
 from glossa.operators.cells import as_text
-from glossa.operators.rows import ROW_ID, assign_row_id, first_n
+from glossa.operators.rows import ROW_ID, assign_row_id, first_n, scan_head
 from glossa.session import FileSystem
 
 # Quotes inside a cell are doubled, cells may hold line breaks, blanks are kept.
@@ -89,8 +89,14 @@ def reslice_cached(
     fs = FileSystem(spark, path)
     fs.recover(path)
     saved = read_table(spark, path)
-    if n and n > 0 and not saved.where(F.col(row_id) >= n).isEmpty():
-        first_n(saved, n, row_id).write.mode("overwrite").parquet(f"{path}.new")
+    if not n or n <= 0:
+        return saved
+    if row_id in saved.columns:
+        cut, longer = first_n(saved, n, row_id), not saved.where(F.col(row_id) >= n).isEmpty()
+    else:
+        cut, longer = scan_head(saved, n), saved.count() > n
+    if longer:
+        cut.write.mode("overwrite").parquet(f"{path}.new")
         fs.replace(path, f"{path}.new")
         spark.catalog.refreshByPath(path)
         saved = read_table(spark, path)
@@ -100,39 +106,52 @@ def reslice_cached(
 def catalog(spark: SparkSession, root: str) -> DataFrame:
     """(name, path, columns, row_count) of every saved table, by name.
 
-    Rows of all tables are counted in one scan without data columns. A folder
-    that cannot be read is left out, with a warning.
+    Rows of all tables are counted in one scan without data columns. If that meets a
+    file it cannot read, they are counted one by one, and a table that cannot be read
+    is left out, with a warning. A CSV table counts where there is no Parquet of its name.
     """
     fs = FileSystem(spark, root)
-    found = []
-    for folder in fs.folders(root):
+    folders = fs.folders(root)
+    stored = {f.removesuffix(".parquet") for f in folders if f.endswith(".parquet")}
+    found: dict[str, tuple[str, list[str], str]] = {}
+    counts: dict[str, int] = {}
+    for folder in folders:
         path = f"{root.rstrip('/')}/{folder}"
-        if not folder.endswith(".parquet"):
-            continue
+        name, _, kind = folder.rpartition(".")
         try:
-            columns = spark.read.parquet(path).columns
-            found.append((folder.removesuffix(".parquet"), path, columns, fs.encoded(path)))
+            if kind == "parquet":
+                found[name] = (path, spark.read.parquet(path).columns, fs.encoded(path))
+            elif kind == "csv" and name not in stored:
+                table = read_table(spark, path)
+                found[name] = (path, table.columns, "")
+                counts[name] = table.count()
         except (PySparkException, Py4JJavaError) as e:
             warnings.warn(f"could not read {path}: {type(e).__name__}", stacklevel=2)
-    schema = "name string, path string, columns array<string>, folder string"
-    tables = spark.createDataFrame(found, schema)
-    if not found:
-        return tables.drop("folder").withColumn("row_count", F.lit(0).cast("long"))
-    counts = (
-        spark.read.schema(T.StructType([]))
-        .option("ignoreCorruptFiles", True)
-        .parquet(*(path for _, path, _, _ in found))
-        .select(
-            F.regexp_extract("_metadata.file_path", r"^(?:[^:/]+:(?://[^/]*)?)?(/.*)/[^/]+$", 1)
-            .alias("folder")
-        )
-        .groupBy("folder")
-        .agg(F.count(F.lit(1)).alias("row_count"))
+    names = {place: name for name, (_, _, place) in found.items() if place}
+    try:
+        counts |= _row_counts(spark, [found[n][0] for n in names.values()], names)
+    except (PySparkException, Py4JJavaError):
+        for place, name in names.items():
+            try:
+                counts |= _row_counts(spark, [found[name][0]], {place: name})
+            except (PySparkException, Py4JJavaError) as e:
+                del found[name]
+                warnings.warn(f"could not read {name}: {type(e).__name__}", stacklevel=2)
+    rows = [(n, path, columns, counts.get(n, 0)) for n, (path, columns, _) in sorted(found.items())]
+    return spark.createDataFrame(
+        rows, "name string, path string, columns array<string>, row_count long"
     )
-    return (
-        F.broadcast(tables)
-        .join(counts, "folder", "left")
-        .drop("folder")
-        .withColumn("row_count", F.coalesce("row_count", F.lit(0).cast("long")))
-        .orderBy("name")
+
+
+def _row_counts(spark: SparkSession, paths: list[str], names: dict[str, str]) -> dict[str, int]:
+    """Rows of each table by name; ``names`` has the names by folder."""
+    if not paths:
+        return {}
+    folder = r"^(?:[^:/]+:(?://[^/]*)?)?(/.*)/[^/]+$"
+    rows = (
+        spark.read.schema(T.StructType([]))
+        .parquet(*paths)
+        .groupBy(F.regexp_extract("_metadata.file_path", folder, 1).alias("folder"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
+    return {names[r["folder"]]: r["n"] for r in rows.collect()}

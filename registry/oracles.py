@@ -370,10 +370,35 @@ ORACLES: dict[str, str] = {
             ELSE '' END AS summary FROM ({DOC_JOBS})""",
     "resume_remaining": """SELECT doc_id, text, lang FROM documents
         WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
-    "start_override": f"""
-        SELECT doc_id, text FROM documents
-        WHERE doc_id < {START_ROW} AND doc_id IN (SELECT doc_id FROM labels)
-        UNION ALL SELECT doc_id, '[tr] ' || text FROM documents WHERE doc_id >= {START_ROW}""",
+    "start_override": f"""WITH RECURSIVE {chunk_ctes(
+            f"SELECT doc_id AS id, CASE WHEN doc_id >= {START_ROW} THEN 'new ' ELSE '' END || text AS txt FROM documents",
+            CHUNK_TOKENS)}, {translated_sql()}
+        SELECT id AS doc_id, tr AS text FROM translated""",
+    "translate_sparse_ids": f"""{TR_OF_TEXT}
+        SELECT 1152921504606846976 + doc_id * doc_id * 7 AS id, doc_id, tr AS text
+        FROM documents JOIN translated ON doc_id = id""",
+    "translate_stopped": f"""{TR_OF_TEXT}
+        SELECT doc_id, tr AS text, lang, source, n_chars
+        FROM documents JOIN translated ON doc_id = id""",
+    "two_results": f"""{TR_OF_TEXT}
+        SELECT doc_id, '[tr] ' || lang AS lang, txt AS source, tr AS translation
+        FROM documents JOIN src ON doc_id = src.id JOIN translated ON doc_id = translated.id""",
+    "load_split_limit": f"""SELECT doc_id AS row_id, text, source, n_chars FROM documents
+        WHERE lang = 'de' ORDER BY doc_id LIMIT {FIRST_ROWS}""",
+    "column_report_many_keys": """
+        WITH keys AS (
+            SELECT 'k' || o_orderkey AS key,
+                (row_number() OVER (ORDER BY 'k' || o_orderkey) - 1) // 200 AS part
+            FROM (SELECT DISTINCT o_orderkey FROM orders)
+        )
+        SELECT 'cell' AS "column", 0 AS section, 0::BIGINT AS part,
+            'cell: JSON detected (' || count(*) || '/' || count(*) || ' rows)' AS line FROM orders
+        UNION ALL
+        SELECT 'cell', 3, part::BIGINT, 'Untouched: ' || string_agg(key, ', ' ORDER BY key)
+        FROM keys GROUP BY part""",
+    "publish_card": card_sql("orders-tr", "orders", "o_orderkey", ORDER_COLUMNS),
+    "prompt_sent": prompt_sql("general"),
+    "prompt_sent_translation_model": prompt_sql("translation_model"),
     "estimate_tokens": f"""
         SELECT 'page-' || page_id AS id, {tokens_sql('html')} AS tokens FROM pages
         UNION ALL SELECT 'doc-' || doc_id, {tokens_sql('cell')} FROM ({GAPPY})""",
@@ -475,6 +500,6 @@ ORACLES: dict[str, str] = {
     "observe_metrics": f"""WITH RECURSIVE {chunk_ctes(DOC_TEXT, CHUNK_TOKENS)}
         SELECT (SELECT count(*) FROM documents) AS rows,
                count(*) FILTER ({FAILS}) AS failed_chunks FROM chunk""",
-    "canary": """SELECT count(*) AS row_count, 'Hello' AS chunk, '[tr] Hello' AS tgt,
-        'ok' AS status, 1 AS attempts FROM documents""",
+    "canary": """SELECT 'working' AS backend, count(*) AS written FROM documents
+        UNION ALL SELECT 'failing', 0""",
 }

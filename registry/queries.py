@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
+from dataclasses import replace
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from glossa.backends import FaultyBackend, StubBackend
+from glossa.backends import FatalBackendError, FaultyBackend, StubBackend
 from glossa.functions import jsoncell, text as tx
 from glossa.operators import cells, chunks, inference, leaves, profile, rows
 from glossa.plans import dataset, jobs, translate
@@ -14,6 +17,10 @@ from glossa.session import WorkFolder
 from glossa.settings import PROMPT_PRESETS, JobParams
 from glossa.sources import lake, publish, tables
 from glossa.streaming.incremental import translate_stream
+from registry.backends import TellingBackend
+
+# Backends of the queries go along with the tasks.
+cloudpickle.register_pickle_by_value(sys.modules["registry"])
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -123,6 +130,17 @@ def load_split(spark, sf_dir):
     )
 
 
+@query
+def load_split_limit(spark, sf_dir):
+    """The first rows of a split that was cut from a numbered table."""
+    work = WorkFolder(spark)
+    df = documents(spark, sf_dir).withColumnRenamed("doc_id", "row_id")
+    lake.write_splits(df, work.root, "web/docs", "lang")
+    return lake.load_split(spark, work.root, "web/docs", "de", FIRST_ROWS).select(
+        "row_id", "text", "source", "n_chars"
+    )
+
+
 @query
 def list_splits(spark, sf_dir):
     work = WorkFolder(spark)
@@ -254,30 +272,30 @@ def column_stats_text(spark, sf_dir):
 
 @query
 def json_profile(spark, sf_dir):
-    return profile.json_profile(table(spark, sf_dir, "events"), row_id="event_id")
+    return profile.json_profile(table(spark, sf_dir, "events"))
 
 
 @query
 def json_profile_mixed(spark, sf_dir):
-    return profile.json_profile(mixed(spark, sf_dir), ["cell"], row_id="turn_id")
+    return profile.json_profile(mixed(spark, sf_dir), ["cell"])
 
 
 @query
 def json_keys(spark, sf_dir):
     df = noted(spark, sf_dir)
-    found = profile.json_key_table(df, row_id="doc_id")
-    events = profile.json_key_table(table(spark, sf_dir, "events"), row_id="event_id")
+    found = profile.json_key_table(df)
+    events = profile.json_key_table(table(spark, sf_dir, "events"))
     return found.unionByName(events)
 
 
 @query
 def classify_keys(spark, sf_dir):
-    return profile.classify_keys(profile.json_key_table(noted(spark, sf_dir), row_id="doc_id"))
+    return profile.classify_keys(profile.json_key_table(noted(spark, sf_dir)))
 
 
 @query
 def column_report(spark, sf_dir):
-    return profile.column_report(noted(spark, sf_dir), row_id="doc_id")
+    return profile.column_report(noted(spark, sf_dir))
 
 
 @query
@@ -288,6 +306,25 @@ def dataset_card(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(card.split("\n"))), "line_no int, line string")
 
 
+@query
+def column_report_many_keys(spark, sf_dir):
+    """A column of documents that have as many keys as there are orders."""
+    key = F.concat(F.lit("k"), "o_orderkey")
+    orders = table(spark, sf_dir, "orders")
+    return profile.column_report(orders.select(F.to_json(F.create_map(key, F.lit(1))).alias("cell")))
+
+
+@query
+def publish_card(spark, sf_dir):
+    """The card of a published table, read back from its file."""
+    work = WorkFolder(spark)
+    df = table(spark, sf_dir, "orders")
+    card = profile.dataset_card(df, "orders-tr", "orders", row_id="o_orderkey")
+    path = publish.publish_card(spark, card, work.path("shared"))
+    text = spark.read.text(path, wholetext=True)
+    return text.select(F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+
+
 def _order_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as rows of five jobs, one per priority; finished orders are done."""
     orders = table(spark, sf_dir, "orders")
@@ -352,10 +389,63 @@ def resume_remaining(spark, sf_dir):
 
 @query
 def start_override(spark, sf_dir):
+    """Translated, then once more from a row on, of a table that has changed."""
+    job = dataset.Job("web/docs", "train", ("text",), SMALL_PARAMS)
+    run = engine(spark)
+    root = run.work.path("out")
     df = documents(spark, sf_dir).select("doc_id", "text")
-    done = df.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi")
-    new = df.withColumn("text", F.concat(F.lit("[tr] "), "text"))
-    return jobs.restarted_from(done, new, START_ROW, "doc_id")
+    dataset.translate_dataset(df, job, run, root, "doc_id")
+    changed = df.withColumn("text", F.concat(F.lit("new "), "text"))
+    dataset.translate_dataset(changed, job, run, root, "doc_id", start_row=START_ROW)
+    return spark.read.parquet(dataset.output_path(root, job)).drop(translate.FAILED)
+
+
+def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with ids around 2^60 that have gaps."""
+    far = F.lit(1 << 60) + F.col("doc_id") * F.col("doc_id") * 7
+    return documents(spark, sf_dir).select(far.alias("id"), "doc_id", "text")
+
+
+@query
+def translate_sparse_ids(spark, sf_dir):
+    """Ids with gaps in batches by count, stopped after one batch and finished."""
+    job = dataset.Job("web/sparse", "train", ("text",), SMALL_PARAMS)
+    run = engine(spark)
+    root = run.work.path("out")
+    df = sparse(spark, sf_dir)
+    more = {"row_id": "id", "batch_rows": df.count() // 2 + 1}
+    dataset.translate_dataset(df, job, run, root, max_batches=1, **more)
+    dataset.translate_dataset(df, job, run, root, **more)
+    return spark.read.parquet(dataset.output_path(root, job)).drop(translate.FAILED)
+
+
+@query
+def translate_stopped(spark, sf_dir):
+    """Stopped after the first commit of results, then finished."""
+    job = dataset.Job("web/docs", "train", ("text",), SMALL_PARAMS)
+    run = replace(engine(spark), commit_chunks=500, max_requests=4)
+    root = run.work.path("out")
+    df = documents(spark, sf_dir)
+    asked: list[int] = []
+
+    def stop() -> bool:
+        asked.append(1)
+        return len(asked) > 2
+
+    dataset.translate_dataset(df, job, run, root, "doc_id", should_stop=stop)
+    dataset.translate_dataset(df, job, run, root, "doc_id")
+    return spark.read.parquet(dataset.output_path(root, job)).drop(translate.FAILED)
+
+
+@query
+def two_results(spark, sf_dir):
+    """Two results of one engine, of which the first is read last."""
+    run = engine(spark)
+    df = documents(spark, sf_dir)
+    texts = translate.translate_plain(df, "text", run, "doc_id")
+    langs = translate.translate_plain(df, "lang", run, "doc_id")
+    said = langs.select("doc_id", F.col("translation").alias("lang"))
+    return said.join(texts, "doc_id")
 
 
 # ------------------------------------------------------- text and chunking
@@ -430,6 +520,28 @@ def render_prompt_translation_model(spark, sf_dir):
     return _prompts(spark, sf_dir, "translation_model")
 
 
+def _sent(spark: SparkSession, sf_dir: str, preset: str) -> DataFrame:
+    """The messages a backend gets for each document, as it tells them."""
+    system_prompt, template = PROMPT_PRESETS[preset]
+    params = JobParams(system_prompt=system_prompt, message_template=template)
+    df = documents(spark, sf_dir).select("doc_id", F.col("text").alias("chunk"))
+    told = inference.translate_chunks(df, TellingBackend(), params)
+    sent = F.from_json("tgt", "array<struct<role: string, content: string>>")
+    return told.select("doc_id", F.posexplode(sent).alias("pos", "m")).select(
+        "doc_id", "pos", "m.role", "m.content"
+    )
+
+
+@query
+def prompt_sent(spark, sf_dir):
+    return _sent(spark, sf_dir, "general")
+
+
+@query
+def prompt_sent_translation_model(spark, sf_dir):
+    return _sent(spark, sf_dir, "translation_model")
+
+
 def _any_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON, plain, blank and null cells, and JSON numbers, from four tables."""
     events = table(spark, sf_dir, "events").select(
@@ -662,7 +774,18 @@ def observe_metrics(spark, sf_dir):
 
 @query
 def canary(spark, sf_dir):
-    """One word is translated, and then as many rows as there are documents may start."""
-    reply = inference.canary_check(spark, StubBackend(), SMALL_PARAMS).first()
-    counted = profile.row_count(documents(spark, sf_dir))
-    return counted.withColumns({name: F.lit(reply[name]) for name in reply.asDict()})
+    """Rows a job wrote, with a backend that works and one that cannot translate a word."""
+    job = dataset.Job("web/docs", "train", ("lang",), SMALL_PARAMS)
+    df = documents(spark, sf_dir).select("doc_id", "lang")
+    found = []
+    for name, backend in (("working", StubBackend()), ("failing", FaultyBackend(soft="Hello"))):
+        run = engine(spark, backend)
+        root = run.work.path("out")
+        try:
+            dataset.translate_dataset(df, job, run, root, "doc_id")
+        except FatalBackendError:
+            pass
+        path = dataset.output_path(root, job)
+        rows = dataset.stored_output(spark, path, df, job.columns)
+        found.append(rows.agg(F.lit(name).alias("backend"), F.count("*").alias("written")))
+    return found[0].union(found[1])
