@@ -16,7 +16,8 @@ def publish_card(spark: SparkSession, text: str, target: str) -> str:
     """Put the card beside the data, as the file README.md."""
     path = f"{target.rstrip('/')}/README.md"
     aside = f"{target.rstrip('/')}/.README-{uuid.uuid4().hex}"
-    card = spark.createDataFrame([(text,)], "value string").coalesce(1)
+    # The writer ends the last line itself.
+    card = spark.createDataFrame([(text.removesuffix("\n"),)], "value string").coalesce(1)
     card.write.option("lineSep", "\n").text(aside)
     fs = FileSystem(spark, target)
     try:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import pytest
 from pyspark.sql import functions as F
 
+from glossa.operators.rows import first_n
 from glossa.operators import cells, profile
 
 
@@ -43,7 +46,7 @@ def test_json_profile_and_keys(spark):
     df = sample(spark)
     got = {r.column: (r.total_rows, r.json_rows) for r in profile.json_profile(df).collect()}
     assert got == {"cell": (5, 2), "label": (5, 0)}
-    first = profile.json_profile(df, sample_rows=1).where("column = 'cell'").first()
+    first = profile.json_profile(first_n(df, 1)).where("column = 'cell'").first()
     assert (first.total_rows, first.json_rows) == (1, 1)
     keys = profile.json_key_table(df)
     assert {tuple(r) for r in keys.collect()} == {("cell", k) for k in ("content", "role", "text")}
@@ -123,3 +126,27 @@ def test_unpivot_turns_nested_values_into_json(spark):
         ("n", "5"),
         ("t", None),
     }
+
+
+def test_a_long_value_is_not_its_digest(spark):
+    long = "x" * 100
+    digest = hashlib.sha256(long.encode()).hexdigest()
+    df = spark.createDataFrame([(long,), (digest,), ("#" + digest,), (long,)], "cell string")
+    assert profile.column_stats(df).first().distinct_values == 3
+
+
+def test_many_keys_are_listed_in_order(spark):
+    cell = json.dumps({f"k{i:03d}": 1 for i in range(500)})
+    lines = profile.column_report(spark.createDataFrame([(cell,)], "cell string"))
+    keys = [r.line for r in lines.where("section = 3").orderBy("part").collect()]
+    assert len(keys) == 3
+    assert ", ".join(k.removeprefix("Untouched: ") for k in keys) == ", ".join(
+        f"k{i:03d}" for i in range(500)
+    )
+
+
+@pytest.mark.parametrize("ids", [[100, 101, 102, 103], ["b", "a", "d", "c"]])
+def test_card_shows_the_first_rows_of_any_ids(spark, ids):
+    df = spark.createDataFrame([(i, f"cell-{i}") for i in ids]).toDF("row_id", "cell")
+    card = profile.dataset_card(df, "d", "src")
+    assert [f"cell-{i}" in card for i in sorted(ids)] == [True, True, True, False]

@@ -177,3 +177,44 @@ def test_publish(spark, folder):
     ok, why = publish.publish(spark, f"{folder}/gone.parquet", f"{folder}/out2", "org/src")
     assert not ok and "gone" in why
     assert publish.publish(spark, path, " ", "org/src") == (False, "no target given")
+
+
+def test_limit_of_a_split_of_a_numbered_table(spark, folder):
+    df = spark.range(30).select(
+        F.col("id").alias("row_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("split")
+    )
+    lake.write_splits(df, folder, "org/d", "split")
+    got = lake.load_split(spark, folder, "org/d", "a", 5)
+    assert sorted(r.row_id for r in got.collect()) == [0, 3, 6, 9, 12]
+
+
+def test_catalog_leaves_out_a_table_with_a_broken_file(spark, folder):
+    for name in ("good", "broken"):
+        tables.write_table(spark.range(10).repartition(2), folder, name, csv=name == "good")
+    parts = [p for p in os.listdir(f"{folder}/broken.parquet") if p.endswith(".parquet")]
+    with open(f"{folder}/broken.parquet/{parts[0]}", "wb") as f:
+        f.write(b"PAR1 nothing PAR1")
+    tables.write_csv(spark.range(4), f"{folder}/only.csv")
+    with pytest.warns(UserWarning, match="broken"):
+        rows = tables.catalog(spark, folder).collect()
+    assert [(r["name"], r["row_count"]) for r in rows] == [("good", 10), ("only", 4)]
+
+
+def test_reslice_of_a_table_without_positions(spark, folder):
+    tables.write_table(spark.range(50).coalesce(1), folder, "t")
+    assert tables.reslice_cached(spark, folder, "t", 7).count() == 7
+    assert tables.reslice_cached(spark, folder, "t", 20).count() == 7
+
+
+def test_publish_says_why_it_failed(spark, folder):
+    df = spark.range(3).withColumn("cell", F.raise_error(F.lit("no such cell")))
+    ok, why = publish.publish(spark, df, f"{folder}/out", "org/src")
+    assert not ok and "could not publish" in why
+
+
+def test_card_is_a_file(spark, folder):
+    path = publish.publish_card(spark, "# Card\n\ntext\n", folder)
+    publish.publish_card(spark, "# Card\n\nnew\n", folder)
+    with open(path, encoding="utf-8") as f:
+        assert f.read() == "# Card\n\nnew\n"
+    assert not [n for n in os.listdir(folder) if n.startswith(".README") and "crc" not in n]

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import sys
 import urllib.error
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 import pytest
@@ -336,7 +337,9 @@ def test_dataset_in_batches(spark, folder):
     )
     assert path == ds.output_path(folder, job())
     assert stored(spark, folder) == {i: f"[tr] row {i}" for i in range(20)}
-    assert [(d, t) for d, t, _ in seen] == [(0, 20), (8, 20), (8, 20), (16, 20), (16, 20), (20, 20)]
+    ends = [(d, t) for d, t, what in seen if "commit" not in what]
+    assert ends == [(0, 20), (8, 20), (8, 20), (16, 20), (16, 20), (20, 20)]
+    assert sum("commit 1 of 1" in what for _, _, what in seen) == 3
     assert ds.read_output(spark, folder, job()).columns == ["cell", "x"]
 
 
@@ -404,6 +407,76 @@ def test_failed_rows_are_tried_again_if_asked(spark, folder):
     assert stored(spark, folder)[3] == "[tr] row 3" and len(stored(spark, folder)) == 5
 
 
+def test_start_row_with_retry_loses_no_row(spark, folder):
+    bad = engine(spark, folder, FaultyBackend(soft="row 3"))
+    ds.translate_dataset(many(spark), job(), bad, folder)
+    good = engine(spark, folder)
+    ds.translate_dataset(many(spark), job(), good, folder, start_row=10, retry_failed=True)
+    assert stored(spark, folder) == {i: f"[tr] row {i}" for i in range(20)}
+    assert spark.read.parquet(ds.output_path(folder, job())).count() == 20
+
+
+@pytest.mark.parametrize("ids", ["(1L << 60) + id * id * 1000003", "xxhash64(id)", "id - 5"])
+def test_any_ids_in_batches(spark, folder, ids):
+    df = many(spark).withColumn("id", F.col("row_id")).withColumn("row_id", F.expr(ids.replace("1L << 60", "1152921504606846976L")))
+    e = engine(spark, folder)
+    seen = []
+    ds.translate_dataset(df.drop("id"), job(), e, folder, batch_rows=7, on_progress=lambda *a: seen.append(a))
+    got = stored(spark, folder)
+    assert got == {r.row_id: f"[tr] row {r.id}" for r in df.collect()}
+    assert len({what for _, _, what in seen if what.endswith("done")}) <= 3
+
+
+def test_output_stays_until_the_new_rows_are_there(spark, folder):
+    ds.translate_dataset(many(spark), job(), engine(spark, folder), folder)
+    new = many(spark).withColumn("cell", F.concat(F.lit("new "), "row_id"))
+    bad = engine(spark, folder, FaultyBackend(fatal="new 17"))
+    with pytest.raises(Exception, match="Failed to load model"):
+        ds.translate_dataset(new, job(), bad, folder, start_row=5, batch_rows=5)
+    assert stored(spark, folder) == {i: f"[tr] row {i}" for i in range(20)}
+    ds.translate_dataset(new, job(), engine(spark, folder), folder, start_row=5, batch_rows=5)
+    got = stored(spark, folder)
+    assert got == {i: f"[tr] {'row' if i < 5 else 'new'} {i}" for i in range(20)}
+
+
+def test_work_tables_of_a_failed_batch_are_dropped(spark, folder):
+    bad = engine(spark, folder, FaultyBackend(fatal="row 3"))
+    before = {p for p, _, names in os.walk(bad.work.root) if names}
+    with pytest.raises(Exception, match="Failed to load model"):
+        ds.translate_dataset(many(spark), job(), bad, folder)
+    assert {p for p, _, names in os.walk(bad.work.root) if names} == before
+
+
+def test_stop_signal_between_commits(spark, folder, counting):
+    e = engine(spark, folder, counting, commit_chunks=5)
+    asked = []
+
+    def stop():
+        asked.append(1)
+        return len(asked) > 2
+
+    path = ds.translate_dataset(many(spark), job(), e, folder, check_backend=False, should_stop=stop)
+    assert not os.path.exists(path) and 0 < counting.calls.value < 20
+    ds.translate_dataset(many(spark), job(), e, folder, check_backend=False)
+    assert stored(spark, folder) == {i: f"[tr] row {i}" for i in range(20)}
+    assert counting.calls.value == 20
+
+
+def test_requests_stay_within_the_bound(spark, folder):
+    e = engine(spark, folder, in_flight=4, chunks_per_task=1, max_requests=6)
+    assert e.tasks(1000) * e.calls <= 6
+    assert replace(e, max_requests=2).tasks(1000) * replace(e, max_requests=2).calls <= 2
+
+
+def test_two_results_of_one_engine(spark, folder):
+    e = engine(spark, folder)
+    first = tr.translate_plain(many(spark), "cell", e)
+    other = many(spark).withColumn("cell", F.concat(F.lit("other "), "row_id"))
+    second = tr.translate_plain(other, "cell", e)
+    assert second.count() == 20
+    assert {r.translation for r in first.collect()} == {f"[tr] row {i}" for i in range(20)}
+
+
 def test_numbers_and_nested_values_become_text(spark, folder):
     one = ds.Job("org/d", "train", ("n", "m"), QUICK)
     df = spark.range(6).selectExpr(
