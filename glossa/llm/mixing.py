@@ -28,7 +28,7 @@ from glossa.llm.common import ranked, word_count, work
 from glossa.session import WorkFolder
 
 #: Rows of a source that one task sorts.
-SLICE_ROWS = 20_000
+SLICE_ROWS = 2_000
 
 ADDED = ("size", "source_size", "target", "repeats", "taken")
 

@@ -29,7 +29,7 @@ from glossa.llm.common import work
 from glossa.llm.tokenize import encoded
 
 #: Pieces of one length whose ranks one task counts.
-SLICE_PIECES = 20_000
+SLICE_PIECES = 5_000
 
 PLAN = "length int, first long, bins long, copies int, base long, offset int"
 
