@@ -7,6 +7,7 @@ so these rows (about one in a thousand at the default limit) go through Python.
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
@@ -15,43 +16,78 @@ from glossa.functions.text import is_translatable, let, pack_chunks, split_bound
 from glossa.settings import BOUNDARIES, char_budget
 
 
-def cut(text: str) -> list[str]:
-    for pattern in BOUNDARIES:
-        parts = [p for p in re.split(pattern, text) if p.strip()]
-        if len(parts) > 1:
-            return parts
-    words = text.split()
-    middle = len(words) // 2
-    return [" ".join(words[:middle]), " ".join(words[middle:])] if middle else [text]
-
-
-def pack(parts: list[str], budget: int) -> list[str]:
-    runs: list[list[str]] = []
-    size = 0
-    for part in parts:
-        joined = size + 1 + len(part.rstrip())
-        if runs and joined <= budget:
-            runs[-1].append(part.rstrip())
-            size = joined
+_BOUNDARIES = [re.compile(b) for b in BOUNDARIES]
+_INK = re.compile(r"\S")
+
+#: A part of a text, by the places of its first sign and of the one behind its last.
+Span = tuple[int, int]
+
+
+def _spans(text: str, start: int, end: int) -> list[Span]:
+    """The parts between the coarsest boundaries that leave several; none if none does."""
+    for boundary in _BOUNDARIES:
+        edges = [start]
+        for gap in boundary.finditer(text, start, end):
+            edges += gap.span()
+        edges.append(end)
+        found = [s for s in zip(edges[::2], edges[1::2]) if _INK.search(text, *s)]
+        if len(found) > 1:
+            return found
+    return []
+
+
+def _runs(text: str, spans: list[Span], budget: int) -> list[list[Span]]:
+    """Neighbours that fit together, with one blank between them."""
+    runs: list[list[Span]] = []
+    room = -1
+    for start, end in spans:
+        tail = end - start - len(text[start:end].rstrip())
+        if runs and end - start - tail + 1 <= room:
+            room -= end - start - tail + 1
+            runs[-1].append((start, end - tail))
         else:
-            runs.append([part])
-            size = len(part) if len(part) > budget else len(part.lstrip())
-    return [run[0] if len(run) == 1 else " ".join(run).lstrip() for run in runs]
+            ink = _INK.search(text, start, end)
+            runs.append([(start, end)])
+            room = budget - (end - (ink.start() if ink and end - start <= budget else start))
+    return runs
+
+
+def _halves(words: list[str], budget: int) -> list[str]:
+    """Words in halves of halves, until they fit or are single."""
+    ends = [0, *accumulate(len(w) + 1 for w in words)]
+    done: list[str] = []
+    todo = [(0, len(words))]
+    while todo:
+        low, high = todo.pop()
+        if ends[high] - ends[low] - 1 <= budget or high - low == 1:
+            done.append(" ".join(words[low:high]))
+        else:
+            middle = low + (high - low) // 2
+            todo += [(middle, high), (low, middle)]
+    return done
 
 
 def deep_chunks(text: str, budget: int) -> list[str]:
-    """Cut and pack, and again for every piece still over the budget."""
+    """Chunks of a text; parts over the budget are cut at finer boundaries again.
+
+    Parts are places in the text until they are chunks, so none is copied on the way.
+    """
     if not text.strip():
         return [text]
     done: list[str] = []
-    open_pieces = [text]
-    while open_pieces:
-        piece = open_pieces.pop()
-        parts = cut(piece) if len(piece) > budget else [piece]
-        if len(parts) == 1:
-            done.append(piece)
+    todo: list[list[Span]] = [[(0, len(text))]]
+    while todo:
+        run = todo.pop()
+        (start, end), *others = run
+        if others:
+            done.append(" ".join(text[a:b] for a, b in run).lstrip())
+        elif end - start <= budget:
+            done.append(text[start:end])
+        elif spans := _spans(text, start, end):
+            todo += reversed(_runs(text, spans, budget))
         else:
-            open_pieces.extend(reversed(pack(parts, budget)))
+            words = text[start:end].split()
+            done += _halves(words, budget) if len(words) > 1 else [text[start:end]]
     return done
 
 

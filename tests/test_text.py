@@ -104,36 +104,6 @@ def test_chunks_of_examples(spark, text, max_tokens, want):
     assert deep_chunks(text, char_budget(max_tokens)) == want
 
 
-def by_the_rule(text: str, max_tokens: int) -> list[str]:
-    """The documented rule, spelled out as slowly as it reads."""
-
-    def fits(t):
-        return max(1, len(t) // 4) <= 0.75 * max_tokens
-
-    def cut(t):
-        for p in (r"(?<=[.!?])\s+", r"\n\n+", r"\n+", r"(?<=[;:])\s+", r"(?<=,)\s+"):
-            found = [x for x in re.split(p, t) if x.strip()]
-            if len(found) > 1:
-                return found
-        w = t.split()
-        return [t] if len(w) < 2 else [" ".join(w[: len(w) // 2]), " ".join(w[len(w) // 2 :])]
-
-    if not text.strip() or fits(text):
-        return [text]
-    out, held = [], None
-    for part in cut(text):
-        grown = part if held is None else f"{held} {part}".strip()
-        if fits(grown):
-            held = grown
-            continue
-        if held is not None:
-            out.append(held)
-        held = part if fits(part) else None
-        if held is None:
-            out += [part] if len(cut(part)) == 1 else by_the_rule(part, max_tokens)
-    return out if held is None else [*out, held]
-
-
 def random_texts(count: int, seed: int) -> list[str]:
     pick = random.Random(seed)
     words = ["a", "ab", "word", "größer", "😀", "x" * 30, "Ünï", "don't", "1,5"]
@@ -148,7 +118,8 @@ def random_texts(count: int, seed: int) -> list[str]:
 
 
 @pytest.mark.parametrize("max_tokens", [1, 2, 4, 8, 20, 64])
-def test_chunks_follow_the_rule(spark, max_tokens):
+def test_chunks_of_any_text(spark, max_tokens):
+    budget = char_budget(max_tokens)
     texts = random_texts(250, max_tokens)
     df = column(spark, texts).repartition(3)
     got: dict[int, list] = {}
@@ -158,11 +129,49 @@ def test_chunks_follow_the_rule(spark, max_tokens):
     alone = {r.id: r.c for r in native if r.c is not None}
     assert alone, "some texts stay in the JVM"
     for i, t in enumerate(texts):
-        want = by_the_rule(t, max_tokens)
-        assert [c for _, c in sorted(got[i])] == want, repr(t)
-        assert alone.get(i, want) == want, repr(t)
-        assert deep_chunks(t, char_budget(max_tokens)) == want
-        assert "".join("".join(want).split()) == "".join(t.split())
+        found = [c for _, c in sorted(got[i])]
+        assert " ".join(found).split() == t.split(), "no word is lost, split or moved"
+        assert deep_chunks(t, budget) == found, "Python and the JVM agree"
+        assert alone.get(i, found) == found
+        if t.strip() and len(t) > budget:
+            assert all(len(c) <= budget or len(c.split()) == 1 for c in found)
+            assert all(c.strip() for c in found)
+        else:
+            assert found == [t]
+
+
+def test_chunks_are_as_full_as_sentences_allow():
+    pick = random.Random(5)
+    for _ in range(100):
+        sentences = [f"{'ab ' * pick.randrange(1, 8)}end{i}." for i in range(40)]
+        budget = pick.randrange(40, 120)
+        chunks = deep_chunks(" ".join(sentences), budget)
+        left = iter(sentences)
+        for chunk, following in zip(chunks, [*chunks[1:], None]):
+            taken = []
+            while " ".join(taken) != chunk:
+                taken.append(next(left))
+            assert len(chunk) <= budget
+            if following:
+                first = following[: following.index(".") + 1]
+                assert len(f"{chunk} {first}") > budget
+
+
+@pytest.mark.parametrize(
+    "text, budget, want",
+    [
+        ("One. Two. Three.", 9, ["One. Two.", "Three."]),
+        ("aa bb\n\ncc dd\nee", 8, ["aa bb", "cc dd\nee"]),
+        ("a, b; c d e f", 7, ["a, b;", "c d e f"]),
+        ("one two three four five", 9, ["one two", "three", "four five"]),
+        ("  lead. tail  ", 7, ["  lead.", "tail  "]),
+        ("x" * 30 + " y", 10, ["x" * 30, "y"]),
+        ("a" + " " * 20 + "b", 10, ["a b"]),
+        ("one, two three four. Five.", 12, ["one,", "two", "three four.", "Five."]),
+    ],
+)
+def test_deep_chunks(text, budget, want):
+    assert deep_chunks(text, budget) == want
 
 
 def test_null_text_stays_null(spark):
