@@ -20,6 +20,14 @@ from glossa.settings import JobParams
 Progress = Callable[[int, int, str], None]
 
 
+# Records of the jobs that were started, beside their output.
+RECORDS = "_jobs"
+RECORD = (
+    "dataset_id string, split string, columns array<string>, source_lang string, "
+    "target_lang string, model string, total_rows long"
+)
+
+
 @dataclass(frozen=True)
 class Job:
     """Which columns of which split are translated, and how."""
@@ -65,6 +73,7 @@ def restart(spark: SparkSession, root: str, job: Job) -> None:
     fs = FileSystem(spark, path)
     fs.recover(path)
     fs.delete(path)
+    fs.delete(f"{root.rstrip('/')}/{RECORDS}/job={job.key}")
 
 
 def stored_output(
@@ -149,6 +158,8 @@ def translate_dataset(
         target = f"{path}.redo-{'' if start_row is None else start_row}-{int(retry_failed)}"
     done = stored_output(spark, target, df, job.columns)
     batches, finished, total = _batches(wanted, done, row_id, batch_rows)
+    if not again:
+        _write_record(spark, root, job, total)
 
     def told(commit: int, commits: int) -> None:
         if on_progress:
@@ -222,6 +233,43 @@ def _batches(
     return batches, finished, sum(r["n"] for r in rows)
 
 
+def _write_record(spark: SparkSession, root: str, job: Job, total: int) -> None:
+    """What has to be known of a job to find it from the output folder alone."""
+    p = job.params
+    record = (
+        job.dataset, job.split, list(job.columns), p.source_lang, p.target_lang, p.model, total
+    )
+    row = spark.createDataFrame([record], RECORD).withColumn("started_at", F.current_timestamp())
+    row.coalesce(1).write.mode("overwrite").json(f"{root.rstrip('/')}/{RECORDS}/job={job.key}")
+
+
+def found_states(spark: SparkSession, root: str) -> DataFrame:
+    """The states of all jobs whose output is below ``root``, from what is stored there.
+
+    One scan of the records and one of the output, which reads no data columns.
+    """
+    at = f"{root.rstrip('/')}/{RECORDS}"
+    kinds = f"{RECORD}, started_at timestamp, job string"
+    if not FileSystem(spark, at).folders(at):
+        records = spark.createDataFrame([], kinds)
+    else:
+        records = spark.read.schema(kinds).json(at)
+    if not [f for f in FileSystem(spark, root).folders(root) if f.startswith("dataset=")]:
+        done = spark.createDataFrame([], "job string, completed_rows long, updated_at timestamp")
+    else:
+        done = (
+            spark.read.schema("dataset string, split string, target_lang string, job string")
+            .parquet(root)
+            .select("job", F.col("_metadata.file_modification_time").alias("saved_at"))
+            .groupBy("job")
+            .agg(F.count(F.lit(1)).alias("completed_rows"), F.max("saved_at").alias("updated_at"))
+        )
+    zero = F.lit(0).cast("long")
+    return records.join(done, "job", "left").withColumn(
+        "completed_rows", F.coalesce("completed_rows", zero)
+    )
+
+
 def job_state(df: DataFrame, job: Job, root: str, row_id: str = ROW_ID) -> DataFrame:
     """The state record of one job."""
     path = output_path(root, job)

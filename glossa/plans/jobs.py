@@ -63,13 +63,17 @@ def latest_pending(
     return latest if saved is None else latest.join(saved.select(*by).distinct(), by, "left_semi")
 
 
-def with_progress(states: DataFrame) -> DataFrame:
-    """Add the share that is done, 0 for an empty job, and a status."""
+def with_progress(states: DataFrame, error: Column | None = None) -> DataFrame:
+    """Add the share that is done, 0 for an empty job, and a status.
+
+    ``error`` says of a job that is not complete that its last run ended with an error.
+    """
     done, total = F.col("completed_rows"), F.col("total_rows")
     return states.withColumns(
         {
             "progress": F.when(total > 0, done / total).otherwise(F.lit(0.0)),
             "status": F.when(done >= total, "completed")
+            .when(F.lit(False) if error is None else error, "error")
             .when(done > 0, "running")
             .otherwise("idle"),
         }

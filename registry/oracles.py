@@ -374,6 +374,24 @@ ORACLES: dict[str, str] = {
             f"SELECT doc_id AS id, CASE WHEN doc_id >= {START_ROW} THEN 'new ' ELSE '' END || text AS txt FROM documents",
             CHUNK_TOKENS)}, {translated_sql()}
         SELECT id AS doc_id, tr AS text FROM translated""",
+    "restart": f"""WITH RECURSIVE {chunk_ctes(
+            "SELECT doc_id AS id, 'new ' || text AS txt FROM documents", CHUNK_TOKENS
+        )}, {translated_sql()}
+        SELECT id AS doc_id, tr AS text FROM translated""",
+    "find_pending": """
+        WITH n AS (
+            SELECT count(*) AS rows,
+                count_if(doc_id < (SELECT max(doc_id) // 2 + 1 FROM documents))::BIGINT AS half
+            FROM documents
+        )
+        SELECT 'web/docs' AS dataset_id, 'train' AS split, 'source' AS columns,
+            rows AS total_rows, half AS completed_rows, true AS has_pending, 'running' AS status
+        FROM n
+        UNION ALL SELECT 'web/docs', 'train', 'lang', rows, rows, false, 'completed' FROM n""",
+    "import_states": """SELECT o_orderpriority AS dataset_id, 'train' AS split, 'text' AS columns,
+            count(*) AS total_rows, count_if(o_orderstatus = 'F')::BIGINT AS completed_rows,
+            -1::BIGINT AS last_saved_row
+        FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY o_orderpriority""",
     "translate_sparse_ids": f"""{TR_OF_TEXT}
         SELECT 1152921504606846976 + doc_id * doc_id * 7 AS id, doc_id, tr AS text
         FROM documents JOIN translated ON doc_id = id""",

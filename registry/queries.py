@@ -400,6 +400,60 @@ def start_override(spark, sf_dir):
     return spark.read.parquet(dataset.output_path(root, job)).drop(translate.FAILED)
 
 
+@query
+def restart(spark, sf_dir):
+    """Translated, forgotten, and translated again from a table that has changed."""
+    job = dataset.Job("web/docs", "train", ("text",), SMALL_PARAMS)
+    run = engine(spark)
+    root = run.work.path("out")
+    df = documents(spark, sf_dir).select("doc_id", "text")
+    dataset.translate_dataset(df, job, run, root, "doc_id")
+    dataset.restart(spark, root, job)
+    changed = df.withColumn("text", F.concat(F.lit("new "), "text"))
+    dataset.translate_dataset(changed, job, run, root, "doc_id")
+    return spark.read.parquet(dataset.output_path(root, job)).drop(translate.FAILED)
+
+
+@query
+def find_pending(spark, sf_dir):
+    """Jobs found from their output folder alone: one is half done, one is finished."""
+    run = engine(spark)
+    root = run.work.path("out")
+    df = documents(spark, sf_dir)
+    half = df.agg(F.max("doc_id")).first()[0] // 2 + 1
+    more = {"row_id": "doc_id", "batch_rows": half}
+    begun = dataset.Job("web/docs", "train", ("source",), SMALL_PARAMS)
+    dataset.translate_dataset(df, begun, run, root, max_batches=1, **more)
+    done = dataset.Job("web/docs", "train", ("lang",), SMALL_PARAMS)
+    dataset.translate_dataset(df, done, run, root, **more)
+    states = jobs.with_progress(jobs.with_pending(dataset.found_states(spark, root)))
+    return states.select(
+        "dataset_id", "split", F.array_join("columns", ",").alias("columns"), "total_rows",
+        "completed_rows", "has_pending", "status",
+    )
+
+
+@query
+def import_states(spark, sf_dir):
+    """Records of jobs, one for each priority of orders; one of them is broken."""
+    path = WorkFolder(spark).path("records")
+    record = F.to_json(
+        F.struct(
+            F.col("o_orderpriority").alias("dataset_id"), F.array(F.lit("text")).alias("columns"),
+            F.count("*").alias("total_rows"),
+            F.count_if(F.col("o_orderstatus") == "F").alias("completed_rows"),
+        )
+    )
+    found = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(record.alias("value"))
+    broken = F.when(F.col("o_orderpriority") == "5-LOW", F.lit("{not JSON")).otherwise(F.col("value"))
+    found.withColumn("value", broken).write.partitionBy("o_orderpriority").text(path)
+    states = jobs.import_states(spark, path)
+    return states.select(
+        "dataset_id", "split", F.array_join("columns", ",").alias("columns"), "total_rows",
+        "completed_rows", "last_saved_row",
+    )
+
+
 def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with ids around 2^60 that have gaps."""
     far = F.lit(1 << 60) + F.col("doc_id") * F.col("doc_id") * 7
