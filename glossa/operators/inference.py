@@ -135,10 +135,10 @@ def chunk_key(chunk: Column | str, params: JobParams) -> Column:
 def dedupe_chunks(chunks: DataFrame) -> DataFrame:
     """Distinct (key, chunk). Repeats are dropped before the shuffle already.
 
-    Grouping by the key alone leaves the rows where the join with the memory
-    wants them, so the texts are shuffled once.
+    Both are grouped by, as a text that is an aggregate would be sorted on either side
+    of the shuffle; equal keys have equal texts.
     """
-    return chunks.groupBy("key").agg(F.any_value("chunk").alias("chunk"))
+    return chunks.select("key", "chunk").distinct()
 
 
 class TranslationMemory:

@@ -617,3 +617,10 @@ def test_odd_answers_are_soft_errors(monkeypatch, answer):
     monkeypatch.setattr(backends.urllib.request, "urlopen", lambda call, timeout: Reply(answer))
     with pytest.raises(BackendError):
         ChatBackend("http://host").complete(ASK)
+
+
+def test_texts_are_not_sorted_to_find_repeats(spark):
+    chunks = spark.createDataFrame([("k", "text"), ("k", "text")], "key string, chunk string")
+    found = inference.dedupe_chunks(chunks)
+    assert found.count() == 1
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
