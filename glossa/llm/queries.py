@@ -175,9 +175,9 @@ def op7_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op7_voronoi_top_k"] = """
 WITH rows AS (
-    SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS v FROM embeddings
+    SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
     WHERE len(embedding) > 0
-        AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)
+        AND len([1 FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)
 ), ranked AS (
     SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score,
         row_number() OVER (
