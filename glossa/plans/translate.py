@@ -224,6 +224,8 @@ def translation_pairs(
     params = engine.params
     cells = _cells(spread_small(df, row_id), columns, row_id)
     leaves = leaf_table(cells, params.json_mode, params.translate_keys, params.skip_keys)
+    # Read twice, so stored: the cells are parsed once.
+    leaves = engine.work.write(leaves, f"leaves-{uuid.uuid4().hex}")
     at = [ROW, "column", "leaf_ord"]
     found = _whole(translated_pieces(leaves, engine), at, "target").where("target is not null")
     pairs = leaves.withColumnRenamed("text", "source").join(found, at)

@@ -624,3 +624,11 @@ def test_texts_are_not_sorted_to_find_repeats(spark):
     found = inference.dedupe_chunks(chunks)
     assert found.count() == 1
     assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_do_not_parse_the_table_again(spark, folder):
+    df = many(spark).withColumn("cell", F.lit('{"text": "hello there"}'))
+    pairs = tr.translation_pairs(df, ["cell"], engine(spark, folder))
+    assert pairs.count() == 20
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Range" not in plan and "Python" not in plan
