@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 
 from glossa.llm.common import worker_state
 
-#: Pieces a worker remembers in each of two generations; with their ids about 60 MB each.
-MEMORY = 300_000
+#: Pieces a worker remembers in each of two generations; with their ids about 80 MB each.
+MEMORY = 400_000
 
 #: Bytes of text encoded at once.
 BATCH_BYTES = 2_000_000
