@@ -17,13 +17,8 @@ the smallest on, each step against those not reached yet, and leave their task a
 the one that reached them: never all pairs.
 
 ``similar_documents`` looks for a similarity of shingles instead. Documents that share
-0.8 of their shingles differ in about 20 of 128 bits, which no ball around a fingerprint
-can reach. So it is cut in six bands of 21 bits, each band emits its variants within one
-bit, which meet if a band differs in at most two, and pairs that meet are verified on all
-128 bits. By the binomial law that finds 0.92 of the pairs with a similarity of exactly
-0.8, and 0.99 from 0.88 on. Texts of few shingles have too coarse votes for this and are
-linked within three bits of the 64 only. Bands of 21 bits suit some ten million documents;
-more need ``band_bits`` near the logarithm of their number, and lose recall with it.
+0.8 of their shingles differ in about 20 of 128 bits, as do many that share less, so bits
+cannot tell them apart: it joins the sets of shingles themselves, see ``shingle_join``.
 
 Defined cases: a null, empty or blank text has fingerprint zero and is linked like any
 other; with fewer words than a shingle the whole sequence is the only shingle; repeated
@@ -34,12 +29,12 @@ the ones added.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from glossa.llm import shingle_join
 from glossa.llm.common import work
 from glossa.llm.components import components
 from glossa.session import WorkFolder
@@ -56,10 +51,6 @@ VOTES = 200_000
 #: Up to so many fingerprints under one variant are compared in pairs.
 PAIRED = 16
 
-#: Bits of a band, and the shingles from which on bands are used.
-BAND_BITS = 21
-FEW_SHINGLES = 20
-
 ADDED = ("fingerprint", "component_id")
 
 
@@ -247,36 +238,6 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return _met(placed, ["_fp"], radius)
 
 
-def similar_links(distinct: DataFrame, radius: int, band_bits: int = BAND_BITS) -> DataFrame:
-    """(a, b): links between fingerprints (_fp, _fp1) of 128 bits that share a band variant."""
-    bands = 128 // band_bits
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        flips = np.array([0, *(1 << i for i in range(band_bits))], np.uint64)
-        for batch in batches:
-            low, high = (batch.column(c).to_numpy().view(np.uint64) for c in ("_fp", "_fp1"))
-            for band in range(bands):
-                at = band * band_bits
-                if at >= 64:
-                    value = high >> np.uint64(at - 64)
-                elif at + band_bits > 64:
-                    value = (low >> np.uint64(at)) | (high << np.uint64(64 - at))
-                else:
-                    value = low >> np.uint64(at)
-                value &= np.uint64((1 << band_bits) - 1)
-                key = (value[:, None] ^ flips) | np.uint64(band << band_bits)
-                columns = [key.ravel(), *(np.repeat(w, len(flips)) for w in (low, high))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c.view(np.int64)) for c in columns], names=["variant", "_fp", "_fp1"]
-                )
-
-    made = distinct.select("_fp", "_fp1").mapInArrow(run, "variant long, _fp long, _fp1 long")
-    placed = made.repartition("variant").sortWithinPartitions("variant")
-    return _met(placed, ["_fp", "_fp1"], radius)
-
-
 def _labelled(
     kept: DataFrame, distinct: DataFrame, found: DataFrame, folder: WorkFolder
 ) -> DataFrame:
@@ -315,26 +276,17 @@ def similar_documents(
     *,
     shingle: int = 5,
     similarity: float = 0.8,
-    band_bits: int = BAND_BITS,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """As ``near_duplicates``, by similarity of the shingles (Jaccard) as 128 bits show it.
-
-    Each different shingle of a text votes once. The bits of a pair differ by the angle
-    between the two sets of shingles; 1.5 deviations are
-    allowed on top of what is expected at the given similarity.
-    """
+    """As ``near_duplicates``, by similarity of the shingles (Jaccard); the fingerprint is
+    that of the whole set of shingles."""
     folder = work(docs.sparkSession)
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    radius = math.floor(128 * share + 1.5 * math.sqrt(128 * share * (1 - share)))
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kept = with_fingerprint(narrow, "text", shingle, (SEED, SEED + 1), repeats=False)
-    kept = folder.write(kept, "fingerprints")
-    distinct = kept.groupBy("_fp").agg(
-        F.min("doc_id").alias("_first"), F.min("_fp1").alias("_fp1"), F.max("_n").alias("_n")
-    )
+    made = folder.write(shingle_join.with_sets(narrow, "text", shingle), "fingerprints")
+    kept = made.filter("_block is null").select("doc_id", "_fp")
+    counted = made.filter("_block is not null").select("_block", "_counts")
+    distinct = kept.groupBy("_fp").agg(F.min("doc_id").alias("_first"))
     distinct = folder.write(distinct, "distinct")
-    coarse = F.col("_n") < FEW_SHINGLES
-    found = similar_links(distinct.filter(~coarse), radius, band_bits)
-    return _labelled(kept, distinct, found.union(links(distinct.filter(coarse))), folder)
+    found = shingle_join.similar_sets(narrow, "text", shingle, similarity, counted, folder)
+    return _labelled(kept, distinct, found, folder)
