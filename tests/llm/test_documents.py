@@ -449,3 +449,23 @@ def test_families_that_share_half_their_text_stay_apart(spark):
     found = similar_found(spark, rows)
     assert found == similar_by_hand(rows)
     assert all(found[i] == i for i in range(120))
+
+
+def test_short_copies_are_found_whatever_their_length(spark):
+    rng = random.Random(13)
+    vocabulary = [f"v{i}" for i in range(5_000)]
+    rows = []
+    for n in [5, 8, 10, 14, 20, 22, 23, 24, 25, 26] * 6:
+        body = [rng.choice(vocabulary) for _ in range(n)]
+        rows.append(" ".join(body))
+        rows.append(" ".join([*body, "appended"]))
+        rows.append(" ".join([*body, "two", "more"]))  # 19 shingles against 21
+        rows.append(" ".join([*body[:-1], "last"]))
+    rows += ["one", "One", "one two", "one  two", "", " "]
+    rows = list(enumerate(rows))
+    found = similar_found(spark, rows)
+    assert found == similar_by_hand(rows)
+    for i in range(0, 240, 4):
+        n = len(shingles(rows[i][1]))
+        assert (found[i + 1] == i) == (n / (n + 1) >= 0.8)
+        assert n != 19 or found[i + 2] == i
