@@ -285,8 +285,7 @@ def similar_documents(
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     made = folder.write(shingle_join.with_sets(narrow, "text", shingle), "fingerprints")
     kept = made.filter("_block is null").select("doc_id", "_fp")
-    counted = made.filter("_block is not null").select("_block", "_counts")
     distinct = kept.groupBy("_fp").agg(F.min("doc_id").alias("_first"))
     distinct = folder.write(distinct, "distinct")
-    found = shingle_join.similar_sets(narrow, "text", shingle, similarity, counted, folder)
+    found = shingle_join.similar_sets(narrow, "text", shingle, similarity, made, folder)
     return _labelled(kept, distinct, found, folder)
