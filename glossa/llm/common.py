@@ -37,6 +37,18 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def spare(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    made = []
+    for name in wanted:
+        free = f"_{name}"
+        while free in taken:
+            free = f"_{free}"
+        made.append(free)
+    return made
+
+
 def ranked(df: DataFrame, order: Sequence[str], folder: WorkFolder, name: str) -> DataFrame:
     """``df`` with ``rank``, from 0 in the order of the given columns.
 

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from glossa.llm import (
-    language_mix, learned_index, mixing, packing, quality_rules, secret_scan, simhash, substrings,
-    token_files, voronoi,
+    importance, language_mix, learned_index, line_dedup, mixing, packing, quality_rules, secret_scan,
+    simhash, substrings, token_files, voronoi, whitening,
 )
 from glossa.llm.common import table, work
 
@@ -196,3 +196,110 @@ def op8_learned_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learned_index.search(
         table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5
     )
+
+
+@query
+def op11_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of all documents without lines that ten or more of them hold."""
+    made = line_dedup.drop_repeated_lines(
+        table(spark, sf_dir, "documents"), min_documents=10, min_chars=1
+    )
+    return made.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op11_repeated_lines"] = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS cut
+    FROM documents
+), lines AS (
+    SELECT row, doc_id, unnest(cut) AS line, unnest(range(len(cut))) AS pos FROM docs
+), keyed AS (
+    SELECT *, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM lines
+), frequent AS (
+    SELECT key FROM keyed WHERE length(key) >= 1
+    GROUP BY key HAVING count(DISTINCT coalesce(doc_id::VARCHAR, 'none')) >= 10
+)
+SELECT k.doc_id, count(*)::BIGINT AS n_lines, count(f.key)::BIGINT AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (f.key IS NULL), '')) AS kept_sha256
+FROM keyed k LEFT JOIN frequent f ON k.key = f.key
+GROUP BY k.row, k.doc_id
+"""
+
+
+@query
+def op12_whitened_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings in 64ths, whitened along the 16 leading components."""
+    return whitening.whiten(
+        table(spark, sf_dir, "embeddings"), components=16,
+        component=lambda c: F.when(F.abs(64 * c) < 2.0**51, F.floor(64 * c).cast("double") + 1_000_000),
+    )
+
+
+@query
+def op13_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of all documents, drawn by how their words resemble the benchmark's."""
+    made = importance.resample(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
+        runs=1, buckets=10_000, percent=10, min_words=20, seed=2024,
+    )
+    return made.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+ORACLES["op13_importance_draw"] = r"""
+WITH RECURSIVE bits AS (
+    SELECT i, 0 AS step, i AS c FROM range(256) t(i)
+    UNION ALL
+    SELECT i, step + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END
+    FROM bits WHERE step < 8
+), remainders AS (
+    SELECT list(c ORDER BY i) AS of FROM bits WHERE step = 8
+), cut AS (
+    SELECT 'here' AS side, row_number() OVER () AS row, doc_id, text FROM documents
+    UNION ALL SELECT 'target', row_number() OVER (), NULL, text FROM benchmark
+), listed AS (
+    SELECT side, row, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM cut
+), counted AS (
+    SELECT side, row, word, count(*) AS n FROM (SELECT side, row, unnest(words) AS word FROM listed)
+    GROUP BY ALL
+), bytes AS (
+    SELECT word, list_transform(range(len(code) // 2), lambda i:
+        ('0x' || substr(code, 2 * i::INTEGER + 1, 2))::BIGINT) AS held
+    FROM (SELECT word, hex(encode(word)) AS code FROM (SELECT DISTINCT word FROM counted))
+), hashed AS (
+    SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, held), lambda c, b:
+        xor(c >> 8, of[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+    FROM bytes, remainders
+), placed AS (
+    SELECT side, row, bucket, sum(n) AS n FROM counted JOIN hashed USING (word) GROUP BY ALL
+), totals AS (
+    SELECT bucket, coalesce(sum(n) FILTER (side = 'here'), 0) AS s,
+        coalesce(sum(n) FILTER (side = 'target'), 0) AS t
+    FROM placed GROUP BY bucket
+), sums AS (
+    SELECT sum(s) AS all_s, sum(t) AS all_t FROM totals
+), gains AS (
+    SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (all_s + 10000)::DOUBLE
+        / ((s + 1)::DOUBLE * (all_t + 10000)::DOUBLE)))::BIGINT AS gain
+    FROM totals, sums
+), weights AS (
+    SELECT row, sum(n * gain)::BIGINT AS weight FROM placed JOIN gains USING (bucket)
+    WHERE side = 'here' GROUP BY row
+), scored AS (
+    SELECT l.row, l.doc_id, len(l.words)::BIGINT AS n_features, coalesce(w.weight, 0) AS weight,
+        coalesce(w.weight, 0) + floor(-1000 * ln(-ln((
+            ('0x' || substr(sha256('2024:' || coalesce(l.doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE
+        ) / 4294967296)))::BIGINT AS score
+    FROM listed l LEFT JOIN weights w ON l.row = w.row WHERE l.side = 'here'
+), ranked AS (
+    SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER () AS n
+    FROM scored WHERE n_features >= 20
+)
+SELECT s.doc_id, s.n_features, s.weight, s.score,
+    CASE WHEN r.place <= 10 * r.n // 100 THEN r.place END AS rank
+FROM scored s LEFT JOIN ranked r ON s.row = r.row
+"""
