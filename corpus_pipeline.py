@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kep
 the last return the columns of ``documents``:
 
 language     documents without a language (``und``) go; ``lang`` of the others stays
-near_copies  of the documents linked by pairs that share 0.8 or more of their different
-             five-word shingles (Jaccard), the smallest doc_id stays
+near_copies  of the documents whose fingerprints of three-word shingles are linked within
+             three bits, the smallest doc_id stays
 secrets      secrets are cut out of the texts, ``n_chars`` follows
 mixture      sources are brought to their target weights; a row stands for each epoch
 packing      pieces of at most 1024 tokens and their places in the packed sequences
@@ -46,7 +46,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows equal in doc_id are one document: all of them stay if the id stays. So do rows
     without an id, unless each is a copy of a document that has one.
     """
-    groups = simhash.similar_documents(docs, shingle=5, similarity=0.8)
+    groups = simhash.near_duplicates(docs, shingle=3, radius=3)
     kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = kept.select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(first, docs["doc_id"].eqNullSafe(first["_kept"]), "left_semi").select(*COLUMNS)
