@@ -239,7 +239,6 @@ def test_near_duplicates(docs, rows, none):
     want = [(r[0], f"{b:016x}", None if lowest[g][0] else lowest[g][1]) for r, b, g in zip(rows, bits, group)]
     assert sorted(map(str, (tuple(r) for r in found))) == sorted(map(str, want))
     assert simhash.near_duplicates(none).count() == 0
-    assert simhash.similar_documents(none).count() == 0
 
 
 def test_links_join_all_fingerprints_in_reach(spark):
@@ -276,26 +275,6 @@ def test_links_join_all_fingerprints_in_reach(spark):
     assert {s: roots.get(s, s) for s in signed} == want
 
 
-def test_similar_documents_catches_edited_copies_only(spark):
-    rng = random.Random(8)
-    vocabulary = [f"v{i}" for i in range(5_000)]
-    rows = []
-    for i in range(60):
-        body = [rng.choice(vocabulary) for _ in range(200)]
-        rows.append((2 * i, " ".join(body)))
-        for at in rng.sample(range(200), 2):
-            body[at] = "changed"
-        rows.append((2 * i + 1, " ".join(body)))
-    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(made).collect()}
-    assert all(found[2 * i] == 2 * i for i in range(60))
-    assert sum(found[2 * i + 1] == 2 * i for i in range(60)) >= 57
-    assert all(c in (d, d - d % 2) for d, c in found.items())
-
-
-ASSIGN = re.compile(secret_scan.ASSIGN)
-
-
 def test_secret_patterns(docs, rows, none):
     found = secret_scan.scan(docs)
     assert set(found.columns) == set(docs.columns)
@@ -398,74 +377,3 @@ def test_rules(spark, docs, none):
 def test_digest_of_kept_words(docs):
     r = substrings.parse(docs).select("kept", F.sha2("kept", 256).alias("h")).first()
     assert r["h"] == hashlib.sha256(r["kept"].encode()).hexdigest()
-
-
-def shingles(text, size=5):
-    w = (text or "").encode().lower().split()
-    return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or ({tuple(w)} if w else set())
-
-
-def similar_by_hand(rows, similarity=0.8):
-    sets = [shingles(t) for _, t in rows]
-    group = list(range(len(rows)))
-
-    def top(x):
-        while group[x] != x:
-            x = group[x]
-        return x
-
-    for a in range(len(rows)):
-        for b in range(a):
-            both, either = len(sets[a] & sets[b]), len(sets[a] | sets[b])
-            if both >= similarity * either - 1e-9:
-                x, y = top(a), top(b)
-                group[max(x, y)] = min(x, y)
-    return {i: rows[top(k)][0] for k, (i, _) in enumerate(rows)}
-
-
-def similar_found(spark, rows):
-    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    return {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(made).collect()}
-
-
-def test_families_that_share_half_their_text_stay_apart(spark):
-    rng = random.Random(12)
-    vocabulary = [f"v{i}" for i in range(5_000)]
-    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
-    rows = []
-    for share in (135, 150, 170, 180):  # of 200 words; Jaccard 0.50 to 0.81
-        passage = some(share)
-        rows += [" ".join(passage + some(200 - share)) for _ in range(60)]
-    for _ in range(40):  # copies in chains, near the threshold on both sides
-        body = some(120)
-        for _ in range(4):
-            rows.append(" ".join(body))
-            for at in rng.sample(range(120), rng.randrange(1, 5)):
-                body[at] = "changed"
-    copied = some(100)
-    for k in range(80):  # one large group of near copies
-        rows.append(" ".join(w if at != k else "other" for at, w in enumerate(copied)))
-    rows = list(enumerate(rows))
-    found = similar_found(spark, rows)
-    assert found == similar_by_hand(rows)
-    assert all(found[i] == i for i in range(120))
-
-
-def test_short_copies_are_found_whatever_their_length(spark):
-    rng = random.Random(13)
-    vocabulary = [f"v{i}" for i in range(5_000)]
-    rows = []
-    for n in [5, 8, 10, 14, 20, 22, 23, 24, 25, 26] * 6:
-        body = [rng.choice(vocabulary) for _ in range(n)]
-        rows.append(" ".join(body))
-        rows.append(" ".join([*body, "appended"]))
-        rows.append(" ".join([*body, "two", "more"]))  # 19 shingles against 21
-        rows.append(" ".join([*body[:-1], "last"]))
-    rows += ["one", "One", "one two", "one  two", "", " "]
-    rows = list(enumerate(rows))
-    found = similar_found(spark, rows)
-    assert found == similar_by_hand(rows)
-    for i in range(0, 240, 4):
-        n = len(shingles(rows[i][1]))
-        assert (found[i + 1] == i) == (n / (n + 1) >= 0.8)
-        assert n != 19 or found[i + 2] == i
