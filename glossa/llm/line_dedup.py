@@ -113,14 +113,15 @@ def drop_repeated_lines(
     folder = folder or work(docs.sparkSession)
     drops = repeated_positions(docs, doc_id, text, min_documents, min_chars, folder)
     names = [c for c in docs.columns if c.lower() not in ADDED]
-    lines, r1, r2 = spare(docs, "lines", "r1", "r2")
+    lines, r1, r2, d1, d2, at = spare(docs, "lines", "r1", "r2", "d1", "d2", "at")
+    drops = drops.toDF(d1, d2, at)
     first, second = _rows(doc_id, text)
     # The lines are cut below the join: above it, they would be cut again for each position.
     left = docs.withColumns({r1: first, r2: second, lines: lines_of(F.col(text))})
-    both = left.join(drops, (left[r1] == drops["_r1"]) & (left[r2] == drops["_r2"]), "left")
-    n, gone = F.size(lines), F.coalesce("_at", F.array().cast("array<int>"))
+    both = left.join(drops, (F.col(r1) == F.col(d1)) & (F.col(r2) == F.col(d2)), "left")
+    n, gone = F.size(lines), F.coalesce(at, F.array().cast("array<int>"))
     stay = F.array_except(F.sequence(F.lit(0), n - 1), gone)
-    kept = F.array_join(F.transform(stay, lambda at: F.get(lines, at)), "\n")
+    kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
     return both.select(
         *[F.col(f"`{c}`") for c in names], n.cast("long").alias("n_lines"),
         F.size(gone).cast("long").alias("n_dropped"), kept.alias("kept"),

@@ -27,12 +27,16 @@ def above(matrix: np.ndarray, shift: float) -> int:
     """
     a = matrix - shift * np.eye(len(matrix))
     positive = 0
+    nil = np.finfo(float).eps ** 2 * np.abs(a).max(initial=0)
     while len(a):
         n = len(a)
         column = np.abs(a[1:, 0])
         r = int(column.argmax()) + 1 if n > 1 else 0
         most = column[r - 1] if n > 1 else 0.0
         size = 1
+        if max(abs(a[0, 0]), most) <= nil:
+            a = a[1:, 1:]
+            continue
         if abs(a[0, 0]) < _ALPHA * most:
             other = np.abs(a[r])
             other[r] = 0
@@ -45,15 +49,15 @@ def above(matrix: np.ndarray, shift: float) -> int:
                     a[:, [to, r]] = a[:, [r, to]]
         if size == 2:
             positive += 1
-            below = a[2:, :2]
-            a = a[2:, 2:] - below @ np.linalg.solve(a[:2, :2], below.T)
+            (p, q), (_, r) = a[:2, :2].tolist()
+            x, y = a[2:, 0], a[2:, 1]
+            both = np.outer(x, y)
+            rest = r * np.outer(x, x) - q * (both + both.T) + p * np.outer(y, y)
+            a = a[2:, 2:] - rest / (p * r - q * q)
         else:
             positive += int(a[0, 0] > 0)
             below = a[1:, 0]
-            if a[0, 0]:
-                a = a[1:, 1:] - np.outer(below, below / a[0, 0])
-            else:
-                a = a[1:, 1:]
+            a = a[1:, 1:] - np.outer(below, below) / a[0, 0]
     return positive
 
 

@@ -80,9 +80,9 @@ class Whitening:
 
 
 def usable(df: DataFrame, vec_id: str, vector: str, component: Callable[[Column], Column]) -> DataFrame:
-    """(vec_id, v): vectors of whole numbers, as longs."""
+    """(vec_id, v): vectors of one whole number or more, as longs."""
     rows = df.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("v"))
-    rows = rows.filter(F.col("v").isNotNull())
+    rows = rows.filter(F.size("v") > 0)
     rows = rows.withColumn("v", F.transform("v", lambda c: component(c.cast("double"))))
     good = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < 2.0**52))
     return rows.filter(good).withColumn("v", F.transform("v", lambda c: c.cast("long")))
@@ -168,7 +168,7 @@ def _sums(rows: DataFrame) -> dict[int, tuple[int, list[int]]]:
 
 def fit(rows: DataFrame, components: int, folder: WorkFolder) -> dict[int, Whitening]:
     """A whitening for each length among the distinct vectors of ``rows``."""
-    once = folder.write(rows.filter(F.size("v") > 0).select("v").distinct(), "distinct")
+    once = folder.write(rows.select("v").distinct(), "distinct")
     once = once.select(F.lit(0).cast("long").alias("vec_id"), "v")
     import numpy as np
 
