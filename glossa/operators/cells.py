@@ -10,6 +10,18 @@ from glossa.functions.text import double_text, is_translatable
 COMPLEX = (T.ArrayType, T.MapType, T.StructType)
 
 
+def spare(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of ``df`` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    made = []
+    for name in wanted:
+        free = f"_{name}"
+        while free in taken:
+            free = f"_{free}"
+        made.append(free)
+    return made
+
+
 def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
 

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import re
+from functools import reduce
 
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from glossa.operators.cells import spare
 from glossa.session import FileSystem, WorkFolder
 
 ROW_ID = "row_id"
 
-# Positions of one file are given out in blocks, so that a join which adds them
-# never has one large file as a single key.
-BLOCK_ROWS = 1 << 20
-
-# So many files are summed in one window, and their offsets sent to all
-# executors: some 20 MB. More files take the ways that grow with the cluster.
+# So many files are summed in one window.
 SMALL_FILE_COUNT = 100_000
-HEAD_FILES = 1000
+
+# Offsets of so many files are sent to all executors at once, as hash and position: some
+# 40 MB. A table of more files, over 100 TB, is read in as many ranges of file names.
+FILES_PER_SCAN = 1_000_000
+
+# Slices of a range of positions that are counted at once.
+SLICES = 4096
 
 # Tables up to this size are worth a shuffle to get all cores to work.
 SMALL_TABLE_BYTES = 1 << 30
@@ -34,52 +39,99 @@ def _offsets_by_window(files: DataFrame) -> DataFrame:
     return files.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
 
-def _offsets_by_range(spark: SparkSession, files: DataFrame, work: WorkFolder) -> DataFrame:
-    """Running sums inside ranges of file names, on top of the sums of the ranges."""
-    ranged = files.repartitionByRange(spark.sparkContext.defaultParallelism * 4, "file")
+def _offsets_by_range(
+    spark: SparkSession, files: DataFrame, work: WorkFolder, ranges: int
+) -> DataFrame:
+    """Running sums inside ranges of file names, on top of the sums of the ranges; stored."""
+    ranged = files.repartitionByRange(ranges, "file")
     stored = work.write(ranged.withColumn("part", F.spark_partition_id()), "file_ranges")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = stored.groupBy("part").agg(F.sum("n").alias("size")).select(
         "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start")
     )
     inside = Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    return (
+    offsets = (
         stored.withColumn("inner", F.coalesce(F.sum("n").over(inside), F.lit(0)))
         .join(F.broadcast(parts), "part")
-        .select("file", "n", (F.col("start") + F.col("inner")).alias("base"))
+        .select("part", "file", (F.col("start") + F.col("inner")).alias("base"))
+    )
+    return work.write(offsets, "file_offsets")
+
+
+def _name_ranges(offsets: DataFrame, files_per_scan: int) -> list[tuple[str, str]]:
+    """First and last names of runs of ranges with about so many files."""
+    parts = offsets.groupBy("part").agg(
+        F.count(F.lit(1)).alias("n"), F.min("file").alias("first"), F.max("file").alias("last")
     )
+    runs: list[list] = []
+    for part in parts.orderBy("part").collect():  # a few for each core of the cluster
+        if runs and runs[-1][0] + part["n"] <= files_per_scan:
+            runs[-1][0] += part["n"]
+            runs[-1][2] = part["last"]
+        else:
+            runs.append([part["n"], part["first"], part["last"]])
+    return [(first, last) for _, first, last in runs]
+
+
+def _telling_hash(offsets: DataFrame) -> int:
+    """A number that, hashed with the names, tells all files apart."""
+    for seed in range(100):
+        named = F.xxhash64(F.lit(seed), "file")
+        sums = offsets.select(named.alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+        if sums.where(F.col("n") > 1).isEmpty():
+            return seed
+    raise RuntimeError("no hash tells the files apart")
+
+
+def file_path() -> Column:
+    return F.col("_metadata.file_path")
 
 
 def assign_row_id(
-    df: DataFrame, small_file_count: int = SMALL_FILE_COUNT, work: WorkFolder | None = None
+    df: DataFrame,
+    small_file_count: int = SMALL_FILE_COUNT,
+    work: WorkFolder | None = None,
+    files_per_scan: int = FILES_PER_SCAN,
 ) -> DataFrame:
     """Number the rows of a Parquet table in file order, from 0 without gaps.
 
     ``df`` must be a scan, with at most filters on partition columns. Row counts
-    per file come from a scan without data columns; no row is shuffled as long
-    as the offsets of all files fit into one broadcast.
+    per file come from a scan without data columns. No row is shuffled: the offsets
+    of up to ``files_per_scan`` files are sent to where these files are read, and a
+    table of more files is the union of scans of as many.
     """
     spark = df.sparkSession
-    placed = df.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.row_index").alias("_index"),
-    )
     files = _rows_per_file(df)
-    if len(df.inputFiles()) <= small_file_count:
-        bases = F.broadcast(_offsets_by_window(files).select(F.col("file").alias("_file"), "base"))
-        joined = placed.join(bases, "_file")
+    many = len(df.inputFiles())
+    if many <= small_file_count:
+        offsets = _offsets_by_window(files)
+        return _numbered(df, offsets, file_path(), F.col("file"))
+    ranges = max(spark.sparkContext.defaultParallelism * 4, -(-2 * many // files_per_scan))
+    offsets = _offsets_by_range(spark, files, work or WorkFolder(spark), ranges)
+    seed = F.lit(_telling_hash(offsets))
+    runs = _name_ranges(offsets, files_per_scan)
+    if len(runs) <= 1:
+        scans = [(df, offsets)]
     else:
-        offsets = _offsets_by_range(spark, files, work or WorkFolder(spark))
-        last = F.floor((F.col("n") - 1) / F.lit(BLOCK_ROWS))
-        bases = offsets.select(
-            F.col("file").alias("_file"),
-            "base",
-            F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_block"),
-        )
-        block = F.floor(F.col("_index") / F.lit(BLOCK_ROWS))
-        joined = placed.withColumn("_block", block).join(bases, ["_file", "_block"])
-    return joined.select((F.col("base") + F.col("_index")).alias(ROW_ID), *df.columns)
+        scans = [
+            (df.where(file_path().between(*run)), offsets.where(F.col("file").between(*run)))
+            for run in runs
+        ]
+    numbered = [
+        _numbered(scan, mine, F.xxhash64(seed, file_path()), F.xxhash64(seed, "file"))
+        for scan, mine in scans
+    ]
+    return reduce(DataFrame.union, numbered)
+
+
+def _numbered(df: DataFrame, offsets: DataFrame, here: Column, there: Column) -> DataFrame:
+    """Rows with the offset of their file, found by equal names, and their place in it."""
+    file, index, base = spare(df, "file", "index", "base")
+    bases = F.broadcast(offsets.select(there.alias(file), F.col("base").alias(base)))
+    placed = df.select("*", here.alias(file), F.col("_metadata.row_index").alias(index))
+    return placed.join(bases, file).select(
+        (F.col(base) + F.col(index)).alias(ROW_ID), *(F.col(f"`{c}`") for c in df.columns)
+    )
 
 
 def rank_rows(df: DataFrame, order: list[str], work: WorkFolder, name: str) -> DataFrame:
@@ -109,15 +161,57 @@ def first_n(df: DataFrame, n: int | None, row_id: str = ROW_ID) -> DataFrame:
 def scan_head(df: DataFrame, n: int) -> DataFrame:
     """The first ``n`` rows of a Parquet table without positions, reading few files.
 
-    Files are skipped as long as a thousand of them hold the rows; beyond that the
-    rows are chosen by position alone.
+    Files are counted in the order of their names, one, then two, then four, until there
+    are enough rows; no later file is opened.
     """
-    if len(df.inputFiles()) <= SMALL_FILE_COUNT:
-        needed = _offsets_by_window(_rows_per_file(df)).where(F.col("base") < n)
-        names = [r["file"] for r in needed.select("file").take(HEAD_FILES + 1)]
-        if len(names) <= HEAD_FILES:
-            df = df.where(F.col("_metadata.file_path").isin(names))
-    return first_n(assign_row_id(df), n).drop(ROW_ID)
+    # Scans spell a scheme without a host with one slash.
+    names = sorted({re.sub(r"^([\w+.-]+):///", r"\1:/", name) for name in df.inputFiles()})
+    at, size, rows, last = 0, 1, 0, None
+    while at < len(names) and rows < n:
+        run = names[at : at + size]
+        counted = _rows_per_file(df.where(file_path().between(run[0], run[-1])))
+        for file in counted.orderBy("file").collect():  # a part of the list of names
+            if rows < n:
+                rows, last = rows + file["n"], file["file"]
+        at, size = at + size, size * 2
+    if last is None:
+        return df.limit(0)
+    return first_n(assign_row_id(df.where(file_path() <= last)), n).drop(ROW_ID)
+
+
+def lowest(df: DataFrame, n: int, order: str = ROW_ID) -> DataFrame:
+    """The ``n`` rows with the lowest values of a whole number, nulls first.
+
+    The value to cut at is found by counts of slices, each time of the one slice that has
+    it, so a handful of passes over one column and a filter do, and no sort. Of rows that
+    are equal in the value to cut at, any are taken.
+    """
+    c = F.col(f"`{order}`")
+    ends = df.agg(
+        F.min(c).alias("low"), F.max(c).alias("high"), F.count(c).alias("valued"),
+        F.count(F.lit(1)).alias("rows"),
+    ).first()
+    if ends["rows"] <= n:
+        return df
+    before = ends["rows"] - ends["valued"]
+    if before >= n:
+        return df.where(c.isNull()).limit(n)
+    low, high = int(ends["low"]), int(ends["high"])
+    while low < high:
+        width = -(-(high - low + 1) // SLICES)
+        place = F.expr(f"(cast(`{order}` as decimal(20, 0)) - ({low})) div {width}")
+        slices = df.where(c.between(low, high)).groupBy(place.alias("slice"))
+        counts = slices.agg(F.count(F.lit(1)).alias("n")).orderBy("slice").collect()
+        for found in counts:  # at most SLICES rows
+            if before + found["n"] >= n:
+                break
+            before += found["n"]
+        low += found["slice"] * width
+        high = min(high, low + width - 1)
+        if before + found["n"] == n:
+            return df.where(c.isNull() | (c <= high))
+    less = df.where(c.isNull() | (c < low))
+    return less.union(df.where(c == low).limit(n - before))
 
 
 def rows_from(df: DataFrame, start: int, row_id: str = ROW_ID) -> DataFrame:

@@ -7,7 +7,7 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from glossa.functions.text import safe_name_of
-from glossa.operators.rows import ROW_ID, scan_head
+from glossa.operators.rows import ROW_ID, lowest, scan_head
 from glossa.session import FileSystem, folder_value
 
 DEFAULT_SPLIT = "train"
@@ -38,7 +38,7 @@ def load_split(
         return df
     if ROW_ID in df.columns:
         # Positions may be those of the table the split was cut from.
-        return df.orderBy(ROW_ID).limit(limit)
+        return lowest(df, limit)
     return scan_head(df, limit)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,12 +75,41 @@ def files_of_rows(spark, folder, sizes):
     return spark.read.parquet(path)
 
 
-@pytest.mark.parametrize("small", [100_000, 0])
-def test_row_ids_count_on_over_files(spark, folder, small, monkeypatch):
-    monkeypatch.setattr(rw, "BLOCK_ROWS", 7)
-    df = files_of_rows(spark, folder, [5, 0, 20, 1, 9])
-    got = rw.assign_row_id(df, small_file_count=small, work=WorkFolder(spark, folder))
+@pytest.mark.parametrize("small, per_scan", [(100_000, 1), (0, 1_000_000), (0, 1), (0, 2)])
+def test_row_ids_count_on_over_files(spark, folder, small, per_scan):
+    df = files_of_rows(spark, f"{folder}/a b%20ü", [5, 0, 20, 1, 9])
+    work = WorkFolder(spark, folder)
+    got = rw.assign_row_id(df, small_file_count=small, work=work, files_per_scan=per_scan)
     assert sorted((r.row_id, r.n) for r in got.collect()) == [(i, i) for i in range(35)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    if not small:
+        assert "Exchange" not in plan.replace("BroadcastExchange", "")
+        assert "BroadcastHashJoin" in plan and ("Union" in plan) == (per_scan < 4)
+
+
+def test_row_ids_beside_columns_of_any_name(spark, folder):
+    df = files_of_rows(spark, folder, [3, 4])
+    df.select("n", *(F.lit("x").alias(c) for c in ("_file", "_INDEX", "_base", "file"))).coalesce(1).write.parquet(
+        f"{folder}/names"
+    )
+    named = spark.read.parquet(f"{folder}/names")
+    for small in (100, 0):
+        got = rw.assign_row_id(named, small_file_count=small, work=WorkFolder(spark, folder))
+        assert got.columns == ["row_id", *named.columns]
+        assert sorted(r.row_id for r in got.collect()) == list(range(7))
+
+
+def test_hash_of_names_is_changed_until_it_tells_them_apart(spark, monkeypatch):
+    names = spark.createDataFrame([(f"f{i}",) for i in range(4)], "file string")
+    assert rw._telling_hash(names) == 0
+    real, asked = F.xxhash64, []
+
+    def poor(seed, name):
+        asked.append(seed)
+        return real(seed, name) % (1 if len(asked) < 3 else 1 << 40)
+
+    monkeypatch.setattr(rw.F, "xxhash64", poor)
+    assert rw._telling_hash(names) == 2
 
 
 def test_first_rows(spark, folder):
@@ -91,10 +122,42 @@ def test_first_rows(spark, folder):
 
 
 def test_head_reads_only_the_files_it_needs(spark, folder):
-    df = files_of_rows(spark, folder, [4, 4, 4, 4])
+    df = files_of_rows(spark, folder, [4, 0, 4, 4, 4])
+    for n in (1, 4, 5, 6, 8, 16, 99):
+        assert sorted(r.n for r in rw.scan_head(df, n).collect()) == list(range(min(n, 16)))
     head = rw.scan_head(df, 6)
-    assert sorted(r.n for r in head.collect()) == list(range(6))
     assert "file_path" in head._jdf.queryExecution().optimizedPlan().toString()
+    assert rw.scan_head(df.where("false"), 3).count() == 0
+
+
+def test_head_opens_no_files_beyond_those_it_counts(spark, folder):
+    """Of 2,000 files all but the first 20 are broken, so opening one more would fail."""
+    os.makedirs(f"{folder}/many files")
+    for i in range(2_000):
+        path = f"{folder}/many files/f{i:05}.parquet"
+        if i < 20:
+            pq.write_table(pa.table({"n": pa.array([i], pa.int64())}), path)
+        else:
+            with open(path, "wb") as f:
+                f.write(b"PAR1 nothing PAR1")
+    df = spark.read.schema("n long").parquet(f"{folder}/many files")
+    assert sorted(r.n for r in rw.scan_head(df, 10).collect()) == list(range(10))
+
+
+@pytest.mark.parametrize("slices", [2, 3, 4096])
+def test_lowest_rows_without_a_sort(spark, monkeypatch, slices):
+    monkeypatch.setattr(rw, "SLICES", slices)
+    values = [None, None, -(2**63), 2**63 - 1, *range(-50, 50, 3), 7, 7, 7, 0, 2**40]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "row_id long, n long").repartition(3)
+    order = sorted((v is not None, v or 0) for v in values)
+    for n in (1, 2, 3, 4, 20, 22, 23, 24, 25, len(values) - 1, len(values), 999):
+        cut = rw.lowest(df, n)
+        got = sorted((r.row_id is not None, r.row_id or 0) for r in cut.collect())
+        assert got == order[:n]
+    unique = rw.lowest(df.where("n between 4 and 30"), 9)
+    plan = unique._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Sort", "Limit", "SinglePartition"))
+    assert rw.lowest(df.limit(0), 3).count() == 0
 
 
 def test_small_tables_of_few_files_are_spread(spark, folder, monkeypatch):
