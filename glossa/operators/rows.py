@@ -224,8 +224,8 @@ def preview(df: DataFrame, n: int = 10, row_id: str = ROW_ID) -> DataFrame:
     return first_n(df, n, row_id).orderBy(row_id).drop(row_id)
 
 
-def spread_small(df: DataFrame, row_id: str = ROW_ID) -> DataFrame:
-    """Spread a small table of few files over all cores.
+def spread_small(df: DataFrame, *by: str) -> DataFrame:
+    """Spread a small table of few files over all cores, by the given columns.
 
     A file may be one row group, and then one task, whatever its texts cost. Tables
     of some size have enough row groups and are left as they are.
@@ -237,7 +237,7 @@ def spread_small(df: DataFrame, row_id: str = ROW_ID) -> DataFrame:
         return df
     fs = FileSystem(spark, files[0])
     small = sum(fs.size(f) for f in files) <= SMALL_TABLE_BYTES
-    return df.repartition(cores, row_id) if small else df
+    return df.repartition(cores, *(F.col(f"`{c}`") for c in by)) if small else df
 
 
 def empty_like(df: DataFrame) -> DataFrame:

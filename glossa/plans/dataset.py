@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, ty
 from glossa.functions.text import safe_name_of
 from glossa.operators.cells import chosen_columns, replace_columns
 from glossa.operators.rows import ROW_ID, rows_from
-from glossa.plans.jobs import job_states, remaining
+from glossa.plans.control import Control, Watcher
+from glossa.plans.jobs import job_states, remaining, with_pending, with_progress
+from glossa.plans.runs import RUNS, Run, last_runs, reason
 from glossa.plans.translate import FAILED, Engine, Stopped, require_backend, translate_rows
 from glossa.session import FileSystem, folder_value
 from glossa.settings import JobParams
@@ -20,8 +22,11 @@ from glossa.settings import JobParams
 Progress = Callable[[int, int, str], None]
 
 
-# Records of the jobs that were started, beside their output.
+# Beside the output: records of the jobs that were started, marks of committed
+# micro-batches, and files of those that are not committed yet.
 RECORDS = "_jobs"
+COMMITS = "_commits"
+STAGED = "_staged"
 RECORD = (
     "dataset_id string, split string, columns array<string>, source_lang string, "
     "target_lang string, model string, total_rows long"
@@ -62,6 +67,10 @@ def output_path(root: str, job: Job) -> str:
     )
 
 
+def job_folder(root: str, kind: str, job: Job) -> str:
+    return f"{root.rstrip('/')}/{kind}/job={job.key}"
+
+
 def read_output(spark: SparkSession, root: str, job: Job, row_id: str = ROW_ID) -> DataFrame:
     """The translated table: the original columns, in order."""
     return spark.read.parquet(output_path(root, job)).drop(row_id, FAILED)
@@ -73,7 +82,8 @@ def restart(spark: SparkSession, root: str, job: Job) -> None:
     fs = FileSystem(spark, path)
     fs.recover(path)
     fs.delete(path)
-    fs.delete(f"{root.rstrip('/')}/{RECORDS}/job={job.key}")
+    for kind in (RECORDS, RUNS, COMMITS, STAGED):
+        fs.delete(job_folder(root, kind, job))
 
 
 def stored_output(
@@ -99,7 +109,9 @@ def append_batch(
     """Translate rows and commit them; tells how many rows and failed chunks there were."""
     run = engine.fresh()
     seen = Observation()
-    counts = [F.count(F.lit(1)).alias("rows"), F.sum(FAILED).alias(FAILED)]
+    counts = [
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(FAILED), F.lit(0)).alias(FAILED),
+    ]
     try:
         rows = translate_rows(todo, columns, run, row_id)
         rows.observe(seen, *counts).write.mode("append").parquet(path)
@@ -121,6 +133,8 @@ def translate_dataset(
     retry_failed: bool = False,
     check_backend: bool = True,
     should_stop: Callable[[], bool] | None = None,
+    control: Control | None = None,
+    on_tasks: Watcher | None = None,
 ) -> str:
     """Translate all rows that have no output yet; gives back the output folder.
 
@@ -133,13 +147,45 @@ def translate_dataset(
     ``start_row`` replaces the output from that row on, ``retry_failed`` that of rows in
     which a chunk failed. The rows are translated aside, and the output changes when all
     of them are there; a run that stops before goes on when it is called again.
+
+    ``control.stop()`` ends the run from another thread, also within a commit; ``on_tasks``
+    is told meanwhile how far the tasks are. How the run began and ended is logged beside
+    the output, see ``runs``.
     """
     spark = df.sparkSession
-    columns = chosen_columns(df, list(job.columns))
     if engine.params != job.params:
         raise ValueError("the engine was made for other parameters than the job")
-    if check_backend:
-        require_backend(spark, engine)
+    control = control or Control(spark)
+    run = Run(spark, root, job.key)
+
+    def stop() -> bool:
+        asked = should_stop or engine.should_stop
+        return control.asked() or bool(asked and asked())
+
+    run.add("started")
+    try:
+        with control.tagged(), control.watched(on_tasks):
+            path, ended = _translate(
+                df, job, replace(engine, should_stop=stop), root, row_id, start_row, batch_rows,
+                max_batches, on_progress, retry_failed, check_backend, run,
+            )
+    except Exception as e:
+        if not control.asked():
+            run.add("error", reason(e))
+            raise
+        path, ended = output_path(root, job), "stopped"
+    run.add(ended)
+    return path
+
+
+def _translate(
+    df: DataFrame, job: Job, engine: Engine, root: str, row_id: str, start_row: int | None,
+    batch_rows: int | None, max_batches: int | None, on_progress: Progress | None,
+    retry_failed: bool, check_backend: bool, log: Run,
+) -> tuple[str, str]:
+    """The output folder, and how the run ended."""
+    spark = df.sparkSession
+    columns = chosen_columns(df, list(job.columns))
     path = output_path(root, job)
     fs = FileSystem(spark, path)
     fs.recover(path)
@@ -147,43 +193,53 @@ def translate_dataset(
     wanted, target = rows_from(df, start_row, row_id) if start_row else df, path
     if again:
         before = stored_output(spark, path, df, job.columns)
-        old = F.lit(False) if start_row is None else F.col(row_id) >= start_row
-        kept = before.where(~(old | (F.col(FAILED) > 0)) if retry_failed else ~old)
+        # A row without an id comes before any other.
+        late = F.lit(False) if start_row is None else F.coalesce(F.col(row_id) >= start_row, F.lit(False))
+        kept = before.where(~late)
+        failed = before.where(F.col(FAILED) > 0).select(row_id).distinct()
+        if retry_failed:
+            kept = remaining(kept, failed, row_id)  # all rows of an id, or none
         # Rows that are not kept, and rows that had no output yet.
         wanted = remaining(wanted, kept, row_id)
         if start_row and retry_failed:
-            failed = before.where((F.col(row_id) < start_row) & (F.col(FAILED) > 0))
-            earlier = df.where(F.col(row_id) < start_row)
-            wanted = wanted.unionByName(earlier.join(failed.select(row_id), row_id, "left_semi"))
+            early = df.where(F.coalesce(F.col(row_id) < start_row, F.lit(True)))
+            again_ids = failed.withColumnRenamed(row_id, "_failed")
+            same = F.col(row_id).eqNullSafe(F.col("_failed"))
+            wanted = wanted.unionByName(early.join(again_ids, same, "left_semi"))
         target = f"{path}.redo-{'' if start_row is None else start_row}-{int(retry_failed)}"
     done = stored_output(spark, target, df, job.columns)
     batches, finished, total = _batches(wanted, done, row_id, batch_rows)
     if not again:
         _write_record(spark, root, job, total)
+    if check_backend:
+        require_backend(spark, engine)
 
     def told(commit: int, commits: int) -> None:
         if on_progress:
             on_progress(finished, total, f"{label}, commit {commit} of {commits}")
 
-    run = replace(engine, should_stop=should_stop or engine.should_stop, on_commit=told)
-    for label, todo in batches[:max_batches]:
-        if run.should_stop and run.should_stop():
-            return path
+    run = replace(engine, on_commit=told)
+    for i, (label, todo) in enumerate(batches[:max_batches]):
+        if run.should_stop():
+            return path, "stopped"
         if on_progress:
             on_progress(finished, total, label)
         try:
-            finished += append_batch(todo, columns, run, target, row_id)["rows"]
+            made = append_batch(todo, columns, run, target, row_id)
         except Stopped:
-            return path
+            return path, "stopped"
+        finished += made["rows"]
+        log.add("committed", label, i, made["rows"], made[FAILED])
         if on_progress:
             on_progress(finished, total, f"{label} done")
     if not fs.has_data(target):
         done.write.mode("append").parquet(target)
-    if again and (max_batches is None or len(batches) <= max_batches):
+    whole = max_batches is None or len(batches) <= max_batches
+    if again and whole:
         made = stored_output(spark, target, df, job.columns)
         _keep_only(spark, path, kept.unionByName(made))
         fs.delete(target)
-    return path
+    return path, "finished" if whole else "stopped"
 
 
 def _batches(
@@ -200,9 +256,12 @@ def _batches(
     number = F.lit(0).cast("long")
     low, dense = 0, False
     if batch_rows:
-        many = df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-        if isinstance(df.schema[row_id].dataType, T.IntegralType) and many:
-            ends = df.agg(F.min(row_id).alias("low"), F.max(row_id).alias("high")).first()
+        ends = df.agg(
+            F.min(row_id).alias("low"), F.max(row_id).alias("high"), F.count(row_id).alias("named"),
+            F.count(F.lit(1)).alias("n"),
+        ).first()
+        many = ends["n"]
+        if isinstance(df.schema[row_id].dataType, T.IntegralType) and ends["named"] == many > 0:
             low, dense = ends["low"], ends["high"] - ends["low"] + 1 == many
         if dense:
             number = F.expr(f"(`{row_id}` - {low}L) div {batch_rows}L")
@@ -211,7 +270,8 @@ def _batches(
 
     def sums(rows: DataFrame, size: str, check: str) -> DataFrame:
         return rows.groupBy(number.alias("batch")).agg(
-            F.count(F.lit(1)).alias(size), F.bit_xor(F.xxhash64(row_id)).alias(check)
+            F.count(F.lit(1)).alias(size),
+            F.sum(F.xxhash64(row_id).cast("decimal(38,0)")).alias(check),
         )
 
     # One small row per commit the driver may make.
@@ -240,13 +300,14 @@ def _write_record(spark: SparkSession, root: str, job: Job, total: int) -> None:
         job.dataset, job.split, list(job.columns), p.source_lang, p.target_lang, p.model, total
     )
     row = spark.createDataFrame([record], RECORD).withColumn("started_at", F.current_timestamp())
-    row.coalesce(1).write.mode("overwrite").json(f"{root.rstrip('/')}/{RECORDS}/job={job.key}")
+    row.coalesce(1).write.mode("overwrite").json(job_folder(root, RECORDS, job))
 
 
 def found_states(spark: SparkSession, root: str) -> DataFrame:
     """The states of all jobs whose output is below ``root``, from what is stored there.
 
-    One scan of the records and one of the output, which reads no data columns.
+    One scan of the records, one of the runs and one of the output, which reads no data
+    columns. ``last_kind`` and ``message`` are those of the newest record of a run.
     """
     at = f"{root.rstrip('/')}/{RECORDS}"
     kinds = f"{RECORD}, started_at timestamp, job string"
@@ -265,9 +326,16 @@ def found_states(spark: SparkSession, root: str) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("completed_rows"), F.max("saved_at").alias("updated_at"))
         )
     zero = F.lit(0).cast("long")
-    return records.join(done, "job", "left").withColumn(
-        "completed_rows", F.coalesce("completed_rows", zero)
-    )
+    known = records.join(done, "job", "left").join(last_runs(spark, root), "job", "left")
+    return known.withColumn("completed_rows", F.coalesce("completed_rows", zero))
+
+
+def listed_jobs(spark: SparkSession, root: str) -> DataFrame:
+    """All jobs below ``root`` with their share, status and, after an error, its message."""
+    failed = F.coalesce(F.col("last_kind") == "error", F.lit(False))
+    states = with_progress(with_pending(found_states(spark, root)), failed)
+    told = F.when(F.col("status") == "error", F.col("message"))
+    return states.withColumn("message", told)
 
 
 def job_state(df: DataFrame, job: Job, root: str, row_id: str = ROW_ID) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from glossa.operators.cells import spare
 from glossa.operators.rows import ROW_ID
 
 STATE_SCHEMA = (
@@ -102,8 +103,11 @@ def job_summary(
 
 
 def remaining(inputs: DataFrame, outputs: DataFrame, row_id: str = ROW_ID) -> DataFrame:
-    """Input rows without output, wherever in the table they are."""
-    return inputs.join(outputs.select(row_id), row_id, "left_anti").select(*inputs.columns)
+    """Input rows whose id has no output, wherever in the table they are."""
+    (done,) = spare(inputs, "done")
+    ids = outputs.select(F.col(f"`{row_id}`").alias(done))
+    same = F.col(f"`{row_id}`").eqNullSafe(F.col(done))
+    return inputs.join(ids, same, "left_anti").select(*(F.col(f"`{c}`") for c in inputs.columns))
 
 
 def import_states(spark: SparkSession, path: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from glossa.backends import Backend, FatalBackendError
 from glossa.functions.jsoncell import json_rebuild
 from glossa.functions.text import is_translatable
-from glossa.operators.cells import as_text, chosen_columns, unpivot_cells
+from glossa.operators.cells import as_text, chosen_columns, spare, unpivot_cells
 from glossa.operators.chunks import chunk_table
 from glossa.operators.inference import (
     BROADCAST_KEYS,
@@ -140,9 +140,30 @@ def _translate_missing(
             engine.on_commit(i + 1, len(parts))
 
 
-def _cells(df: DataFrame, columns: list[str], row_id: str) -> DataFrame:
-    """Cells whose position is called ``_row``, so it cannot clash with later names."""
-    return unpivot_cells(df, row_id, columns).withColumnRenamed(row_id, ROW)
+def row_key(df: DataFrame, columns: list[str], row_id: str) -> Column:
+    """128 bits of a row's id and cells, and the id.
+
+    An id may repeat, or be null: rows that are equal in all of these have the same
+    translation, and no others share a key. Nothing is shuffled to tell rows apart.
+    """
+    parts: list[Column] = []
+    for value in [F.col(f"`{row_id}`"), *(as_text(df, c) for c in columns)]:
+        parts += [value.isNull(), value]
+    return F.struct(
+        F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"),
+        F.col(f"`{row_id}`").alias("id"),
+    )
+
+
+def _keyed(df: DataFrame, columns: list[str], row_id: str) -> tuple[DataFrame, str]:
+    """The rows with their key, in a column whose name is free."""
+    (key,) = spare(df, "key")
+    return spread_small(df, row_id, *columns).withColumn(key, row_key(df, columns, row_id)), key
+
+
+def _cells(df: DataFrame, columns: list[str], key: str) -> DataFrame:
+    """Cells (``_row``, column, cell); no other names of the table go with them."""
+    return unpivot_cells(df, key, columns).withColumnRenamed(key, ROW)
 
 
 def translate_rows(
@@ -150,37 +171,38 @@ def translate_rows(
 ) -> DataFrame:
     """``df`` with ``columns`` translated, plus the number of failed chunks per row.
 
-    ``row_id`` is unique. ``df`` is read twice, so it should be a stored table.
-    Cells without text pass through; a leaf of which any chunk failed keeps its
+    ``row_id`` may repeat or be null. ``df`` is read twice, so it should be a stored
+    table. Cells without text pass through; a leaf of which any chunk failed keeps its
     original text.
     """
     names = chosen_columns(df, columns)
-    if FAILED in df.columns:
+    if FAILED in (c.lower() for c in df.columns):
         raise ValueError(f"the table already has a column {FAILED}")
-    df = spread_small(df, row_id)
+    rows, key = _keyed(df, names, row_id)
     params = engine.params
-    cells = _cells(df, names, row_id)
+    cells = _cells(rows, names, key)
     leaves = leaf_table(cells, params.json_mode, params.translate_keys, params.skip_keys)
     pieces = translated_pieces(leaves, engine)
-    # One shuffle brings all pieces of a row together, so the group is a row.
-    per_row = pieces.groupBy(ROW).agg(
-        F.array_sort(
-            F.collect_list(F.struct("column", "leaf_ord", "chunk_idx", "tgt"))
-        ).alias("_pieces"),
-        F.count_if(F.col("tgt").isNull()).alias(FAILED),
+    row, found, *free = spare(df, "row", "found", *(f"found_{i}" for i in range(len(names))))
+    # One shuffle brings all pieces of a row together. Rows that are equal bring the same
+    # pieces, which a set holds once, so the group is a row.
+    piece = F.struct("column", "leaf_ord", "chunk_idx", "tgt")
+    per_row = pieces.groupBy(F.col(ROW).alias(row)).agg(
+        F.array_sort(F.collect_set(piece)).alias(found)
     )
-    joined = df.join(per_row, df[row_id] == per_row[ROW], "left").withColumns(
-        {f"_pieces_{i}": _pieces_of(c) for i, c in enumerate(names)}
+    joined = rows.join(per_row, F.col(key) == F.col(row), "left").withColumns(
+        {name: _pieces_of(found, c) for name, c in zip(free, names)}
     )
-    new = {c: _assembled(df, c, F.col(f"_pieces_{i}"), params) for i, c in enumerate(names)}
+    new = {c: _assembled(df, c, F.col(name), params) for name, c in zip(free, names)}
+    failed = F.size(F.filter(found, lambda p: p["tgt"].isNull())).cast("long")
     return joined.select(
         *(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in df.columns),
-        F.coalesce(F.col(FAILED), F.lit(0)).alias(FAILED),
+        F.when(F.col(found).isNull(), F.lit(0)).otherwise(failed).alias(FAILED),
     )
 
 
-def _pieces_of(column: str) -> Column:
-    mine = F.filter("_pieces", lambda p: p["column"] == column)
+def _pieces_of(found: str, column: str) -> Column:
+    mine = F.filter(found, lambda p: p["column"] == column)
     return F.transform(
         mine, lambda p: F.struct(p["leaf_ord"].alias("leaf_ord"), p["tgt"].alias("tgt"))
     )
@@ -197,8 +219,8 @@ def _assembled(df: DataFrame, column: str, pieces: Column, params: JobParams) ->
 
 
 def _whole(pieces: DataFrame, keys: list[str], into: str) -> DataFrame:
-    """Pieces of a text put together; null if one is missing."""
-    ordered = F.array_sort(F.collect_list(F.struct("chunk_idx", "tgt")))
+    """Pieces of a text put together; null if one is missing. Equal rows have one text."""
+    ordered = F.array_sort(F.collect_set(F.struct("chunk_idx", "tgt")))
     done = F.forall("_pieces", lambda p: p["tgt"].isNotNull())
     text = F.when(done, F.array_join(F.transform("_pieces", lambda p: p["tgt"]), " "))
     return pieces.groupBy(*keys).agg(ordered.alias("_pieces")).select(*keys, text.alias(into))
@@ -208,12 +230,13 @@ def translate_plain(
     df: DataFrame, column: str, engine: Engine, row_id: str = "row_id"
 ) -> DataFrame:
     """(row_id, source, translation) of a text column without looking for JSON."""
-    df = spread_small(df, row_id)
-    leaves = leaf_table(_cells(df, [column], row_id), "off")
-    texts = _whole(translated_pieces(leaves, engine), [ROW], "_text")
+    rows, key = _keyed(df, [column], row_id)
+    leaves = leaf_table(_cells(rows, [column], key), "off")
+    row, text = spare(df, "row", "text")
+    texts = _whole(translated_pieces(leaves, engine), [ROW], text).withColumnRenamed(ROW, row)
     source = as_text(df, column)
-    return df.join(texts, df[row_id] == texts[ROW], "left").select(
-        row_id, source.alias("source"), F.coalesce("_text", source).alias("translation")
+    return rows.join(texts, F.col(key) == F.col(row), "left").select(
+        row_id, source.alias("source"), F.coalesce(text, source).alias("translation")
     )
 
 
@@ -222,14 +245,17 @@ def translation_pairs(
 ) -> DataFrame:
     """Every translated leaf beside its source: what a reviewer reads."""
     params = engine.params
-    cells = _cells(spread_small(df, row_id), columns, row_id)
+    rows, key = _keyed(df, columns, row_id)
+    cells = _cells(rows, columns, key)
     leaves = leaf_table(cells, params.json_mode, params.translate_keys, params.skip_keys)
     # Read twice, so stored: the cells are parsed once.
     leaves = engine.work.write(leaves, f"leaves-{uuid.uuid4().hex}")
     at = [ROW, "column", "leaf_ord"]
     found = _whole(translated_pieces(leaves, engine), at, "target").where("target is not null")
     pairs = leaves.withColumnRenamed("text", "source").join(found, at)
-    return pairs.withColumnRenamed(ROW, row_id)
+    return pairs.select(
+        F.col(f"{ROW}.id").alias(row_id), "column", "leaf_ord", "path", "source", "target"
+    )
 
 
 def require_backend(spark, engine: Engine) -> None:

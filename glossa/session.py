@@ -56,6 +56,7 @@ class FileSystem:
 
     def __init__(self, spark: SparkSession, path: str):
         jvm = spark.sparkContext._jvm
+        self._text = jvm.org.apache.commons.io.IOUtils
         self._path = jvm.org.apache.hadoop.fs.Path
         self._uri = jvm.java.net.URI
         conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -90,6 +91,21 @@ class FileSystem:
         found = (s for s in self._fs.listStatus(self._path(path)) if s.isFile())
         return sorted(s.getPath().getName() for s in found)
 
+    def write_text(self, path: str, text: str) -> None:
+        """A small file, for which a Spark job would be too much."""
+        out = self._fs.create(self._path(path), True)
+        try:
+            out.write(bytearray(text, "utf-8"))
+        finally:
+            out.close()
+
+    def read_text(self, path: str) -> str:
+        stream = self._fs.open(self._path(path))
+        try:
+            return self._text.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
     def delete(self, path: str) -> bool:
         return self._fs.delete(self._path(path), True)
 
@@ -97,6 +113,16 @@ class FileSystem:
         if not self._fs.rename(self._path(old), self._path(new)):
             raise OSError(f"cannot rename {old} to {new}")
 
+    def move_files(self, old: str, new: str, prefix: str) -> None:
+        """Move the data files of a folder to another, where their names get the prefix.
+
+        What was moved by a run that ended half-way is left as it is.
+        """
+        self._fs.mkdirs(self._path(new))
+        for name in self.files(old):
+            if not name.startswith(("_", ".")) and not self.exists(f"{new}/{prefix}{name}"):
+                self.rename(f"{old}/{name}", f"{new}/{prefix}{name}")
+
     def replace(self, path: str, new: str) -> None:
         """Put the folder ``new`` in the place of ``path``; see ``recover``."""
         self.rename(path, f"{path}.old")

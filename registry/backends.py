@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+import time
 from dataclasses import dataclass
 
-from glossa.backends import Request
+from glossa.backends import Request, StubBackend
 
 
 @dataclass(frozen=True)
@@ -14,3 +15,22 @@ class TellingBackend:
 
     def complete(self, request: Request) -> str:
         return json.dumps(request.messages)
+
+
+@dataclass(frozen=True)
+class LastBackend:
+    """Answers with the last message it was sent."""
+
+    def complete(self, request: Request) -> str:
+        return request.messages[-1]["content"]
+
+
+@dataclass(frozen=True)
+class SlowBackend:
+    """The stub, after a while."""
+
+    seconds: float
+
+    def complete(self, request: Request) -> str:
+        time.sleep(self.seconds)
+        return StubBackend().complete(request)

@@ -283,6 +283,9 @@ KEY_KINDS = f"""
 
 
 FAILS = f"(contains(chunk, '{SOFT_MARK}') OR contains(chunk, '{EMPTY_MARK}'))"
+TR_OF_TURNS = f"""WITH RECURSIVE {chunk_ctes(
+    f"SELECT {TURN_ID} AS id, text AS txt FROM conversations", CHUNK_TOKENS)}, {translated_sql()}"""
+REPEATED = "CASE WHEN conv_id % 5 <> 0 THEN conv_id END"
 TR_OF_TEXT = f"WITH RECURSIVE {chunk_ctes(DOC_TEXT, CHUNK_TOKENS)}, {translated_sql()}"
 
 ORACLES: dict[str, str] = {
@@ -298,6 +301,9 @@ ORACLES: dict[str, str] = {
     "rows_from": f"""SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_id, *
         FROM documents QUALIFY row_id >= {START_ROW}""",
     "preview": "SELECT * FROM documents QUALIFY row_number() OVER (ORDER BY doc_id) <= 10",
+    "assign_row_id_ranges": """SELECT row_number() OVER (ORDER BY event_id) - 1 AS row_id,
+        event_id, event_type FROM events""",
+    "scan_head_files": f"SELECT * FROM documents ORDER BY doc_id LIMIT {FIRST_ROWS}",
     "assign_row_id": """SELECT row_number() OVER (ORDER BY event_id) - 1 AS row_id,
         event_id, event_type FROM events""",
     "write_roundtrip": NOTED,
@@ -330,6 +336,10 @@ ORACLES: dict[str, str] = {
         "SELECT * FROM orders",
         [("o_orderkey", "bigint"), *ORDER_COLUMNS],
     ),
+    "empty_like": stats_sql(
+        "SELECT * FROM orders WHERE false",
+        [("o_orderkey", "bigint"), *ORDER_COLUMNS],
+    ),
     "column_stats_text": stats_sql(
         GAPPY, [("doc_id", "bigint"), ("lang", "string"), ("cell", "string")]
     ),
@@ -395,6 +405,41 @@ ORACLES: dict[str, str] = {
     "translate_sparse_ids": f"""{TR_OF_TEXT}
         SELECT 1152921504606846976 + doc_id * doc_id * 7 AS id, doc_id, tr AS text
         FROM documents JOIN translated ON doc_id = id""",
+    "translate_repeated_ids": f"""{TR_OF_TURNS}
+        SELECT {REPEATED} AS row, turn, '[tr] ' || role AS role, tr AS text, 0::BIGINT AS failed_chunks
+        FROM conversations JOIN translated ON {TURN_ID} = id""",
+    "translate_plain_repeated_ids": f"""{TR_OF_TURNS}
+        SELECT {REPEATED} AS row, text AS source, tr AS translation
+        FROM conversations JOIN translated ON {TURN_ID} = id""",
+    "translation_pairs_repeated_ids": f"""{TR_OF_TURNS}
+        SELECT {REPEATED} AS row, 'text' AS "column", 0 AS leaf_ord, '$' AS path, text AS source,
+            tr AS target
+        FROM conversations JOIN translated ON {TURN_ID} = id""",
+    "translate_dataset_repeated_ids": f"""{TR_OF_TURNS}
+        SELECT {REPEATED} AS row, turn AS _key, role AS _found_0, tr AS text
+        FROM conversations JOIN translated ON {TURN_ID} = id""",
+    "translate_stopped_within": f"""{TR_OF_TEXT}
+        SELECT doc_id, tr AS text, lang, source, n_chars
+        FROM documents JOIN translated ON doc_id = id""",
+    "stream_repeated_batch": f"""{TR_OF_TEXT}
+        SELECT doc_id, tr AS text, lang, source, n_chars
+        FROM documents JOIN translated ON doc_id = id""",
+    "stream_stopped": f"""{TR_OF_TEXT}
+        SELECT doc_id, tr AS text, lang, source, n_chars
+        FROM documents JOIN translated ON doc_id = id""",
+    "stream_progress": f"""WITH RECURSIVE {chunk_ctes(DOC_TEXT, CHUNK_TOKENS)}
+        SELECT batch, rows_read, rows_read AS rows, failed_chunks FROM (
+            SELECT (doc_id % 4) // 2 AS batch, count(*) AS rows_read FROM documents GROUP BY 1
+        ) JOIN (
+            SELECT (id % 4) // 2 AS batch, count(*) FILTER ({FAILS}) AS failed_chunks
+            FROM chunk GROUP BY 1
+        ) USING (batch)""",
+    "error_state": """SELECT 'text' AS columns, count(*) AS total_rows, 0::BIGINT AS completed_rows,
+            'error' AS status, '400: Failed to load model' AS message FROM documents
+        UNION ALL SELECT 'lang', count(*), count(*), 'completed', NULL FROM documents""",
+    "job_parameters": f"""SELECT {TURN_ID} AS turn_id, 'cell' AS "column", (place - 1)::INTEGER AS leaf_ord,
+            '$[' || (place - 1) || '].role' AS path, role AS source, 'de>fr: ' || role AS target
+        FROM (SELECT *, unnest(range(1, len(string_split(text, {NL})) + 1)) AS place FROM conversations)""",
     "translate_stopped": f"""{TR_OF_TEXT}
         SELECT doc_id, tr AS text, lang, source, n_chars
         FROM documents JOIN translated ON doc_id = id""",

@@ -12,12 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from glossa.backends import FatalBackendError, FaultyBackend, StubBackend
 from glossa.functions import jsoncell, text as tx
 from glossa.operators import cells, chunks, inference, leaves, profile, rows
-from glossa.plans import dataset, jobs, translate
+from glossa.plans import control, dataset, jobs, runs, translate
 from glossa.session import WorkFolder
 from glossa.settings import PROMPT_PRESETS, JobParams
 from glossa.sources import lake, publish, tables
+from glossa.streaming import incremental
 from glossa.streaming.incremental import translate_stream
-from registry.backends import TellingBackend
+from registry.backends import LastBackend, SlowBackend, TellingBackend
 
 # Backends of the queries go along with the tasks.
 cloudpickle.register_pickle_by_value(sys.modules["registry"])
@@ -181,6 +182,33 @@ def assign_row_id(spark, sf_dir):
     )
 
 
+def _in_files(spark: SparkSession, df: DataFrame, many: int, by: str) -> DataFrame:
+    """The table in so many files, in the order of a column."""
+    path = WorkFolder(spark).path("files")
+    df.repartitionByRange(many, by).sortWithinPartitions(by).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query
+def assign_row_id_ranges(spark, sf_dir):
+    """Positions over ranges of files, as a table of very many files gets them."""
+    events = _in_files(spark, table(spark, sf_dir, "events"), 24, "event_id")
+    numbered = rows.assign_row_id(events, small_file_count=0, files_per_scan=8)
+    return numbered.select(rows.ROW_ID, "event_id", "event_type")
+
+
+@query
+def scan_head_files(spark, sf_dir):
+    return rows.scan_head(_in_files(spark, documents(spark, sf_dir), 40, "doc_id"), FIRST_ROWS)
+
+
+@query
+def empty_like(spark, sf_dir):
+    """A table without rows, and what is counted of its columns."""
+    empty = rows.empty_like(table(spark, sf_dir, "orders"))
+    return profile.column_stats(empty)
+
+
 @query
 def write_roundtrip(spark, sf_dir):
     work = WorkFolder(spark)
@@ -491,6 +519,91 @@ def translate_stopped(spark, sf_dir):
     return spark.read.parquet(dataset.output_path(root, job)).drop(translate.FAILED)
 
 
+def repeating(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns under the id of their conversation, so ids repeat; every fifth one has none."""
+    row = F.when(F.col("conv_id") % 5 != 0, F.col("conv_id"))
+    return table(spark, sf_dir, "conversations").select(row.alias("row"), "turn", "role", "text")
+
+
+@query
+def translate_repeated_ids(spark, sf_dir):
+    return translate.translate_rows(repeating(spark, sf_dir), ["text", "role"], engine(spark), "row")
+
+
+@query
+def translate_plain_repeated_ids(spark, sf_dir):
+    return translate.translate_plain(repeating(spark, sf_dir), "text", engine(spark), "row")
+
+
+@query
+def translation_pairs_repeated_ids(spark, sf_dir):
+    return translate.translation_pairs(repeating(spark, sf_dir), ["text"], engine(spark), "row")
+
+
+@query
+def translate_dataset_repeated_ids(spark, sf_dir):
+    """In batches, stopped after the first and finished, with columns of any name."""
+    job = dataset.Job("web/turns", "train", ("text",), SMALL_PARAMS)
+    run = engine(spark)
+    root = run.work.path("out")
+    df = repeating(spark, sf_dir).withColumnsRenamed({"turn": "_key", "role": "_found_0"})
+    more = {"row_id": "row", "batch_rows": df.count() // 3 + 1}
+    dataset.translate_dataset(df, job, run, root, max_batches=1, **more)
+    dataset.translate_dataset(df, job, run, root, **more)
+    return spark.read.parquet(dataset.output_path(root, job)).drop(translate.FAILED)
+
+
+@query
+def translate_stopped_within(spark, sf_dir):
+    """Stopped from another thread in the middle of a commit, then finished."""
+    job = dataset.Job("web/docs", "train", ("text",), SMALL_PARAMS)
+    run = engine(spark, SlowBackend(0.02))
+    root = run.work.path("out")
+    df = documents(spark, sf_dir)
+    handle = control.Control(spark)
+
+    def stop_soon(done: int, total: int) -> None:
+        if total:
+            handle.stop()
+
+    dataset.translate_dataset(df, job, run, root, "doc_id", control=handle, on_tasks=stop_soon)
+    run = replace(run, backend=StubBackend())
+    dataset.translate_dataset(df, job, run, root, "doc_id")
+    return spark.read.parquet(dataset.output_path(root, job)).drop(translate.FAILED)
+
+
+@query
+def error_state(spark, sf_dir):
+    """Jobs found from their folder alone: one whose backend broke down, one that ended."""
+    run = engine(spark)
+    root = run.work.path("out")
+    df = documents(spark, sf_dir)
+    broken = replace(run, backend=FaultyBackend(fatal="a"))
+    begun = dataset.Job("web/docs", "train", ("text",), SMALL_PARAMS)
+    try:
+        dataset.translate_dataset(df, begun, broken, root, "doc_id")
+    except Exception:  # what the cluster makes of it; the log has the reason
+        pass
+    done = dataset.Job("web/docs", "train", ("lang",), SMALL_PARAMS)
+    dataset.translate_dataset(df, done, run, root, "doc_id")
+    return dataset.listed_jobs(spark, root).select(
+        F.array_join("columns", ",").alias("columns"), "total_rows", "completed_rows", "status",
+        "message",
+    )
+
+
+@query
+def job_parameters(spark, sf_dir):
+    """What a job's parameters change: prompt, languages, keys and the limit of a chunk."""
+    params = JobParams(
+        "de", "fr", max_tokens=SMALL_TOKENS, message_template="{src}>{tgt}: {text}",
+        system_prompt="", translate_keys=("role",), skip_keys=(),
+    )
+    run = engine(spark, LastBackend(), params)
+    both = chats(spark, sf_dir).select("turn_id", F.col("messages").alias("cell"))
+    return translate.translation_pairs(both, ["cell"], run, "turn_id")
+
+
 @query
 def two_results(spark, sf_dir):
     """Two results of one engine, of which the first is read last."""
@@ -808,6 +921,75 @@ def translate_stream_files(spark, sf_dir):
     return spark.read.parquet(dataset.output_path(root, job)).drop(translate.FAILED)
 
 
+def _streamed(spark: SparkSession, sf_dir: str, run: translate.Engine) -> tuple[str, DataFrame]:
+    """Documents in four files, by the remainder of their id, the oldest with remainder 0."""
+    source = run.work.path("in")
+    df = documents(spark, sf_dir)
+    for rest in range(4):
+        df.where(F.col("doc_id") % 4 == rest).coalesce(1).write.mode("append").parquet(source)
+    return source, df
+
+
+@query
+def stream_repeated_batch(spark, sf_dir):
+    """Micro-batches that are given twice, the second time to a backend that cannot answer."""
+    job = dataset.Job("web/docs", "stream", ("text",), SMALL_PARAMS)
+    run = engine(spark)
+    root = run.work.path("out")
+    df = documents(spark, sf_dir)
+    broken = replace(run, backend=FaultyBackend(fatal=""), memory=engine(spark).memory)
+    for use in (run, broken):
+        for rest in (0, 1):
+            batch = df.where(F.col("doc_id") % 2 == rest)
+            incremental.commit_batch(batch, f"stream-{rest}", job, use, root, "doc_id")
+    return spark.read.parquet(dataset.output_path(root, job)).drop(translate.FAILED)
+
+
+@query
+def stream_stopped(spark, sf_dir):
+    """A stream that is stopped within a micro-batch, and taken up by the next query."""
+    job = dataset.Job("web/docs", "stream", ("text",), SMALL_PARAMS)
+    run = engine(spark, SlowBackend(0.02))
+    root, log = run.work.path("out"), run.work.path("log")
+    source, df = _streamed(spark, sf_dir, run)
+    handle = control.Control(spark)
+    stream = incremental.translate_stream(
+        spark, source, df.schema, job, run, root, log, "doc_id", max_files=2, control=handle
+    )
+    while stream.isActive and not handle.tasks()[1]:
+        stream.awaitTermination(0.2)
+    handle.stop()
+    control.finished(stream, handle)
+    rest = incremental.translate_stream(
+        spark, source, df.schema, job, replace(run, backend=StubBackend()), root, log, "doc_id"
+    )
+    rest.awaitTermination()
+    return spark.read.parquet(dataset.output_path(root, job)).drop(translate.FAILED)
+
+
+@query
+def stream_progress(spark, sf_dir):
+    """Rows read, rows written and failed chunks of each micro-batch."""
+    job = dataset.Job("web/docs", "stream", ("text",), FAULT_PARAMS)
+    run = engine(spark, FAULTY, FAULT_PARAMS)
+    root = run.work.path("out")
+    source, df = _streamed(spark, sf_dir, run)
+    seen = incremental.StreamProgress()
+    spark.streams.addListener(seen)
+    try:
+        stream = incremental.translate_stream(
+            spark, source, df.schema, job, run, root, run.work.path("log"), "doc_id", max_files=2
+        )
+        seen.query_id = str(stream.id)
+        stream.awaitTermination()
+        seen.ended.wait(60)
+    finally:
+        spark.streams.removeListener(seen)
+    read = spark.createDataFrame(sorted(seen.batches.items()), "batch long, rows_read long")
+    found = runs.commits(spark, root, job.key).select("batch", "rows", "failed_chunks")
+    return read.join(found, "batch", "full")
+
+
 @query
 def translation_pairs(spark, sf_dir):
     return translate.translation_pairs(
