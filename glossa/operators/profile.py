@@ -25,7 +25,7 @@ def _columns(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, schema))
 
 
-def _value(df: DataFrame, field: T.StructField) -> Column:
+def column_value(df: DataFrame, field: T.StructField) -> Column:
     """A cell as text in which equal values, and only those, are equal; NaN is null."""
     c = F.col(f"`{field.name}`")
     if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
@@ -51,7 +51,7 @@ def column_stats(df: DataFrame, approx: bool = False) -> DataFrame:
         [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(fields)],
         "position int, column string, type string",
     )
-    values = df.select(*(_value(df, f).alias(f"c{i}") for i, f in enumerate(fields)))
+    values = df.select(*(column_value(df, f).alias(f"c{i}") for i, f in enumerate(fields)))
     cells = F.explode(
         F.array(
             *(
@@ -218,22 +218,26 @@ def dataset_card(
     language: str = "tr",
     row_id: str = "row_id",
     approx: bool = False,
+    stats: DataFrame | None = None,
 ) -> str:
-    """A Markdown card: front matter, columns, three sample rows, usage, source.
+    """A Markdown card: front matter, origin, columns, three sample rows, how to read it.
 
     The work on the data is done by ``column_stats``; only its row per column and
-    the three samples come to the driver.
+    the three samples come to the driver. ``stats`` replaces it, as by the sketches of
+    the batches of a growing table, which is then not read at all but for the samples.
     """
     shown = df.drop(row_id) if row_id in df.columns else df
-    stats = column_stats(shown, approx).orderBy("position").collect()
+    counts = column_stats(shown, approx) if stats is None else stats
+    counts = counts.where(F.col("column") != row_id).orderBy("position").collect()
     samples = (
         df.orderBy(row_id).limit(3).select(*shown.columns).collect()
         if row_id in df.columns
         else df.take(3)
     )
+    about = "about " if approx or stats is not None else ""
     columns = _table(
-        ["Column", "Type", "Non-Null", "Unique"],
-        [[s["column"], s["type"], s["non_null"], s["distinct_values"]] for s in stats],
+        ["column", "type", "filled cells", "different values"],
+        [[s["column"], s["type"], s["non_null"], f"{about}{s['distinct_values']}"] for s in counts],
     )
     sample = _table(shown.columns, [list(r) for r in samples])
     return f"""---
@@ -241,30 +245,20 @@ language: {language}
 license: mit
 ---
 
-# Dataset Card for {name}
+# {name}
 
-## Dataset Description
+Rows of `{source_dataset}` in which chosen columns were machine-translated; the target
+language is `{language}`. Protected keys of JSON cells and all other columns are unchanged.
 
-This dataset is the **{language}** translation of {source_dataset}.
-It was translated by a language model.
-
-## Dataset Structure
-
-### Data Fields
+## Columns
 
 {columns}
 
-### Data Sample
+## First rows
 
 {sample}
 
-## Usage
-
-```python
-df = spark.read.parquet("{name}")
-```
-
-## Source
+## How to read it
 
-Original dataset: {source_dataset}
+    spark.read.parquet("{name}")
 """

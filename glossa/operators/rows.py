@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from glossa.operators.cells import spare
 from glossa.session import FileSystem, WorkFolder
@@ -184,9 +184,12 @@ def lowest(df: DataFrame, n: int, order: str = ROW_ID) -> DataFrame:
 
     The value to cut at is found by counts of slices, each time of the one slice that has
     it, so a handful of passes over one column and a filter do, and no sort. Of rows that
-    are equal in the value to cut at, any are taken.
+    are equal in the value to cut at, any are taken. Other types than whole numbers are
+    sorted.
     """
     c = F.col(f"`{order}`")
+    if not isinstance(df.schema[order].dataType, T.IntegralType):
+        return df.orderBy(c).limit(n)
     ends = df.agg(
         F.min(c).alias("low"), F.max(c).alias("high"), F.count(c).alias("valued"),
         F.count(F.lit(1)).alias("rows"),

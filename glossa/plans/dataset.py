@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, ty
 from glossa.functions.text import safe_name_of
 from glossa.operators.cells import chosen_columns, replace_columns
 from glossa.operators.rows import ROW_ID, rows_from
+from glossa.operators.sketches import (
+    KINDS, column_sketches, sketch_aggregates, sketch_rows, sketched_stats, store_sketches,
+    stored_sketches,
+)
 from glossa.plans.control import Control, Watcher
 from glossa.plans.jobs import job_states, remaining, with_pending, with_progress
 from glossa.plans.runs import RUNS, Run, last_runs, reason
@@ -27,6 +31,7 @@ Progress = Callable[[int, int, str], None]
 RECORDS = "_jobs"
 COMMITS = "_commits"
 STAGED = "_staged"
+SKETCHES = "_sketches"
 RECORD = (
     "dataset_id string, split string, columns array<string>, source_lang string, "
     "target_lang string, model string, total_rows long"
@@ -76,13 +81,18 @@ def read_output(spark: SparkSession, root: str, job: Job, row_id: str = ROW_ID)
     return spark.read.parquet(output_path(root, job)).drop(row_id, FAILED)
 
 
+def output_stats(spark: SparkSession, root: str, job: Job) -> DataFrame:
+    """``column_stats`` of the output of a job that keeps sketches, with its error."""
+    return sketched_stats(stored_sketches(spark, job_folder(root, SKETCHES, job)))
+
+
 def restart(spark: SparkSession, root: str, job: Job) -> None:
     """Forget what the job has done; its input stays."""
     path = output_path(root, job)
     fs = FileSystem(spark, path)
     fs.recover(path)
     fs.delete(path)
-    for kind in (RECORDS, RUNS, COMMITS, STAGED):
+    for kind in (RECORDS, RUNS, COMMITS, STAGED, SKETCHES):
         fs.delete(job_folder(root, kind, job))
 
 
@@ -104,19 +114,30 @@ def _keep_only(spark: SparkSession, path: str, kept: DataFrame) -> None:
 
 
 def append_batch(
-    todo: DataFrame, columns: list[str], engine: Engine, path: str, row_id: str = ROW_ID
+    todo: DataFrame,
+    columns: list[str],
+    engine: Engine,
+    path: str,
+    row_id: str = ROW_ID,
+    sketch_to: tuple[str, str] | None = None,
 ) -> dict:
-    """Translate rows and commit them; tells how many rows and failed chunks there were."""
+    """Translate rows and commit them; tells how many rows and failed chunks there were.
+
+    ``sketch_to`` (folder, batch) keeps sketches of what is written, taken on the way.
+    """
     run = engine.fresh()
     seen = Observation()
-    counts = [
-        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(FAILED), F.lit(0)).alias(FAILED),
-    ]
     try:
         rows = translate_rows(todo, columns, run, row_id)
+        counts = [F.coalesce(F.sum(FAILED), F.lit(0)).alias(FAILED)]
+        kept = rows.drop(FAILED)
+        counts += sketch_aggregates(kept) if sketch_to else [F.count(F.lit(1)).alias("rows")]
         rows.observe(seen, *counts).write.mode("append").parquet(path)
     finally:
         run.work.drop()
+    if sketch_to:
+        made = todo.sparkSession.createDataFrame(sketch_rows(kept, seen.get), KINDS)
+        store_sketches(made, *sketch_to)
     return seen.get
 
 
@@ -135,6 +156,7 @@ def translate_dataset(
     should_stop: Callable[[], bool] | None = None,
     control: Control | None = None,
     on_tasks: Watcher | None = None,
+    sketch: bool = False,
 ) -> str:
     """Translate all rows that have no output yet; gives back the output folder.
 
@@ -150,7 +172,8 @@ def translate_dataset(
 
     ``control.stop()`` ends the run from another thread, also within a commit; ``on_tasks``
     is told meanwhile how far the tasks are. How the run began and ended is logged beside
-    the output, see ``runs``.
+    the output, see ``runs``. With ``sketch`` each batch leaves sketches of its columns, and
+    ``output_stats`` counts the output without reading it; all runs of a job should agree.
     """
     spark = df.sparkSession
     if engine.params != job.params:
@@ -167,7 +190,7 @@ def translate_dataset(
         with control.tagged(), control.watched(on_tasks):
             path, ended = _translate(
                 df, job, replace(engine, should_stop=stop), root, row_id, start_row, batch_rows,
-                max_batches, on_progress, retry_failed, check_backend, run,
+                max_batches, on_progress, retry_failed, check_backend, run, sketch,
             )
     except Exception as e:
         if not control.asked():
@@ -181,7 +204,7 @@ def translate_dataset(
 def _translate(
     df: DataFrame, job: Job, engine: Engine, root: str, row_id: str, start_row: int | None,
     batch_rows: int | None, max_batches: int | None, on_progress: Progress | None,
-    retry_failed: bool, check_backend: bool, log: Run,
+    retry_failed: bool, check_backend: bool, log: Run, sketch: bool,
 ) -> tuple[str, str]:
     """The output folder, and how the run ended."""
     spark = df.sparkSession
@@ -225,7 +248,8 @@ def _translate(
         if on_progress:
             on_progress(finished, total, label)
         try:
-            made = append_batch(todo, columns, run, target, row_id)
+            place = (job_folder(root, SKETCHES, job), f"{log.name}-{i}") if sketch and not again else None
+            made = append_batch(todo, columns, run, target, row_id, place)
         except Stopped:
             return path, "stopped"
         finished += made["rows"]
@@ -239,6 +263,11 @@ def _translate(
         made = stored_output(spark, target, df, job.columns)
         _keep_only(spark, path, kept.unionByName(made))
         fs.delete(target)
+        if sketch:  # rows were replaced, which sketches cannot forget
+            place = job_folder(root, SKETCHES, job)
+            fs.delete(place)
+            written = stored_output(spark, path, df, job.columns).drop(FAILED)
+            store_sketches(column_sketches(written), place, log.name)
     return path, "finished" if whole else "stopped"
 
 

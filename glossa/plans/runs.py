@@ -19,7 +19,7 @@ from glossa.session import FileSystem
 RUNS = "_runs"
 SCHEMA = (
     "run string, step long, kind string, message string, batch long, rows long, "
-    "failed_chunks long, at timestamp, job string"
+    "failed_chunks long, rows_read long, at timestamp, job string"
 )
 MESSAGE_CHARS = 500
 
@@ -51,10 +51,12 @@ class Run:
         batch: int | None = None,
         rows: int | None = None,
         failed: int | None = None,
+        read: int | None = None,
     ) -> None:
         record = {
             "run": self.name, "step": self.step, "kind": kind, "message": message, "batch": batch,
-            "rows": rows, "failed_chunks": failed, "at": datetime.now(timezone.utc).isoformat(),
+            "rows": rows, "failed_chunks": failed, "rows_read": read,
+            "at": datetime.now(timezone.utc).isoformat(),
         }
         file = f"{self.path}/{self.name}-{self.step:06}.json"
         FileSystem(self.spark, file).write_text(file, json.dumps(record) + "\n")
@@ -80,6 +82,8 @@ def last_runs(spark: SparkSession, root: str) -> DataFrame:
 
 
 def commits(spark: SparkSession, root: str, job: str) -> DataFrame:
-    """(run, batch, rows, failed_chunks, at) of every commit of a job."""
+    """(run, batch, rows_read, rows, failed_chunks, at) of every commit of a job."""
     mine = (F.col("job") == job) & (F.col("kind") == "committed")
-    return run_log(spark, root).where(mine).select("run", "batch", "rows", "failed_chunks", "at")
+    return run_log(spark, root).where(mine).select(
+        "run", "batch", "rows_read", "rows", "failed_chunks", "at"
+    )

@@ -51,7 +51,7 @@ def commit_batch(
         fs.move_files(staged, path, f"batch-{number}-")
     fs.write_text(mark, "")
     fs.delete(staged)
-    return counts or {"rows": 0, FAILED: 0}
+    return counts or {"read": None, "rows": None, FAILED: None}
 
 
 def _stage(
@@ -61,7 +61,7 @@ def _stage(
         F.min(row_id).alias("low"), F.max(row_id).alias("high"), F.count(F.lit(1)).alias("n")
     ).first()
     if not ends["n"]:
-        return None
+        return {"read": 0, "rows": 0, FAILED: 0}
     # Only output files that can hold rows of this batch are looked into.
     done = stored_output(batch.sparkSession, path, batch, job.columns).where(
         F.col(row_id).between(ends["low"], ends["high"])
@@ -76,14 +76,18 @@ def _stage(
         made.observe(seen, *counted).write.mode("overwrite").parquet(staged)
     finally:
         run.work.drop()
-    return seen.get
+    return {"read": ends["n"], **seen.get}
 
 
 class StreamProgress(StreamingQueryListener):
-    """What a stream read, by micro-batch, as Spark reports it."""
+    """Follows one stream as Spark reports it: the time each micro-batch took, and the end.
+
+    The rows of a micro-batch are read several times, and Spark counts them each time, so
+    counts are those of the commits.
+    """
 
     def __init__(self, told: Callable[[int, int], None] | None = None):
-        self.batches: dict[int, int] = {}
+        self.milliseconds: dict[int, int] = {}
         self.told = told
         self.query_id: str | None = None
         self.ended = threading.Event()
@@ -97,10 +101,10 @@ class StreamProgress(StreamingQueryListener):
     def onQueryProgress(self, event) -> None:
         found = event.progress
         if self._mine(found) and found.numInputRows:
-            seen = found.observedMetrics.get("glossa")
-            self.batches[found.batchId] = seen["rows"] if seen else found.numInputRows
+            took = found.durationMs.get("triggerExecution", 0)
+            self.milliseconds[found.batchId] = took
             if self.told:
-                self.told(found.batchId, self.batches[found.batchId])
+                self.told(found.batchId, took)
 
     def onQueryIdle(self, event) -> None:
         pass
@@ -122,6 +126,7 @@ def translate_stream(
     max_files: int = 1000,
     control: Control | None = None,
     keep_running: str | None = None,
+    on_commit: Callable[[int, dict], None] | None = None,
 ) -> StreamingQuery:
     """Start a query that translates all files not seen yet, then ends.
 
@@ -131,7 +136,8 @@ def translate_stream(
     micro-batch, and with it what one commit may lose. ``control.stop()`` ends the query
     within a micro-batch too, which the next query of the same checkpoint takes up again.
     With ``keep_running``, as "1 minute", the query looks for files at that interval and
-    does not end by itself. Every commit is logged, see ``runs.commits``.
+    does not end by itself. ``on_commit`` is told the number of a micro-batch and its counts
+    (read, rows, failed_chunks); they are logged as well, see ``runs.commits``.
     """
     handle = control or Control(spark)
     log = Run(spark, root, job.key)
@@ -154,14 +160,12 @@ def translate_stream(
             log.add("stopped" if stop() else "error", reason(e), number)
             raise
         if made:
-            log.add("committed", None, number, made["rows"], made[FAILED])
+            log.add("committed", None, number, made["rows"], made[FAILED], made["read"])
+            if on_commit:
+                on_commit(number, made)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
-    writer = (
-        stream.observe("glossa", F.count(F.lit(1)).alias("rows"))
-        .writeStream.foreachBatch(commit)
-        .option("checkpointLocation", checkpoint)
-    )
+    writer = stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
     when = {"processingTime": keep_running} if keep_running else {"availableNow": True}
     log.add("started")
     return handle.attach(writer.trigger(**when).start())

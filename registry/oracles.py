@@ -246,16 +246,13 @@ ORDER_COLUMNS = [
 def card_sql(name: str, source: str, order: str, columns: list[tuple[str, str]]) -> str:
     """The card, line by line: fixed text around one row per column and three samples."""
     head = [
-        "---", "language: tr", "license: mit", "---", "", f"# Dataset Card for {name}", "",
-        "## Dataset Description", "", f"This dataset is the **tr** translation of {source}.",
-        "It was translated by a language model.", "", "## Dataset Structure", "",
-        "### Data Fields", "",
+        "---", "language: tr", "license: mit", "---", "", f"# {name}", "",
+        f"Rows of `{source}` in which chosen columns were machine-translated; the target",
+        "language is `tr`. Protected keys of JSON cells and all other columns are unchanged.",
+        "", "## Columns", "",
     ]
-    tail = [
-        "", "## Usage", "", "```python", f'df = spark.read.parquet("{name}")', "```", "",
-        "## Source", "", f"Original dataset: {source}", "",
-    ]
-    titles = ["| Column | Type | Non-Null | Unique |", "| --- | --- | --- | --- |"]
+    tail = ["", "## How to read it", "", f'    spark.read.parquet("{name}")', ""]
+    titles = ["| column | type | filled cells | different values |", "| --- | --- | --- | --- |"]
     names_line = "| " + " | ".join(c for c, _ in columns) + " |"
     rule = "| " + " | ".join("---" for _ in columns) + " |"
     row = " || ' | ' || ".join(f"CAST({c} AS VARCHAR)" for c, _ in columns)
@@ -268,7 +265,7 @@ def card_sql(name: str, source: str, order: str, columns: list[tuple[str, str]])
         lines AS (SELECT list_concat({listed([*head, *titles])},
             (SELECT list('| ' || "column" || ' | ' || type || ' | ' || non_null || ' | '
                 || distinct_values || ' |' ORDER BY position) FROM stats),
-            {listed(["", "### Data Sample", "", names_line, rule])},
+            {listed(["", "## First rows", "", names_line, rule])},
             (SELECT list('| ' || {row} || ' |' ORDER BY {order}) FROM {source} WHERE {order} < 3),
             {listed(tail)}) AS ls)
         SELECT CAST(generate_subscripts(ls, 1) - 1 AS INTEGER) AS line_no, unnest(ls) AS line
@@ -340,6 +337,16 @@ ORACLES: dict[str, str] = {
         "SELECT * FROM orders WHERE false",
         [("o_orderkey", "bigint"), *ORDER_COLUMNS],
     ),
+    "sketch_counts": f"""
+        SELECT position, "column", type, non_null, TRUE AS same, TRUE AS within
+        FROM ({stats_sql("SELECT * FROM documents", [
+            ("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"),
+            ("n_chars", "bigint")])})""",
+    "sketch_job": f"""
+        SELECT "column", type, non_null, TRUE AS within
+        FROM ({stats_sql("SELECT doc_id, text, lang, source, n_chars FROM documents", [
+            ("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"),
+            ("n_chars", "bigint")])})""",
     "column_stats_text": stats_sql(
         GAPPY, [("doc_id", "bigint"), ("lang", "string"), ("cell", "string")]
     ),

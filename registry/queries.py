@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from glossa.backends import FatalBackendError, FaultyBackend, StubBackend
 from glossa.functions import jsoncell, text as tx
-from glossa.operators import cells, chunks, inference, leaves, profile, rows
+from glossa.operators import cells, chunks, inference, leaves, profile, rows, sketches
 from glossa.plans import control, dataset, jobs, runs, translate
 from glossa.session import WorkFolder
 from glossa.settings import PROMPT_PRESETS, JobParams
@@ -298,6 +298,48 @@ def column_stats_text(spark, sf_dir):
     return profile.column_stats(gappy(spark, sf_dir))
 
 
+@query
+def sketch_counts(spark, sf_dir):
+    """Counts merged from four batches: equal to those of one sketch of all rows, and near
+    the exact ones."""
+    df = documents(spark, sf_dir)
+    root = WorkFolder(spark).path("sketches")
+    for rest in range(4):
+        batch = df.where(F.col("doc_id") % 4 == rest)
+        sketches.store_sketches(sketches.column_sketches(batch), root, str(rest))
+    grown = sketches.sketched_stats(sketches.stored_sketches(spark, root))
+    once = sketches.sketched_stats(sketches.column_sketches(df)).select(
+        "column", F.col("distinct_values").alias("once")
+    )
+    exact = profile.column_stats(df).select("column", F.col("distinct_values").alias("exact"))
+    off = F.abs(F.col("distinct_values") - F.col("exact"))
+    return grown.join(once, "column").join(exact, "column").select(
+        "position", "column", "type", "non_null",
+        (F.col("distinct_values") == F.col("once")).alias("same"),
+        (off <= 4 * F.col("error") * F.col("exact") + 1).alias("within"),
+    )
+
+
+@query
+def sketch_job(spark, sf_dir):
+    """Counts of a translated table that the job kept as it wrote its batches."""
+    job = dataset.Job("web/docs", "train", ("lang",), SMALL_PARAMS)
+    run = engine(spark)
+    root = run.work.path("out")
+    df = documents(spark, sf_dir)
+    more = {"row_id": "doc_id", "batch_rows": df.count() // 3 + 1, "sketch": True}
+    dataset.translate_dataset(df, job, run, root, max_batches=1, **more)
+    dataset.translate_dataset(df, job, run, root, **more)
+    kept = dataset.output_stats(spark, root, job)
+    written = dataset.read_output(spark, root, job, row_id="none")
+    exact = profile.column_stats(written).select("column", F.col("distinct_values").alias("exact"))
+    off = F.abs(F.col("distinct_values") - F.col("exact"))
+    return kept.join(exact, "column").select(
+        "column", "type", "non_null",
+        (off <= 4 * F.col("error") * F.col("exact") + 1).alias("within"),
+    )
+
+
 @query
 def json_profile(spark, sf_dir):
     return profile.json_profile(table(spark, sf_dir, "events"))
@@ -985,9 +1027,9 @@ def stream_progress(spark, sf_dir):
         seen.ended.wait(60)
     finally:
         spark.streams.removeListener(seen)
-    read = spark.createDataFrame(sorted(seen.batches.items()), "batch long, rows_read long")
-    found = runs.commits(spark, root, job.key).select("batch", "rows", "failed_chunks")
-    return read.join(found, "batch", "full")
+    followed = F.col("batch").isin(list(seen.milliseconds))
+    found = runs.commits(spark, root, job.key).where(followed)
+    return found.select("batch", "rows_read", "rows", "failed_chunks")
 
 
 @query

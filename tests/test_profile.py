@@ -91,7 +91,7 @@ def test_no_text_columns(spark):
 
 def test_dataset_card(spark):
     card = profile.dataset_card(sample(spark), "out", "org/src", "de")
-    assert card.startswith("---\nlanguage: de\nlicense: mit\n---\n\n# Dataset Card for out\n")
+    assert card.startswith("---\nlanguage: de\nlicense: mit\n---\n\n# out\n")
     assert "| Column | Type | Non-Null | Unique |\n| --- | --- | --- | --- |\n" in card
     assert "| score | double | 3 | 2 |" in card
     assert "**de** translation of org/src" in card
