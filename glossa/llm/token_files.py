@@ -39,9 +39,13 @@ MAGIC = b"TOKZ0001"
 _FOOTER = "<QQI8s"
 _HEAD = len(MAGIC) + 32
 
-#: The sample the dictionary is trained on: documents, and ids of each.
+#: The sample the dictionary is trained on: documents, and characters of each, from a
+#: place that a hash chooses.
 SAMPLE_DOCS = 500
-SAMPLE_IDS = 4_096
+SAMPLE_CHARS = 16_384
+
+#: Bytes of text in a shard, at least and at most; between these, four shards a core.
+LEAST_SHARD, MOST_SHARD = 16 << 20, 256 << 20
 DICTIONARY_BYTES = 65_536
 LEVEL = 3
 
@@ -71,17 +75,32 @@ def _dictionary(data: bytes) -> Any:
 
 
 def train_dictionary(ids: DataFrame, id_bytes: int) -> bytes:
-    """Trained on the first ids of a bounded sample; empty if the sample is too small."""
+    """Trained on the ids of a bounded sample; empty if the sample is too small."""
     import zstandard
 
-    head = F.substring("ids", 1, 4 * SAMPLE_IDS)
-    samples = [_narrow(bytes(r[0]), id_bytes) for r in ids.select(head).collect()]
+    samples = [_narrow(bytes(r[0]), id_bytes) for r in ids.select("ids").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return b""
 
 
+def _sample(docs: DataFrame) -> DataFrame:
+    """Windows of documents chosen by a hash; at most some 8 MB meet in a task."""
+    mixed = F.xxhash64("doc_id", "text")
+    rest = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1
+    place = F.pmod(F.xxhash64(F.lit(1), "doc_id", "text"), rest).cast("int") + 1
+    window = F.substr("text", place, F.lit(SAMPLE_CHARS))
+    found = docs.filter("text is not null").select(mixed.alias("_mixed"), window.alias("text"))
+    return found.orderBy("_mixed", "text").limit(SAMPLE_DOCS).select("text")
+
+
+def _shards(docs: DataFrame) -> int:
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    many = 4 * docs.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-size // min(max(size // many, LEAST_SHARD), MOST_SHARD)))
+
+
 def write_store(
     docs: DataFrame,
     folder: str,
@@ -94,9 +113,7 @@ def write_store(
 ) -> str:
     """Write the store of all documents and give back its folder."""
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    mixed = F.xxhash64(F.col("doc_id"))
-    sample = narrow.orderBy(mixed, "doc_id").limit(SAMPLE_DOCS)
-    data = train_dictionary(with_ids(sample, tokenizer, end_id, text="text"), id_bytes)
+    data = train_dictionary(with_ids(_sample(narrow), tokenizer, end_id, text="text"), id_bytes)
     digest = hashlib.sha256(data).digest()
     fs, base = _open(folder)
     fs.create_dir(base, recursive=True)
@@ -155,9 +172,11 @@ def write_store(
             names=["shard", "file", "documents", "tokens", "first", "last"],
         )
 
-    order = ["doc_id", "_mixed"]
-    placed = narrow.withColumn("_mixed", F.xxhash64("text"))
-    placed = placed.repartitionByRange(*order).sortWithinPartitions(*order).drop("_mixed")
+    # Rows that are equal may be many, and come in any order.
+    order = ["doc_id", "_mixed", "_tie"]
+    tied = {"_mixed": F.xxhash64("text"), "_tie": F.monotonically_increasing_id()}
+    placed = narrow.withColumns(tied).repartitionByRange(_shards(narrow), *order)
+    placed = placed.sortWithinPartitions(*order).select("doc_id", "text")
     shards = placed.mapInArrow(write, schema)
     shards.write.mode("overwrite").parquet(f"{folder}/manifest")
     return folder

@@ -4,8 +4,13 @@ The tokenizers never join a word with the blanks behind it, nor letters with mar
 text is cut in front of every run of ASCII blanks, and between a word of plain letters and
 the marks that end it; each piece is encoded apart. Blanks are left out if the tokenizer
 drops them. Pieces repeat, so a worker remembers
-the ids of those it saw last, up to a bound. Texts with other blanks or separators, on
-which tokenizers may disagree, are encoded as a whole.
+the ids of those it saw last, up to a bound. New pieces of plain letters are encoded many at
+a time, side by side as in a text; which tokens begin or end a word says where the ids are
+cut. Texts with other blanks or separators, on which tokenizers may disagree, and texts that
+may hold the name of a special token, are encoded as a whole.
+
+Ids are those of the plain library: a special token's name in a text is that token, unless
+``names_as_text`` says that it is ordinary text.
 """
 
 from __future__ import annotations
@@ -21,8 +26,11 @@ from pyspark.sql import DataFrame
 
 from glossa.llm.common import worker_state
 
-#: Pieces a worker remembers in each of two generations; with their ids about 80 MB each.
-MEMORY = 400_000
+#: Pieces a worker remembers in each of two generations; with their ids about 60 MB each.
+MEMORY = 300_000
+
+#: Pieces encoded side by side.
+TOGETHER = 500
 
 #: Bytes of text encoded at once.
 BATCH_BYTES = 2_000_000
@@ -42,21 +50,61 @@ _ODD = re.compile(
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers in a byte string."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, names_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = names_as_text
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # What a name begins with before its first letter, whatever case the rest is in.
+        starts = {re.split(r"[^\W\d_]", name, maxsplit=1)[0] or name for name in special}
+        self.marks = () if names_as_text else tuple(sorted(starts))
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         bare, *blank = self._encode(["a", *(b + "a" for b in _BLANKS), *("a" + b for b in _BLANKS)])
-        self.cut = (_BARE if all(b == bare for b in blank) else _PIECE).findall
+        drops_blanks = all(b == bare for b in blank)
+        self.cut = (_BARE if drops_blanks else _PIECE).findall
+        self.between = " " if drops_blanks else ""
+        self.edge = self._edges(drops_blanks)
+
+    def _edges(self, drops_blanks: bool) -> "np.ndarray | None":  # noqa: F821
+        """Which ids end a word, or else begin one with its blank; None if tokens do not say."""
+        import numpy as np
+
+        names = self.tokenizer.get_vocab()
+        edge = np.zeros(max(names.values()) + 1, bool)
+        for name, number in names.items():
+            edge[number] = name.endswith("</w>") if drops_blanks else name.startswith("\u0120")
+        self.ends = drops_blanks
+        words = ["a", "zzxqy", "Übermäßig", "élève", "the", "ÿÿ", "internationalization", "I"]
+        pieces = words if drops_blanks else [f" {w}" for w in words]
+        self.edge = edge
+        return edge if self._side_by_side(pieces) == self._encode(pieces) else None
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _side_by_side(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces of letters, each with an edge at least; more are encoded apart."""
+        import numpy as np
+
+        out: list[bytes] = []
+        groups = [pieces[i : i + TOGETHER] for i in range(0, len(pieces), TOGETHER)]
+        texts = [self.between.join(group) for group in groups]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        for group, one in zip(groups, found):
+            ids = np.array(one.ids, np.uint32)
+            cuts = np.flatnonzero(self.edge[ids])
+            if len(cuts) != len(group):
+                out += self._encode(group)
+                continue
+            raw, at = ids.tobytes(), (4 * cuts).tolist()
+            edges = [0, *(a + 4 for a in at)] if self.ends else [*at, len(raw)]
+            out += [raw[a:b] for a, b in zip(edges, edges[1:])]
+        return out
+
     def _learn(self, pieces: set[str]) -> None:
         absent = pieces - self.known.keys()
         if len(self.known) + len(absent) > MEMORY:
@@ -65,10 +113,20 @@ class Encoder:
         old = absent & self.before.keys()
         self.known.update((p, self.before[p]) for p in old)
         new = list(absent - old)
+        if self.edge is not None:
+            if self.ends:
+                plain = [p for p in new if p.isalpha()]
+            else:
+                plain = [p for p in new if p[0] == " " and p[1:].isalpha()]
+            self.known.update(zip(plain, self._side_by_side(plain)))
+            new = list(set(new).difference(plain))
         self.known.update(zip(new, self._encode(new)))
 
+    def _whole(self, text: str) -> bool:
+        return bool(_ODD.search(text)) or any(mark in text for mark in self.marks)
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if _ODD.search(t) else self.cut(t) for t in texts]
+        cut = [None if self._whole(t) else self.cut(t) for t in texts]
         self._learn({p for pieces in cut if pieces for p in pieces})
         known = self.known
         return [
