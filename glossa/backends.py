@@ -117,6 +117,21 @@ class ChatBackend:
         except (OSError, ValueError) as e:
             raise BackendError(str(e)) from e
         try:
-            return answer["choices"][0]["message"]["content"] or ""
+            choice = answer["choices"][0]
+            said = choice["message"]["content"] or ""
         except (KeyError, IndexError, TypeError) as e:
             raise BackendError(f"unexpected answer: {answer!r:.200}") from e
+        if not said.strip():
+            raise BackendError(why_empty(choice, answer.get("usage")))
+        return said
+
+
+def why_empty(choice: dict, usage: dict | None) -> str:
+    """What a server tells of an answer without a text, for the one who reads the failures."""
+    told = [f"ended by {choice.get('finish_reason')}"]
+    details = (usage or {}).get("completion_tokens_details") or {}
+    spent, thought = (usage or {}).get("completion_tokens"), details.get("reasoning_tokens")
+    if spent is not None:
+        told.append(f"{spent} tokens" + (f", {thought} of them for reasoning" if thought else ""))
+    hint = "; a larger limit or a model without reasoning may help" if thought else ""
+    return f"empty answer ({'; '.join(told)}){hint}"

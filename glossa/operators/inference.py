@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from glossa.backends import Backend, BackendError, Request
 from glossa.functions.text import prompt_parts
+from glossa.operators import filters
 from glossa.settings import JobParams
 from glossa.session import FileSystem
 
@@ -19,13 +20,19 @@ RESULT_FIELDS = [
     T.StructField("status", T.StringType()),
     T.StructField("attempts", T.IntegerType()),
 ]
-RESULT_TYPES = {"tgt": pa.string(), "status": pa.string(), "attempts": pa.int32()}
+REASON_FIELD = T.StructField("reason", T.StringType())
+RESULT_TYPES = {
+    "tgt": pa.string(), "status": pa.string(), "attempts": pa.int32(), "reason": pa.string(),
+}
+EMPTY = "the answer was empty"
+REASON_CHARS = 300
 
 MEMORY_SCHEMA = T.StructType(
     [
         T.StructField("key", T.StringType()),
         T.StructField("src", T.StringType()),
         *RESULT_FIELDS,
+        REASON_FIELD,
         T.StructField("prompt_hash", T.StringType()),
         T.StructField("model", T.StringType()),
         T.StructField("source_lang", T.StringType()),
@@ -63,9 +70,10 @@ def _messages(text: str, params: JobParams) -> list[dict]:
 
 
 def _attempt(backend: Backend, text: str | None, params: JobParams) -> tuple:
-    """(translation or None, status, attempts); fatal errors go up."""
+    """(translation or None, status, attempts, reason of the last failure); fatal errors go up."""
     if text is None or not text.strip():
-        return text, "skipped", 0
+        return text, "skipped", 0, None
+    why = None
     request = Request(
         text,
         _messages(text, params),
@@ -77,25 +85,36 @@ def _attempt(backend: Backend, text: str | None, params: JobParams) -> tuple:
     for attempt in range(1, params.max_attempts + 1):
         try:
             answer = backend.complete(request).strip()
-        except BackendError:
-            answer = ""
+            why = None if answer else EMPTY
+        except BackendError as e:
+            answer, why = "", str(e)[:REASON_CHARS]
         if answer:
-            return answer, "ok", attempt
+            return answer, "ok", attempt, None
         if attempt < params.max_attempts:
             time.sleep(params.retry_wait * attempt)
-    return None, "failed", params.max_attempts
+    return None, "failed", params.max_attempts, why
 
 
 def translate_chunks(
-    df: DataFrame, backend: Backend, params: JobParams, chunk: str = "chunk", in_flight: int = 1
+    df: DataFrame,
+    backend: Backend,
+    params: JobParams,
+    chunk: str = "chunk",
+    in_flight: int = 1,
+    reasons: bool = False,
 ) -> DataFrame:
     """Add (tgt, status, attempts) to every row; one backend call per row and try.
 
+    With ``reasons`` also why the last try failed: what the backend said, or that its
+    answer was empty.
+
     ``in_flight`` requests run at a time in each task. The result of a model is
     neither cheap nor repeatable, so write it before using it twice.
     """
     at = df.columns.index(chunk)
-    schema = T.StructType([*df.schema.fields, *RESULT_FIELDS])
+    fields = [*RESULT_FIELDS, REASON_FIELD] if reasons else RESULT_FIELDS
+    kinds = {f.name: RESULT_TYPES[f.name] for f in fields}
+    schema = T.StructType([*df.schema.fields, *fields])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with ThreadPoolExecutor(in_flight) as pool:
@@ -106,10 +125,10 @@ def translate_chunks(
                 done = list(pool.map(lambda t: _attempt(backend, t, params), texts))
                 added = [
                     pa.array(values, type=kind)
-                    for values, kind in zip(zip(*done), RESULT_TYPES.values())
+                    for values, kind in zip(zip(*done), kinds.values())
                 ]
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, *added], names=[*batch.schema.names, *RESULT_TYPES]
+                    [*batch.columns, *added], names=[*batch.schema.names, *kinds]
                 )
 
     return df.mapInArrow(run, schema)
@@ -142,11 +161,16 @@ def dedupe_chunks(chunks: DataFrame) -> DataFrame:
 
 
 class TranslationMemory:
-    """Stored results of the backend, so that no chunk is translated twice."""
+    """Stored results of the backend, so that no chunk is translated twice.
+
+    Files are never changed. Once there are many, each has filters of its keys beside the
+    memory, see ``filters``, and a short list of keys opens only files that may hold some.
+    """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, min_files: int = filters.MIN_FILES):
         self.spark = spark
         self.path = path
+        self.min_files = min_files
 
     def rows(self) -> DataFrame:
         if not FileSystem(self.spark, self.path).has_data(self.path):
@@ -169,26 +193,50 @@ class TranslationMemory:
         found = self._good(params, among).select("key")
         return dedupe_chunks(chunks).join(found, "key", "left_anti")
 
+    def failures(self, params: JobParams) -> DataFrame:
+        """(src, attempts, reason) of chunks that failed, and why they did the last time."""
+        failed = self._mine(self.rows(), params).where(F.col("status") == "failed")
+        return failed.select("key", "src", "attempts", "reason")
+
     def append(self, results: DataFrame, params: JobParams) -> None:
+        reason = F.col("reason") if "reason" in results.columns else F.lit(None).cast("string")
         stored = results.select(
             "key",
             F.col("chunk").alias("src"),
-            *RESULT_TYPES,
+            *(f.name for f in RESULT_FIELDS),
+            reason.alias("reason"),
             F.lit(params.prompt_hash).alias("prompt_hash"),
             F.lit(params.model).alias("model"),
         )
         # All rows are of one partition; naming its folder saves a sort.
         folder = f"source_lang={params.source_lang}/target_lang={params.target_lang}"
         stored.write.mode("append").parquet(f"{self.path}/{folder}")
-
-    def _good(self, params: JobParams, among: DataFrame | None) -> DataFrame:
-        good = self.rows().where(
+        self.add_filters()
+
+    def add_filters(self) -> None:
+        """Filters for all files that have none yet, as long as there are many files."""
+        rows = self.rows()
+        if len(rows.inputFiles()) > self.min_files:
+            filters.add(self.spark, rows.where(F.col("status") == "ok"), self.path)
+
+    def opened(self, among: DataFrame | None) -> DataFrame:
+        """The rows of files that may hold some of the keys; of all files without a list."""
+        rows = self.rows()
+        if among is None or len(rows.inputFiles()) <= self.min_files:
+            return rows
+        return filters.pruned(self.spark, rows, self.path, among)
+
+    @staticmethod
+    def _mine(rows: DataFrame, params: JobParams) -> DataFrame:
+        return rows.where(
             (F.col("source_lang") == params.source_lang)
             & (F.col("target_lang") == params.target_lang)
             & (F.col("prompt_hash") == params.prompt_hash)
             & (F.col("model") == params.model)
-            & (F.col("status") == "ok")
         )
+
+    def _good(self, params: JobParams, among: DataFrame | None) -> DataFrame:
+        good = self._mine(self.opened(among), params).where(F.col("status") == "ok")
         return good if among is None else good.join(F.broadcast(among), "key", "left_semi")
 
 

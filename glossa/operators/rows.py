@@ -87,6 +87,12 @@ def file_path() -> Column:
     return F.col("_metadata.file_path")
 
 
+def file_names(df: DataFrame) -> list[str]:
+    """The files of a scan in order, as the scan names them: a scheme without a host has
+    one slash."""
+    return sorted({re.sub(r"^([\w+.-]+):///", r"\1:/", name) for name in df.inputFiles()})
+
+
 def assign_row_id(
     df: DataFrame,
     small_file_count: int = SMALL_FILE_COUNT,
@@ -164,8 +170,7 @@ def scan_head(df: DataFrame, n: int) -> DataFrame:
     Files are counted in the order of their names, one, then two, then four, until there
     are enough rows; no later file is opened.
     """
-    # Scans spell a scheme without a host with one slash.
-    names = sorted({re.sub(r"^([\w+.-]+):///", r"\1:/", name) for name in df.inputFiles()})
+    names = file_names(df)
     at, size, rows, last = 0, 1, 0, None
     while at < len(names) and rows < n:
         run = names[at : at + size]

@@ -75,10 +75,15 @@ def stored_sketches(spark: SparkSession, root: str) -> DataFrame:
 
 def merged(sketches: DataFrame) -> DataFrame:
     """One row for each column of all batches. A column that some batches lack counts in
-    those that have it."""
+    those that have it.
+
+    A sketch that was never merged is read by another estimator than a merged one; each is
+    merged with itself first, so that one batch and many of the same rows give one number.
+    """
     return sketches.groupBy("column", "type").agg(
         F.min("position").alias("position"), F.sum("rows").alias("rows"),
-        F.sum("non_null").alias("non_null"), F.hll_union_agg("sketch").alias("sketch"),
+        F.sum("non_null").alias("non_null"),
+        F.hll_union_agg(F.hll_union("sketch", "sketch")).alias("sketch"),
     )
 
 

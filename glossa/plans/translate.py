@@ -134,7 +134,9 @@ def _translate_missing(
         if engine.should_stop and engine.should_stop():
             raise Stopped(f"stopped after {i} of {len(parts)} commits")
         spread = part.repartition(engine.tasks(min(total, engine.commit_chunks)), "key")
-        results = translate_chunks(spread, engine.backend, engine.params, in_flight=engine.calls)
+        results = translate_chunks(
+            spread, engine.backend, engine.params, in_flight=engine.calls, reasons=True
+        )
         engine.memory.append(results, engine.params)
         if engine.on_commit:
             engine.on_commit(i + 1, len(parts))

@@ -536,6 +536,8 @@ ORACLES: dict[str, str] = {
     "translation_memory": f"""WITH RECURSIVE {chunk_ctes(DOC_TEXT, CHUNK_TOKENS)}
         SELECT count(*) AS stored, CAST(sum(length(chunk) + 5) AS BIGINT) AS stored_chars,
                0::BIGINT AS left_over FROM (SELECT DISTINCT chunk FROM chunk)""",
+    "memory_files": f"""WITH RECURSIVE {chunk_ctes(DOC_TEXT, CHUNK_TOKENS)}
+        SELECT DISTINCT chunk, '[tr] ' || chunk AS tgt, TRUE AS few_files FROM chunk WHERE id % 10 = 7""",
     "translate_plain": f"""{TR_OF_TEXT}
         SELECT id AS doc_id, txt AS source, tr AS translation FROM src JOIN translated USING (id)""",
     "translate_json": f"""SELECT {TURN_ID} AS turn_id, role, {chat_text(STUB_LINE)} AS messages,

@@ -899,6 +899,25 @@ def translation_memory(spark, sf_dir):
     )
 
 
+@query
+def memory_files(spark, sf_dir):
+    """Chunks stored in ten commits, and one commit's chunks looked up again: each with its
+    translation, and whether few files were opened for that."""
+    run = engine(spark)
+    memory = inference.TranslationMemory(spark, run.work.path("many"), min_files=5)
+    keyed = chunks.chunk_table(documents(spark, sf_dir).select("doc_id", "text"), "text", CHUNK_TOKENS)
+    keyed = run.work.write(keyed.withColumn("key", inference.chunk_key("chunk", run.params)), "keyed")
+    for rest in range(10):
+        part = inference.dedupe_chunks(keyed.where(F.col("doc_id") % 10 == rest)).coalesce(1)
+        memory.append(inference.translate_chunks(part, run.backend, run.params), run.params)
+    again = inference.dedupe_chunks(keyed.where(F.col("doc_id") % 10 == 7))
+    opened = memory.opened(again.select("key")).select(F.col("_metadata.file_path")).distinct()
+    every = memory.rows().select(F.col("_metadata.file_path")).distinct()
+    few = opened.count() < every.count()
+    found = again.join(memory.known(run.params, again.select("key")), "key")
+    return found.select("chunk", "tgt", F.lit(few).alias("few_files"))
+
+
 @query
 def translate_plain(spark, sf_dir):
     df = documents(spark, sf_dir).select("doc_id", "text")
