@@ -908,7 +908,7 @@ def memory_files(spark, sf_dir):
     keyed = chunks.chunk_table(documents(spark, sf_dir).select("doc_id", "text"), "text", CHUNK_TOKENS)
     keyed = run.work.write(keyed.withColumn("key", inference.chunk_key("chunk", run.params)), "keyed")
     for rest in range(10):
-        part = inference.dedupe_chunks(keyed.where(F.col("doc_id") % 10 == rest)).coalesce(1)
+        part = memory.missing(keyed.where(F.col("doc_id") % 10 == rest), run.params).coalesce(1)
         memory.append(inference.translate_chunks(part, run.backend, run.params), run.params)
     again = inference.dedupe_chunks(keyed.where(F.col("doc_id") % 10 == 7))
     opened = memory.opened(again.select("key")).select(F.col("_metadata.file_path")).distinct()
