@@ -8,24 +8,27 @@ its likeliest part; a query goes to the ``probes`` likeliest, and what they hold
 reranked by the exact cosine.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components
-take no part, nor do those whose length differs from that of most of the sample; of rows
-equal in vec_id the one whose vector comes first counts; ties go to the smaller vec_id;
-fewer candidates than k give all that are found; no rows give no rows; further columns are
-not kept.
+take no part; vectors of different lengths are not compared, each length in the sample has
+a partition and network of its own, and a length it hardly has is one part that is searched
+whole; rows equal in vec_id are candidates and queries each, and only its own row is no
+candidate of a query; a null vec_id is a candidate like any other; ties go to the smaller
+vec_id, null last; fewer candidates than k give all that are found; no rows give no rows;
+further columns are not kept.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from glossa.llm.common import work
-from glossa.llm.vectors import BLOCK_ROWS, QUERY_ROWS, best_pairs, blocked, per_row, ranked_best, usable
+from glossa.llm.vectors import BLOCK_ROWS, QUERY_ROWS, best_pairs, blocked, named, per_row, ranked_best, usable
 
 #: The most rows the partition is learned on.
 SAMPLE_ROWS = 6_000
+#: A length with fewer vectors in the sample is not cut in parts.
+LEAST_VECTORS = 50
 PARTS = 16
 PROBES = 12
 NEIGHBOURS = 10
@@ -170,33 +173,40 @@ def search(
     import numpy as np
 
     folder = work(rows.sparkSession)
-    good = usable(rows, vec_id, vector, lambda x: x).filter(F.exists("v", lambda x: x != 0))
-    kept = folder.write(good, "vectors")
+    stored = usable(rows, vec_id, vector, lambda x: x, folder)
+    stored = stored.filter(F.exists("v", lambda x: x != 0))
+    kept = stored.select("vec_id", "v")
     sample = kept.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).collect()
-    sizes = Counter(len(r["v"]) for r in sample)
-    if not sizes:
-        return rows.sparkSession.createDataFrame(
-            [], "query_id long, rank int, vec_id long, score double"
-        )
-    dim = max(sizes, key=lambda d: (sizes[d], d))
-    x = np.array([r["v"] for r in sample if len(r["v"]) == dim])
-    router = fit_router(x / np.sqrt((x**2).sum(1, keepdims=True)), parts)
-    kept = kept.filter(F.size("v") == dim)
+    by_dim: dict[int, list] = {}
+    for r in sample:
+        by_dim.setdefault(len(r["v"]), []).append(r["v"])
+    routers = {}
+    for dim, vectors in by_dim.items():
+        if len(vectors) < LEAST_VECTORS:
+            continue
+        x = np.array(vectors)
+        routers[dim] = fit_router(x / np.sqrt((x**2).sum(1, keepdims=True)), parts)
+
+    def scores(x):
+        """Of the parts; a length that the sample hardly has is one part, searched exactly."""
+        router = routers.get(x.shape[1])
+        return router.scores(x) if router else np.zeros((len(x), 1))
 
     def indexed(ids, x):
-        return {"part": router.scores(x).argmax(1)}
+        return {"part": x.shape[1] * parts + scores(x).argmax(1)}
 
     def routed(ids, x):
-        order = np.argsort(-router.scores(x), axis=1, kind="stable")
-        return {"parts": list(order[:, :probes])}
+        order = np.argsort(-scores(x), axis=1, kind="stable")
+        return {"parts": list(x.shape[1] * parts + order[:, :probes])}
 
     placed = folder.write(per_row(kept, indexed, {"part": "long"}), "placed")
     counts = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}
-    asked = kept.filter(is_query)
+    asked = stored.withColumnsRenamed({"vec_id": "_row", "name": vec_id}).filter(is_query)
+    asked = asked.select(F.col("_row").alias("vec_id"), "v")
     sent = per_row(asked, routed, {"parts": "array<bigint>"})
     sent = sent.select(F.explode("parts").alias("part"), "vec_id", "v")
     queries = blocked(sent, "part", max(1, -(-asked.count() // QUERY_ROWS)), "queries")
     split = {p: -(-n // BLOCK_ROWS) for p, n in counts.items()}
     candidates = blocked(placed, "part", split, "candidates")
     found = best_pairs(queries.join(candidates, "part"), k, _cosines, _cosine_one, 1e-9)
-    return ranked_best(found, k).select("query_id", "rank", "vec_id", "score")
+    return named(ranked_best(found, k), stored)

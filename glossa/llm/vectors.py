@@ -15,24 +15,44 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from glossa.llm.common import ranked
+from glossa.session import WorkFolder
+
 #: Candidates in a block and queries in a block, about.
 BLOCK_ROWS = 4_096
 QUERY_ROWS = 2_048
 
 
-def usable(df: DataFrame, vec_id: str, vector: str, of: Callable[[Column], Column]) -> DataFrame:
-    """(vec_id, v): vectors of at least one component, all of them finite.
+def usable(
+    df: DataFrame, vec_id: str, vector: str, of: Callable[[Column], Column], folder: WorkFolder
+) -> DataFrame:
+    """(name, v, vec_id): vectors of at least one component, all of them finite.
 
-    ``of`` maps a component as a double. Of rows equal in vec_id the one whose vector
-    comes first counts; a null vec_id takes no part.
+    ``of`` maps a component as a double. ``vec_id`` here is a number of the row, from 0 in
+    the order of the ids (null last), so rows equal in id stay apart and ties by number are
+    ties by id; ``name`` is the id itself.
     """
     good = F.forall(
         F.col("v"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     )
-    rows = df.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("v"))
-    rows = rows.filter(F.col("vec_id").isNotNull() & (F.size("v") > 0) & good)
-    rows = rows.withColumn("v", F.transform("v", lambda x: of(x.cast("double"))))
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = df.select(F.col(vec_id).alias("name"), F.col(vector).alias("v"))
+    rows = rows.filter((F.size("v") > 0) & good)
+    rows = rows.withColumns(
+        {
+            "v": F.transform("v", lambda x: of(x.cast("double"))),
+            "_none": F.col("name").isNull(), "_tie": F.monotonically_increasing_id(),
+        }
+    )
+    numbered = ranked(rows, ["_none", "name", "_tie"], folder, "vectors")
+    return numbered.select("name", "v", F.col("rank").alias("vec_id"))
+
+
+def named(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """Results with the ids of their rows, (query_id, rank, vec_id, score)."""
+    ids = rows.select("name", "vec_id")
+    queries = ids.select(F.col("name").alias("_query"), F.col("vec_id").alias("query_id"))
+    both = found.join(queries, "query_id").join(ids, "vec_id")
+    return both.select(F.col("_query").alias("query_id"), "rank", F.col("name").alias("vec_id"), "score")
 
 
 def matrices(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple["np.ndarray", "np.ndarray", "np.ndarray"]]:  # noqa: F821

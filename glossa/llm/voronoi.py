@@ -11,9 +11,10 @@ replicated to those. Queries and vectors meet there in blocks.
 The summaries have one row for each pivot, and one for each length of vectors.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no
-part; vectors of different lengths are not compared; of rows equal in vec_id the one whose
-vector comes first counts; ties go to the smaller vec_id; fewer candidates than k give all
-of them; no rows give no rows; further columns are not kept.
+part; vectors of different lengths are not compared; rows equal in vec_id are candidates
+and queries each, and only its own row is no candidate of a query; a null vec_id is a
+candidate like any other; ties go to the smaller vec_id, null last; fewer candidates than
+k give all of them; no rows give no rows; further columns are not kept.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from glossa.llm.common import work
-from glossa.llm.vectors import BLOCK_ROWS, QUERY_ROWS, best_pairs, blocked, per_row, ranked_best, usable
+from glossa.llm.vectors import BLOCK_ROWS, QUERY_ROWS, best_pairs, blocked, named, per_row, ranked_best, usable
 
 #: The most pivots; they are rows with the smallest hashes of their ids.
 PIVOTS = 64
@@ -52,7 +53,8 @@ def top_k(
     import numpy as np
 
     folder = work(rows.sparkSession)
-    kept = folder.write(usable(rows, vec_id, vector, component), "vectors")
+    stored = usable(rows, vec_id, vector, component, folder)
+    kept = stored.select("vec_id", "v")
     sample = kept.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
     centres: dict[int, list] = {}
     for r in sample:
@@ -100,7 +102,8 @@ def top_k(
         wanted = high >= bound
         return {"cells": [[names[j] for j in np.flatnonzero(w)] for w in wanted]}
 
-    asked = kept.filter(is_query)
+    asked = stored.withColumnsRenamed({"vec_id": "_row", "name": vec_id}).filter(is_query)
+    asked = asked.select(F.col("_row").alias("vec_id"), "v")
     routed = per_row(asked, needed, {"cells": "array<bigint>"})
     routed = routed.select(F.explode("cells").alias("cell"), "vec_id", "v")
     many = asked.count()
@@ -108,4 +111,4 @@ def top_k(
     split = {c: -(-n // BLOCK_ROWS) for c, (n, _, _) in summary.items()}
     candidates = blocked(placed, "cell", split, "candidates")
     found = best_pairs(queries.join(candidates, "cell"), k, _inner, _inner_one, 0.0)
-    return ranked_best(found, k).select("query_id", "rank", "vec_id", "score")
+    return named(ranked_best(found, k), stored)
