@@ -3,11 +3,11 @@
 The corpus is its own reference. It is cut in blocks of documents, every block indexes
 its windows of ``window`` consecutive words, and the indexes are merged: for each window
 the smallest document it starts in, and the place there, is its reference. Each document
-is then parsed: at every place the index is asked, and a factor extends word by word as
-long as the reference goes on in step, so it is the longest match with that reference. A
-factor ends where the match does; windows across that boundary are looked up as well and
-may open the next factor, so that no window is missed between two factors. Factors into
-documents with a smaller id are the duplicate spans. All windows are judged on the input.
+is then parsed: every window is looked up, and windows that follow each other here and in
+their reference are one factor. This is not the greedy parse, which follows one reference
+while its words agree: that misses windows whose smaller document is another one, and would
+need the reference's text in every task. Factors into documents with a smaller id are the
+duplicate spans. All windows are judged on the input.
 
 Work in three passes over stored blocks, so that little is shuffled:
 
@@ -46,6 +46,9 @@ BLOCK_BYTES = 4_000_000
 GROUP_BYTES = 3_000_000
 BUCKET_BYTES = 24_000_000
 
+#: Spark's own bound; a task streams the blocks of its bucket, so buckets may be larger.
+MOST_BUCKETS = 100_000
+
 ANCHOR_WORDS = 5
 NO_DOC = (1 << 63) - 1
 
@@ -246,7 +249,7 @@ def parse(
     groups = max(1, -(-size // GROUP_BYTES))
     # Joins shuffle a table with fewer buckets than shuffles have partitions.
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(least, -(-size // BUCKET_BYTES))
+    buckets = min(max(least, -(-size // BUCKET_BYTES)), MOST_BUCKETS)
     name = f"glossa_blocks_{uuid.uuid4().hex}"
     (
         _blocks(narrow).repartition(buckets, "block").write.bucketBy(buckets, "block")
