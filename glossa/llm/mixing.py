@@ -7,14 +7,16 @@ among the others by weight, again and again until no source is above its cap.
 Sample: of the epochs a source needs, the whole ones repeat all its documents. The
 fraction left is a seeded sample of whole documents: they are put in the order of a
 digest of seed and id, and taken from the start while at least half of a document still
-fits. So each source misses its target by half a document at most (more only where many
-rows share id and size), and a rerun takes the same documents.
+fits. So each source misses its target by half a document at most, and a rerun takes the
+same documents. Rows equal in id and text are one class with a number of rows, so a class
+that holds a third of the table is one row in all sums; where the sample ends within a
+class, so many of its rows are taken as fit.
 
 Defined cases: null, empty and blank texts have size 0 and are repeated by the whole
-epochs only; the null source is a source of its own; a null id is digested as the word
-``null``; repeated rows are rows like any other, and rows equal in id and size are taken
-or left together; no rows give no rows. Further columns pass through, also those named
-like the ones added, which are replaced.
+epochs only; the null source is a source of its own; for a null id the text is digested;
+repeated rows are rows like any other, and which of several equal rows are taken is left
+open; no rows give no rows. Further columns pass through, also those named like the ones
+added, which are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from glossa.llm.common import ranked, word_count, work
+from glossa.llm.common import ID_BITS, ranked, word_count, work
 from glossa.session import WorkFolder
 
 #: Rows of a source that one task sorts.
@@ -66,17 +68,22 @@ def water_fill(sizes: DataFrame, total: float, max_epochs: float) -> DataFrame:
     return sizes.withColumn("target", F.least(cap, F.lit(level) * F.col("weight")))
 
 
-def digest(doc_id: Column, seed: int) -> Column:
+def digest(doc_id: Column, text: Column, seed: int) -> Column:
     """A long from 0 to 2^32 - 1, the same for the same id and seed."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    unnamed = F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit(""))))
+    named = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), unnamed))
+    return F.conv(F.substring(F.md5(named), 1, 8), 16, 10).cast("long")
+
+
+KEY = ("digest", "id", "size", "mark")
 
 
 def _last_taken(keys: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Per source the last key of the fractional sample (``last``), null if it takes none.
+    """Per source the last class of the fractional sample (``last``) and how many of its
+    ``n`` rows are ``taken``; null if the sample is empty.
 
     Sums of slices, ordered by digest, find the slice in which the sample ends; only the
-    rows of that slice are put in order, so a large source is not the work of one task.
+    classes of that slice are put in order, so a large source is not the work of one task.
     """
     by = ["_source", "_none"]
     wanted = F.col("target") - F.floor("epochs") * F.col("size")
@@ -86,25 +93,31 @@ def _last_taken(keys: DataFrame, sizes: DataFrame) -> DataFrame:
     dealt = keys.join(plan, by).withColumn(
         "_slice", F.floor(F.col("digest") * F.col("_slices") / F.lit(_UNIT))
     )
+    held = F.col("size") * F.col("n")
+    last = F.struct(*KEY)
     sums = dealt.groupBy(*by, "_slice", "_want").agg(
-        F.sum("size").alias("_sum"), F.max(F.struct("digest", "id", "size")).alias("_max")
+        F.sum(held).alias("_sum"), F.max(last).alias("_max"), F.max_by("n", last).alias("n")
     )
     ahead = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)))
     whole = F.col("_before") + F.col("_sum") <= F.col("_want")
     edge = ~whole & (F.col("_before") < F.col("_want"))
-    full = sums.filter(whole).select(*by, F.col("_max").alias("last"))
+    full = sums.filter(whole).select(*by, F.col("_max").alias("last"), F.col("n").alias("taken"), "n")
     ends = sums.filter(edge).select(*by, "_slice", "_before")
-    inside = Window.partitionBy(*by, "_slice").orderBy("digest", "id", "size")
-    upto = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    middle = F.col("_before") + F.col("_upto") - F.col("size") / 2
+    inside = Window.partitionBy(*by, "_slice").orderBy(*KEY)
+    upto = F.sum(held).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    room = F.col("_want") - (F.col("_before") + F.col("_upto") - held)
+    # A row is taken if its middle is within the room.
+    fits = F.when(F.col("size") > 0, F.floor(room / F.col("size") + 0.5)).otherwise(F.col("n"))
     part = (
         dealt.join(ends, [*by, "_slice"])
         .withColumn("_upto", upto)
-        .filter(middle <= F.col("_want"))
-        .select(*by, F.struct("digest", "id", "size").alias("last"))
+        .withColumn("taken", F.least(fits, F.col("n")).cast("long"))
+        .filter("taken > 0")
+        .select(*by, last.alias("last"), "taken", "n")
     )
-    return full.unionByName(part).groupBy(*by).agg(F.max("last").alias("last"))
+    found = F.max_by(F.struct("last", "taken", "n"), "last").alias("_found")
+    return full.unionByName(part).groupBy(*by).agg(found).select(*by, "_found.*")
 
 
 def mix(
@@ -126,18 +139,19 @@ def mix(
     """
     folder = work(docs.sparkSession)
     measure = word_count(F.col(text)) if size is None else size
-    keys = folder.write(
-        docs.select(
-            F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_source"),
-            F.col(source).isNull().alias("_none"),
-            F.col(doc_id).alias("id"),
-            measure.cast("long").alias("size"),
-            digest(F.col(doc_id), seed).alias("digest"),
-        ),
-        "keys",
+    # Rows of one id are told apart by their text.
+    mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    keys = docs.select(
+        F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_source"),
+        F.col(source).isNull().alias("_none"),
+        F.col(doc_id).alias("id"),
+        measure.cast("long").alias("size"),
+        digest(F.col(doc_id), F.col(text), seed).alias("digest"),
+        mark.alias("mark"),
     )
+    keys = folder.write(keys.groupBy(*keys.columns).agg(F.count("*").alias("n")), "keys")
     sizes = keys.groupBy("_source", "_none").agg(
-        F.sum("size").alias("size"), F.count("*").alias("rows")
+        F.sum(F.col("size") * F.col("n")).alias("size"), F.count("*").alias("rows")
     )
     sizes = folder.write(cyclic_weights(sizes, weights, folder), "weights")
     total = sizes.agg(F.sum("size")).first()[0] or 0
@@ -151,30 +165,52 @@ def mix(
         F.col("_source").alias("__mix_s"), F.col("_none").alias("__mix_n"),
         F.col("size").alias("__mix_source_size"), F.col("target").alias("__mix_target"),
         F.floor("epochs").alias("__mix_whole"), F.col("last").alias("__mix_last"),
+        F.col("taken").alias("__mix_taken"), F.col("n").alias("__mix_n_last"),
     )
     plan = folder.write(plan, "plan")
     rest = docs.drop(*ADDED)
     sized = rest.withColumn("__mix_size", measure.cast("long"))
     key = F.struct(
-        digest(F.col(doc_id), seed).alias("digest"), F.col(doc_id).alias("id"),
-        F.col("__mix_size").alias("size"),
+        digest(F.col(doc_id), F.col(text), seed).alias("digest"), F.col(doc_id).alias("id"),
+        F.col("__mix_size").alias("size"), mark.alias("mark"),
     )
     at = (F.coalesce(F.col(source).cast("string"), F.lit("")) == F.col("__mix_s")) & (
         F.col(source).isNull() == F.col("__mix_n")
     )
+    placed = sized.join(plan, at)
+    cut = F.col("__mix_taken") < F.col("__mix_n_last")
     more = F.when((F.col("__mix_size") > 0) & (key <= F.col("__mix_last")), 1).otherwise(0)
-    return (
-        sized.join(plan, at)
-        .withColumn("repeats", (F.col("__mix_whole") + F.coalesce(more, F.lit(0))).cast("long"))
-        .select(
-            *[F.col(c) for c in rest.columns],
-            F.col("__mix_size").alias("size"), F.col("__mix_source_size").alias("source_size"),
-            F.col("__mix_target").alias("target"), "repeats",
-            (F.col("repeats") * F.col("__mix_size")).alias("taken"),
-        )
+    whole = placed.withColumn("__mix_more", more)
+    if not plan.filter(cut).isEmpty():
+        tied = F.coalesce(cut & (key == F.col("__mix_last")), F.lit(False))
+        some = F.when(F.col("__mix_no") < F.col("__mix_taken"), 1).otherwise(0)
+        ties = _numbered(placed.filter(tied), folder).withColumn("__mix_more", some)
+        whole = whole.filter(~tied).unionByName(ties.drop("__mix_no"))
+    return whole.withColumn(
+        "repeats", (F.col("__mix_whole") + F.col("__mix_more")).cast("long")
+    ).select(
+        *[F.col(c) for c in rest.columns],
+        F.col("__mix_size").alias("size"), F.col("__mix_source_size").alias("source_size"),
+        F.col("__mix_target").alias("target"), "repeats",
+        (F.col("repeats") * F.col("__mix_size")).alias("taken"),
     )
 
 
+def _numbered(rows: DataFrame, folder: WorkFolder) -> DataFrame:
+    """``rows`` with ``__mix_no``, from 0 within each source, by the counts of partitions."""
+    by = ["__mix_s", "__mix_n", "__mix_part"]
+    kept = folder.write(rows.withColumn("__mix_id", F.monotonically_increasing_id()), "ties")
+    kept = kept.withColumn("__mix_part", F.shiftrightunsigned("__mix_id", ID_BITS))
+    ahead = Window.partitionBy(*by[:2]).orderBy("__mix_part")
+    before = F.sum("__mix_count").over(ahead.rowsBetween(Window.unboundedPreceding, -1))
+    starts = kept.groupBy(*by).agg(F.count("*").alias("__mix_count"))
+    starts = starts.select(*by, F.coalesce(before, F.lit(0)).alias("__mix_start"))
+    inside = F.row_number().over(Window.partitionBy(*by).orderBy("__mix_id")) - 1
+    made = kept.withColumn("__mix_no", inside).join(starts, by)
+    number = F.col("__mix_start") + F.col("__mix_no")
+    return made.withColumn("__mix_no", number).drop("__mix_part", "__mix_id", "__mix_start")
+
+
 def repeated(mixed: DataFrame) -> DataFrame:
     """The rows of the mix, each as often as it is taken, without the added columns."""
     columns = [c for c in mixed.columns if c not in ADDED]

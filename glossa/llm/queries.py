@@ -37,7 +37,8 @@ ORACLES["op1_mix_sources"] = r"""
 WITH docs AS (
     SELECT doc_id, source,
         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-        ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT AS digest
+        ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))), 1, 8)
+        )::BIGINT AS digest
     FROM documents
 ), sizes AS (
     SELECT source, sum(size)::BIGINT AS source_size,
