@@ -10,14 +10,18 @@ and a digit is a candidate. Its encoding is the smallest alphabet that has all i
 characters. Under the hypothesis that these are drawn independently and uniformly, three
 tests give p-values: chi-squared of the counts (Wilson-Hilferty), runs above and below
 the middle of the alphabet (Wald-Wolfowitz), and serial correlation at lag one. Fisher's
-method combines them; a candidate that this rejects is no random string.
-
-A short string that passes may still be a name, so each candidate is also held against
-written language: the number of pairs of equal characters, Poisson with the mean that
-language gives a text of that length. Small p-values speak against language. The
-candidates with the smallest are accepted by the Benjamini-Hochberg rule, for each class
-of lengths apart, as short strings cannot reach the p-values that long ones do, and one
-rule for all would let the long ones pay for the short. The p-values are counted in bins.
+method combines them to one.
+
+False discoveries: what must not be reported are names, paths and numbers. Their model is
+a chain of pairs of characters: how kinds of characters (capital, small, digit, sign)
+follow each other in names, and how frequent each letter is. The evidence of a candidate
+is the ratio of its chance in its encoding to its chance in that chain, times the battery's
+p-value, which is below one. Under the chain its mean is at most one whatever the encoding
+and the length, so its inverse bounds a p-value (Markov). The candidates with the smallest
+are accepted by the Benjamini-Hochberg rule, for each class of lengths apart, as short
+strings cannot reach the p-values that long ones do, and one rule for all would let the
+long ones pay for the short. The p-values are counted in bins. A candidate is left out
+only where a pattern's span holds all of it; spans may overlap.
 
 Defined cases: a null text is empty; texts without candidates have no spans; a table
 without candidates accepts none; repeated rows each get the same spans; further columns
@@ -54,16 +58,29 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
-#: The level at which the battery rejects, and the share of false discoveries allowed.
-REJECT = 0.001
+#: The share of false discoveries allowed.
 FALSE_SHARE = 0.01
-#: The chance that two characters of written language are equal.
-LANGUAGE_PAIRS = 0.065
+#: Of names, how often a kind of character begins one, and follows each kind;
+#: kinds are capital, small, digit, sign.
+FIRST = (0.3, 0.5, 0.15, 0.05)
+FOLLOWS = (
+    (0.45, 0.45, 0.05, 0.05),
+    (0.05, 0.88, 0.03, 0.04),
+    (0.04, 0.06, 0.82, 0.08),
+    (0.20, 0.50, 0.25, 0.05),
+)
+#: Percentages of the letters A to Z in written English.
+LETTERS = (
+    8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.2, 0.8, 4.0, 2.4,
+    6.7, 7.5, 1.9, 0.1, 6.0, 6.3, 9.1, 2.8, 1.0, 2.4, 0.2, 2.0, 0.1,
+)
+#: Other languages have other letters: this share of all is even.
+EVEN = 0.2
 #: Lower ends of the classes of lengths.
 LENGTHS = (20, 28, 40, 64)
-#: Bins of the score for each unit, and the highest score that is told apart.
+#: Bins of the evidence for each unit, and the most that is told apart.
 BINS_PER_UNIT = 20
-TOP_SCORE = 20
+TOP_SCORE = 40
 
 SPAN = "array<struct<start: int, kind: int, end: int>>"
 _CHUNK = 256
@@ -117,15 +134,51 @@ def _spans(found: Column, keep: Column, kind: str) -> Column:
     return F.filter(each, lambda s: s.isNotNull())
 
 
+def _everything() -> str:
+    """All characters of the alphabets: capitals, small letters, digits, signs."""
+    return "".join(dict.fromkeys(ALPHABETS["base64"] + ALPHABETS["base64url"] + "="))
+
+
+def _named() -> tuple[list[int], list[float]]:
+    """For each of all characters its kind, and the logarithm of its share in the kind."""
+    kinds, shares = [], []
+    signs = sum(not c.isalnum() for c in _everything())
+    for c in _everything():
+        kinds.append(0 if c.isupper() else 1 if c.islower() else 2 if c.isdigit() else 3)
+        if c.isalpha():
+            share = (1 - EVEN) * LETTERS[ord(c.upper()) - ord("A")] / 100 + EVEN / 26
+        else:
+            share = 1 / 10 if c.isdigit() else 1 / signs
+        shares.append(math.log(share))
+    return kinds, shares
+
+
+def _as_name(letters: Column) -> Column:
+    """The logarithm of the chance of characters, given in a list, in the chain of names."""
+    kinds, shares = _named()
+    every = F.lit(_everything())
+    kind_of, share_of = F.array(*map(F.lit, kinds)), F.array(*map(F.lit, shares))
+    start = F.array(*[F.lit(math.log(p)) for p in FIRST])
+    pairs = F.array(*[F.lit(math.log(p)) for row in FOLLOWS for p in row])
+    places = F.transform(letters, lambda c: F.instr(every, c))
+    kind = F.transform(places, lambda i: F.element_at(kind_of, i))
+    steps = F.zip_with(
+        F.slice(kind, 1, F.size(kind) - 1), F.slice(kind, 2, F.size(kind) - 1),
+        lambda a, b: F.element_at(pairs, 4 * a + b + 1),
+    )
+    begun = F.element_at(start, F.element_at(kind, 1) + 1)
+    drawn = F.transform(places, lambda i: F.element_at(share_of, i))
+    return F.aggregate(F.concat(steps, drawn), begun, lambda s, v: s + v)
+
+
 def battery(token: Column) -> Column:
-    """A struct for a candidate: size, p (of randomness) and score (against language)."""
+    """A struct for a candidate: size, p (of randomness) and score (evidence against a name)."""
     bare = F.rtrim(token, F.lit("="))
     alphabet = F.lit(None).cast("string")
     for letters in reversed(ALPHABETS.values()):
         fits = F.length(F.translate(bare, letters, "")) == 0
         alphabet = F.when(fits, F.lit(letters)).otherwise(alphabet)
-    everything = "".join(dict.fromkeys("".join(ALPHABETS.values())))
-    alphabet = F.coalesce(alphabet, F.lit(everything))
+    alphabet = F.coalesce(alphabet, F.lit(_everything()))
 
     def tests(x: Column) -> Column:
         """``x``: (digits, n, k), the places of the characters in an alphabet of k."""
@@ -163,14 +216,13 @@ def battery(token: Column) -> Column:
 
         t = -(log(p_chi) + log(p_runs) + log(p_serial))
         p = F.exp(-t) * (1 + t + t * t / 2)
-        expected = LANGUAGE_PAIRS * n * (n - 1) / 2
-        score = 2 * (F.sqrt(expected) - F.sqrt((squares - n) / 2 + 0.375))
+        score = log(p) - n * F.log(k) - x["name"]
         return F.struct(x["n"].alias("size"), p.alias("p"), score.alias("score"))
 
     letters = F.split(bare, "")
     parts = F.struct(
         F.transform(letters, lambda c: F.instr(alphabet, c) - 1).alias("at"),
-        F.length(bare).alias("n"), F.length(alphabet).alias("k"),
+        F.length(bare).alias("n"), F.length(alphabet).alias("k"), _as_name(letters).alias("name"),
     )
     return F.element_at(F.transform(F.array(parts), tests), 1)
 
@@ -222,22 +274,19 @@ def scanned(docs: DataFrame, text: str) -> DataFrame:
             lambda t: t["test"].isNotNull()
             & ~F.exists(
                 "__scan_base",
-                lambda b: (b["start"] < t["span"]["end"]) & (t["span"]["start"] < b["end"]),
+                lambda b: (b["start"] <= t["span"]["start"]) & (t["span"]["end"] <= b["end"]),
             ),
         ),
     ).drop("__scan_a", "__scan_k", "__scan_h", "__scan_c")
 
 
 def thresholds(docs: DataFrame, text: str) -> list[float | None]:
-    """For each class of lengths the least score that is accepted, None to accept none.
-
-    Candidates the battery rejects count as tests, but cannot be accepted.
-    """
+    """For each class of lengths the least evidence that is accepted, None to accept none."""
     each = scanned(docs.select(F.col(text).alias("text")), "text")
     tests = each.select(F.explode("__scan_tokens.test").alias("t"))
     last = BINS_PER_UNIT * TOP_SCORE
     score = F.floor(F.col("t.score") * BINS_PER_UNIT)
-    score = F.when(F.col("t.p") >= REJECT, F.least(F.greatest(score, F.lit(0)), F.lit(last)))
+    score = F.least(F.greatest(score, F.lit(0)), F.lit(last))
     counts = tests.groupBy(
         _length_class(F.col("t.size")).alias("class"), F.coalesce(score, F.lit(0)).alias("bin")
     ).count()
@@ -249,7 +298,7 @@ def thresholds(docs: DataFrame, text: str) -> list[float | None]:
         total, above, least = sum(bins.values()), 0, None
         for b in range(last, 0, -1):
             above += bins.get(b, 0)
-            p = 0.5 * math.erfc(b / BINS_PER_UNIT / math.sqrt(2))
+            p = math.exp(-b / BINS_PER_UNIT)
             if above and p <= FALSE_SHARE * above / total:
                 least = b / BINS_PER_UNIT
         found.append(least)
@@ -264,7 +313,7 @@ def scan(docs: DataFrame, *, text: str = "text") -> DataFrame:
 
     def accepted(t: Column) -> Column:
         enough = F.element_at(bound, _length_class(t["test"]["size"]) + 1)
-        return (t["test"]["p"] >= REJECT) & (t["test"]["score"] >= enough)
+        return t["test"]["score"] >= enough
 
     more = F.transform(F.filter("__scan_tokens", accepted), lambda t: t["span"])
     spans = F.array_sort(F.concat("__scan_base", more))

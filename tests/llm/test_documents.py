@@ -101,6 +101,21 @@ def test_mix_is_near_its_targets_and_the_same_again(docs, rows, none):
     assert mixing.mix(none).count() == 0
 
 
+@pytest.mark.parametrize("slice_rows", [2_000, 2])
+def test_mix_of_repeated_and_null_ids_is_near_its_targets(spark, monkeypatch, slice_rows):
+    monkeypatch.setattr(mixing, "SLICE_ROWS", slice_rows)
+    rows = [(None, "ten words " * 5, "a")] * 8 + [(None, f"{i} b c", "b") for i in range(40)]
+    rows += [(7, "same text here", "c")] * 60 + [(7, f"other {i} text", "c") for i in range(20)]
+    rows += [(i, "x y z", "d") for i in range(100)] + [(None, None, "a")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    made = mixing.mix(docs, weights=(5, 2, 1), share=1.1).collect()
+    assert len(made) == len(rows)
+    for s in "abcd":
+        own = [r for r in made if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own) / 2
+        assert all(r["taken"] <= 2 * r["size"] for r in own)
+
+
 def test_water_filling_by_slices_is_the_same(docs, monkeypatch):
     whole = mixing.mix(docs).select("doc_id", "size", "taken").collect()
     monkeypatch.setattr(mixing, "SLICE_ROWS", 2)
@@ -331,20 +346,42 @@ def test_places_of_many_matches(spark):
     ]
 
 
-def test_battery_tells_random_strings_from_names(spark):
-    rng = random.Random(2)
-    letters = secret_scan.ALPHABETS["base64url"]
-    random_ = ["".join(rng.choice(letters) for _ in range(40)) for _ in range(40)]
-    random_ = [r for r in random_ if re.search("[0-9]", r)]
-    names = [
-        f"the-quick-brown-fox-jumped-over-{n}-sleeping-dogs-and-went-home" for n in range(40)
-    ] + [f"/usr/local/share/documents/chapter{n}/section" for n in range(40)]
-    rows = [(i, f"see {t} there") for i, t in enumerate([*random_, *names])]
-    made = spark.createDataFrame(rows, "doc_id long, text string")
+NAMES = [
+    *(f"the-quick-brown-fox-jumped-over-{n}-sleeping-dogs-and-went-home" for n in range(40)),
+    *(f"/usr/local/share/documents/chapter{n}/section" for n in range(40)),
+    *(f"getElementById{n}WithVeryLongName" for n in range(20)),
+    *(f"ORDER_NUMBER_{10**12 + 7 * n}_2024-11-{n:02}" for n in range(20)),
+    *(f"2024-01-{n:02}T12-30-00-report-v2-final" for n in range(20)),
+    *("xyz123" * n for n in range(4, 9)), "z" * 28 + "1", "1" * 40 + "z",
+]
+
+
+@pytest.mark.parametrize("size", [24, 32, 64])
+def test_battery_tells_random_strings_from_names(spark, size):
+    rng = random.Random(size)
+    planted = [
+        (name, "".join(rng.choice(letters) for _ in range(size)))
+        for name, letters in secret_scan.ALPHABETS.items() for _ in range(30)
+    ]
+    planted = [(n, t) for n, t in planted if re.search("[0-9]", t) and re.search("[A-Za-z]", t)]
+    rows = [(i, f"see {t} there") for i, t in enumerate([*(t for _, t in planted), *NAMES])]
+    made = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
     found = {r["doc_id"]: r["secrets"] for r in secret_scan.scan(made).collect()}
-    caught = sum(bool(found[i]) for i in range(len(random_)))
-    assert caught >= 0.9 * len(random_)
-    assert not any(found[i] for i in range(len(random_), len(rows)))
+    for alphabet in secret_scan.ALPHABETS:
+        mine = [i for i, (name, _) in enumerate(planted) if name == alphabet]
+        assert sum(bool(found[i]) for i in mine) >= 0.9 * len(mine), alphabet
+    wrong = [rows[i][1] for i in range(len(planted), len(rows)) if found[i]]
+    assert len(wrong) <= 0.02 * len(planted), wrong
+
+
+def test_no_tail_of_a_secret_is_left(spark):
+    rows = [(0, "ghp_0123456789abcdef0123QxZrTyUvWkLmPq8Ns3Vd see"), (1, "x 0123456789abcdef0123 y")]
+    rows += [(i, f"{'k' * (i % 3)} Zq3Rt8Kp1Wm5Xc7Vb9Nd2Lf4Hg6Js{i:04}") for i in range(2, 30)]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    found = secret_scan.scan(made)
+    clean = found.select("doc_id", secret_scan.redacted(F.col("text"), F.col("secrets")).alias("t"))
+    out = {r["doc_id"]: r["t"] for r in clean.collect()}
+    assert out[0] == "[secret] see" and out[1] == "x [secret] y"
 
 
 def test_scan_runs_no_python(docs):
