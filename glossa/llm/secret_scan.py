@@ -139,36 +139,26 @@ def _everything() -> str:
     return "".join(dict.fromkeys(ALPHABETS["base64"] + ALPHABETS["base64url"] + "="))
 
 
-def _named() -> tuple[list[int], list[float]]:
-    """For each of all characters its kind, and the logarithm of its share in the kind."""
-    kinds, shares = [], []
-    signs = sum(not c.isalnum() for c in _everything())
-    for c in _everything():
-        kinds.append(0 if c.isupper() else 1 if c.islower() else 2 if c.isdigit() else 3)
-        if c.isalpha():
-            share = (1 - EVEN) * LETTERS[ord(c.upper()) - ord("A")] / 100 + EVEN / 26
-        else:
-            share = 1 / 10 if c.isdigit() else 1 / signs
-        shares.append(math.log(share))
-    return kinds, shares
-
-
 def _as_name(letters: Column) -> Column:
     """The logarithm of the chance of characters, given in a list, in the chain of names."""
-    kinds, shares = _named()
-    every = F.lit(_everything())
-    kind_of, share_of = F.array(*map(F.lit, kinds)), F.array(*map(F.lit, shares))
-    start = F.array(*[F.lit(math.log(p)) for p in FIRST])
-    pairs = F.array(*[F.lit(math.log(p)) for row in FOLLOWS for p in row])
-    places = F.transform(letters, lambda c: F.instr(every, c))
-    kind = F.transform(places, lambda i: F.element_at(kind_of, i))
-    steps = F.zip_with(
-        F.slice(kind, 1, F.size(kind) - 1), F.slice(kind, 2, F.size(kind) - 1),
-        lambda a, b: F.element_at(pairs, 4 * a + b + 1),
-    )
-    begun = F.element_at(start, F.element_at(kind, 1) + 1)
-    drawn = F.transform(places, lambda i: F.element_at(share_of, i))
-    return F.aggregate(F.concat(steps, drawn), begun, lambda s, v: s + v)
+    every = _everything()
+    signs = math.log(1 / sum(not c.isalnum() for c in every))
+    shares = [math.log((1 - EVEN) * x / 100 + EVEN / 26) for x in LETTERS]
+    of_letter = F.array(*map(F.lit, shares))
+    pairs = F.array(*[F.lit(math.log(p)) for row in (*FOLLOWS, FIRST) for p in row])
+
+    def step(s: Column, c: Column) -> Column:
+        """``s``: kind of the character before (4 for none) and the sum so far."""
+        place = F.instr(F.lit(every), c)
+        kind = F.when(place > 62, 3).when(place > 52, 2).when(place > 26, 1).otherwise(0)
+        share = F.when(place > 62, signs).when(place > 52, math.log(1 / 10)).otherwise(
+            F.element_at(of_letter, F.pmod(place - 1, F.lit(26)) + 1)
+        )
+        after = F.element_at(pairs, 4 * s["kind"] + kind + 1)
+        return F.struct(kind.alias("kind"), (s["sum"] + after + share).alias("sum"))
+
+    start = F.struct(F.lit(4).alias("kind"), F.lit(0.0).alias("sum"))
+    return F.aggregate(letters, start, step, lambda s: s["sum"])
 
 
 def battery(token: Column) -> Column:
