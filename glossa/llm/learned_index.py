@@ -23,7 +23,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from glossa.llm.common import work
-from glossa.llm.vectors import BLOCK_ROWS, QUERY_ROWS, best_pairs, blocked, named, per_row, ranked_best, usable
+from glossa.llm.vectors import (
+    BLOCK_ROWS, QUERY_ROWS, best_pairs, meetings, named, per_row, ranked_best, usable,
+)
 
 #: The most rows the partition is learned on.
 SAMPLE_ROWS = 6_000
@@ -205,8 +207,6 @@ def search(
     asked = asked.select(F.col("_row").alias("vec_id"), "v")
     sent = per_row(asked, routed, {"parts": "array<bigint>"})
     sent = sent.select(F.explode("parts").alias("part"), "vec_id", "v")
-    queries = blocked(sent, "part", max(1, -(-asked.count() // QUERY_ROWS)), "queries")
-    split = {p: -(-n // BLOCK_ROWS) for p, n in counts.items()}
-    candidates = blocked(placed, "part", split, "candidates")
-    found = best_pairs(queries.join(candidates, "part"), k, _cosines, _cosine_one, 1e-9)
+    pairs = meetings(sent, asked.count(), placed, counts, "part", BLOCK_ROWS, QUERY_ROWS)
+    found = best_pairs(pairs, k, _cosines, _cosine_one, 1e-9)
     return named(ranked_best(found, k), stored)

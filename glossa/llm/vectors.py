@@ -91,17 +91,35 @@ def per_row(df: DataFrame, fn, columns: dict[str, str]) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def blocked(rows: DataFrame, key: str, blocks: dict[int, int] | int, name: str) -> DataFrame:
-    """Rows (key, ``name``) of lists of (vec_id, v): the rows of each key in so many blocks."""
-    many = F.lit(blocks) if isinstance(blocks, int) else F.lit(1)
-    if not isinstance(blocks, int):
-        split = [(k, n) for k, n in blocks.items() if n > 1]
-        if split:
-            table = F.create_map(*[F.lit(x) for pair in split for x in pair])
-            many = F.coalesce(F.element_at(table, F.col(key)), F.lit(1))
-    part = F.pmod(F.xxhash64("vec_id"), many).alias("_part")
+def _blocks_of(key: str, blocks: dict[int, int]) -> Column:
+    split = [(k, n) for k, n in blocks.items() if n > 1]
+    if not split:
+        return F.lit(1)
+    table = F.create_map(*[F.lit(x) for pair in split for x in pair])
+    return F.coalesce(F.element_at(table, F.col(key)), F.lit(1))
+
+
+def blocked(rows: DataFrame, key: str, many: Column, name: str) -> DataFrame:
+    """Rows (key, block, ``name``) of lists of (vec_id, v): the rows of each key in so many."""
+    block = F.pmod(F.xxhash64("vec_id"), many).alias("block")
     listed = F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias(name)
-    return rows.select(key, "vec_id", "v", part).groupBy(key, "_part").agg(listed).drop("_part")
+    return rows.select(key, "vec_id", "v", block).groupBy(key, "block").agg(listed)
+
+
+def meetings(
+    sent: DataFrame, queries: int, placed: DataFrame, counts: dict[int, int], key: str,
+    block_rows: int, query_rows: int,
+) -> DataFrame:
+    """Rows (queries, candidates): each block of queries with each block of candidates.
+
+    Both are joined by key and block, so the blocks of a large cell are met in as many tasks.
+    """
+    blocks = _blocks_of(key, {k: -(-n // block_rows) for k, n in counts.items()})
+    asked = blocked(sent, key, F.lit(max(1, -(-queries // query_rows))), "queries").drop("block")
+    every = F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long"))
+    asked = asked.withColumn("block", F.explode(every))
+    held = blocked(placed, key, blocks, "candidates")
+    return asked.join(held.withColumn("block", F.col("block").cast("long")), [key, "block"])
 
 
 def _unpacked(column: pa.ListArray, row: int):

@@ -19,15 +19,20 @@ k give all of them; no rows give no rows; further columns are not kept.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from glossa.llm.common import work
-from glossa.llm.vectors import BLOCK_ROWS, QUERY_ROWS, best_pairs, blocked, named, per_row, ranked_best, usable
+from glossa.llm.vectors import (
+    BLOCK_ROWS, QUERY_ROWS, best_pairs, meetings, named, per_row, ranked_best, usable,
+)
 
-#: The most pivots; they are rows with the smallest hashes of their ids.
+#: Pivots are rows with the smallest hashes of their ids: half the square root of the
+#: number of rows, between these. The summaries of their cells are on the driver.
 PIVOTS = 64
+MOST_PIVOTS = 1_024
 
 
 def _inner(q, x):
@@ -44,7 +49,7 @@ def top_k(
     is_query: Column,
     *,
     k: int,
-    pivots: int = PIVOTS,
+    pivots: int | None = None,
     vec_id: str = "vec_id",
     vector: str = "embedding",
     component: Callable[[Column], Column] = lambda x: x,
@@ -55,6 +60,8 @@ def top_k(
     folder = work(rows.sparkSession)
     stored = usable(rows, vec_id, vector, component, folder)
     kept = stored.select("vec_id", "v")
+    if pivots is None:
+        pivots = min(max(PIVOTS, math.isqrt(kept.count()) // 2), MOST_PIVOTS)
     sample = kept.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
     centres: dict[int, list] = {}
     for r in sample:
@@ -106,9 +113,7 @@ def top_k(
     asked = asked.select(F.col("_row").alias("vec_id"), "v")
     routed = per_row(asked, needed, {"cells": "array<bigint>"})
     routed = routed.select(F.explode("cells").alias("cell"), "vec_id", "v")
-    many = asked.count()
-    queries = blocked(routed, "cell", max(1, -(-many // QUERY_ROWS)), "queries")
-    split = {c: -(-n // BLOCK_ROWS) for c, (n, _, _) in summary.items()}
-    candidates = blocked(placed, "cell", split, "candidates")
-    found = best_pairs(queries.join(candidates, "cell"), k, _inner, _inner_one, 0.0)
+    counts = {c: n for c, (n, _, _) in summary.items()}
+    pairs = meetings(routed, asked.count(), placed, counts, "cell", BLOCK_ROWS, QUERY_ROWS)
+    found = best_pairs(pairs, k, _inner, _inner_one, 0.0)
     return named(ranked_best(found, k), stored)
