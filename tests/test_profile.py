@@ -92,9 +92,9 @@ def test_no_text_columns(spark):
 def test_dataset_card(spark):
     card = profile.dataset_card(sample(spark), "out", "org/src", "de")
     assert card.startswith("---\nlanguage: de\nlicense: mit\n---\n\n# out\n")
-    assert "| Column | Type | Non-Null | Unique |\n| --- | --- | --- | --- |\n" in card
+    assert "| column | type | filled cells | different values |\n| --- | --- | --- | --- |\n" in card
     assert "| score | double | 3 | 2 |" in card
-    assert "**de** translation of org/src" in card
+    assert "Rows of `org/src`" in card and "language is `de`" in card
     assert card.count("\n| plain |") == 1 and "row_id" not in card
 
 
