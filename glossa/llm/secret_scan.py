@@ -86,9 +86,14 @@ SPAN = "array<struct<start: int, kind: int, end: int>>"
 _CHUNK = 256
 
 
+def _once(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is computed, and stands in the plan, once."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def _phi(z: Column) -> Column:
     """The normal distribution, by a logistic curve that is within 0.0002 of it."""
-    return 1 / (1 + F.exp(-1.5976 * z - 0.07056 * z * z * z))
+    return _once(z, lambda z: 1 / (1 + F.exp(-1.5976 * z - 0.07056 * z * z * z)))
 
 
 def places(text: Column, pattern: str, hits: Column) -> Column:
@@ -162,7 +167,7 @@ def _as_name(letters: Column) -> Column:
 
 
 def battery(token: Column) -> Column:
-    """A struct for a candidate: size, p (of randomness) and score (evidence against a name)."""
+    """A struct for a candidate: size and score, the evidence that it is random and no name."""
     bare = F.rtrim(token, F.lit("="))
     alphabet = F.lit(None).cast("string")
     for letters in reversed(ALPHABETS.values()):
@@ -204,10 +209,12 @@ def battery(token: Column) -> Column:
         def log(p: Column) -> Column:
             return F.log(F.greatest(p, F.lit(1e-15)))
 
-        t = -(log(p_chi) + log(p_runs) + log(p_serial))
-        p = F.exp(-t) * (1 + t + t * t / 2)
-        score = log(p) - n * F.log(k) - x["name"]
-        return F.struct(x["n"].alias("size"), p.alias("p"), score.alias("score"))
+        fisher = _once(
+            -(log(p_chi) + log(p_runs) + log(p_serial)),
+            lambda t: F.log(F.greatest(1 + t + t * t / 2, F.lit(1.0))) - t,
+        )
+        score = fisher - n * F.log(k) - x["name"]
+        return F.struct(x["n"].alias("size"), score.alias("score"))
 
     letters = F.split(bare, "")
     parts = F.struct(
