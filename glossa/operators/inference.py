@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
@@ -50,6 +51,9 @@ HOT_MIN_ROWS = 100_000
 CHUNKS_PER_TASK = 2000
 MAX_TASKS = 50_000
 
+# Below the memory: results of commits that are being written.
+STAGED = "_staged"
+
 # Results are committed after so many calls at the latest.
 COMMIT_CHUNKS = 5_000_000
 CHUNKS_PER_FILE = 10_000
@@ -198,7 +202,9 @@ class TranslationMemory:
         failed = self._mine(self.rows(), params).where(F.col("status") == "failed")
         return failed.select("key", "src", "attempts", "reason")
 
-    def append(self, results: DataFrame, params: JobParams) -> None:
+    def append(self, results: DataFrame, params: JobParams, aside: bool = False) -> None:
+        """Store results. With ``aside`` they are moved in when all are written, so several
+        appends can run at a time, and whoever makes them calls ``add_filters`` once."""
         reason = F.col("reason") if "reason" in results.columns else F.lit(None).cast("string")
         stored = results.select(
             "key",
@@ -209,9 +215,18 @@ class TranslationMemory:
             F.lit(params.model).alias("model"),
         )
         # All rows are of one partition; naming its folder saves a sort.
-        folder = f"source_lang={params.source_lang}/target_lang={params.target_lang}"
-        stored.write.mode("append").parquet(f"{self.path}/{folder}")
-        self.add_filters()
+        folder = f"{self.path}/source_lang={params.source_lang}/target_lang={params.target_lang}"
+        if not aside:
+            stored.write.mode("append").parquet(folder)
+            self.add_filters()
+            return
+        staged = f"{self.path}/{STAGED}/{uuid.uuid4().hex}"
+        fs = FileSystem(self.spark, staged)
+        try:
+            stored.write.parquet(staged)
+            fs.move_files(staged, folder, "")
+        finally:
+            fs.delete(staged)
 
     def add_filters(self) -> None:
         """Filters for all files that have none yet, as long as there are many files."""

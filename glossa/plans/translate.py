@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.util import inheritable_thread_target
 
 from glossa.backends import Backend, FatalBackendError
 from glossa.functions.jsoncell import json_rebuild
@@ -43,6 +45,9 @@ from glossa.settings import JobParams
 FAILED = "failed_chunks"
 ROW = "_row"
 
+# So many commits run at a time at most; the driver has a thread for each.
+MOST_SIDE = 16
+
 
 @dataclass(frozen=True)
 class Engine:
@@ -76,6 +81,17 @@ class Engine:
             return wanted
         return min(wanted, max(1, self.max_requests // self.calls))
 
+    def side_by_side(self, chunks: int, commits: int) -> tuple[int, int]:
+        """Commits of so many chunks that run at a time, and the tasks of each.
+
+        A small commit does not fill the cores, so others run beside it; the requests of
+        all of them stay within the bound.
+        """
+        tasks = self.tasks(chunks)
+        needed = min(max(-(-chunks // self.chunks_per_task), 1), tasks)
+        side = min(max(tasks // needed, 1), commits, MOST_SIDE)
+        return side, max(tasks // side, 1)
+
     @property
     def calls(self) -> int:
         """Requests of one task at a time."""
@@ -130,16 +146,41 @@ def _translate_missing(
         sliced = todo.withColumn("slice", F.pmod(F.xxhash64("key"), F.lit(slices)))
         spread = sliced.repartition(min(slices * files, MAX_TASKS), "slice", file)
         parts = engine.work.write_slices(spread, f"todo-{uuid.uuid4().hex}", "slice")
-    for i, part in enumerate(parts):
-        if engine.should_stop and engine.should_stop():
-            raise Stopped(f"stopped after {i} of {len(parts)} commits")
-        spread = part.repartition(engine.tasks(min(total, engine.commit_chunks)), "key")
+    side, tasks = engine.side_by_side(min(total, engine.commit_chunks), len(parts))
+
+    def commit(part: DataFrame) -> None:
         results = translate_chunks(
-            spread, engine.backend, engine.params, in_flight=engine.calls, reasons=True
+            part.repartition(tasks, "key"), engine.backend, engine.params,
+            in_flight=engine.calls, reasons=True,
         )
-        engine.memory.append(results, engine.params)
-        if engine.on_commit:
-            engine.on_commit(i + 1, len(parts))
+        engine.memory.append(results, engine.params, aside=len(parts) > 1)
+
+    _commit_all(parts, commit, side, engine)
+    if len(parts) > 1:
+        engine.memory.add_filters()
+
+
+def _commit_all(
+    parts: list[DataFrame], commit: Callable[[DataFrame], None], side: int, engine: Engine
+) -> None:
+    """Commit all parts, ``side`` at a time; a commit that was begun is waited for."""
+    done, running = 0, set()
+    with ThreadPoolExecutor(side) as pool:
+        for part in [*parts, None]:
+            while len(running) >= (side if part is not None else 1):
+                over, running = wait(running, return_when=FIRST_COMPLETED)
+                for ended in over:
+                    ended.result()
+                    done += 1
+                    if engine.on_commit:
+                        engine.on_commit(done, len(parts))
+            if part is not None:
+                if engine.should_stop and engine.should_stop():
+                    wait(running)
+                    done += len([r.result() for r in running])
+                    raise Stopped(f"stopped after {done} of {len(parts)} commits")
+                # The tags of this thread's jobs go along, so a stop ends that commit too.
+                running.add(pool.submit(inheritable_thread_target(commit), part))
 
 
 def row_key(df: DataFrame, columns: list[str], row_id: str) -> Column:

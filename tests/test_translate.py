@@ -632,3 +632,18 @@ def test_pairs_do_not_parse_the_table_again(spark, folder):
     assert pairs.count() == 20
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "Range" not in plan and "Python" not in plan
+
+
+def test_small_commits_run_side_by_side_and_filters_are_made_once(spark, folder, counting, monkeypatch):
+    made = []
+    monkeypatch.setattr(inference.filters, "add", lambda *a: made.append(a))
+    e = engine(spark, folder, counting, commit_chunks=20, max_requests=3)
+    e = replace(e, memory=inference.TranslationMemory(spark, f"{folder}/memory", min_files=1))
+    df = e.work.write(spark.range(400).selectExpr("id as row_id", "concat('row ', id) as cell"), "in")
+    seen = []
+    out = tr.translate_rows(df, ["cell"], replace(e, on_commit=lambda *a: seen.append(a)))
+    assert by_id(out) == {i: f"[tr] row {i}" for i in range(400)}
+    assert seen == [(i, 20) for i in range(1, 21)] and counting.calls.value == 400
+    assert len(made) == 1
+    side, tasks = e.side_by_side(20, 20)
+    assert (side, tasks) == (3, 1) and side * tasks * e.calls <= 3
