@@ -13,7 +13,7 @@ from glossa.backends import FatalBackendError, FaultyBackend, StubBackend
 from glossa.functions import jsoncell, text as tx
 from glossa.operators import cells, chunks, inference, leaves, profile, rows, sketches
 from glossa.plans import control, dataset, jobs, runs, translate
-from glossa.session import WorkFolder
+from glossa.session import FileSystem, WorkFolder
 from glossa.settings import PROMPT_PRESETS, JobParams
 from glossa.sources import lake, publish, tables
 from glossa.streaming import incremental
@@ -35,6 +35,7 @@ START_ROW = 150
 SOFT_MARK = "ñ"
 EMPTY_MARK = "ß"
 FLAKY_MARK = "ü"
+STREAM_FILE_BYTES = 32 << 20
 
 SMALL_PARAMS = JobParams(max_tokens=CHUNK_TOKENS)
 
@@ -982,13 +983,24 @@ def translate_stream_files(spark, sf_dir):
     return spark.read.parquet(dataset.output_path(root, job)).drop(translate.FAILED)
 
 
-def _streamed(spark: SparkSession, sf_dir: str, run: translate.Engine) -> tuple[str, DataFrame]:
-    """Documents in four files, by the remainder of their id, the oldest with remainder 0."""
+def _streamed(
+    spark: SparkSession, sf_dir: str, run: translate.Engine, file_bytes: int = STREAM_FILE_BYTES
+) -> tuple[str, DataFrame, int]:
+    """Documents in four parts, by the remainder of their id, the oldest with remainder 0.
+
+    Also the files of a part: one, and more for a table of more than four times
+    ``file_bytes``, so that no task writes more than that.
+    """
     source = run.work.path("in")
     df = documents(spark, sf_dir)
+    names = df.inputFiles()
+    fs = FileSystem(spark, names[0])
+    many = max(1, -(-sum(fs.size(name) for name in names) // (4 * file_bytes)))
     for rest in range(4):
-        df.where(F.col("doc_id") % 4 == rest).coalesce(1).write.mode("append").parquet(source)
-    return source, df
+        part = df.where(F.col("doc_id") % 4 == rest)
+        part = part.repartition(many) if many > 1 else part.coalesce(1)
+        part.write.mode("append").parquet(source)
+    return source, df, many
 
 
 @query
@@ -1012,10 +1024,10 @@ def stream_stopped(spark, sf_dir):
     job = dataset.Job("web/docs", "stream", ("text",), SMALL_PARAMS)
     run = engine(spark, SlowBackend(0.02))
     root, log = run.work.path("out"), run.work.path("log")
-    source, df = _streamed(spark, sf_dir, run)
+    source, df, files = _streamed(spark, sf_dir, run)
     handle = control.Control(spark)
     stream = incremental.translate_stream(
-        spark, source, df.schema, job, run, root, log, "doc_id", max_files=2, control=handle
+        spark, source, df.schema, job, run, root, log, "doc_id", max_files=2 * files, control=handle
     )
     while stream.isActive and not handle.tasks()[1]:
         stream.awaitTermination(0.2)
@@ -1034,12 +1046,13 @@ def stream_progress(spark, sf_dir):
     job = dataset.Job("web/docs", "stream", ("text",), FAULT_PARAMS)
     run = engine(spark, FAULTY, FAULT_PARAMS)
     root = run.work.path("out")
-    source, df = _streamed(spark, sf_dir, run)
+    source, df, files = _streamed(spark, sf_dir, run)
     seen = incremental.StreamProgress()
     spark.streams.addListener(seen)
     try:
         stream = incremental.translate_stream(
-            spark, source, df.schema, job, run, root, run.work.path("log"), "doc_id", max_files=2
+            spark, source, df.schema, job, run, root, run.work.path("log"), "doc_id",
+            max_files=2 * files,
         )
         seen.query_id = str(stream.id)
         stream.awaitTermination()

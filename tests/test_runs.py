@@ -17,6 +17,7 @@ from glossa.plans.runs import commits, last_runs, reason, run_log
 from glossa.session import FileSystem, WorkFolder
 from glossa.settings import JobParams
 from glossa.streaming import incremental as inc
+from registry import queries
 from registry.queries import SlowBackend
 
 PARAMS = JobParams(retry_wait=0.0)
@@ -338,3 +339,16 @@ def test_a_job_keeps_sketches_also_after_rows_were_replaced(spark, folder):
     stats = {r["column"]: r for r in ds.output_stats(spark, f"{folder}/out", JOB).collect()}
     assert stats["cell"]["non_null"] == 40 == stats["cell"]["distinct_values"]
     assert translated(spark, folder) == wanted()
+
+
+def test_parts_of_a_streamed_table_have_files_of_bounded_size(spark, folder):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    docs.repartition(2).write.parquet(f"{folder}/documents.parquet")
+    for size, files in ((1 << 30, 1), (2_000, None)):
+        e = engine(spark, f"{folder}/{size}")
+        source, df, many = queries._streamed(spark, folder, e, size)
+        assert many == files or (files is None and many > 2)
+        found = spark.read.parquet(source).select("*", F.col("_metadata.file_path").alias("file"))
+        assert sorted(found.drop("file").collect()) == sorted(df.collect())
+        of = found.groupBy("file").agg(F.collect_set(F.col("doc_id") % 4).alias("rests")).collect()
+        assert len(of) == 4 * many and all(len(r["rests"]) == 1 for r in of)
