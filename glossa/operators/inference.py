@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from glossa.backends import Backend, BackendError, Request
@@ -54,6 +55,10 @@ MAX_TASKS = 50_000
 # Below the memory: results of commits that are being written.
 STAGED = "_staged"
 
+# Texts of so many rows and bytes are held in a task at a time.
+PART_ROWS = 1000
+PART_BYTES = 1 << 20
+
 # Results are committed after so many calls at the latest.
 COMMIT_CHUNKS = 5_000_000
 CHUNKS_PER_FILE = 10_000
@@ -99,6 +104,20 @@ def _attempt(backend: Backend, text: str | None, params: JobParams) -> tuple:
     return None, "failed", params.max_attempts, why
 
 
+def _parts(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows whose texts are few and short enough to be held as objects,
+    beside their answers; a text that is longer is a run of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
+    start = held = 0
+    for i, size in enumerate(sizes):
+        if i > start and (i - start >= PART_ROWS or held + size > PART_BYTES):
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if start < len(sizes):
+        yield batch.slice(start)
+
+
 def translate_chunks(
     df: DataFrame,
     backend: Backend,
@@ -122,10 +141,8 @@ def translate_chunks(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with ThreadPoolExecutor(in_flight) as pool:
-            for batch in batches:
+            for batch in (part for whole in batches for part in _parts(whole, at)):
                 texts = batch.column(at).to_pylist()
-                if not texts:
-                    continue
                 done = list(pool.map(lambda t: _attempt(backend, t, params), texts))
                 added = [
                     pa.array(values, type=kind)

@@ -164,7 +164,7 @@ def _commit_all(
     parts: list[DataFrame], commit: Callable[[DataFrame], None], side: int, engine: Engine
 ) -> None:
     """Commit all parts, ``side`` at a time; a commit that was begun is waited for."""
-    done, running = 0, set()
+    done, running, spark = 0, set(), engine.work.spark
     with ThreadPoolExecutor(side) as pool:
         for part in [*parts, None]:
             while len(running) >= (side if part is not None else 1):
@@ -180,7 +180,7 @@ def _commit_all(
                     done += len([r.result() for r in running])
                     raise Stopped(f"stopped after {done} of {len(parts)} commits")
                 # The tags of this thread's jobs go along, so a stop ends that commit too.
-                running.add(pool.submit(inheritable_thread_target(commit), part))
+                running.add(pool.submit(inheritable_thread_target(spark)(commit), part))
 
 
 def row_key(df: DataFrame, columns: list[str], row_id: str) -> Column:

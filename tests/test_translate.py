@@ -10,6 +10,7 @@ import urllib.error
 from dataclasses import dataclass, replace
 from typing import Any
 
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -647,3 +648,14 @@ def test_small_commits_run_side_by_side_and_filters_are_made_once(spark, folder,
     assert len(made) == 1
     side, tasks = e.side_by_side(20, 20)
     assert (side, tasks) == (3, 1) and side * tasks * e.calls <= 3
+
+
+def test_a_task_holds_few_texts_at_a_time(spark):
+    texts = ["x" * 10] * 2500 + [None] + ["y" * (3 << 20), "z"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["i", "chunk"])
+    parts = list(inference._parts(batch, 1))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(len(texts)))
+    assert [len(p) for p in parts] == [1000, 1000, 501, 1, 1]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, chunk string").coalesce(1)
+    done = inference.translate_chunks(df, StubBackend(), QUICK).collect()
+    assert [r.tgt for r in sorted(done)] == [t and f"[tr] {t}" for t in texts]
