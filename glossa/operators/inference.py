@@ -15,7 +15,7 @@ from glossa.backends import Backend, BackendError, Request
 from glossa.functions.text import prompt_parts
 from glossa.operators import filters
 from glossa.settings import JobParams
-from glossa.session import FileSystem
+from glossa.session import CODEC, FileSystem
 
 RESULT_FIELDS = [
     T.StructField("tgt", T.StringType()),
@@ -208,11 +208,29 @@ class TranslationMemory:
         return pairs.repartition("key").dropDuplicates(["key"])
 
     def missing(
-        self, chunks: DataFrame, params: JobParams, among: DataFrame | None = None
+        self, chunks: DataFrame, params: JobParams, among: DataFrame | None = None,
+        parts: int | None = None, place: dict[str, Column] | None = None,
     ) -> DataFrame:
-        """Distinct chunks without a stored success."""
-        found = self._good(params, among).select("key")
-        return dedupe_chunks(chunks).join(found, "key", "left_anti")
+        """Distinct chunks without a stored success.
+
+        With ``parts`` the texts move once, into so many partitions by key, or by the
+        columns of ``place``, which are made of the key and stay: for chunks of which few
+        repeat, and none very often.
+        """
+        place = place or {}
+        if parts is None:
+            new = dedupe_chunks(chunks).withColumns(place)
+        else:
+            dealt = chunks.select("key", "chunk").withColumns(place)
+            new = dealt.repartition(parts, *(place or ["key"])).distinct()
+        if not FileSystem(self.spark, self.path).has_data(self.path):
+            return new
+        found = self._good(params, among).select("key").withColumns(place)
+        return new.join(found, ["key", *place], "left_anti")
+
+    def lost(self, params: JobParams, among: DataFrame | None = None) -> DataFrame:
+        """Keys whose last or an earlier try gave no translation."""
+        return self._mine(self.opened(among), params).where(F.col("status") != "ok").select("key")
 
     def failures(self, params: JobParams) -> DataFrame:
         """(src, attempts, reason) of chunks that failed, and why they did the last time."""
@@ -234,13 +252,13 @@ class TranslationMemory:
         # All rows are of one partition; naming its folder saves a sort.
         folder = f"{self.path}/source_lang={params.source_lang}/target_lang={params.target_lang}"
         if not aside:
-            stored.write.mode("append").parquet(folder)
+            stored.write.mode("append").parquet(folder, compression=CODEC)
             self.add_filters()
             return
         staged = f"{self.path}/{STAGED}/{uuid.uuid4().hex}"
         fs = FileSystem(self.spark, staged)
         try:
-            stored.write.parquet(staged)
+            stored.write.parquet(staged, compression=CODEC)
             fs.move_files(staged, folder, "")
         finally:
             fs.delete(staged)

@@ -17,10 +17,10 @@ from glossa.operators.sketches import (
     stored_sketches,
 )
 from glossa.plans.control import Control, Watcher
-from glossa.plans.jobs import job_states, remaining, with_pending, with_progress
+from glossa.plans.jobs import job_states, not_done, remaining, with_pending, with_progress
 from glossa.plans.runs import RUNS, Run, last_runs, reason
 from glossa.plans.translate import FAILED, Engine, Stopped, require_backend, translate_rows
-from glossa.session import FileSystem, folder_value
+from glossa.session import CODEC, FileSystem, folder_value
 from glossa.settings import JobParams
 
 Progress = Callable[[int, int, str], None]
@@ -108,7 +108,7 @@ def stored_output(
 
 
 def _keep_only(spark: SparkSession, path: str, kept: DataFrame) -> None:
-    kept.write.mode("overwrite").parquet(f"{path}.new")
+    kept.write.mode("overwrite").parquet(f"{path}.new", compression=CODEC)
     FileSystem(spark, path).replace(path, f"{path}.new")
     spark.catalog.refreshByPath(path)
 
@@ -132,7 +132,7 @@ def append_batch(
         counts = [F.coalesce(F.sum(FAILED), F.lit(0)).alias(FAILED)]
         kept = rows.drop(FAILED)
         counts += sketch_aggregates(kept) if sketch_to else [F.count(F.lit(1)).alias("rows")]
-        rows.observe(seen, *counts).write.mode("append").parquet(path)
+        rows.observe(seen, *counts).write.mode("append").parquet(path, compression=CODEC)
     finally:
         run.work.drop()
     if sketch_to:
@@ -223,7 +223,7 @@ def _translate(
         if retry_failed:
             kept = remaining(kept, failed, row_id)  # all rows of an id, or none
         # Rows that are not kept, and rows that had no output yet.
-        wanted = remaining(wanted, kept, row_id)
+        wanted = not_done(wanted, kept, row_id)
         if start_row and retry_failed:
             early = df.where(F.coalesce(F.col(row_id) < start_row, F.lit(True)))
             again_ids = failed.withColumnRenamed(row_id, "_failed")
@@ -317,7 +317,7 @@ def _batches(
         if (r["n"], r["check"]) == (r["done"], r["done_check"]):
             continue
         if r["done"]:
-            todo = remaining(todo, done.where(mine), row_id)
+            todo = not_done(todo, done.where(mine), row_id)
         batches.append((f"batch {r['batch']}", todo))
     return batches, finished, sum(r["n"] for r in rows)
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from glossa.operators.cells import spare
+from glossa.operators.inference import BROADCAST_KEYS
 from glossa.operators.rows import ROW_ID
 
 STATE_SCHEMA = (
@@ -110,6 +111,22 @@ def remaining(inputs: DataFrame, outputs: DataFrame, row_id: str = ROW_ID) -> Da
     return inputs.join(ids, same, "left_anti").select(*(F.col(f"`{c}`") for c in inputs.columns))
 
 
+def not_done(inputs: DataFrame, outputs: DataFrame, row_id: str = ROW_ID) -> DataFrame:
+    """``remaining``, which moves no cells unless very many of these rows are done.
+
+    Only ids are compared first. Mostly none or few of them are in the output, and those are
+    sent to where the rows are.
+    """
+    found = inputs.select(F.col(f"`{row_id}`")).distinct()
+    (done,) = spare(found, "done")
+    ids = outputs.select(F.col(f"`{row_id}`").alias(done))
+    found = found.join(ids, F.col(f"`{row_id}`").eqNullSafe(F.col(done)), "left_semi")
+    many = found.limit(BROADCAST_KEYS + 1).count()
+    if not many:
+        return inputs
+    return remaining(inputs, F.broadcast(found) if many <= BROADCAST_KEYS else outputs, row_id)
+
+
 def import_states(spark: SparkSession, path: str) -> DataFrame:
     """Job records from JSON files; what cannot be read counts as not begun."""
     return (

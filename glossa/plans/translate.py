@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.util import inheritable_thread_target
 
 from glossa.backends import Backend, FatalBackendError
-from glossa.functions.jsoncell import json_rebuild
+from glossa.functions.jsoncell import json_rebuild, looks_json
 from glossa.functions.text import is_translatable
 from glossa.operators.cells import as_text, chosen_columns, spare, unpivot_cells
 from glossa.operators.chunks import chunk_table
@@ -45,6 +45,9 @@ from glossa.settings import JobParams
 FAILED = "failed_chunks"
 ROW = "_row"
 
+# So many slices of the chunks are read where they are stored; more are stored apart.
+READ_SLICES = 8
+
 # So many commits run at a time at most; the driver has a thread for each.
 MOST_SIDE = 16
 
@@ -116,6 +119,11 @@ def translated_pieces(leaves: DataFrame, engine: Engine) -> DataFrame:
 
     Runs the backend for all chunks the memory does not hold yet.
     """
+    return _pieces_and_chunks(leaves, engine)[0]
+
+
+def _pieces_and_chunks(leaves: DataFrame, engine: Engine) -> tuple[DataFrame, DataFrame]:
+    """The pieces, and the stored chunks they were made of."""
     params = engine.params
     chunks = (
         chunk_table(leaves, "text", params.max_tokens)
@@ -124,34 +132,62 @@ def translated_pieces(leaves: DataFrame, engine: Engine) -> DataFrame:
     )
     # Results of one engine may be read in any order, so each call has its own table.
     stored = engine.work.write(chunks, f"chunks-{uuid.uuid4().hex}")
-    total = stored.count()
+    ends = stored.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("key").alias("keys"))
+    total, keys = ends.first()
     few = total <= engine.broadcast_keys
     among = stored.select("key").distinct() if few else None
-    _translate_missing(stored, total, among, engine)
     hot = hot_salts(stored, total, engine.hot_min_rows)
+    # Repeats are dropped before the shuffle if there are many, or many of one chunk.
+    _translate_missing(stored, total, among, engine, unlike=not hot and 2 * keys >= total)
     known = engine.memory.known(params, among)
-    return attach_translations(stored.drop("chunk"), known, hot).drop("key")
+    return attach_translations(stored.drop("chunk"), known, hot).drop("key"), stored
+
+
+def _untranslated(chunks: DataFrame, engine: Engine) -> DataFrame | None:
+    """Rows of which a chunk has no translation, and maybe some more; None if there are
+    too many to be sent to all executors."""
+    most = engine.broadcast_keys
+    keys = engine.memory.lost(engine.params).distinct()
+    if keys.limit(most + 1).count() > most:
+        return None
+    rows = chunks.join(F.broadcast(keys), "key", "left_semi").select(ROW).distinct()
+    return rows if rows.limit(most + 1).count() <= most else None
 
 
 def _translate_missing(
-    chunks: DataFrame, total: int, among: DataFrame | None, engine: Engine
+    chunks: DataFrame, total: int, among: DataFrame | None, engine: Engine, unlike: bool
 ) -> None:
-    """Fill the memory, with a commit after every ``commit_chunks`` chunks."""
-    todo = engine.memory.missing(chunks, engine.params, among)
-    slices = -(-total // engine.commit_chunks)
-    parts = [todo]
-    if slices > 1:
+    """Fill the memory, with a commit after every ``commit_chunks`` chunks.
+
+    Chunks that are mostly ``unlike`` are dealt out to their tasks by the one shuffle that
+    finds repeats.
+    """
+    slices = max(-(-total // engine.commit_chunks), 1)
+    side, tasks = engine.side_by_side(min(total, engine.commit_chunks), slices)
+    number = F.pmod(F.xxhash64("key"), F.lit(slices))
+    missing, params = engine.memory.missing, engine.params
+    dealt = False
+    if slices <= READ_SLICES:
+        # So few tasks as a bound on requests leaves are too few to find repeats.
+        dealt = unlike and engine.max_requests is None
+        of = [chunks.where(number == i) for i in range(slices)] if slices > 1 else [chunks]
+        parts = [missing(part, params, among, tasks if dealt else None) for part in of]
+    else:
         files = -(-engine.commit_chunks // CHUNKS_PER_FILE)
-        file = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(files))
-        sliced = todo.withColumn("slice", F.pmod(F.xxhash64("key"), F.lit(slices)))
-        spread = sliced.repartition(min(slices * files, MAX_TASKS), "slice", file)
-        parts = engine.work.write_slices(spread, f"todo-{uuid.uuid4().hex}", "slice")
-    side, tasks = engine.side_by_side(min(total, engine.commit_chunks), len(parts))
+        place = {"slice": number, "file": F.pmod(F.xxhash64("key", F.lit(1)), F.lit(files))}
+        many = min(slices * files, MAX_TASKS)
+        if unlike:
+            spread = missing(chunks, params, among, many, place)
+        else:
+            spread = missing(chunks, params, among, place=place).repartition(many, *place)
+        folder = f"todo-{uuid.uuid4().hex}"
+        parts = engine.work.write_slices(spread.drop("file"), folder, "slice")
 
     def commit(part: DataFrame) -> None:
+        if not dealt:
+            part = part.repartition(tasks, "key") if tasks > 1 else part.coalesce(1)
         results = translate_chunks(
-            part.repartition(tasks, "key"), engine.backend, engine.params,
-            in_flight=engine.calls, reasons=True,
+            part, engine.backend, engine.params, in_flight=engine.calls, reasons=True
         )
         engine.memory.append(results, engine.params, aside=len(parts) > 1)
 
@@ -225,18 +261,25 @@ def translate_rows(
     params = engine.params
     cells = _cells(rows, names, key)
     leaves = leaf_table(cells, params.json_mode, params.translate_keys, params.skip_keys)
-    pieces = translated_pieces(leaves, engine)
-    row, found, *free = spare(df, "row", "found", *(f"found_{i}" for i in range(len(names))))
+    pieces, chunks = _pieces_and_chunks(leaves, engine)
+    some = [f"{kind}_{i}" for kind in ("found", "cell", "full") for i in range(len(names))]
+    row, found, lost, *free = spare(df, "row", "found", "lost", *some)
+    n = len(names)
+    free, cell_names, full_names = free[:n], free[n : 2 * n], free[2 * n :]
+    slim = _slim(df, rows, names, key, lost, cell_names, full_names, _untranslated(chunks, engine), params)
     # One shuffle brings all pieces of a row together. Rows that are equal bring the same
     # pieces, which a set holds once, so the group is a row.
     piece = F.struct("column", "leaf_ord", "chunk_idx", "tgt")
     per_row = pieces.groupBy(F.col(ROW).alias(row)).agg(
         F.array_sort(F.collect_set(piece)).alias(found)
     )
-    joined = rows.join(per_row, F.col(key) == F.col(row), "left").withColumns(
+    joined = slim.join(per_row, F.col(key) == F.col(row), "left").withColumns(
         {name: _pieces_of(found, c) for name, c in zip(free, names)}
     )
-    new = {c: _assembled(df, c, F.col(name), params) for name, c in zip(free, names)}
+    new = {
+        c: _assembled(F.col(cell), F.col(full), F.col(name), params)
+        for c, cell, full, name in zip(names, cell_names, full_names, free)
+    }
     failed = F.size(F.filter(found, lambda p: p["tgt"].isNull())).cast("long")
     return joined.select(
         *(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in df.columns),
@@ -251,14 +294,39 @@ def _pieces_of(found: str, column: str) -> Column:
     )
 
 
-def _assembled(df: DataFrame, column: str, pieces: Column, params: JobParams) -> Column:
-    cell = as_text(df, column)
+def _slim(
+    df: DataFrame, rows: DataFrame, names: list[str], key: str, lost: str, cells: list[str],
+    full: list[str], untranslated: DataFrame | None, params: JobParams,
+) -> DataFrame:
+    """The rows with their cells as text, and whether these hold any; a plain cell of which
+    all chunks have a translation is left out, as only the translation is needed."""
+    if untranslated is None:
+        needed = F.lit(True)
+    else:
+        marks = F.broadcast(untranslated.select(F.col(ROW).alias(lost)))
+        rows = rows.join(marks, F.col(key) == F.col(lost), "left")
+        needed = F.col(lost).isNotNull()
+    more = []
+    for c, cell, holds in zip(names, cells, full):
+        text = as_text(df, c)
+        held = F.coalesce(is_translatable(text), F.lit(False))
+        kept = needed | ~held
+        if params.json_mode != "off":
+            kept = kept | F.coalesce(looks_json(text), F.lit(False))
+        more += [F.when(kept, text).alias(cell), held.alias(holds)]
+    others = [F.col(f"`{c}`") for c in df.columns if c not in names]
+    return rows.select(*others, key, *more)
+
+
+def _assembled(cell: Column, full: Column, pieces: Column, params: JobParams) -> Column:
     done = F.forall(pieces, lambda p: p["tgt"].isNotNull())
-    plain = F.when(done, F.array_join(F.transform(pieces, lambda p: p["tgt"]), " ")).otherwise(cell)
+    gone = F.raise_error(F.lit("a translation is no longer in the memory")).cast("string")
+    plain = F.when(done, F.array_join(F.transform(pieces, lambda p: p["tgt"]), " "))
+    plain = F.coalesce(plain, cell, gone)
     if params.json_mode != "off":
         document = json_rebuild(cell, pieces, params.translate_keys, params.skip_keys)
         plain = F.coalesce(document, plain)
-    return F.when(is_translatable(cell), plain).otherwise(cell)
+    return F.when(full, plain).otherwise(cell)
 
 
 def _whole(pieces: DataFrame, keys: list[str], into: str) -> DataFrame:

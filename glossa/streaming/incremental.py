@@ -14,10 +14,10 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 from glossa.operators.rows import ROW_ID
 from glossa.plans.control import Control
 from glossa.plans.dataset import COMMITS, STAGED, Job, job_folder, output_path, stored_output
-from glossa.plans.jobs import remaining
+from glossa.plans.jobs import not_done
 from glossa.plans.runs import Run, reason
 from glossa.plans.translate import FAILED, Engine, Stopped, translate_rows
-from glossa.session import FileSystem
+from glossa.session import CODEC, FileSystem
 
 
 def commit_batch(
@@ -72,8 +72,8 @@ def _stage(
         F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(FAILED), F.lit(0)).alias(FAILED)
     ]
     try:
-        made = translate_rows(remaining(batch, done, row_id), columns, run, row_id)
-        made.observe(seen, *counted).write.mode("overwrite").parquet(staged)
+        made = translate_rows(not_done(batch, done, row_id), columns, run, row_id)
+        made.observe(seen, *counted).write.mode("overwrite").parquet(staged, compression=CODEC)
     finally:
         run.work.drop()
     return {"read": ends["n"], **seen.get}

@@ -659,3 +659,43 @@ def test_a_task_holds_few_texts_at_a_time(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i long, chunk string").coalesce(1)
     done = inference.translate_chunks(df, StubBackend(), QUICK).collect()
     assert [r.tgt for r in sorted(done)] == [t and f"[tr] {t}" for t in texts]
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_new_chunks_move_once(spark, folder):
+    e = engine(spark, folder)
+    df = e.work.write(spark.range(40).selectExpr("concat('row ', id % 30) as chunk"), "in")
+    df = df.withColumn("key", inference.chunk_key("chunk", QUICK))
+    todo = e.memory.missing(df, QUICK, parts=5)
+    assert todo.rdd.getNumPartitions() == 5 and shuffles(todo) == 0
+    assert sorted(r.chunk for r in todo.collect()) == sorted(f"row {i}" for i in range(30))
+    half = df.where(F.length("chunk") == 5)
+    e.memory.append(inference.translate_chunks(e.memory.missing(half, QUICK, parts=2), StubBackend(), QUICK), QUICK)
+    place = {"slice": F.pmod(F.xxhash64("key"), F.lit(3))}
+    left = e.memory.missing(df, QUICK, parts=3, place=place)
+    assert sorted(r.chunk for r in left.collect()) == [f"row {i}" for i in range(10, 30)]
+
+
+@pytest.mark.parametrize("most", [0, 1, 100])
+def test_cells_that_are_translated_are_not_moved_along(spark, folder, most):
+    faulty = FaultyBackend(soft="sentence number 7.")
+    e = engine(spark, folder, faulty, broadcast_keys=most)
+    out = tr.translate_rows(cells(spark), ["cell"], e)
+    plain = by_id(tr.translate_rows(cells(spark), ["cell"], engine(spark, f"{folder}/b")))
+    got = by_id(out)
+    assert got[0] == "[tr] plain" and got[2] is None and got[3] == "   " and got[4] == LONG
+    assert json.loads(got[1])[1]["content"] == LONG and got[5] == plain[5]
+
+
+def test_rows_that_are_not_done_are_found_by_ids(spark, folder, monkeypatch):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (2, "d")], "id long, x string")
+    for done in ([], [9], [2], [None, 2], [1, 2, 2, None]):
+        out = spark.createDataFrame([(d,) for d in done], "id long")
+        same = sorted(r.x for r in jobs.remaining(df, out, "id").collect())
+        for most in (0, 100):
+            monkeypatch.setattr(jobs, "BROADCAST_KEYS", most)
+            assert sorted(r.x for r in jobs.not_done(df, out, "id").collect()) == same
+    assert jobs.not_done(df, out.limit(0), "id") is df
