@@ -229,6 +229,64 @@ def test_ids_of_words_side_by_side_are_those_of_the_library():
                 assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)] == want
 
 
+def test_a_word_is_looked_up_once_for_all_its_places():
+    from glossa.llm.tokenize import Encoder
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counted.asked += 1
+            return super().get(*key)
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        coder = Encoder(public_tokenizers.path(name))
+        texts = ["the red\nfox, " * 5_000, "", "the fox"]
+        want = [e.ids for e in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        Counted.asked = 0
+        coder.known = Counted()
+        assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)] == want
+        assert Counted.asked < 100
+
+
+def test_texts_are_cut_in_words_and_marks():
+    import pyarrow as pa
+
+    from glossa.llm.tokenize import _bytes, _cut
+
+    word, tail = r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,;:!?$%&#*|]*(?:[ \t-\r]|\Z))", r"[.,;:!?$%&#*|]+(?=[ \t-\r]|\Z)"
+    patterns = {
+        True: rf"[ \t-\r]*{word}|{tail}|[ \t-\r]*[^ \t-\r]+|[ \t-\r]+",
+        False: rf"{word}|{tail}|[^ \t-\r]+",
+    }
+    rng = random.Random(10)
+    signs = " \t\n\r\x0b\x0c  aZéÿÃ×÷.,!|-9中\U0001f600"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(12))) for _ in range(5_000)]
+    for kind in (pa.string(), pa.large_string()):
+        raw, at = _bytes(pa.array(["gone", *texts, "gone"], kind)[1:-1])
+        for blanks, pattern in patterns.items():
+            pieces, before = _cut(raw, at, blanks)
+            pieces = pieces.to_pylist()
+            assert [pieces[a:b] for a, b in zip(before, before[1:])] == [
+                re.findall(pattern, t) for t in texts
+            ]
+
+
+def test_texts_may_come_as_arrow_arrays_with_nulls():
+    import pyarrow as pa
+
+    from glossa.llm.tokenize import Encoder
+
+    coder = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = pa.array(["x", None, "a\u00a0b", "", "<|endoftext|> é", None, "one two"])
+    for some in (texts, texts[1:6], texts[1:2], texts[:0], texts.cast(pa.large_string())[2:]):
+        assert coder.encode(some) == [coder._encode([t or ""])[0] for t in some.to_pylist()]
+
+
 def test_token_files_give_back_what_was_written(docs, rows, none, folder):
     path = public_tokenizers.path("word_bpe_49k.json")
     from tokenizers import Tokenizer
