@@ -78,11 +78,14 @@ def _messages(text: str, params: JobParams) -> list[dict]:
     return [{"role": role, "content": text.join(pieces)} for role, pieces in parts]
 
 
-def _attempt(backend: Backend, text: str | None, params: JobParams) -> tuple:
-    """(translation or None, status, attempts, reason of the last failure); fatal errors go up."""
-    if text is None or not text.strip():
-        return text, "skipped", 0, None
+def _attempt(
+    backend: Backend, text: str | None, params: JobParams, reasons: bool = False
+) -> tuple:
+    """(translation or None, status, attempts), with ``reasons`` also why the last try failed;
+    fatal errors go up."""
     why = None
+    if text is None or not text.strip():
+        return (text, "skipped", 0, why)[: 3 + reasons]
     request = Request(
         text,
         _messages(text, params),
@@ -98,10 +101,10 @@ def _attempt(backend: Backend, text: str | None, params: JobParams) -> tuple:
         except BackendError as e:
             answer, why = "", str(e)[:REASON_CHARS]
         if answer:
-            return answer, "ok", attempt, None
+            return (answer, "ok", attempt, why)[: 3 + reasons]
         if attempt < params.max_attempts:
             time.sleep(params.retry_wait * attempt)
-    return None, "failed", params.max_attempts, why
+    return (None, "failed", params.max_attempts, why)[: 3 + reasons]
 
 
 def _parts(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
@@ -143,7 +146,7 @@ def translate_chunks(
         with ThreadPoolExecutor(in_flight) as pool:
             for batch in (part for whole in batches for part in _parts(whole, at)):
                 texts = batch.column(at).to_pylist()
-                done = list(pool.map(lambda t: _attempt(backend, t, params), texts))
+                done = list(pool.map(lambda t: _attempt(backend, t, params, reasons), texts))
                 added = [
                     pa.array(values, type=kind)
                     for values, kind in zip(zip(*done), kinds.values())
