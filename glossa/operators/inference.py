@@ -6,16 +6,20 @@ import time
 import uuid
 from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from itertools import groupby
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from glossa.backends import Backend, BackendError, Request
 from glossa.functions.text import prompt_parts
 from glossa.operators import filters
 from glossa.settings import JobParams
-from glossa.session import CODEC, FileSystem
+from glossa.session import CODEC, FileSystem, task_folder
 
 RESULT_FIELDS = [
     T.StructField("tgt", T.StringType()),
@@ -52,8 +56,10 @@ HOT_MIN_ROWS = 100_000
 CHUNKS_PER_TASK = 2000
 MAX_TASKS = 50_000
 
-# Below the memory: results of commits that are being written.
+# Below the memory: results of commits that are being written, and the name of the file
+# there that ends them.
 STAGED = "_staged"
+STOP = "_stop"
 
 # Texts of so many rows and bytes are held in a task at a time.
 PART_ROWS = 1000
@@ -144,20 +150,113 @@ def translate_chunks(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with ThreadPoolExecutor(in_flight) as pool:
-            for batch in (part for whole in batches for part in _parts(whole, at)):
-                texts = batch.column(at).to_pylist()
-                done = list(pool.map(lambda t: _attempt(backend, t, params, reasons), texts))
-                added = [
-                    pa.array(values, type=kind)
-                    for values, kind in zip(zip(*done), kinds.values())
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, *added], names=[*batch.schema.names, *kinds]
-                )
+            for batch in batches:
+                yield from _answered(batch, at, kinds, backend, params, pool, reasons)
 
     return df.mapInArrow(run, schema)
 
 
+def _answered(
+    whole: pa.RecordBatch, at: int, kinds: dict[str, pa.DataType], backend: Backend,
+    params: JobParams, pool: ThreadPoolExecutor, reasons: bool,
+) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch with what the backend made of their texts."""
+    for batch in _parts(whole, at):
+        texts = batch.column(at).to_pylist()
+        done = list(pool.map(lambda t: _attempt(backend, t, params, reasons), texts))
+        added = [pa.array(values, type=kind) for values, kind in zip(zip(*done), kinds.values())]
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, *added], names=[*batch.schema.names, *kinds]
+        )
+
+
+def _pieces_by(batch: pa.RecordBatch, column: str) -> Iterator[tuple[str, pa.RecordBatch]]:
+    """A batch in runs of rows that are equal in a column, each with that value."""
+    start = 0
+    for value, rows in groupby(batch.column(column).to_pylist()):
+        size = sum(1 for _ in rows)
+        yield value, batch.slice(start, size)
+        start += size
+
+
+def open_to_tasks(spark: SparkSession, folder: str) -> bool:
+    """Whether tasks can write to a folder, which is made, without Spark."""
+    fs = FileSystem(spark, folder)
+    fs.make(folder)
+    uri = fs.uri(folder)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            try:
+                store, base = task_folder(uri)
+                with store.open_output_stream(f"{base}/_try") as out:
+                    out.write(b"1")
+                store.move(f"{base}/_try", f"{base}/_tried")
+                can = True
+            except (OSError, ValueError, NotImplementedError):
+                can = False
+            yield pa.RecordBatch.from_pydict({"can": [can]})
+
+    tried = spark.range(0, 1, 1, 1).mapInArrow(run, "can boolean").first()
+    return tried["can"] and fs.exists(f"{folder}/_tried")
+
+
+def keep_translations(
+    df: DataFrame, backend: Backend, params: JobParams, staged: str, folder: str,
+    in_flight: int = 1,
+) -> DataFrame:
+    """(part): translate chunks (key, chunk, part), and store the results of each part.
+
+    The rows of a part follow each other in one task. Their results are written to
+    ``staged`` and moved to ``folder`` before the next part begins, so they stay whatever
+    becomes of the task, and a task that is run again does not call the backend for them.
+    A file ``STOP`` in ``staged`` ends all tasks before their next part; a task that was
+    begun has one.
+    """
+    fields = [*RESULT_FIELDS, REASON_FIELD]
+    kinds = {f.name: RESULT_TYPES[f.name] for f in fields}
+    same = {"prompt_hash": params.prompt_hash, "model": params.model}
+
+    def stored(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = {"key": batch.column("key"), "src": batch.column("chunk")}
+        found |= {name: batch.column(name) for name in kinds}
+        found |= {name: pa.array([value] * len(batch), pa.string()) for name, value in same.items()}
+        return pa.RecordBatch.from_pydict(found)
+
+    def write(fs: pafs.FileSystem, path: str, batches: Iterable[pa.RecordBatch]) -> None:
+        out = None
+        try:
+            for batch in map(stored, batches):
+                out = out or pq.ParquetWriter(
+                    path, batch.schema, filesystem=fs, compression=CODEC
+                )
+                out.write_batch(batch)
+        finally:
+            if out:
+                out.close()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (fs, aside), (_, base) = task_folder(staged), task_folder(folder)
+        attempt = TaskContext.get().taskAttemptId()
+        pieces = (piece for batch in batches for piece in _pieces_by(batch, "part"))
+        with ThreadPoolExecutor(in_flight) as pool:
+            for i, (part, rows) in enumerate(groupby(pieces, lambda piece: piece[0])):
+                places = [f"{base}/{part}", f"{aside}/{STOP}"]
+                there, stop = (f.type != pafs.FileType.NotFound for f in fs.get_file_info(places))
+                if stop and i:
+                    return
+                if not there:
+                    done = (
+                        batch for _, piece in rows
+                        for batch in _answered(piece, 1, kinds, backend, params, pool, True)
+                    )
+                    write(fs, f"{aside}/{attempt}-{part}", done)
+                    fs.move(f"{aside}/{attempt}-{part}", f"{base}/{part}")
+                yield pa.RecordBatch.from_pydict({"part": [part]})
+
+    return df.select("key", "chunk", "part").mapInArrow(run, "part string")
+
+
 def canary_check(
     spark: SparkSession, backend: Backend, params: JobParams, text: str = "Hello"
 ) -> DataFrame:
@@ -253,12 +352,12 @@ class TranslationMemory:
             F.lit(params.model).alias("model"),
         )
         # All rows are of one partition; naming its folder saves a sort.
-        folder = f"{self.path}/source_lang={params.source_lang}/target_lang={params.target_lang}"
+        folder = self._folder(params)
         if not aside:
             stored.write.mode("append").parquet(folder, compression=CODEC)
             self.add_filters()
             return
-        staged = f"{self.path}/{STAGED}/{uuid.uuid4().hex}"
+        staged = self.staged()
         fs = FileSystem(self.spark, staged)
         try:
             stored.write.parquet(staged, compression=CODEC)
@@ -266,6 +365,32 @@ class TranslationMemory:
         finally:
             fs.delete(staged)
 
+    def _folder(self, params: JobParams) -> str:
+        return f"{self.path}/source_lang={params.source_lang}/target_lang={params.target_lang}"
+
+    def staged(self) -> str:
+        """A folder for results that are being written; whoever makes it deletes it."""
+        return f"{self.path}/{STAGED}/{uuid.uuid4().hex}"
+
+    def append_parts(
+        self, todo: DataFrame, backend: Backend, params: JobParams, staged: str, tasks: int,
+        in_flight: int = 1,
+    ) -> int:
+        """Translate stored chunks in so many tasks at most, and store the results of each of
+        their files as soon as they are there; tells how many files that were.
+
+        ``todo`` is a scan; ``staged`` must be open to tasks. Whoever calls it also calls
+        ``add_filters``, once.
+        """
+        fs, folder = FileSystem(self.spark, staged), self._folder(params)
+        fs.make(folder)
+        # A file may be read in several splits, each of which is always the same rows.
+        split, name = F.col("_metadata.file_block_start"), F.col("_metadata.file_name")
+        part = F.concat(F.lit("part-"), split.cast("string"), F.lit("-"), name)
+        chunks = todo.select("key", "chunk", part.alias("part")).coalesce(tasks)
+        kept = keep_translations(chunks, backend, params, fs.uri(staged), fs.uri(folder), in_flight)
+        return len(kept.collect())  # names of as many files as the caller asks for
+
     def add_filters(self) -> None:
         """Filters for all files that have none yet, as long as there are many files."""
         rows = self.rows()

@@ -10,6 +10,7 @@ chunks whose results were committed.
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
@@ -30,16 +31,18 @@ from glossa.operators.inference import (
     COMMIT_CHUNKS,
     HOT_MIN_ROWS,
     MAX_TASKS,
+    STOP,
     TranslationMemory,
     attach_translations,
     canary_check,
     chunk_key,
     hot_salts,
+    open_to_tasks,
     translate_chunks,
 )
 from glossa.operators.leaves import leaf_table
-from glossa.operators.rows import spread_small
-from glossa.session import WorkFolder
+from glossa.operators.rows import file_names, file_path, spread_small
+from glossa.session import FileSystem, WorkFolder
 from glossa.settings import JobParams
 
 FAILED = "failed_chunks"
@@ -51,6 +54,10 @@ READ_SLICES = 8
 # So many commits run at a time at most; the driver has a thread for each.
 MOST_SIDE = 16
 
+# Small commits are made in lots that take about so many seconds, as far as backend and
+# bound on requests allow; a stop is asked for as often meanwhile.
+LOT_SECONDS = 4.0
+
 
 @dataclass(frozen=True)
 class Engine:
@@ -164,6 +171,9 @@ def _translate_missing(
     """
     slices = max(-(-total // engine.commit_chunks), 1)
     side, tasks = engine.side_by_side(min(total, engine.commit_chunks), slices)
+    if slices > READ_SLICES and engine.commit_chunks <= engine.chunks_per_task:
+        _commit_files(chunks, total, among, engine, unlike, side, tasks)
+        return
     number = F.pmod(F.xxhash64("key"), F.lit(slices))
     missing, params = engine.memory.missing, engine.params
     dealt = False
@@ -183,40 +193,126 @@ def _translate_missing(
         folder = f"todo-{uuid.uuid4().hex}"
         parts = engine.work.write_slices(spread.drop("file"), folder, "slice")
 
-    def commit(part: DataFrame) -> None:
-        if not dealt:
-            part = part.repartition(tasks, "key") if tasks > 1 else part.coalesce(1)
-        results = translate_chunks(
-            part, engine.backend, engine.params, in_flight=engine.calls, reasons=True
-        )
-        engine.memory.append(results, engine.params, aside=len(parts) > 1)
+    def commit(lot: list[DataFrame]) -> int:
+        (part,) = lot
+        _commit(part if dealt else _spread(part, tasks), engine, aside=len(parts) > 1)
+        return 1
 
     _commit_all(parts, commit, side, engine)
     if len(parts) > 1:
         engine.memory.add_filters()
 
 
+def _spread(part: DataFrame, tasks: int) -> DataFrame:
+    return part.repartition(tasks, "key") if tasks > 1 else part.coalesce(1)
+
+
+def _commit(part: DataFrame, engine: Engine, aside: bool) -> None:
+    results = translate_chunks(
+        part, engine.backend, engine.params, in_flight=engine.calls, reasons=True
+    )
+    engine.memory.append(results, engine.params, aside=aside)
+
+
+def _commit_files(
+    chunks: DataFrame, total: int, among: DataFrame | None, engine: Engine, unlike: bool,
+    side: int, tasks: int,
+) -> None:
+    """Fill the memory in many small commits, each of which is a file of new chunks.
+
+    A job for each of them would take longer to start than to run, so the tasks of a job go
+    through several files, and commit each by itself.
+    """
+    memory, params, spark = engine.memory, engine.params, engine.work.spark
+    many = min(max(total // CHUNKS_PER_FILE, 1), MAX_TASKS)
+    if unlike:
+        new = memory.missing(chunks, params, among, many)
+    else:
+        new = memory.missing(chunks, params, among).repartition(many, "key")
+    stored = engine.work.write(new, f"todo-{uuid.uuid4().hex}", engine.commit_chunks)
+    files = file_names(stored)
+    if len(files) == 1 and stored.isEmpty():
+        return
+    staged = memory.staged()
+    fs = FileSystem(spark, staged)
+    by_task = open_to_tasks(spark, staged)
+
+    def commit(lot: list[str]) -> int:
+        todo = stored.where(file_path().between(lot[0], lot[-1]))
+        if not by_task:
+            _commit(_spread(todo, tasks), engine, aside=True)
+            return len(lot)
+        made = memory.append_parts(
+            todo, engine.backend, params, staged, min(tasks, len(lot)), engine.calls
+        )
+        return min(made, len(lot))
+
+    def halt() -> None:
+        fs.write_text(f"{staged}/{STOP}", "")
+
+    try:
+        _commit_all(files, commit, side, engine, tasks, halt if by_task else None)
+    finally:
+        fs.delete(staged)
+    memory.add_filters()
+
+
 def _commit_all(
-    parts: list[DataFrame], commit: Callable[[DataFrame], None], side: int, engine: Engine
+    parts: list, commit: Callable[[list], int], side: int, engine: Engine,
+    at_once: int = 1, halt: Callable[[], None] | None = None,
 ) -> None:
-    """Commit all parts, ``side`` at a time; a commit that was begun is waited for."""
-    done, running, spark = 0, set(), engine.work.spark
+    """Commit all parts in lots, ``side`` lots at a time; a lot that was begun is waited for.
+
+    ``commit`` tells how many parts of its lot it committed. With ``halt`` a lot may have
+    more parts than the ``at_once`` that are committed at the same time: as many as take
+    some ``LOT_SECONDS``. It is called when the translation is to end, for the lots to end
+    before their next part.
+    """
+    spark, stop = engine.work.spark, engine.should_stop or (lambda: False)
+    at = done = 0
+    most, stopped = at_once if halt else 1, False
+    running: dict = {}
+
+    def timed(lot: list) -> tuple[int, float]:
+        begun = time.monotonic()
+        return commit(lot), time.monotonic() - begun
+
     with ThreadPoolExecutor(side) as pool:
-        for part in [*parts, None]:
-            while len(running) >= (side if part is not None else 1):
-                over, running = wait(running, return_when=FIRST_COMPLETED)
+        while running or (at < len(parts) and not stopped):
+            if at < len(parts) and not stopped and len(running) < side:
+                lot: list = []
+                size = min(most, -(-(len(parts) - at) // side))
+                while len(lot) < size and not stopped:
+                    stopped = stop()
+                    lot += [] if stopped else [parts[at + len(lot)]]
+                if lot:
+                    at += len(lot)
+                    # The tags of this thread's jobs go along, so a stop ends that lot too.
+                    target = inheritable_thread_target(spark)(timed)
+                    running[pool.submit(target, lot)] = len(lot)
+            else:
+                over, _ = wait(running, LOT_SECONDS if halt else None, FIRST_COMPLETED)
+                stopped = stopped or bool(halt and not over and stop())
                 for ended in over:
-                    ended.result()
-                    done += 1
-                    if engine.on_commit:
-                        engine.on_commit(done, len(parts))
-            if part is not None:
-                if engine.should_stop and engine.should_stop():
-                    wait(running)
-                    done += len([r.result() for r in running])
-                    raise Stopped(f"stopped after {done} of {len(parts)} commits")
-                # The tags of this thread's jobs go along, so a stop ends that commit too.
-                running.add(pool.submit(inheritable_thread_target(spark)(commit), part))
+                    size = running.pop(ended)
+                    try:
+                        made, seconds = ended.result()
+                    except Exception:
+                        if halt:
+                            halt()
+                        raise
+                    if halt and seconds > LOT_SECONDS:
+                        most = max(min(most, size) // 2, at_once)
+                    elif halt and seconds < LOT_SECONDS / 2 and size == most:
+                        most *= 2
+                    for _ in range(made):
+                        done += 1
+                        if engine.on_commit:
+                            engine.on_commit(done, len(parts))
+            if stopped and halt:
+                halt()
+    if stopped and done < len(parts):
+        raise Stopped(f"stopped after {done} of {len(parts)} commits")
 
 
 def row_key(df: DataFrame, columns: list[str], row_id: str) -> Column:

@@ -6,6 +6,8 @@ import io
 import json
 import os
 import sys
+import threading
+import time
 import urllib.error
 from dataclasses import dataclass, replace
 from typing import Any
@@ -699,3 +701,116 @@ def test_rows_that_are_not_done_are_found_by_ids(spark, folder, monkeypatch):
             monkeypatch.setattr(jobs, "BROADCAST_KEYS", most)
             assert sorted(r.x for r in jobs.not_done(df, out, "id").collect()) == same
     assert jobs.not_done(df, out.limit(0), "id") is df
+
+
+def many_rows(e, rows):
+    spark = e.work.spark
+    return e.work.write(spark.range(rows).selectExpr("id as row_id", "concat('row ', id) as cell"), "in")
+
+
+def jobs_of(spark, tag, act):
+    """What ``act`` gives back, and how many jobs it started."""
+    spark.sparkContext.addJobTag(tag)
+    try:
+        return act(), len(spark.sparkContext._jsc.sc().statusTracker().getJobIdsForTag(tag))
+    finally:
+        spark.sparkContext.removeJobTag(tag)
+
+
+def test_small_commits_share_jobs(spark, folder, counting, monkeypatch):
+    monkeypatch.setattr(tr, "LOT_SECONDS", 60.0)
+    odd = f"{folder}/a b%20é"
+    e = engine(spark, odd, counting, commit_chunks=10, max_requests=2)
+    seen = []
+    df, run = many_rows(e, 600), replace(e, on_commit=lambda *a: seen.append(a))
+    out, made = jobs_of(spark, "small", lambda: tr.translate_rows(df, ["cell"], run))
+    assert by_id(out) == {i: f"[tr] row {i}" for i in range(600)}
+    assert seen == [(i, 60) for i in range(1, 61)] and counting.calls.value == 600
+    assert made < 45
+    sizes = e.memory.rows().groupBy(F.col("_metadata.file_name")).count().collect()
+    assert [r["count"] for r in sizes] == [10] * 60
+    assert not os.listdir(f"{odd}/memory/{inference.STAGED}")
+
+
+def no_store(uri):
+    raise ValueError(f"unknown kind of store in {uri}")
+
+
+def test_small_commits_where_tasks_cannot_write(spark, folder, counting, monkeypatch):
+    monkeypatch.setattr(inference, "task_folder", no_store)
+    e = engine(spark, folder, counting, commit_chunks=10, max_requests=3)
+    out = tr.translate_rows(many_rows(e, 120), ["cell"], e)
+    assert by_id(out) == {i: f"[tr] row {i}" for i in range(120)}
+    assert counting.calls.value == 120
+
+
+def stored_files(e, files, rows=5):
+    """Chunks in so many files, in an order that is the same in each."""
+    df = e.work.spark.range(files * rows).selectExpr("cast(id as string) key", "concat('t', id, '.') chunk")
+    return e.work.write(df.coalesce(1).sortWithinPartitions(F.col("key").cast("int")), "todo", rows)
+
+
+def test_commits_of_a_task_stay_when_it_fails(spark, folder, counting):
+    e = engine(spark, folder)
+    todo, staged = stored_files(e, 4), f"{e.memory.path}/{inference.STAGED}/a"
+    assert inference.open_to_tasks(spark, staged)
+    with pytest.raises(Exception, match="Failed to load model"):
+        e.memory.append_parts(todo, FaultyBackend(fatal="t3."), QUICK, staged, 1)
+    keys = {int(r["key"]) for r in e.memory.rows().collect()}  # of larger files, which come first
+    assert keys >= set(range(10, 20)) and not keys & set(range(5)) and len(keys) % 5 == 0
+    assert e.memory.append_parts(todo, counting, QUICK, staged, 1, 3) == 4
+    assert counting.calls.value == 20 - len(keys)
+    found = e.memory.rows().orderBy(F.col("key").cast("int")).collect()
+    assert [(r["key"], r["src"], r["tgt"]) for r in found] == [
+        (str(i), f"t{i}.", f"[tr] t{i}.") for i in range(20)
+    ]
+    same = {(r["status"], r["attempts"], r["reason"], r["prompt_hash"], r["model"], r["target_lang"]) for r in found}
+    assert same == {("ok", 1, None, QUICK.prompt_hash, QUICK.model, QUICK.target_lang)}
+
+
+def test_a_task_ends_behind_a_commit_when_it_is_to_stop(spark, folder, counting):
+    e = engine(spark, folder)
+    todo, staged = stored_files(e, 4), f"{e.memory.path}/{inference.STAGED}/a"
+    fs = tr.FileSystem(spark, staged)
+    fs.write_text(f"{staged}/{inference.STOP}", "")
+    assert e.memory.append_parts(todo, counting, QUICK, staged, 1) == 1
+    assert e.memory.rows().count() == counting.calls.value == 5
+
+
+def test_lots_grow_as_long_as_they_are_short_and_end_when_told(spark, folder, monkeypatch):
+    monkeypatch.setattr(tr, "LOT_SECONDS", 0.5)
+    lots, halted, asked = [], threading.Event(), []
+
+    def commit(lot):
+        lots.append(len(lot))
+        made = 0
+        while made < len(lot) and not (made and halted.is_set()):
+            time.sleep(0.02 if len(lot) < 16 else 0.5)
+            made += 1
+        return made
+
+    def stop():
+        asked.append(1)
+        return len(lots) > 4 and len(asked) > sum(lots)
+
+    e = engine(spark, folder, should_stop=stop)
+    with pytest.raises(tr.Stopped, match="stopped after 1[67] of 400 commits"):
+        tr._commit_all(list(range(400)), commit, 1, e, 1, halted.set)
+    assert lots == [1, 2, 4, 8, 16]
+    assert halted.is_set()
+
+
+def test_a_stopped_job_has_the_commits_it_began(spark, folder, counting):
+    e = engine(spark, folder, counting, commit_chunks=5, max_requests=2)
+    asked = []
+
+    def stop():
+        asked.append(1)
+        return len(asked) > 2
+
+    df = many_rows(e, 100)
+    ds.translate_dataset(df, job(), e, folder, check_backend=False, should_stop=stop)
+    assert counting.calls.value == e.memory.rows().count() == 5
+    ds.translate_dataset(df, job(), e, folder, check_backend=False)
+    assert stored(spark, folder) == {i: f"[tr] row {i}" for i in range(100)}
+    assert counting.calls.value == 100
