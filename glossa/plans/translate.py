@@ -229,7 +229,8 @@ def _commit_files(
         new = memory.missing(chunks, params, among, many)
     else:
         new = memory.missing(chunks, params, among).repartition(many, "key")
-    stored = engine.work.write(new, f"todo-{uuid.uuid4().hex}", engine.commit_chunks)
+    folder = f"todo-{uuid.uuid4().hex}"
+    stored = engine.work.write(new, folder, engine.commit_chunks)
     files = file_names(stored)
     if len(files) == 1 and stored.isEmpty():
         return
@@ -254,6 +255,7 @@ def _commit_files(
         _commit_all(files, commit, side, engine, tasks, halt if by_task else None)
     finally:
         fs.delete(staged)
+    engine.work.delete(folder)
     memory.add_filters()
 
 

@@ -730,6 +730,7 @@ def test_small_commits_share_jobs(spark, folder, counting, monkeypatch):
     sizes = e.memory.rows().groupBy(F.col("_metadata.file_name")).count().collect()
     assert [r["count"] for r in sizes] == [10] * 60
     assert not os.listdir(f"{odd}/memory/{inference.STAGED}")
+    assert not [n for n in os.listdir(e.work.root) if n.startswith("todo")]
 
 
 def no_store(uri):
